@@ -27,7 +27,28 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    return merkle.compared(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
+    "op8_merkle": op8_merkle,
+    "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {}
