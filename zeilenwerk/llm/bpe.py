@@ -30,22 +30,53 @@ from .shared import small_batches
 LEAF = 2048
 #: Bytes from which a text is dealt out over tasks.
 SPLIT_BYTES = 1 << 16
-#: Chunks whose ids a worker remembers.
-CACHE = 150_000
+#: Chunks, and words, whose ids a worker remembers: twice as many at most.
+CACHE = 120_000
+#: Chunks whose normal form is their lower case, and their words as the vocabulary parts them.
+PLAIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ɏ]+")
+PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
 SPACE = re.compile(r"[ \t-\r]+")
 #: Control characters that Python takes for white space and the vocabulary doesn't, and wide spaces.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+class Recent:
+    """What was made lately; it forgets in halves."""
+
+    def __init__(self, make):
+        self.make, self.new, self.old = make, {}, {}
+
+    def one(self, k: str):
+        if (x := self.new.get(k)) is None:
+            if (x := self.old.get(k)) is None:
+                x = self.make(k)
+            if len(k) < 64:
+                if len(self.new) >= CACHE:
+                    self.old, self.new = self.new, {}
+                self.new[k] = x
+        return x
+
+    def __call__(self, keys: list[str]) -> list:
+        got = list(map(self.new.get, keys))
+        for i in [i for i, x in enumerate(got) if x is None]:
+            got[i] = self.one(keys[i])
+        return got
+
+
 class Bpe:
     """One vocabulary in one worker."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
         from tokenizers import Tokenizer
 
-        self.lib, self.leaf, self.cache = Tokenizer.from_file(path), leaf, {}
+        self.lib, self.leaf = Tokenizer.from_file(path), leaf
+        self.chunks, self.plain_words = Recent(self.chunk), Recent(self.plain_word)
         self.lib.no_truncation()
         self.lib.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
@@ -59,8 +90,19 @@ class Bpe:
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): (n, vocab[a + b]) for n, (a, b) in enumerate(pairs)}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.model, self.letters = self.lib.model, self._letters()
+        #: Whether the vocabulary parts words as WORDS does: lower case, and no other special token than with <.
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lower = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.plain = parts[0].get("pattern") == {"Regex": PARTED} and lower and all("<" in x for x in self.special)
         self.table = np.array([self.text.get(i, "") for i in range(max(self.text) + 1)], dtype=object)
 
+    def _letters(self) -> dict[int, str]:
+        """The byte-level alphabet: bytes that print stand for themselves, the others for code points from 256."""
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(own)]
+        return {b: chr(256 + n) for n, b in enumerate(rest)}
+
     def symbols(self, word: str, last: bool = True) -> list[int]:
         """The ids of a byte-level word's letters; the last carries the word-end suffix."""
         out = [self.ids[c] for c in word[: len(word) - last]]
@@ -129,22 +171,21 @@ class Bpe:
             out += [w] if isinstance(w, int) else self.tree([self.merge(self.symbols(*x)) for x in self.leaves(w)])
         return out
 
+    def plain_word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def chunk(self, chunk: str) -> bytes:
+        if len(chunk) > self.leaf:
+            return np.array(self.long(chunk), "<u4").tobytes()
+        known = self.plain_words.new
+        if self.plain and PLAIN.fullmatch(chunk):
+            return b"".join([known.get(w) or self.plain_words.one(w) for w in WORDS.findall(chunk.lower())])
+        return np.array(self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        chunks = SPACE.split(text) if ODD_SPACE.search(text) else text.split()
-        got = list(map(self.cache.get, chunks))
-        if None in got:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            new = list(dict.fromkeys(c for c, g in zip(chunks, got, strict=True) if g is None))
-            short, made = [c for c in new if len(c) <= self.leaf], {}
-            for c, e in zip(short, self.lib.encode_batch(short, add_special_tokens=False), strict=True):
-                made[c] = np.array(e.ids, "<u4").tobytes()
-            for c in new:
-                if len(c) > self.leaf:
-                    made[c] = np.array(self.long(c), "<u4").tobytes()
-            self.cache.update((c, made[c]) for c in short)
-            got = [made[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
-        return b"".join(got)
+        return b"".join(self.chunks(SPACE.split(text) if ODD_SPACE.search(text) else text.split()))
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.table[np.frombuffer(ids, "<u4")])
