@@ -27,6 +27,12 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
@@ -47,6 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
+    "op5_toxicity": op5_toxicity,
     "op8_merkle": op8_merkle,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
