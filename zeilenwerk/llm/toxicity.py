@@ -135,6 +135,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curve with no coefficient below 0: more evidence never lowers a score."""
+    use = list(range(x.shape[1]))
+    while True:
+        b = logistic(x[:, use], y)
+        if not use or b[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(u + 1 for u in use)]] = b
+            return out
+        del use[int(b[1:].argmin())]
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -254,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         return step
 
     fitted = np.array(_over(each, summed, "y double, a double, b double, c double").collect(), float)
-    return Model(w, scale, logistic(fitted[:, 1:], fitted[:, 0]), float(fitted[:, 0].mean()))
+    return Model(w, scale, rising(fitted[:, 1:], fitted[:, 0]), float(fitted[:, 0].mean()))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
