@@ -26,6 +26,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -59,6 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_licenses": op3_licenses,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_toxicity": op5_toxicity,
     "op8_merkle": op8_merkle,
