@@ -45,6 +45,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_toxicity": op5_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_merkle": op8_merkle,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
