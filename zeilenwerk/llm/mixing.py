@@ -65,7 +65,7 @@ def stream(docs: DataFrame, text: str = "text", cols: tuple[str, ...] = ("doc_id
     within = W.partitionBy("source", "chunk").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("in_chunk", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = placed["source"].eqNullSafe(sums["source"]) & (placed["chunk"] == sums["chunk"])
-    return placed.join(sums, same).select(*[placed[c] for c in cols], "size", (F.col("chunk_at") + F.col("in_chunk")).alias("at"))
+    return placed.join(sums.hint("merge"), same).select(*[placed[c] for c in cols], "size", (F.col("chunk_at") + F.col("in_chunk")).alias("at"))
 
 
 def permuted(i: Column, n: Column, salt: Column) -> Column:
@@ -113,8 +113,9 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shards: int = 1
     pieces = pieces.select("row", "source", "block", "at", "size", lo, F.least(at + size - F.col("block") * block, F.lit(block)).alias("hi"))
     same = pieces["source"].eqNullSafe(copies["source"]) & (pieces["block"] == copies["block"])
     got = (F.col("copies") - 1) * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "least") - F.col("lo"), F.lit(0))
-    taken = pieces.join(copies, same).groupBy("row").agg(F.sum(got).alias("taken"))
-    out = rows.join(taken, "row", "left")
+    # an exploded side looks small to the planner but grows with the input: it is never broadcast
+    taken = pieces.join(copies.hint("merge"), same).groupBy("row").agg(F.sum(got).alias("taken"))
+    out = rows.join(taken.hint("merge"), "row", "left")
     out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left").select("doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, taken_slots
 

@@ -26,6 +26,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
@@ -71,6 +77,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_neardup": op2_neardup,
     "op3_licenses": op3_licenses,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_toxicity": op5_toxicity,
