@@ -51,6 +51,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neighbours
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_neighbours": op7_neighbours,
     "op8_merkle": op8_merkle,
     "op9_mixing": op9_mixing,
