@@ -37,6 +37,8 @@ BUCKETS = 1 << 18
 STEMS = (5, 7)
 #: Labelled documents that the curve is fitted on, at most.
 FIT_ROWS = 20_000
+#: Labels that are broadcast, at most.
+FEW_LABELS = 500_000
 DRIFT = 0.15
 #: Pseudo-tokens of the prior for each token of the toxic class, LEAST at least.
 PRIOR, LEAST = 1.0, 1000.0
@@ -184,15 +186,18 @@ def _over(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], s
     return df.mapInArrow(run, schema)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, __y of the labels that may teach, one an id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("__y"))
-    known = known.where(~held_out(F.col("doc_id"))).hint("shuffle_hash")
-    return docs.select("doc_id", F.col(text).alias("__text")).join(known, "doc_id", "left")
+    return written(known.where(~held_out(F.col("doc_id"))), "labels")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     small_batches(docs.sparkSession)
-    rows = _labelled(docs, labels, text)
+    known, texts = _known(labels), docs.select("doc_id", F.col(text).alias("__text"))
+    # few labels go to every task, and no text is shuffled; many meet the texts in one shuffle
+    few = known.count() <= FEW_LABELS
+    rows = texts.join(F.broadcast(known) if few else known.hint("shuffle_hash"), "doc_id", "left")
 
     def count():
         held = np.zeros((3, BUCKETS), np.int64)
@@ -219,13 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         a[at] = s
     prior = (n + 0.5) / (n + 0.5).sum()
     n_t, n_c = t.sum(), c.sum()
-    known = rows.where("__y is not null")
     if not n_t or not n_c:
-        share = known.agg(F.avg("__y")).first()[0] or 0.0
-        return Model(np.zeros(BUCKETS), 1.0, None, float(share))
+        return Model(np.zeros(BUCKETS), 1.0, None, float(known.agg(F.avg("__y")).first()[0] or 0.0))
     w = weights(t, c, prior, n_t, n_c)
     t, c, prior = t.astype(np.float32), c.astype(np.float32), prior.astype(np.float32)
-    ids = known.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h").limit(FIT_ROWS).groupBy("doc_id").agg(F.first("h"))
+    # FIT_ROWS rows at most
+    some = texts.join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)), "doc_id")
 
     def alone():
         def step(b):
@@ -243,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
         return step
 
-    each = written(_over(known.join(ids.select("doc_id"), "doc_id", "left_semi").select("__text", "__y"), alone, "y double, scores binary"), "alone")
+    each = written(_over(some.select("__text", "__y"), alone, "y double, scores binary"), "alone")
 
     def spread():
         def step(b):
@@ -265,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
         return step
 
-    fitted = np.array(_over(each, summed, "y double, a double, b double, c double").collect(), float)
+    fitted = np.array(_over(each, summed, "y double, a double, b double, c double").collect(), float).reshape(-1, 4)  # FIT_ROWS rows at most
+    if not len(fitted):
+        return Model(np.zeros(BUCKETS), 1.0, None, float(n_t > 0))
     return Model(w, scale, rising(fitted[:, 1:], fitted[:, 0]), float(fitted[:, 0].mean()))
 
 
