@@ -102,7 +102,8 @@ def shard_counts(taken_slots: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shards: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(documents with size, source_size, target and taken; slots)."""
-    rows = written(stream(docs, text).withColumn("row", F.monotonically_increasing_id()), "stream")
+    rows = docs if "at" in docs.columns else stream(docs, text).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "stream")
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     taken_slots = slots(goals, block, shards)
     # copies of a block, and of the one that is cut what is left of it
@@ -116,9 +117,20 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shards: int = 1
     # an exploded side looks small to the planner but grows with the input: it is never broadcast
     taken = pieces.join(copies.hint("merge"), same).groupBy("row").agg(F.sum(got).alias("taken"))
     out = rows.join(taken.hint("merge"), "row", "left")
-    out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left").select("doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left").select("row", "doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, taken_slots
 
 
 def taken(docs: DataFrame, text: str = "text") -> DataFrame:
     return mix(docs, text)[0].select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+
+
+def resampled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, each row as often as the mix takes it: taken by size, rounded, 1 at least if any word is taken. Rows of
+    which nothing is taken go."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    placed = stream(rows, text, ("doc_id", "source", "row"))
+    times, _ = mix(placed, text)
+    times = times.where("taken > 0").select("row", F.greatest(F.round(F.col("taken") / F.col("size")).cast("int"), F.lit(1)).alias("__times"))
+    out = rows.join(written(times, "times"), "row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*docs.columns)

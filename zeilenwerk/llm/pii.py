@@ -173,3 +173,24 @@ def report(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find(docs, text)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with each span replaced by its kind in capitals and brackets; of overlapping spans the first, then the
+    longest. Spans and text come from one row, so nothing is matched by id."""
+    rows = docs.withColumn("__id", F.monotonically_increasing_id())
+    found = find(docs.withColumn("__id", F.monotonically_increasing_id()), text, ("__id",))
+    found = written(found.where(F.size("spans") > 0).select("__id", "spans"), "spans")
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "context")])
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    # a span with the place where what is kept before it begins; overlapped ones give nothing
+    def step(at, x):
+        part = F.concat(F.substring(F.col(text), at + 1, x["start"] - at), F.element_at(names, x["kind"] + 1))
+        skip = x["start"] < at
+        return F.when(skip, at).otherwise(-x["end"]), F.when(skip, F.array().cast("array<string>")).otherwise(F.array(part))
+
+    parts = running(ordered, "string", step)
+    tail = F.aggregate(ordered, F.lit(0), lambda at, x: F.greatest(at, -x["end"]))
+    clean = F.concat(F.array_join(parts, ""), F.substring(F.col(text), tail + 1, F.length(text)))
+    out = rows.join(found, "__id", "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean))
+    return out.select(*docs.columns)
