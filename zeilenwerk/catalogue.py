@@ -2,5 +2,362 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import binding, facts, focus, geometry, reconcile, store
+from .operators import rows as rules
+from .sources import files
+from .sources import testdata as td
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def raw(s: SparkSession, d: str) -> DataFrame:
+    return facts.raw(td.documents(s, d), td.rows(s, d), td.cells(s, d), td.columns(s))
+
+
+def values(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, row_seq, value: the quantity of each row."""
+    return td.cells(s, d).groupBy("doc_id", "row_seq").agg(facts.exact(F.col("count")).alias("value"))
+
+
+# The same model in SQL. DuckDB sums decimals exactly, too.
+MODEL = """WITH num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_seq FROM lineitem),
+r AS (SELECT l_orderkey AS doc_id, row_seq, ascii(l_returnflag) - 65 AS page_index, CASE l_linenumber WHEN 7 THEN 'summe' WHEN 6 THEN 'uebertrag' ELSE 'daten' END AS kind,
+  CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE (CASE WHEN l_suppkey % 2 = 0 THEN 'ASP' ELSE 'ISP' END) || lpad(CAST(l_suppkey % 7 AS VARCHAR), 2, '0') END AS focus, 'Teil ' || l_partkey AS datenpunkt FROM num),
+c AS (SELECT l_orderkey AS doc_id, row_seq, u.i AS column_index, u.v AS cnt, u.k AS spalte_key, u.a AS adresse, u.g AS gruppe FROM num,
+  LATERAL (VALUES (0, l_quantity, 'A_1_1', '1.1', 'Mengen'), (1, l_extendedprice, 'A_1_2', '1.2', 'Geld'), (2, l_discount, 'A_2_1', '2.1', 'Sätze'), (3, l_tax, 'A_2_2', '2.2', 'Sätze')) u(i, v, k, a, g)),
+d AS (SELECT o_orderkey AS doc_id, coalesce(nullif(c_mktsegment, ''), c_name) AS projekt, n_name AS anlage, o_orderpriority AS gewerk, o_orderstatus AS fassung, o_orderstatus AS profil
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT r.doc_id, r.row_seq, d.projekt, d.anlage, d.gewerk, d.fassung, d.profil, coalesce(nullif(r.focus, ''), 'ohne Zuordnung') AS schwerpunkt, r.page_index + 1 AS seite, r.datenpunkt,
+  c.spalte_key, c.adresse, c.gruppe, coalesce(c.cnt, 0) AS wert FROM c JOIN r USING (doc_id, row_seq) JOIN d USING (doc_id) WHERE r.kind = 'daten'),
+v AS (SELECT doc_id, row_seq, CAST(sum(CAST(cnt AS DECIMAL(18,2))) AS DOUBLE) AS value FROM c GROUP BY ALL)
+"""
+TOTAL = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+MENGE = TOTAL.format("wert")
+
+
+@query(MODEL + "SELECT * FROM f")
+def raw_cells(s, d):
+    return raw(s, d)
+
+
+SUMMARY = f"SELECT profil, adresse, spalte_key, gruppe, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, count(datenpunkt) AS n_cells FROM f GROUP BY ALL"
+
+
+@query(MODEL + SUMMARY + " ORDER BY profil, adresse")
+def column_summary(s, d):
+    return facts.column_summary(raw(s, d)).orderBy("profil", "adresse")
+
+
+PRICES = """p AS (SELECT u.k AS spalte_key, u.x AS preis FROM (SELECT max(p_retailprice) a, min(p_retailprice) b, round(CAST(avg(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE), 2) c FROM part), LATERAL (VALUES ('A_1_1', a), ('A_1_2', b), ('A_2_1', c)) u(k, x))"""
+
+
+@query(MODEL + f", {PRICES}, m AS ({SUMMARY}) SELECT m.*, coalesce(preis, 0) AS preis, round(menge * coalesce(preis, 0), 2) AS kosten FROM m LEFT JOIN p USING (spalte_key)")
+def column_summary_cost(s, d):
+    return facts.with_cost(facts.column_summary(raw(s, d)), td.prices(s, d))
+
+
+@query(MODEL + f", {PRICES}, q AS (SELECT spalte_key, adresse, gruppe, {MENGE} AS menge FROM f GROUP BY ALL) SELECT spalte_key, adresse, gruppe, coalesce(preis, 0) AS preis, menge FROM q LEFT JOIN p USING (spalte_key)")
+def price_template(s, d):
+    summary = raw(s, d).groupBy("spalte_key").agg(facts.exact(F.col("wert")).alias("menge"))
+    return facts.price_template(td.columns(s), td.prices(s, d), summary)
+
+
+@query(MODEL + f"SELECT fassung, gruppe, {MENGE} AS menge FROM f GROUP BY ALL")
+def group_summary(s, d):
+    return facts.group_summary(raw(s, d))
+
+
+@query(MODEL + f"SELECT anlage, {MENGE} AS menge, count(DISTINCT (doc_id, row_seq)) AS n_rows, count(DISTINCT doc_id) AS dokumente FROM f GROUP BY ALL ORDER BY menge DESC, anlage")
+def by_dimension(s, d):
+    return facts.by_dimension(raw(s, d), "anlage").orderBy(F.desc("menge"), "anlage")
+
+
+@query(MODEL + f"SELECT schwerpunkt, count(DISTINCT (doc_id, row_seq)) AS n_rows, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, string_agg(DISTINCT anlage, ', ' ORDER BY anlage) AS anlagen, CASE WHEN schwerpunkt[1:3] IN ('ASP', 'ISP') THEN schwerpunkt[1:3] ELSE '' END AS art FROM f GROUP BY schwerpunkt")
+def focus_summary(s, d):
+    return facts.focus_summary(raw(s, d))
+
+
+def _each(values_: list[str], col: str) -> str:
+    return ", ".join(f"coalesce({TOTAL.format(f'CASE WHEN {col} = {chr(39)}{v}{chr(39)} THEN wert END')}, 0) AS \"{v}\"" for v in values_)
+
+
+@query(MODEL + f"SELECT CASE WHEN GROUPING(projekt) = 1 THEN 'Gesamt' ELSE projekt END AS projekt, CASE WHEN GROUPING(anlage) = 1 THEN 'Gesamt' ELSE anlage END AS anlage, {_each(['Geld', 'Mengen', 'Sätze'], 'gruppe')}, {MENGE} AS \"Gesamt\" FROM f GROUP BY GROUPING SETS ((projekt, anlage), ())")
+def pivot_margins(s, d):
+    return facts.pivot_margins(raw(s, d), ["projekt", "anlage"], "gruppe", ["Geld", "Mengen", "Sätze"])
+
+
+@query(MODEL + f", m AS (SELECT doc_id, {_each(td.KEYS, 'spalte_key')}, count(DISTINCT row_seq) AS n_rows FROM f GROUP BY doc_id) SELECT d.doc_id, {', '.join(f'coalesce({k}, 0) AS {chr(34)}{k}{chr(34)}' for k in td.KEYS)}, coalesce(n_rows, 0) AS n_rows FROM d LEFT JOIN m USING (doc_id)")
+def document_matrix(s, d):
+    return facts.matrix(raw(s, d), ["doc_id"], td.KEYS, td.documents(s, d).select("doc_id"))
+
+
+@query(MODEL + f"SELECT doc_id, schwerpunkt, {_each(td.KEYS, 'spalte_key')}, count(DISTINCT row_seq) AS n_rows FROM f GROUP BY doc_id, schwerpunkt")
+def focus_matrix(s, d):
+    return facts.matrix(raw(s, d), ["doc_id", "schwerpunkt"], td.KEYS)
+
+
+@query(MODEL + "SELECT r.doc_id, r.row_seq, r.page_index, r.kind, r.focus, r.datenpunkt, " + ", ".join(f"max(CASE WHEN spalte_key = '{k}' THEN cnt END) AS \"{k}\"" for k in td.KEYS) + " FROM r JOIN c USING (doc_id, row_seq) WHERE r.kind = 'daten' GROUP BY ALL")
+def layout_wide(s, d):
+    return facts.layout(td.rows(s, d), td.cells(s, d), td.columns(s), td.KEYS)
+
+
+@query(MODEL + f"""SELECT d.doc_id, o.c_mktsegment AS projekt, d.anlage, coalesce(seiten, 0) AS seiten, coalesce(n_countable, 0) AS n_countable, coalesce(menge, 0) AS menge, coalesce(ausgeschlossen, '') AS ausgeschlossen, coalesce(schwerpunkte, '') AS schwerpunkte
+FROM d JOIN (SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey) o ON o.o_orderkey = d.doc_id
+LEFT JOIN (SELECT doc_id, count(DISTINCT page_index) AS seiten, count(*) FILTER (kind = 'daten' AND value IS NOT NULL) AS n_countable, coalesce({TOTAL.format("CASE WHEN kind = 'daten' THEN value END")}, 0) AS menge FROM r LEFT JOIN v USING (doc_id, row_seq) GROUP BY doc_id) a USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(kind || ': ' || n, ', ' ORDER BY kind || ': ' || n) AS ausgeschlossen FROM (SELECT doc_id, kind, count(*) AS n FROM r WHERE kind <> 'daten' GROUP BY ALL) GROUP BY doc_id) b USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(focus, ', ' ORDER BY s) AS schwerpunkte FROM (SELECT doc_id, focus, min(row_seq) AS s FROM r WHERE focus <> '' GROUP BY ALL) GROUP BY doc_id) e USING (doc_id)""")
+def document_overview(s, d):
+    return facts.overview(td.documents(s, d), td.rows(s, d), values(s, d))
+
+
+@query(MODEL + f"SELECT doc_id, focus, n_rows, menge, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN focus = 'ohne Zuordnung' THEN 1 ELSE 0 END, s) AS place FROM (SELECT doc_id, coalesce(nullif(focus, ''), 'ohne Zuordnung') AS focus, count(*) AS n_rows, {TOTAL.format('value')} AS menge, min(row_seq) AS s FROM r JOIN v USING (doc_id, row_seq) WHERE kind = 'daten' GROUP BY ALL)")
+def focus_split(s, d):
+    return facts.focus_split(td.rows(s, d), values(s, d))
+
+
+@query(MODEL + f"SELECT count(DISTINCT doc_id) AS dokumente, count(DISTINCT (doc_id, row_seq)) AS n_rows, {MENGE} AS menge, count(DISTINCT CASE WHEN schwerpunkt <> 'ohne Zuordnung' THEN schwerpunkt END) AS schwerpunkte, count(DISTINCT spalte_key) AS spalten FROM f")
+def kpi_row(s, d):
+    return facts.kpis(raw(s, d))
+
+
+SUMS = f"""s AS (SELECT r.doc_id, {{page}} AS page_index, column_index, {TOTAL.format("CASE WHEN kind = 'daten' THEN cnt END")} AS own, {TOTAL.format("CASE WHEN kind = 'uebertrag' THEN cnt END")} AS carry, {TOTAL.format("CASE WHEN kind = 'summe' THEN cnt END")} AS reported
+FROM c JOIN r USING (doc_id, row_seq) WHERE cnt IS NOT NULL GROUP BY ALL)"""
+PAGE = MODEL + ", " + SUMS.format(page="page_index") + ", g AS (SELECT *, bool_or(own IS NOT NULL) OVER w AS has_own, bool_or(reported IS NOT NULL) OVER w AS has_reported FROM s WINDOW w AS (PARTITION BY doc_id, page_index)), bad AS (SELECT doc_id, page_index, column_index, 'abweichung' AS art, reported, coalesce(own, 0) AS own FROM g WHERE has_own AND reported IS NOT NULL AND abs(reported - coalesce(own, 0)) >= 1e-6) "
+
+
+@query(PAGE + "SELECT doc_id, page_index, column_index, reported, round(coalesce(own, 0) + coalesce(carry, 0), 2) AS computed, reported IS NULL OR abs(reported - round(coalesce(own, 0) + coalesce(carry, 0), 2)) < 1e-6 AS matches FROM g WHERE has_own AND has_reported")
+def sum_check_page(s, d):
+    return reconcile.page_checks(td.rows(s, d), td.cells(s, d))
+
+
+@query(PAGE + "SELECT * FROM bad")
+def sum_check_findings(s, d):
+    return reconcile.page_findings(td.rows(s, d), td.cells(s, d))
+
+
+@query(PAGE + "SELECT doc_id, page_index, row_seq, kind, 'ausgeschlossen' AS art, value FROM r JOIN v USING (doc_id, row_seq) WHERE kind NOT IN ('daten', 'leer') AND NOT (kind = 'summe' AND (doc_id, page_index) IN (SELECT (doc_id, page_index) FROM g WHERE has_own AND has_reported) AND (doc_id, page_index) NOT IN (SELECT (doc_id, page_index) FROM bad))")
+def excluded_rows(s, d):
+    return reconcile.excluded_findings(td.rows(s, d), td.cells(s, d))
+
+
+@query(MODEL + ", " + SUMS.format(page="0") + " SELECT doc_id, column_index, coalesce(own, 0) AS own, reported, CASE WHEN reported IS NULL THEN 'nicht in der Liste ausgewiesen' WHEN abs(reported - coalesce(own, 0)) < 1e-6 THEN 'stimmt überein' ELSE 'ABWEICHUNG' END AS verdict FROM s WHERE own IS NOT NULL OR reported IS NOT NULL")
+def audit_report(s, d):
+    return reconcile.audit(td.rows(s, d), td.cells(s, d))
+
+
+@query("""SELECT doc_id, n, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(n, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'ae'), 'Ö', 'oe'), 'Ü', 'ue'))), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM (SELECT doc_id, text[1:80] AS n FROM documents)""")
+def normalize_text(s, d):
+    return td.table(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("n")).withColumn("norm", tx.normalize(F.col("n")))
+
+
+# Labels of rows with the kinds that the rules give them.
+LABELS = [("Summe Funktionen", False), ("Übertrag von Blatt 1", True), ("Zwischensumme", True), ("Planersteller", True), ("22941 Bargteheide", False), ("Benennung", False), ("Pumpe", True), ("", True), ("", False), ("Vorlauftemperatur", True)]
+
+
+@query("SELECT * FROM (VALUES (1, 'Summe Funktionen', 'summe'), (2, 'Übertrag von Blatt 1', 'uebertrag'), (3, 'Zwischensumme', 'summe'), (4, 'Planersteller', 'fussbereich'), (5, '22941 Bargteheide', 'fussbereich'), (6, 'Benennung', 'kopf'), (7, 'Pumpe', 'daten'), (8, '', 'daten'), (9, '', 'leer'), (10, 'Vorlauftemperatur', 'daten')) t(n, label, kind)")
+def row_kind_labels(s, d):
+    df = s.createDataFrame([(i, *x) for i, x in enumerate(LABELS, 1)], "n int, label string, full boolean")
+    return df.select("n", "label", rules.row_kind(F.col("label"), F.col("full")).alias("kind"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(trim(text, ' ')) < 30 THEN 'unbekannt' WHEN regexp_matches(x, 'regelschema|prinzipschaltbild|anlagenschema|strangschema|funktionsschema|schaltplan|r i|rls schema') THEN 'regelschema' WHEN regexp_matches(x, 'summe funktionen|funktionsliste|datenpunktliste|verarbeitungsfunktionen|anwendungsfunktionen') THEN 'funktionsliste' ELSE 'sonstiges' END AS kind
+FROM (SELECT doc_id, text, regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'ae'), 'Ö', 'oe'), 'Ü', 'ue'))), '[^a-z0-9]+', ' ', 'g') AS x FROM documents)""")
+def page_classification(s, d):
+    return td.table(s, d, "documents").select("doc_id", rules.page_kind(F.col("text"), F.lit(0), F.lit(0))["kind"].alias("kind"))
+
+
+@query("SELECT * FROM (VALUES ('16', 16.0), ('x', 1.0), ('2,5', 2.5), ('', NULL), ('Darstellungsvariante 1 = Anzahl', NULL), (' 3 ', 3.0)) t(cell, value)")
+def parse_count(s, d):
+    df = s.createDataFrame([("16",), ("x",), ("2,5",), ("",), ("Darstellungsvariante 1 = Anzahl",), (" 3 ",)], "cell string")
+    return df.withColumn("value", tx.parse_count(F.col("cell")))
+
+
+@query("SELECT * FROM (VALUES ('2.2.', '2.2', '2.2.3'), ('1.0', '1.0', '1.0.3'), ('abc', '', '3'), ('1.1.', '1.1', '1.1.3'), ('0.', '0', '0.3'), ('02,5', '2.5', '2.5.3')) t(section, address, joined)")
+def address_normalize(s, d):
+    df = s.createDataFrame([("2.2.",), ("1.0",), ("abc",), ("1.1.",), ("0.",), ("02,5",)], "section string")
+    return df.select("section", tx.normalize_address(F.col("section")).alias("address"), tx.join_address(F.col("section"), F.lit("3")).alias("joined"))
+
+
+@query("SELECT * FROM (VALUES ('Stellausgabe 2-Punkt 6)', '6'), ('Komplexer Objekttyp 8) 9)', '8,9'), ('Motorsteuerung', ''), ('Zähler ²', '2')) t(label, markers)")
+def footnote_markers(s, d):
+    df = s.createDataFrame([("Stellausgabe 2-Punkt 6)",), ("Komplexer Objekttyp 8) 9)",), ("Motorsteuerung",), ("Zähler ²",)], "label string")
+    return df.withColumn("markers", F.array_join(tx.footnote_markers(F.col("label")), ","))
+
+
+@query("SELECT * FROM (VALUES ('ASP01 Heizungstechnik 2.UG', 'ASP01', 'Heizungstechnik 2.UG'), ('Informationsschwerpunkt: ISP04', 'ISP04', ''), ('Anlage: Lüftung ASP3', 'ASP03', 'Lüftung'), ('*ASP05*H01*PU', 'ASP05', 'H01*PU'), ('Rasp01 Pumpe', NULL, NULL), ('asp Nr. 7 - Kälte', 'ASP07', 'Kälte'), ('Pumpe', NULL, NULL)) t(label, code, name)")
+def focus_parse(s, d):
+    df = s.createDataFrame([("ASP01 Heizungstechnik 2.UG",), ("Informationsschwerpunkt: ISP04",), ("Anlage: Lüftung ASP3",), ("*ASP05*H01*PU",), ("Rasp01 Pumpe",), ("asp Nr. 7 - Kälte",), ("Pumpe",)], "label string")
+    p = tx.parse_focus(F.col("label"))
+    return df.select("label", p["code"].alias("code"), p["label"].alias("name"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' OR turn % 3 = 0 THEN 'F' || (turn % 7) END AS own, turn % 5 = 4 AS reset FROM conversations),
+e AS (SELECT *, CASE WHEN reset THEN '-' ELSE own END AS ev FROM t)
+SELECT conv_id, turn, coalesce(nullif(last_value(ev IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '-'), '') AS focus FROM e"""
+)
+def focus_carry_forward(s, d):
+    """Turns name a focus, every fifth one resets it; nothing is a default here, as no page has one code only."""
+    c = td.table(s, d, "conversations")
+    own = F.when((F.col("role") == "system") | (F.col("turn") % 3 == 0), F.concat(F.lit("F"), (F.col("turn") % 7).cast("string")))
+    event = F.when(F.col("turn") % 5 == 4, "-").otherwise(own)
+    held = geometry.forward_fill(c, ["conv_id"], ["turn"], event, "held")
+    return held.select("conv_id", "turn", F.coalesce(F.nullif("held", F.lit("-")), F.lit("")).alias("focus"))
+
+
+@query(MODEL + ", k AS (SELECT doc_id, row_seq, CASE WHEN kind = 'summe' THEN 'fussbereich' WHEN kind = 'uebertrag' THEN 'leer' ELSE 'daten' END AS kind FROM r), a AS (SELECT *, max(CASE WHEN kind = 'fussbereich' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_seq ROWS UNBOUNDED PRECEDING) AS stop FROM k), b AS (SELECT *, max(CASE WHEN kind <> 'leer' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_seq DESC ROWS UNBOUNDED PRECEDING) AS full_ FROM a WHERE stop = 0) SELECT doc_id, row_seq, kind FROM b WHERE full_ = 1")
+def footer_cut(s, d):
+    kind = F.when(F.col("kind") == "summe", "fussbereich").when(F.col("kind") == "uebertrag", "leer").otherwise("daten")
+    return rules.cut_after_footer(td.rows(s, d).select("doc_id", "row_seq", kind.alias("kind")), ["doc_id"], "row_seq")
+
+
+@query("SELECT user_id, event_id, sum(n) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 3600 THEN 1 ELSE 0 END AS n FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events))")
+def gap_clusters(s, d):
+    e = td.table(s, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    return geometry.gap_clusters(e, ["user_id"], "t", 3600, "event_id").select("user_id", "event_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events")
+def forward_fill(s, d):
+    e = td.table(s, d, "events")
+    return geometry.forward_fill(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
+
+
+@query("WITH n AS (SELECT l_suppkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem), b AS (SELECT k, i, sum(CASE WHEN n = 1 OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS b FROM n) SELECT k AS l_suppkey, string_agg(CAST(n AS VARCHAR), '-' ORDER BY b) AS sizes FROM (SELECT k, b, count(*) AS n FROM b GROUP BY ALL) GROUP BY k")
+def block_fingerprint(s, d):
+    li = td.table(s, d, "lineitem")
+    return geometry.block_sizes(geometry.blocks(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_linenumber"), ["l_suppkey"])
+
+
+EVENTS = "WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'), b AS (SELECT user_id, event_id AS error_id, epoch_us(ts) AS u FROM events WHERE event_type = 'error') "
+
+
+def _sides(s, d):
+    e = td.table(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    error = F.col("event_type") == "error"
+    return e.where(~error).select("user_id", "event_id", "t"), e.where(error).select("user_id", F.col("event_id").alias("error_id"), F.col("t").alias("u"))
+
+
+@query(EVENTS + "SELECT event_id, arg_min(error_id, (abs(t - u), u)) AS error_id FROM a LEFT JOIN b USING (user_id) GROUP BY event_id")
+def nearest_section(s, d):
+    a, b = _sides(s, d)
+    return geometry.nearest(a, b, ["user_id"], "t", "u", "error_id").select("event_id", "error_id")
+
+
+@query(EVENTS + "SELECT event_id, error_id FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.t >= b.u")
+def asof_section(s, d):
+    a, b = _sides(s, d)
+    return geometry.asof(a, b, ["user_id"], "t", "u", "error_id").select("event_id", "error_id")
+
+
+@query(EVENTS + "SELECT event_id, error_id FROM a JOIN b USING (user_id) WHERE abs(t - u) <= 3600000000")
+def band_join(s, d):
+    a, b = _sides(s, d)
+    return geometry.band_join(a, b, ["user_id"], "t", "u", 3_600_000_000).select("event_id", "error_id")
+
+
+BOXES = "WITH p AS (SELECT p_partkey AS id, p_brand AS page, p_size * 10.0 AS x0, p_size * 10.0 + p_retailprice % 17 + 1 AS x1, (p_partkey % 40) * 5.0 AS y0, (p_partkey % 40) * 5.0 + 6 AS y1 FROM part) "
+
+
+@query(BOXES + "SELECT id FROM p a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.id % 2 = 1 AND a.page = b.page AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))")
+def overlap_anti(s, d):
+    k = F.col("p_partkey")
+    p = td.table(s, d, "part").select(k.alias("id"), F.col("p_brand").alias("page"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_size") * 10.0 + F.col("p_retailprice") % 17 + 1).alias("x1"), ((k % 40) * 5.0).alias("y0"), ((k % 40) * 5.0 + 6).alias("y1"))
+    return geometry.without_overlaps(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["page"]).select("id")
+
+
+@query("SELECT l_suppkey, arg_max(q, (n, q)) AS mode, any_value(m) AS upper_median FROM (SELECT l_suppkey, l_quantity AS q, count(*) AS n FROM lineitem GROUP BY ALL) JOIN (SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS m FROM lineitem GROUP BY ALL) USING (l_suppkey) GROUP BY l_suppkey")
+def mode_upper_median(s, d):
+    li = td.table(s, d, "lineitem")
+    median = li.groupBy("l_suppkey").agg(geometry.upper_median(F.collect_list("l_quantity")).alias("upper_median"))
+    return geometry.mode_largest(li, ["l_suppkey"], "l_quantity").join(median, "l_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n = 1")
+def dedup_richest(s, d):
+    li = td.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")
+    return store.richest(li, ["l_orderkey", "l_linenumber"], "l_quantity", ["l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+@query("SELECT user_id, arg_min(event_type, (ts, event_id)) FILTER (event_type <> 'click') AS event_type, arg_min(props, (ts, event_id)) FILTER (props <> '') AS props FROM events GROUP BY user_id")
+def first_nonempty_merge(s, d):
+    e = td.table(s, d, "events").withColumn("event_type", F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")))
+    return store.first_present(e, ["user_id"], ["ts", "event_id"], ["event_type", "props"])
+
+
+@query(MODEL + "SELECT doc_id, row_seq, kind FROM r WHERE (doc_id, row_seq) NOT IN (SELECT (doc_id, row_seq) FROM (SELECT doc_id, row_seq, row_number() OVER (PARTITION BY doc_id ORDER BY row_seq) - 1 AS n FROM r WHERE kind = 'daten') WHERE n IN (0, 2, 999))")
+def delete_by_position(s, d):
+    return rules.remove_positions(td.rows(s, d).select("doc_id", "row_seq", "kind"), [0, 2, 999, -1], ["doc_id"], "row_seq")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0")
+def upsert_by_hash(s, d):
+    o = td.table(s, d, "orders").select("o_orderkey", "o_totalprice")
+    new = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return store.upsert(o, new, "o_orderkey")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_answers(s, d):
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return td.table(s, d, "events").select("event_id", files.tolerant_json(fenced, "k bigint")["k"].alias("k"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 1.0 WHEN p_name LIKE '%ring%' THEN 0.85 + 0.1 * (4.0 / length(p_name)) END AS score FROM part WHERE p_name LIKE '%ring%'")
+def similarity_tiers(s, d):
+    p = td.table(s, d, "part").where(F.col("p_name").contains("ring"))
+    score = F.when(F.col("p_name") == "small ring", binding.tiered(F.col("p_name"), F.lit("Small  Ring"))).otherwise(binding.tiered(F.col("p_name"), F.lit("Ring")))
+    return p.select("p_partkey", score.alias("score"))
+
+
+@query()
+def similarity_match(s, d):
+    """Part names bound to type names one to one, within each brand."""
+    p = td.table(s, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    words = s.createDataFrame([("Small Ring",), ("Large Bolt",), ("Ring",), ("Bolts",)], "alias string")
+    pairs = p.crossJoin(F.broadcast(words)).withColumn("score", binding.similarity(F.col("p_name"), F.col("alias")))  # four fixed words
+    return binding.greedy(pairs, ["p_brand"], "p_name", "alias", "score", "p_brand string, p_name string, p_partkey long, alias string, score double", 0.5)
+
+
+@query()
+def unlabelled_sum_rows(s, d):
+    """Rows without a label on pages of 40 events a user; every row has values in one column or two."""
+    e = td.table(s, d, "events").withColumn("row_seq", F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))).withColumn("page_index", F.floor(F.col("row_seq") / 40))
+    v = F.map_from_arrays(F.array(F.lit(0), F.lit(1)), F.array(F.rint("value"), F.lit(1.0)))
+    rows = e.select("user_id", "page_index", F.col("row_seq").cast("int").alias("row_seq"), F.lit("daten").alias("kind"), F.when(F.col("row_seq") % 9 == 0, "").otherwise(F.col("event_type")).alias("label"), v.alias("values"))
+    return rules.mark_unlabelled_sums(rows, ["user_id", "page_index"]).select("user_id", "page_index", "row_seq", "kind", "reason")
+
+
+@query()
+def focus_assignment(s, d):
+    """Conversations as documents of pages of ten turns, whose first words name foci."""
+    c = td.table(s, d, "conversations")
+    label = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ASP0"), (F.col("conv_id") % 5).cast("string"))).otherwise(F.substring("text", 1, 20))
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 10).alias("page_index"), F.col("turn").alias("row_seq"), F.lit("daten").alias("kind"), label.alias("label"), (F.col("turn") % 4 == 3).alias("has_values"))
+    return focus.assign(rows.withColumn("own", focus.own_focus(F.col("label")))).select("doc_id", "row_seq", "focus", "focus_label")
+
+
+@query("SELECT user_id, count(*) AS n_sessions FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new_ FROM events) WHERE new_ = 1 GROUP BY user_id")
+def session_windows(s, d):
+    from .streaming.ingest import sessions
+
+    e = td.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, "30 minutes").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"))
