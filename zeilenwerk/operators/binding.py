@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize
 
@@ -19,7 +20,7 @@ def tiered(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((x.contains(y) | y.contains(x)) & (less >= 4), 0.85 + 0.1 * (less / more))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks by length (Ratcliff and Obershelp); no built-in function has it."""
     from difflib import SequenceMatcher
