@@ -102,8 +102,11 @@ def shard_counts(taken_slots: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shards: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(documents with size, source_size, target and taken; slots)."""
-    rows = docs if "at" in docs.columns else stream(docs, text).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "stream")
+    return mixed(written(stream(docs, text).withColumn("row", F.monotonically_increasing_id()), "stream"), block, shards)
+
+
+def mixed(rows: DataFrame, block: int = BLOCK, shards: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The same for rows of `stream` (row, doc_id, source, size, at), a written table."""
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     taken_slots = slots(goals, block, shards)
     # copies of a block, and of the one that is cut what is left of it
@@ -128,9 +131,10 @@ def taken(docs: DataFrame, text: str = "text") -> DataFrame:
 def resampled(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, each row as often as the mix takes it: taken by size, rounded, 1 at least if any word is taken. Rows of
     which nothing is taken go."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    placed = stream(rows, text, ("doc_id", "source", "row"))
-    times, _ = mix(placed, text)
-    times = times.where("taken > 0").select("row", F.greatest(F.round(F.col("taken") / F.col("size")).cast("int"), F.lit(1)).alias("__times"))
-    out = rows.join(written(times, "times"), "row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    placed = written(stream(rows, text, ("doc_id", "source", "__row")).withColumnRenamed("__row", "row"), "stream")
+    times, _ = mixed(placed)
+    copies = F.greatest(F.round(F.col("taken") / F.col("size")).cast("int"), F.lit(1))
+    times = times.where("taken > 0").select(F.col("row").alias("__row"), copies.alias("__times"))
+    out = rows.join(written(times, "times"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*docs.columns)

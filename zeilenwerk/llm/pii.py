@@ -180,9 +180,9 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     longest. Spans and text come from one row, so nothing is matched by id."""
     rows = docs.withColumn("__id", F.monotonically_increasing_id())
     found = find(docs.withColumn("__id", F.monotonically_increasing_id()), text, ("__id",))
-    found = written(found.where(F.size("spans") > 0).select("__id", "spans"), "spans")
+    found = written(found.where(F.size("spans") > 0).select("__id", F.col("spans").alias("__spans")), "spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "context")])
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     # a span with the place where what is kept before it begins; overlapped ones give nothing
     def step(at, x):
         part = F.concat(F.substring(F.col(text), at + 1, x["start"] - at), F.element_at(names, x["kind"] + 1))
@@ -192,5 +192,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = running(ordered, "string", step)
     tail = F.aggregate(ordered, F.lit(0), lambda at, x: F.greatest(at, -x["end"]))
     clean = F.concat(F.array_join(parts, ""), F.substring(F.col(text), tail + 1, F.length(text)))
-    out = rows.join(found, "__id", "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean))
+    out = rows.join(found, "__id", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
     return out.select(*docs.columns)
