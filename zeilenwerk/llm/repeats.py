@@ -170,6 +170,10 @@ def _tree(batches):
         for k, v in zip(out, x, strict=True):
             out[k].append(v)
 
+    def whole(x):
+        # integers beside nulls stay integers: hashes don't fit into floats
+        return pd.DataFrame({k: pd.array(v, dtype="Int64") if k in ("lo", "hi", "h") else pd.Series(v, dtype=object if k in ("right", "left") else None) for k, v in x.items()})
+
     right_all, left_all = rows["right"].to_numpy(), rows["left"].to_numpy()
     rid, pos, more = rows["rid"].to_numpy(), rows["pos"].to_numpy(), rows["more"].to_numpy()
     bounds = [0, *cut.tolist(), len(h)]
@@ -187,9 +191,9 @@ def _tree(batches):
             if border:
                 put(rid[x], pos[x], None, None, True, h[x], rights[i], lefts[i])
         if len(out["rid"]) > 5000:
-            yield pd.DataFrame(out).astype({"lo": "Int64", "hi": "Int64", "h": "Int64"})
+            yield whole(out)
             out.update({k: [] for k in out})
-    yield pd.DataFrame(out).astype({"lo": "Int64", "hi": "Int64", "h": "Int64"})
+    yield whole(out)
 
 
 def _near(p: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame:
