@@ -186,10 +186,11 @@ def _tree(batches):
             if len(own := _bytes(more[x])):
                 for p in [pos[x], *np.frombuffer(own, "<i8").tolist()]:
                     put(rid[x], p, p - len(lefts[i]), p + len(rights[i]), False, None, None, None)
-            elif left[i] >= 0:
+            elif left[i] >= 0 and not border:
                 put(rid[x], pos[x], pos[x] - left[i], pos[x] + right[i], False, None, None, None)
             if border:
-                put(rid[x], pos[x], None, None, True, h[x], rights[i], lefts[i])
+                some = left[i] >= 0
+                put(rid[x], pos[x], pos[x] - left[i] if some else None, pos[x] + right[i] if some else None, True, h[x], rights[i], lefts[i])
         if len(out["rid"]) > 5000:
             yield whole(out)
             out.update({k: [] for k in out})
@@ -231,9 +232,12 @@ def _windows(batches):
 def cut_groups(cut: DataFrame, parts: int) -> DataFrame:
     """rid, lo, hi of the occurrences of anchors that a border cuts."""
     near = "rid long, pos long, l long, r long, ql long, qr long"
-    one = sorted_scan(cut, ["h", "left", "right", "rid", "pos"], REACH, _near, near, parts, "by_left")
-    two = sorted_scan(cut, ["h", "right", "left", "rid", "pos"], REACH, _near, near, parts, "by_right")
-    both = one.unionByName(two).groupBy("rid", "pos").agg(*[F.max(c).alias(c) for c in ("l", "r", "ql", "qr")])
+    rows = cut.select("h", "rid", "pos", "right", "left")
+    one = sorted_scan(rows, ["h", "left", "right", "rid", "pos"], REACH, _near, near, parts, "by_left")
+    two = sorted_scan(rows, ["h", "right", "left", "rid", "pos"], REACH, _near, near, parts, "by_right")
+    # what their own range has shown already
+    own = cut.select("rid", "pos", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"), F.coalesce(F.col("pos") - F.col("lo"), F.lit(-1)).alias("ql"), F.coalesce(F.col("hi") - F.col("pos"), F.lit(-1)).alias("qr"))
+    both = one.unionByName(two).unionByName(own).groupBy("rid", "pos").agg(*[F.max(c).alias(c) for c in ("l", "r", "ql", "qr")])
     low, high = F.greatest(F.lit(0), MIN_BYTES - F.col("r")), F.least(F.col("l"), F.lit(BEFORE))
     both = both.withColumn("low", low).withColumn("high", high).where("low <= high")
     done = (F.col("ql") >= 0) & (F.least("ql", F.lit(BEFORE)) == F.col("high")) & (F.greatest(F.lit(0), MIN_BYTES - F.col("qr")) == F.col("low"))
@@ -242,10 +246,10 @@ def cut_groups(cut: DataFrame, parts: int) -> DataFrame:
     if both.where("not done").isEmpty():
         return found
     # every occurrence of an anchor with an open case gives its windows between its bounds
-    every = cut.join(both.select("rid", "pos", "low", "high", "done"), ["rid", "pos"])
+    every = rows.join(both.select("rid", "pos", "low", "high", "done"), ["rid", "pos"])
     every = written(every.select("h", "rid", "pos", "right", "left", F.col("low").alias("lo"), F.col("high").alias("hi"), "done"), "cut_open")
     open_h = every.where("not done").select("h").distinct()
-    w = every.join(open_h, "h", "left_semi").drop("done").mapInPandas(_windows, "h long, rid long, pos long, a long, w binary")
+    w = every.join(open_h, "h", "left_semi").drop("done").repartition(F.col("rid"), F.col("pos")).mapInPandas(_windows, "h long, rid long, pos long, a long, w binary")
     w = written(w, "windows")
     twice = w.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wide = w.join(written(twice, "twice").select("h", "w"), ["h", "w"], "left_semi").groupBy("rid", "pos").agg(F.max("a").alias("most"), F.min("a").alias("least"))
@@ -265,6 +269,8 @@ def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """keep, n_bytes, n_removed, n_spans, kept (the remaining bytes' hash)."""
     spark = docs.sparkSession
     small_batches(spark)
+    # the keys are long, and a sample of them goes to the driver
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "20")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, body.alias("__text")).withColumn("rid", F.monotonically_increasing_id())
 
@@ -301,7 +307,7 @@ def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     order = ["h", "right", "left", "rid", "pos"]
     ranged = array.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     tree = written(ranged.mapInPandas(_tree, "rid long, pos long, lo long, hi long, cut boolean, h long, right binary, left binary"), "tree")
-    spans = tree.where("not cut").select("rid", "lo", "hi").unionByName(cut_groups(tree.where("cut").select("h", "rid", "pos", "right", "left"), parts))
+    spans = tree.where("not cut").select("rid", "lo", "hi").unionByName(cut_groups(tree.where("cut").select("h", "rid", "pos", "right", "left", "lo", "hi"), parts))
     spans = written(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
     def cut_out(batches):
