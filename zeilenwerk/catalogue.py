@@ -169,10 +169,10 @@ def normalize_text(s, d):
 
 
 # Labels of rows with the kinds that the rules give them.
-LABELS = [("Summe Funktionen", False), ("Übertrag von Blatt 1", True), ("Zwischensumme", True), ("Planersteller", True), ("22941 Bargteheide", False), ("Benennung", False), ("Pumpe", True), ("", True), ("", False), ("Vorlauftemperatur", True)]
+LABELS = [("Summe Funktionen", False), ("Übertrag von Blatt 1", True), ("Zwischensumme", True), ("Planersteller", True), ("12345 Musterstadt", False), ("Benennung", False), ("Pumpe", True), ("", True), ("", False), ("Vorlauftemperatur", True)]
 
 
-@query("SELECT * FROM (VALUES (1, 'Summe Funktionen', 'summe'), (2, 'Übertrag von Blatt 1', 'uebertrag'), (3, 'Zwischensumme', 'summe'), (4, 'Planersteller', 'fussbereich'), (5, '22941 Bargteheide', 'fussbereich'), (6, 'Benennung', 'kopf'), (7, 'Pumpe', 'daten'), (8, '', 'daten'), (9, '', 'leer'), (10, 'Vorlauftemperatur', 'daten')) t(n, label, kind)")
+@query("SELECT * FROM (VALUES (1, 'Summe Funktionen', 'summe'), (2, 'Übertrag von Blatt 1', 'uebertrag'), (3, 'Zwischensumme', 'summe'), (4, 'Planersteller', 'fussbereich'), (5, '12345 Musterstadt', 'fussbereich'), (6, 'Benennung', 'kopf'), (7, 'Pumpe', 'daten'), (8, '', 'daten'), (9, '', 'leer'), (10, 'Vorlauftemperatur', 'daten')) t(n, label, kind)")
 def row_kind_labels(s, d):
     df = s.createDataFrame([(i, *x) for i, x in enumerate(LABELS, 1)], "n int, label string, full boolean")
     return df.select("n", "label", rules.row_kind(F.col("label"), F.col("full")).alias("kind"))
