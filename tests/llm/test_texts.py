@@ -148,3 +148,16 @@ def test_pii_contexts(spark):
     assert got[0] == "email:13:37" and got[7] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
     assert clean[0] == "please reach [EMAIL] today again" and clean[7] == texts[7]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    at, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    got = [tuple(r.asDict().values()) for r in queries.QUERIES[name](spark, at).collect()]
+    columns = queries.QUERIES[name](spark, at).columns
+    want = con.sql(queries.SQL[name]).df()[columns]
+    assert Counter(map(str, got)) == Counter(str(tuple(None if x != x else x for x in r)) for r in want.astype(object).where(want.notna(), None).itertuples(index=False, name=None))

@@ -93,4 +93,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {}
+#: op2 (a self-join over shingles), op6 (all windows) and op7 (all pairs) would be too slow as SQL on whole tables, and
+#: op3, op4, op5, op9 and op10 hold what SQL lacks; tests/llm has brute-force versions of them.
+SQL: dict[str, str] = {
+    "op1_warc": """WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM q WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to, CAST(1 AS BIGINT) AS n_requests
+FROM q LEFT JOIN f USING (d)""",
+    "op8_merkle": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+n AS (SELECT doc_id, x, coalesce(lead(x) OVER w, first_value(x) OVER w) AS y FROM t WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, 1 AS kind, x AS s FROM n UNION ALL SELECT doc_id, 2, substr(x, 1, length(x) - length(x) // 3) || substr(y, 1, length(x) // 3) FROM n UNION ALL SELECT doc_id, 3, y FROM n),
+p AS (SELECT doc_id, kind, s, list_transform(list_filter(string_split_regex(s, '\n[ \t\r]*\n'), lambda a: trim(a, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+  lambda a: list_transform(list_filter(string_split_regex(a, '[\n\r]'), lambda b: trim(b, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+  lambda b: list_transform(list_filter(string_split(regexp_replace(b, '([.!?|,;:])[ \t]+', '\1' || chr(1), 'g'), chr(1)), lambda c: trim(c, chr(9) || chr(10) || chr(13) || ' ') <> ''), lambda c: sha256(trim(c, ' '))[1:8]))) AS tree FROM e),
+g AS (SELECT doc_id, kind, s, list_distinct(flatten(flatten(tree))) AS leaves, array_to_string(list_transform(tree, lambda a: array_to_string(list_transform(a, lambda b: array_to_string(b, ',')), ';')), '/') AS txt FROM p),
+h AS (SELECT doc_id, kind, s, leaves, sha256(sha256(s) || array_to_string(list_transform(string_split(txt, '/'), lambda a: sha256(array_to_string(list_transform(string_split(a, ';'), lambda b: sha256(b)), ''))), '')) AS root, txt FROM g),
+k AS (SELECT a.doc_id, a.s, a.root || ':' || a.txt AS fp, b.s AS es, b.root || ':' || b.txt AS efp, a.root AS ra, b.root AS rb, c.root AS rc, a.leaves AS la, b.leaves AS lb, c.leaves AS lc FROM h a JOIN h b USING (doc_id) JOIN h c USING (doc_id) WHERE a.kind = 1 AND b.kind = 2 AND c.kind = 3)
+SELECT doc_id, CAST(length(s) AS BIGINT) AS n_chars, sha256(es) AS edited_sha256, fp AS fingerprint, efp AS edited_fingerprint,
+CASE WHEN ra = rb THEN 1.0::DOUBLE ELSE least(len(list_intersect(la, lb)) / greatest(len(la) + len(lb) - len(list_intersect(la, lb)), 1)::DOUBLE, 0.999) END AS near_edited,
+CASE WHEN ra = rc THEN 1.0::DOUBLE ELSE least(len(list_intersect(la, lc)) / greatest(len(la) + len(lc) - len(list_intersect(la, lc)), 1)::DOUBLE, 0.999) END AS near_next FROM k""",
+}
