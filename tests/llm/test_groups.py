@@ -87,6 +87,28 @@ def test_dense_group(spark):
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(linked(rows))
 
 
+def test_dense_borders(spark, monkeypatch):
+    """Pairs in a template group most of which is below the threshold, cut into ranges much shorter than the group."""
+    monkeypatch.setattr(neardup, "RANGE_ROWS", 300)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(w, n):
+        w = list(w)
+        for at in r.sample(range(0, 400, 6), n):
+            w[at] = f"v{r.randint(0, 10**9)}"
+        return w
+
+    rows = []
+    for i in range(250):
+        one = edited(base, 8)
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(edited(one, 10)))]
+    want = linked(rows)
+    assert len({c for *_, c in want}) > 200
+    got = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(want)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["v"]: r["label"] for r in components(edges).collect()} == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}

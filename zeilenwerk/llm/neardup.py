@@ -9,9 +9,9 @@ neighbours that are surely alike only consecutive ones are taken.
 
 Candidates are confirmed on full sets. The candidates' graph is cut into clusters, a cluster into chunks of about
 CHUNK vertices, and a pair of chunks is a unit of work that gets each set once, however many pairs it is in. In
-regions of more than REACH rows a true partner may stand further off: there every vertex outside the region's main
-component is compared with all rows of other components up to WIDE apart, sets and all, in WIDE_TREES trees.
-Components are exact over the confirmed links.
+regions of more than REACH rows a true partner may stand further off. Dense regions that share vertices, of whatever
+tree, are a cluster, and in a cluster every vertex outside its main component is compared with all vertices of other
+components, however far off, sketches first and then sets. Components are exact over the confirmed links.
 
 A pair at the threshold agrees in the first two hashes of one tree with probability 0.56, of none of TREES with
 0.4375 ** TREES (7e-8 for 20).
@@ -35,16 +35,18 @@ from .sorted_scan import sorted_scan
 
 SHINGLE, SHARE = 5, 75
 TREES, DEPTH, REACH = 20, 6, 8
-WIDE, WIDE_TREES, CHUNK = 1024, 8, 256
+CHUNK = 256
+#: Rows of a block of a dense cluster, about.
+BLOCK = 2048
 SKETCH = 128
 #: Agreeing lanes of a sketch: from CLOSE on candidates are confirmed (four standard deviations below what the
 #: threshold gives), from SURE on they are taken for alike when neighbours are chosen (3.5 above).
 CLOSE, SURE = 86, 120
-#: For what a dense region's wide search adds to what the narrow one has found: three below.
-NEAR = 91
 #: Rows of a sorted partition, about.
 RANGE_ROWS = 40_000
 
+SKETCHED = [f"s{i}" for i in range(SKETCH * 2 // 64)]
+
 _rng = np.random.default_rng(20_240)
 _A = _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32)
@@ -104,7 +106,7 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def forest(vertices: DataFrame, trees: int = TREES, also: tuple[str, ...] = ()) -> DataFrame:
     """vertices (doc, n, hashes) -> a row for each tree: region, rest (the prefix), doc, n, s0 .. s3 (the sketch)."""
-    sketch = [f"s{i}" for i in range(SKETCH * 2 // 64)]
+    sketch = SKETCHED
 
     def run(batches):
         for b in batches:
@@ -175,28 +177,45 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= SHARE * (len(x) + len(y) - both)
 
 
-def outsiders(p: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame:
-    """Links between rows of a dense region that are outside its main component and those of other components: for
-    each such row one link to each of them."""
-    region, doc, n, label = (p[c].to_numpy() for c in ("region", "doc", "n", "label"))
-    s, full = p[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64), p["set"].to_numpy()
-    out = []
-    for lo, hi in zip(*runs(region), strict=True):
-        if hi - lo < 2:
-            continue
-        values, counts = np.unique(label[lo:hi], return_counts=True)
-        for i in lo + np.flatnonzero(label[lo:hi] != values[counts.argmax()]):
-            k = np.arange(max(lo, i - WIDE), min(hi, i + WIDE + 1))
-            k = k[(label[k] != label[i]) & (100 * np.minimum(n[k], n[i]).astype(np.int64) >= SHARE * np.maximum(n[k], n[i]).astype(np.int64))]
-            if side is not None:
-                k = k[side[k] != side[i]]
-            lanes = lanes_of(s[k], s[i])
-            k, own, met = k[np.argsort(-lanes, kind="stable")][: (lanes >= NEAR).sum()], np.frombuffer(full[i], np.uint64), set()
-            for j in k:
-                if label[j] not in met and alike(own, np.frombuffer(full[j], np.uint64)):
-                    met.add(label[j])
-                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+def outsiders(out: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block of a dense cluster's vertices outside its main component and a block of all its vertices.
+    What links found here join already isn't compared again."""
+    doc, n, label, main, full = (rows[c].to_numpy() for c in ("doc", "n", "label", "main", "set"))
+    s, names = rows[SKETCHED].to_numpy().view(np.uint64), np.unique(np.r_[label, out["label"].to_numpy()])
+    top = np.arange(len(names))  # a label's group
+    group, found = top[np.searchsorted(names, label)], []
+    for d, m, own, mine, t in zip(out["doc"], out["n"], np.searchsorted(names, out["label"]), out["set"], out[SKETCHED].to_numpy().view(np.uint64), strict=True):
+        k = np.flatnonzero((top[group] != top[own]) & ((label == main) | (doc > d)) & (100 * np.minimum(n, m).astype(np.int64) >= SHARE * np.maximum(n, m).astype(np.int64)))
+        lanes = lanes_of(s[k], t)
+        k, mine = k[np.argsort(-lanes, kind="stable")][: (lanes >= CLOSE).sum()], np.frombuffer(mine, np.uint64)
+        for j in k:
+            if top[group[j]] != top[own] and alike(mine, np.frombuffer(full[j], np.uint64)):
+                top[top == top[group[j]]] = top[own]
+                found.append((min(d, doc[j]), max(d, doc[j])))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def dense_links(again: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between components of dense regions' vertices (doc, n, hashes, label). Regions that share a vertex
+    are a cluster; in it all pairs of different components are compared, in units of two blocks of about BLOCK rows."""
+    regions = written(forest(again).select("region", "doc"), "regions")
+    first = regions.groupBy("region").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("k")).where(F.col("k") > REACH)
+    clusters = components(regions.join(first.hint("merge"), "region").select(F.col("doc").alias("a"), "b").distinct())
+    sketched = forest(again.select("doc", "n", "hashes", "label"), 1, ("label",)).select("doc", "n", "label", *SKETCHED)
+    rows = written(sketched.join(clusters.select(F.col("v").alias("doc"), F.col("label").alias("cluster")), "doc"), "clustered")
+    counts = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+    mains = counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), F.max("k").alias("most"))
+    mains = mains.where("rows > most").select("cluster", "main", *[F.ceil(x / BLOCK).cast("int").alias(c) for c, x in (("row_blocks", F.col("rows")), ("out_blocks", F.col("rows") - F.col("most")))])
+    rows = rows.join(written(mains, "mains"), "cluster").join(full_sets(docs, again.select("doc").distinct(), text), "doc")
+    rows = written(rows, "dense")
+
+    def dealt(part: DataFrame, own: str, other: str, unit: tuple[str, str]) -> DataFrame:
+        part = part.withColumn(own, F.pmod(F.xxhash64("doc", F.lit(own)), F.col(own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return part.withColumn("unit", F.xxhash64("cluster", *[F.col(c).cast("long") for c in unit])).drop("cluster", *unit)
+
+    unit = ("out_blocks", "row_blocks")
+    left = dealt(rows.where("label != main"), *unit, unit)
+    return left.groupBy("unit").cogroup(dealt(rows, *unit[::-1], unit).groupBy("unit")).applyInPandas(outsiders, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,12 +272,11 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     cand, dense = found.where("a != b"), found.where("a = b").select(F.col("a").alias("doc"))
     links = written(confirmed(cand, docs, text), "links")
     label = written(components(links), "components")
-    # the dense regions' vertices once more, with their components and sets
+    # the dense regions' vertices once more, with their components
     again = vertices.join(dense, "doc", "left_semi").select("doc", "n", "hashes").join(label.select(F.col("v").alias("doc"), "label"), "doc", "left")
-    again = written(again.withColumn("label", F.coalesce("label", "doc")).join(full_sets(docs, dense, text), "doc"), "dense")
-    if rows_again := again.count() * WIDE_TREES:
-        trees = forest(again, WIDE_TREES, ("label", "set"))
-        more = written(sorted_scan(trees, ORDER, WIDE, outsiders, "a long, b long", parts_of(8 * rows_again, trees), "outsiders", edge=8 * REACH), "links")
+    again = written(again.withColumn("label", F.coalesce("label", "doc")), "again")
+    if not again.isEmpty():
+        more = written(dense_links(again, docs, text), "links")
         if not more.isEmpty():
             label = written(components(links.unionByName(more.distinct())), "components")
     known = vertices.select("k0", "k1", "doc").join(label, F.col("doc") == F.col("v"), "left").select("k0", "k1", F.coalesce("label", "doc").alias("label"))

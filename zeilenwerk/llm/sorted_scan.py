@@ -13,15 +13,13 @@ from pyspark.sql import types as T
 from .shared import written
 
 
-def sorted_scan(df: DataFrame, order: list[str], reach: int, scan: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame], schema: str, parts: int, name: str, edge: int | None = None) -> DataFrame:
+def sorted_scan(df: DataFrame, order: list[str], reach: int, scan: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame], schema: str, parts: int, name: str) -> DataFrame:
     """What scan(rows, None) gives for each partition of df in the order of the columns `order`, a total one.
 
     scan compares rows that stand at most `reach` apart. Partitions are ranges of the order, so rows that share a
     frequent first column are dealt over many. Of each partition only the first and last `reach` rows are carried to
     one more task, as one value, and there scan(rows, side) gets those beside a border: side is 0 before it, 1 after
-    it, and only pairs across it are new. With `edge`, so many rows instead of `reach` are carried. The result is a
-    written table."""
-    edge = edge or reach
+    it, and only pairs across it are new. The result is a written table."""
     schema = T.StructType.fromDDL(schema)
     wide = T.StructType([*schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__edges", T.BinaryType())])
 
@@ -32,7 +30,7 @@ def sorted_scan(df: DataFrame, order: list[str], reach: int, scan: Callable[[pd.
         rows = pd.concat(rows, ignore_index=True) if rows else pd.DataFrame()
         if len(rows):
             yield scan(rows, None).assign(__part=pd.array([pd.NA], "Int32")[0], __edges=None)[wide.names]
-            edges = pickle.dumps((rows.head(edge), rows.tail(edge)))
+            edges = pickle.dumps((rows.head(reach), rows.tail(reach)))
             yield pd.DataFrame({n: [None] for n in schema.names} | {"__part": [TaskContext.get().partitionId()], "__edges": [edges]})
 
     def borders(batches):
@@ -42,7 +40,7 @@ def sorted_scan(df: DataFrame, order: list[str], reach: int, scan: Callable[[pd.
             head, tail = pickle.loads(edges)
             if before is not None:
                 yield scan(pd.concat([before, head], ignore_index=True), np.r_[np.zeros(len(before), int), np.ones(len(head), int)])[schema.names]
-            before = tail if before is None or len(tail) == edge else pd.concat([before, tail], ignore_index=True).tail(edge)
+            before = tail if before is None or len(tail) == reach else pd.concat([before, tail], ignore_index=True).tail(reach)
 
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     done = written(ranged.mapInPandas(run, wide), name)
