@@ -39,8 +39,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken by words, rounded, once at least if any are taken. Those
-    of which nothing is taken go."""
+    """Documents as often as the mix takes them: words taken by words, rounded up or down by a hash so that each source
+    gives its target on average. Those rounded to 0 go."""
     return mixing.resampled(docs)
 
 

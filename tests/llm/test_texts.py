@@ -109,6 +109,17 @@ def test_mixing(docs, rows, none):
     assert mixing.resampled(none).count() == 0
 
 
+def test_resampled_words(spark):
+    """A source far above its target gives no more than that; the others what theirs are."""
+    from pyspark.sql import functions as F
+
+    sizes = {"a": 600, "b": 150, "c": 200}
+    df = spark.createDataFrame([(1000 * n + i, s, " ".join(f"{s}{i}x{k}" for k in range(300))) for n, (s, m) in enumerate(sizes.items()) for i in range(m)], "doc_id long, source string, text string")
+    got = {r["source"]: r["n"] for r in mixing.resampled(df).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    for s, t in shares({s: 300 * m for s, m in sizes.items()}).items():
+        assert abs(got[s] / t - 1) < 0.15
+
+
 def test_shards(docs):
     slots = mixing.mix(docs, block=16, shards=4)[1]
     assert slots.groupBy("source", "slot").count().where("count > 1").count() == 0

@@ -120,7 +120,7 @@ def mixed(rows: DataFrame, block: int = BLOCK, shards: int = 1024) -> tuple[Data
     # an exploded side looks small to the planner but grows with the input: it is never broadcast
     taken = pieces.join(copies.hint("merge"), same).groupBy("row").agg(F.sum(got).alias("taken"))
     out = rows.join(taken.hint("merge"), "row", "left")
-    out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left").select("row", "doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left").select("row", "doc_id", out["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at")
     return out, taken_slots
 
 
@@ -129,12 +129,13 @@ def taken(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def resampled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, each row as often as the mix takes it: taken by size, rounded, 1 at least if any word is taken. Rows of
-    which nothing is taken go."""
+    """docs, each row as often as the mix takes it: taken by size, rounded up with the probability of the fraction (by a
+    hash of the document's place in its source's stream), so that a source's words are its target on average."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     placed = written(stream(rows, text, ("doc_id", "source", "__row")).withColumnRenamed("__row", "row"), "stream")
     times, _ = mixed(placed)
-    copies = F.greatest(F.round(F.col("taken") / F.col("size")).cast("int"), F.lit(1))
-    times = times.where("taken > 0").select(F.col("row").alias("__row"), copies.alias("__times"))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "source", "at"), F.lit(1 << 30)) / F.lit(1 << 30)
+    copies = F.floor(F.col("taken") / F.col("size") + drawn).cast("int")
+    times = times.where("taken > 0").select(F.col("row").alias("__row"), copies.alias("__times")).where("__times > 0")
     out = rows.join(written(times, "times"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*docs.columns)
