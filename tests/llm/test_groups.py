@@ -210,6 +210,18 @@ def test_toxicity(spark, none):
     assert [r[0] for r in alone] == [0.0]
 
 
+def test_toxic_passage_of_known_words():
+    """A passage whose words each stood alone before, and its repetition, are both found."""
+    bad = [f"bad{i}" for i in range(12)]
+    clean = lambda k: [f"c{k}x{i}" for i in range(90)]
+    words = [w for k, b in enumerate(bad) for w in (b, *clean(k))]
+    words += [*bad, *clean(12), *bad]
+    weight = np.zeros(toxicity.BUCKETS)
+    weight[toxicity.tokens(" ".join(bad))[2]] = 1.0
+    got = toxicity.Model(weight, 1.0, None, 0.0).passages(" ".join(words))
+    assert [x[:2] for x in got] == [(1092, 1104), (1194, 1206)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_segments(seed):
     """Maximal-scoring segments by their definition: the best one, then those left and right of it."""

@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Tokens are words and their beginnings, hashed into BUCKETS buckets, a fixed size whatever the vocabulary. A token
-counts once a document. Its count over all documents is the Dirichlet prior, its counts in toxic and clean labelled
+counts once a document, but scores wherever it stands. Its count over all documents is the Dirichlet prior, its counts in toxic and clean labelled
 documents the evidence; a bucket's weight is its log-odds
 moved towards 0 by one standard deviation, so that what rests on few words weighs little. A token scores its weight
 less DRIFT, so that ordinary text scores below 0. One linear scan finds every maximal-scoring segment of a text
@@ -48,19 +48,19 @@ _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() el
 
 
 def tokens(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of words, where each distinct word stands first, its buckets: of the word and of its beginnings)."""
+    """(number of words, the distinct word at each place, the distinct words' buckets: of the word and of its beginnings)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
-    first = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
-    ids = [list(map(zlib.crc32, first)), *([zlib.crc32(w[:k], k) for w in first] for k in STEMS)]
-    at = np.fromiter(first.values(), np.int64, len(first))
-    return len(words), at, (np.array(ids, np.int64).T if first else np.zeros((0, 1 + len(STEMS)), np.int64)) % BUCKETS
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = [list(map(zlib.crc32, known)), *([zlib.crc32(w[:k], k) for w in known] for k in STEMS)]
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return len(words), at, (np.array(ids, np.int64).T if known else np.zeros((0, 1 + len(STEMS)), np.int64)) % BUCKETS
 
 
 def scores(n: int, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A score for each word: where a distinct word stands first, the heaviest of its weights; all less DRIFT."""
+    """A score for each word: the heaviest of its weights less DRIFT, at every place."""
     out = np.full(n, -DRIFT)
     if n:
-        out[at] += np.take_along_axis(weight, np.abs(weight).argmax(1)[:, None], 1)[:, 0]
+        out += np.take_along_axis(weight, np.abs(weight).argmax(1)[:, None], 1)[at, 0]
     return out
 
 
