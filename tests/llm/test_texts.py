@@ -161,6 +161,20 @@ def test_pii_contexts(spark):
     assert clean[0] == "please reach [EMAIL] today again" and clean[7] == texts[7]
 
 
+def test_pii_unseen_shapes(spark):
+    """Contexts find shapes that no seed has, and what they find makes contexts of its own."""
+    texts = [f"please reach person{i}@mail.example.com today again" for i in range(30)]
+    texts += [f"please reach usr{i}x{i}@intra today again" for i in range(8)] + [f"the login usr{i}x{i}@intra works well" for i in range(8)]
+    texts += ["the login QX-1234-77 works well", "room item55 is free here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert got[30] == "context:13:25" and got[38] == "context:10:22"
+    assert got[46] == "context:10:20" and got[47] == ""
+    few = ["please reach ann77x@localhost today again", *texts[:6]]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()}
+    assert got[0] == "context:13:29"
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     import duckdb

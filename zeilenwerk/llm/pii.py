@@ -2,10 +2,10 @@
 
 Four base kinds are found by their patterns: email, ip, card (Luhn) and phone, leftmost and without overlap within a
 kind. They are the seeds. A pattern is the context of an identifier-like token: the word before and the word after
-it, or the two words before it, in lower case, together with the token's shape. Patterns and instances (the
+it, or the two words before it, in lower case, whatever the token's shape. Patterns and instances (the
 tokens' values) form a graph. It is scored in rounds: a pattern's score is the mean score of its occurrences'
 instances (with one fictitious miss), an instance's the score of its best pattern; seeds keep 1. Patterns that reach
-ACCEPT with at least SUPPORT seeds extract the unseen tokens in their context as spans of the kind `context`.
+ACCEPT with at least SUPPORT seeds or instances of that score extract the unseen tokens in their context as spans of the kind `context`.
 
 Texts of any length are read by possessive patterns, which match as the greedy ones do but neither back up nor
 recurse. Null and empty texts have no spans. Null ids and repeated rows keep their own rows. Offsets are code points,
@@ -106,10 +106,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
-
-
 def candidates(rows: DataFrame, text: str) -> DataFrame:
     """__row, value, start, end, pattern, seed: every identifier-like token by context pattern; of `base` spans too.
 
@@ -130,12 +126,12 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
     steps = running(pairs, "struct<value:string,start:int,end:int,tail:string,head:string>", step)
     each = cut.select("__row", "__base", F.inline(steps))
     inside = F.exists("__base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    each = each.select("__row", "value", "start", "end", inside.alias("seed"), "tail", "head", _shape(F.col("value")).alias("shape"))
+    each = each.select("__row", "value", "start", "end", inside.alias("seed"), "tail", "head")
     last = F.element_at(F.split("tail", r"[ \t]+"), -1)
     patterns = F.filter(
         F.array(
-            F.when((F.col("tail") != "") & (F.col("head") != ""), F.concat_ws(" ", last, F.lit("<>"), "head", F.lit("|"), "shape")),
-            F.when(F.col("tail").contains(" "), F.concat_ws(" ", "tail", F.lit("<>"), F.lit("|"), "shape")),
+            F.when((F.col("tail") != "") & (F.col("head") != ""), F.concat_ws(" ", last, F.lit("<>"), "head")),
+            F.when(F.col("tail").contains(" "), F.concat_ws(" ", "tail", F.lit("<>"))),
         ),
         lambda p: p.isNotNull(),
     )
@@ -143,14 +139,15 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges (pattern, value, n, seeds) -> pattern, score, seeds. Groups are summed before they are shuffled."""
-    patterns = edges.groupBy("pattern").agg(((F.sum("seeds")) / (F.sum("n") + 1)).alias("score"), F.sum("seeds").alias("seeds"))
+    """edges (pattern, value, n, seeds) -> pattern, score, support. Groups are summed before they are shuffled."""
+    patterns = edges.groupBy("pattern").agg(F.sum("n").alias("all"), (F.sum("seeds") / (F.sum("n") + 1)).alias("score"), F.sum("seeds").alias("support"))
+    patterns = totals = written(patterns, "patterns")
     for _ in range(rounds):
-        patterns = patterns.where("seeds > 0")  # no other pattern can be accepted, so none else speaks for an instance
-        held = edges.join(patterns.select("pattern", "score"), "pattern")
+        held = edges.join(patterns.where("score > 0").select("pattern", "score"), "pattern")
         instances = held.groupBy("value").agg(F.greatest(F.max("score"), F.max((F.col("seeds") > 0).cast("double"))).alias("instance"))
-        held = held.drop("score").join(instances, "value")
-        patterns = held.groupBy("pattern").agg((F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("instance") ** 2) / (F.sum("n") + 1)).alias("score"), F.sum("seeds").alias("seeds"))
+        held, new = edges.join(instances, "value"), F.col("n") - F.col("seeds")
+        sums = held.groupBy("pattern").agg(F.sum(F.col("seeds") + new * F.col("instance") ** 2).alias("sum"), F.sum(F.col("seeds") + F.when(F.col("instance") >= ACCEPT, new).otherwise(0)).alias("support"))
+        patterns = written(sums.join(totals.select("pattern", "all"), "pattern").select("pattern", (F.col("sum") / (F.col("all") + 1)).alias("score"), "support"), "patterns")
     return patterns
 
 
@@ -162,7 +159,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     # contexts are read from the text again, beside the spans
     uses = written(candidates(rows, "__text"), "contexts")
     edges = uses.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    good = scored(written(edges, "edges")).where((F.col("score") >= ACCEPT) & (F.col("seeds") >= SUPPORT))
+    good = scored(written(edges, "edges")).where((F.col("score") >= ACCEPT) & (F.col("support") >= SUPPORT))
     new = uses.where(~F.col("seed")).join(good.select("pattern"), "pattern", "left_semi")
     new = new.groupBy("__row").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", "value")).alias("__new"))
     out = found.join(new, "__row", "left")
