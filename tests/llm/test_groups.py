@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,9 +46,15 @@ def test_assembly_hops(spark):
     assert got["gone"]["main"] is None and len(got["gone"]["metadata"]) == 1
 
 
+def words_of(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall("[^\\x20\\x09-\\x0D]+", low)
+
+
 def linked(rows, share=75):
-    """Component of each row by all pairs."""
-    sets = [set(neardup.shingles(t).tolist()) for _, t, *_ in rows]
+    """Component of each row by all pairs of word sets."""
+    words = [words_of(t) for _, t, *_ in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     top = list(range(len(rows)))
 
     def find(x):
@@ -88,8 +95,12 @@ def test_dense_group(spark):
 
 
 def test_dense_borders(spark, monkeypatch):
-    """Pairs in a template group most of which is below the threshold, cut into ranges much shorter than the group."""
-    monkeypatch.setattr(neardup, "RANGE_ROWS", 300)
+    """Pairs in a template group most of which is below the threshold, cut into blocks and chunks much shorter than the group."""
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    monkeypatch.setattr(neardup, "CHUNK", 40)
+    monkeypatch.setattr(neardup, "PIVOTS", 8)
+    monkeypatch.setattr(neardup, "OUT_ROWS", 90)
+    monkeypatch.setattr(neardup, "ALL_ROWS", 120)
     r = random.Random(4)
     base = [f"w{i}" for i in range(400)]
 
@@ -109,6 +120,18 @@ def test_dense_borders(spark, monkeypatch):
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(want)
 
 
+def test_shared_ids(spark):
+    """Texts of one id are vertices of their own, and what repeats is linked once."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    other = [f"x{i}" for i in range(60)]
+    near = [*base[:30], "new", *base[31:]]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, " ".join(near)), (7, " ".join(near)), (9, " ".join(other[:-1])), (2, " ".join(base).upper()), (None, " ".join(base))]
+    r.shuffle(rows)
+    got = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == Counter(linked(rows))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["v"]: r["label"] for r in components(edges).collect()} == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}

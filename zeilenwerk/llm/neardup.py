@@ -1,20 +1,21 @@
 """MinHash near-dedup with an LSH forest.
 
-A document's set holds its distinct shingles of SHINGLE words; documents of equal sets are one vertex (the smallest
-id). Each of TREES trees sorts the vertices by DEPTH hashes of their signatures. Rows that agree in the first two
-hashes are candidates of each other if they stand at most REACH apart in that order; where many agree, the order is
-by the longer common prefixes, so the depth adapts to a region's density: neighbours there are those that share the
-longest prefix. A sketch of SKETCH hashes (two bits each) drops candidates far below the threshold. Of a chain of
-neighbours that are surely alike only consecutive ones are taken.
-
-Candidates are confirmed on full sets. The candidates' graph is cut into clusters, a cluster into chunks of about
-CHUNK vertices, and a pair of chunks is a unit of work that gets each set once, however many pairs it is in. In
-regions of more than REACH rows a true partner may stand further off. Dense regions that share vertices, of whatever
-tree, are a cluster, and in a cluster every vertex outside its main component is compared with all vertices of other
-components, however far off, sketches first and then sets. Components are exact over the confirmed links.
+A document's set holds its distinct shingles of SHINGLE words; documents of equal sets are one vertex.
+
+1. Forest. Each of TREES trees sorts the vertices by DEPTH hashes of their signatures; those that agree in the first
+   two are a region. In a region, neighbours in the order (they share the longest prefixes) are tried first. What they
+   leave in different pieces is compared at the region's own depth, every row with those of all other pieces, so the
+   depth at which a row finds its partners adapts to its region: in dense ones most have joined at their longest
+   prefix. Rows are compared by sketches of SKETCH hashes (two bits each); a tree gives an edge for each row that joins
+   a piece, never all pairs. Regions of more than BLOCK rows are dealt out in pairs of blocks.
+2. Clusters. What these edges connect is a cluster: two documents that are linked stand in the same one.
+3. Links. Clusters are confirmed on full sets, each set being sent once: exact intersections of every member with all
+   others, but for those that links join already. A cluster of more than CHUNK members is dealt out in chunks that
+   share PIVOTS members; members that are then outside its main component are compared with all others, in blocks.
 
 A pair at the threshold agrees in the first two hashes of one tree with probability 0.56, of none of TREES with
-0.4375 ** TREES (7e-8 for 20).
+0.4375 ** TREES (7e-8 for 20). Its sketches agree in fewer than CLOSE = 80 lanes with probability 2e-7; such a pair is
+lost unless other edges connect its cluster. All else is exact.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing. Rows with a null id are
 linked with nothing, have no component and are kept. Rows that repeat share a component; rows that share an id but
@@ -23,27 +24,27 @@ not a text each have their text's. An empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import small_batches, written
-from .sorted_scan import sorted_scan
+from .shared import small_batches, starts, whole_runs, written
 
 SHINGLE, SHARE = 5, 75
-TREES, DEPTH, REACH = 20, 6, 8
-CHUNK = 256
-#: Rows of a block of a dense cluster, about.
-BLOCK = 2048
+TREES, DEPTH = 20, 6
 SKETCH = 128
-#: Agreeing lanes of a sketch: from CLOSE on candidates are confirmed (four standard deviations below what the
-#: threshold gives), from SURE on they are taken for alike when neighbours are chosen (3.5 above).
-CLOSE, SURE = 86, 120
-#: Rows of a sorted partition, about.
-RANGE_ROWS = 40_000
+#: Agreeing lanes of two sketches from which on a pair may be alike: 5.5 standard deviations below the threshold's mean.
+CLOSE = 80
+#: Rows of a region that are compared in one task, twice as many at most.
+BLOCK = 4096
+#: Members of a chunk of a large cluster, about, and those that all its chunks share, about.
+CHUNK, PIVOTS = 512, 64
+#: Members outside the main component, and members, that are compared in one unit, about.
+OUT_ROWS, ALL_ROWS = 256, 1024
 
 SKETCHED = [f"s{i}" for i in range(SKETCH * 2 // 64)]
 
@@ -83,204 +84,224 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, k0, k1 (a hash of the set), hashes (binary) of every row."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
     import xxhash
 
+    key = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
+def sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, k0, k1 (a hash of the set), hashes (binary) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            n, k0, k1, sig = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                k0.append(int.from_bytes(key[:8], "little", signed=True))
-                k1.append(int.from_bytes(key[8:], "little", signed=True))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k0", "k1", "hashes"])
+            own = [shingles(t) for t in b.column(1).to_pylist()]
+            k0, k1 = zip(*map(set_key, own), strict=True) if own else ((), ())
+            sig = [signature(s).tobytes() if len(s) else None for s in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k0", "k1", "hashes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, k0 long, k1 long, hashes binary")
 
 
-def forest(vertices: DataFrame, trees: int = TREES, also: tuple[str, ...] = ()) -> DataFrame:
-    """vertices (doc, n, hashes) -> a row for each tree: region, rest (the prefix), doc, n, s0 .. s3 (the sketch)."""
-    sketch = SKETCHED
+def _signatures(b: pa.RecordBatch, column: str = "hashes") -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(column).to_pylist()), np.uint32).reshape(len(b), SKETCH).astype(np.uint64)
+
+
+def forest(vertices: DataFrame, trees: int = TREES) -> DataFrame:
+    """vertices (v, hashes) -> region, rest (the prefix after the region's two hashes), v: a row for each tree."""
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
-            h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(b), SKETCH).astype(np.uint64)
-            bits = ((h >> np.uint64(16)) & np.uint64(3)).reshape(len(b), len(sketch), 32)
-            s = (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
-            doc, n = np.asarray(b.column(0)), np.asarray(b.column(1))
+            h = _signatures(b)
             for t in range(trees):
                 p = h[:, t * DEPTH : (t + 1) * DEPTH]
                 region = _mix(_mix(p[:, 0] + np.uint64((t + 1) << 32)) + p[:, 1])
                 rest = np.zeros(len(b), np.uint64)
                 for i in range(2, DEPTH):
                     rest = (rest << np.uint64(16)) | (p[:, i] & np.uint64(0xFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region.view(np.int64), rest.view(np.int64), doc, n.astype(np.int32), *s.T.copy())] + b.columns[3:], names=["region", "rest", "doc", "n", *sketch, *also])
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(rest.view(np.int64)), b.column("v")], names=["region", "rest", "v"])
 
-    types = dict(vertices.dtypes)
-    more = "".join(f", {c} {types[c]}" for c in also)
-    return vertices.select("doc", "n", "hashes", *also).mapInArrow(run, "region long, rest long, doc long, n int, " + ", ".join(f"{x} long" for x in sketch) + more)
+    return vertices.select("v", "hashes").mapInArrow(run, "region long, rest long, v long")
 
 
-def lanes_of(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    x = s ^ t
-    return SKETCH - np.bitwise_count((x | (x >> np.uint64(1))) & _LANES).sum(1, dtype=np.int64)
+def sketches(vertices: DataFrame) -> DataFrame:
+    """vertices (v, n, hashes) -> v, n, s0 .. s3: two bits of each hash."""
 
+    def run(batches):
+        for b in batches:
+            if len(b):
+                bits = ((_signatures(b) >> np.uint64(16)) & np.uint64(3)).reshape(len(b), len(SKETCHED), 32)
+                s = (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("n"), *(pa.array(x) for x in s.T.copy())], names=["v", "n", *SKETCHED])
 
-def runs(region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where equal values that follow each other start and stop."""
-    cut = np.flatnonzero(region[1:] != region[:-1]) + 1
-    return np.r_[0, cut], np.r_[cut, len(region)]
-
-
-def pairs_frame(a: np.ndarray, b: np.ndarray, lanes: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "lanes": lanes}).astype("int64")
-
-
-def neighbours(p: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame:
-    """Candidates (a, b, lanes) among rows of a tree's order; (a, a, 0) for rows of a dense region."""
-    region, doc, n = (p[c].to_numpy() for c in ("region", "doc", "n"))
-    s = p[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
-    sure: list[np.ndarray] = [np.zeros(len(p), bool)]
-    out = []
-    for j in range(1, min(REACH, len(p) - 1) + 1):
-        i = np.flatnonzero(region[:-j] == region[j:])
-        lo, hi = np.minimum(n[i], n[i + j]), np.maximum(n[i], n[i + j])
-        i = i[(100 * lo.astype(np.int64) >= SHARE * hi.astype(np.int64)) & (doc[i] != doc[i + j])]
-        lanes = lanes_of(s[i], s[i + j])
-        through = np.zeros(len(p), bool)
-        for m in range(1, j):
-            through[: len(p) - m] |= sure[m][: len(p) - m] & sure[j - m][m:]
-        alike = np.zeros(len(p), bool)
-        alike[i[lanes >= SURE]] = True
-        sure.append(alike)
-        take = (lanes >= CLOSE) & ~through[i]
-        if side is not None:
-            take &= side[i] != side[i + j]
-        i, lanes = i[take], lanes[take]
-        out.append(pairs_frame(doc[i], doc[i + j], lanes))
-    lo, hi = runs(region)
-    dense = doc[np.repeat(hi - lo > REACH, hi - lo)]
-    out.append(pairs_frame(dense, dense, np.zeros(len(dense), int)))
-    return pd.concat(out, ignore_index=True)
-
-
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= SHARE * (len(x) + len(y) - both)
-
-
-def outsiders(out: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between a block of a dense cluster's vertices outside its main component and a block of all its vertices.
-    What links found here join already isn't compared again."""
-    doc, n, label, main, full = (rows[c].to_numpy() for c in ("doc", "n", "label", "main", "set"))
-    s, names = rows[SKETCHED].to_numpy().view(np.uint64), np.unique(np.r_[label, out["label"].to_numpy()])
-    top = np.arange(len(names))  # a label's group
-    group, found = top[np.searchsorted(names, label)], []
-    for d, m, own, mine, t in zip(out["doc"], out["n"], np.searchsorted(names, out["label"]), out["set"], out[SKETCHED].to_numpy().view(np.uint64), strict=True):
-        k = np.flatnonzero((top[group] != top[own]) & ((label == main) | (doc > d)) & (100 * np.minimum(n, m).astype(np.int64) >= SHARE * np.maximum(n, m).astype(np.int64)))
-        lanes = lanes_of(s[k], t)
-        k, mine = k[np.argsort(-lanes, kind="stable")][: (lanes >= CLOSE).sum()], np.frombuffer(mine, np.uint64)
-        for j in k:
-            if top[group[j]] != top[own] and alike(mine, np.frombuffer(full[j], np.uint64)):
-                top[top == top[group[j]]] = top[own]
-                found.append((min(d, doc[j]), max(d, doc[j])))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def dense_links(again: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links (a, b) between components of dense regions' vertices (doc, n, hashes, label). Regions that share a vertex
-    are a cluster; in it all pairs of different components are compared, in units of two blocks of about BLOCK rows."""
-    regions = written(forest(again).select("region", "doc"), "regions")
-    first = regions.groupBy("region").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("k")).where(F.col("k") > REACH)
-    clusters = components(regions.join(first.hint("merge"), "region").select(F.col("doc").alias("a"), "b").distinct())
-    sketched = forest(again.select("doc", "n", "hashes", "label"), 1, ("label",)).select("doc", "n", "label", *SKETCHED)
-    rows = written(sketched.join(clusters.select(F.col("v").alias("doc"), F.col("label").alias("cluster")), "doc"), "clustered")
-    counts = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
-    mains = counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), F.max("k").alias("most"))
-    mains = mains.where("rows > most").select("cluster", "main", *[F.ceil(x / BLOCK).cast("int").alias(c) for c, x in (("row_blocks", F.col("rows")), ("out_blocks", F.col("rows") - F.col("most")))])
-    rows = rows.join(written(mains, "mains"), "cluster").join(full_sets(docs, again.select("doc").distinct(), text), "doc")
-    rows = written(rows, "dense")
-
-    def dealt(part: DataFrame, own: str, other: str, unit: tuple[str, str]) -> DataFrame:
-        part = part.withColumn(own, F.pmod(F.xxhash64("doc", F.lit(own)), F.col(own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return part.withColumn("unit", F.xxhash64("cluster", *[F.col(c).cast("long") for c in unit])).drop("cluster", *unit)
+    return vertices.select("v", F.col("n").cast("int").alias("n"), "hashes").mapInArrow(run, "v long, n int, " + ", ".join(f"{x} long" for x in SKETCHED))
 
-    unit = ("out_blocks", "row_blocks")
-    left = dealt(rows.where("label != main"), *unit, unit)
-    return left.groupBy("unit").cogroup(dealt(rows, *unit[::-1], unit).groupBy("unit")).applyInPandas(outsiders, "a long, b long")
 
+def lanes_of(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    x = s ^ t
+    return SKETCH - np.bitwise_count((x | (x >> np.uint64(1))) & _LANES).sum(1, dtype=np.int64)
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike enough."""
-    label = written(components(pairs), "clusters")
-    large = written(label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1"), "large")
-    placed = label.join(large, "label", "left").select("v", "label", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
-    placed = written(placed, "placed")
-    at = lambda c: placed.select(F.col("v").alias(c), F.col("label").alias("cluster" if c == "a" else "__cluster"), F.col("chunk").alias(f"c{c}"))
-    units = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    units = written(units.select("a", "b", F.xxhash64("cluster", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("unit")), "units")
-    need = written(units.select("unit", F.col("a").alias("doc")).unionByName(units.select("unit", F.col("b").alias("doc"))).distinct(), "need")
-    full = written(full_sets(docs, need.select("doc").distinct(), text), "full")
 
-    def check(p: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        sets_of: dict[int, list[np.ndarray]] = {}
-        for d, x in zip(held["doc"], held["set"], strict=True):
-            sets_of.setdefault(d, []).append(np.frombuffer(x, np.uint64))
-        ok = [any(alike(x, y) for x in sets_of.get(a, ()) for y in sets_of.get(b, ())) for a, b in zip(p["a"], p["b"], strict=True)]
-        return p.loc[ok, ["a", "b"]]
+def _may_link(s: np.ndarray, t: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (lanes_of(s, t) >= CLOSE) & (100 * np.minimum(n, m) >= SHARE * np.maximum(n, m))
+
+
+def pieces(s: np.ndarray, n: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """A number for each row of a region's order: rows with the same one are connected by pairs that may be alike.
+    Rows of two blocks are compared across them only."""
+    m = len(n)
+    joined = _may_link(s[1:], s[:-1], n[1:], n[:-1])
+    piece = np.r_[0, np.cumsum(~joined)]
+    across = block[0] != block.max()
+    for i in range(m - 1 if piece[-1] else 0):
+        k = np.flatnonzero((piece != piece[i]) & (block != block[i])) if across else i + 1 + np.flatnonzero(piece[i + 1 :] != piece[i])
+        k = k[_may_link(s[k], s[i], n[k], n[i])]
+        for p in np.unique(piece[k]):
+            piece[piece == p] = piece[i]
+    return piece
+
+
+def edges(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) for each row b that a piece joins to its smallest vertex a; rows of whole units, in order."""
+    unit, v, n, block = (rows.column(c).to_numpy() for c in ("unit", "v", "n", "block"))
+    n = n.astype(np.int64)
+    s = np.column_stack([rows.column(c).to_numpy() for c in SKETCHED]).view(np.uint64)
+    cut = starts(unit)
+    label, at = np.zeros(len(v), np.int64), 0
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        label[lo:hi] = pieces(s[lo:hi], n[lo:hi], block[lo:hi]) + at
+        at += hi - lo
+    order = np.argsort(label, kind="stable")
+    first = starts(label[order])
+    least = np.repeat(np.minimum.reduceat(v[order], first[:-1]), np.diff(first))
+    b = v[order]
+    return least[least != b], b[least != b]
 
-    return units.groupBy("unit").cogroup(need.join(full, "doc").groupBy("unit")).applyInPandas(check, "a long, b long")
 
+def candidates(vertices: DataFrame) -> DataFrame:
+    """Edges (a, b) of the trees' pieces."""
+    rows = forest(vertices)
+    # a vertex by itself in its region is compared with nothing
+    shared = written(rows.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "regions")
+    rows = rows.join(shared, "region").join(sketches(vertices), "v")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(unit.alias("unit"), "rest", "v", "n", "block", *SKETCHED)
+
+    def scan(batches):
+        for table in whole_runs(batches, "unit"):
+            a, b = edges(table)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition(F.col("unit")).sortWithinPartitions("unit", "rest", "v").mapInArrow(scan, "a long, b long").distinct()
+
+
+def confirmed(v: np.ndarray, own: list[np.ndarray], label: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of the pairs whose sets are alike, each with one that asks. Vertices of the same
+    label are connected already."""
+    size = np.array([len(x) for x in own])
+    ids = np.unique(np.concatenate(own), return_inverse=True)[1]
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    mark = np.zeros(ids.max() + 1, bool)
+    label = np.unique(label, return_inverse=True)[1]
+    for i in np.flatnonzero(asks):
+        open_ = label != label[i]
+        if not open_.any():
+            continue
+        mine = ids[start[i] : start[i] + size[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[ids], start, dtype=np.int64)
+        mark[mine] = False
+        found = np.flatnonzero(open_ & (100 * both >= SHARE * (size + size[i] - both)))
+        for p in np.unique(label[found]):
+            yield v[i], v[found[label[found] == p][0]]
+        label[np.isin(label, label[found])] = label[i]
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    """rows (unit, v, set, label, asks) -> links (a, b) that the units confirm."""
 
-def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """doc, set (binary) of the wanted (doc)."""
+    def run(batches):
+        for table in whole_runs(batches, "unit"):
+            unit, v, label, asks = (table.column(c).to_numpy() for c in ("unit", "v", "label", "asks"))
+            own = table.column("set").to_pylist()
+            cut = starts(unit)
+            found = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if hi - lo > 1:
+                    found += confirmed(v[lo:hi], [np.frombuffer(x, np.uint64) for x in own[lo:hi]], label[lo:hi], asks[lo:hi])
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.select("unit", "v", "set", "label", "asks").repartition(F.col("unit")).sortWithinPartitions("unit", "v").mapInArrow(run, "a long, b long")
+
+
+def members(docs: DataFrame, vertices: DataFrame, clusters: DataFrame, text: str) -> DataFrame:
+    """v, cluster, m (its size), set of the clusters' vertices, read from the texts."""
+    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    wanted = clusters.join(sizes, "label").join(vertices.select("v", "doc", "k0", "k1"), "v").select(F.col("doc").alias("doc_id"), "v", F.col("label").alias("cluster"), "m", "k0", "k1")
+    wanted = written(wanted, "wanted")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "set"])
+            out = [shingles(t) for t in b.column("__text").to_pylist()]
+            keys = zip(b.column("k0").to_pylist(), b.column("k1").to_pylist(), strict=True)
+            good = pa.array([set_key(s) == k for s, k in zip(out, keys, strict=True)], pa.bool_())  # an id may have several texts
+            got = pa.RecordBatch.from_arrays([b.column("v"), b.column("cluster"), b.column("m"), pa.array([s.tobytes() for s in out], pa.binary())], names=["v", "cluster", "m", "set"])
+            yield got.filter(good)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), text).join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, set binary").dropDuplicates(["doc", "set"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    return texts.join(wanted, "doc_id").select("v", "cluster", "m", "k0", "k1", "__text").mapInArrow(run, "v long, cluster long, m long, set binary").dropDuplicates(["v"])
 
 
-def parts_of(rows: int, df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS + 1)
+def _part(n: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "v"), n)
 
 
-ORDER = ["region", "rest", "s0", "s1", "s2", "s3", "doc"]
+def chunk_links(rows: DataFrame) -> DataFrame:
+    """Links within clusters, and within the chunks of large ones."""
+    rows = rows.withColumn("chunks", F.ceil(F.col("m") / CHUNK))
+    pivot = (F.col("chunks") > 1) & (_part(F.col("m"), 1) < PIVOTS)
+    chunk = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(_part(F.col("chunks"), 2))))
+    rows = rows.withColumn("chunk", chunk)
+    return _links(rows.select(F.xxhash64("cluster", "chunk").alias("unit"), "v", "set", F.col("v").alias("label"), F.lit(True).alias("asks")))
 
 
-def candidates(vertices: DataFrame) -> DataFrame:
-    trees = forest(vertices)
-    found = sorted_scan(trees, ORDER, REACH, neighbours, "a long, b long, lanes long", parts_of(vertices.count() * TREES, trees), "neighbours")
-    return found.groupBy("a", "b").agg(F.max("lanes").alias("lanes"))
+def outside_links(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of large clusters' members outside the main component with members of other components."""
+    rows = rows.where(F.col("m") > CHUNK).join(labels.select("v", F.col("label").alias("__l")), "v", "left").withColumn("label", F.coalesce("__l", "v"))
+    counts = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+    mains = counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), F.max("k").alias("most")).where("rows > most")
+    mains = written(mains.select("cluster", "main", F.ceil((F.col("rows") - F.col("most")) / OUT_ROWS).alias("outs"), F.ceil(F.col("rows") / ALL_ROWS).alias("alls")), "mains")
+    rows = rows.join(mains, "cluster")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asks = rows.where("label != main").withColumn("o", _part(F.col("outs"), 3)).withColumn("a", every(F.col("alls"))).withColumn("asks", F.lit(True))
+    # an outsider that asks in a unit isn't there a second time
+    held = rows.withColumn("a", _part(F.col("alls"), 4)).withColumn("o", every(F.col("outs"))).where((F.col("label") == F.col("main")) | (F.col("o") != _part(F.col("outs"), 3))).withColumn("asks", F.lit(False))
+    return _links(asks.unionByName(held).withColumn("unit", F.xxhash64("cluster", "o", "a")))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = written(sets(docs, text), "sets")
     alike = rows.where("doc_id is not null and n_shingles > 0").groupBy("k0", "k1").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes"))
-    vertices = written(alike, "vertices")
-    found = written(candidates(vertices), "candidates")
-    cand, dense = found.where("a != b"), found.where("a = b").select(F.col("a").alias("doc"))
-    links = written(confirmed(cand, docs, text), "links")
-    label = written(components(links), "components")
-    # the dense regions' vertices once more, with their components
-    again = vertices.join(dense, "doc", "left_semi").select("doc", "n", "hashes").join(label.select(F.col("v").alias("doc"), "label"), "doc", "left")
-    again = written(again.withColumn("label", F.coalesce("label", "doc")), "again")
-    if not again.isEmpty():
-        more = written(dense_links(again, docs, text), "links")
-        if not more.isEmpty():
-            label = written(components(links.unionByName(more.distinct())), "components")
-    known = vertices.select("k0", "k1", "doc").join(label, F.col("doc") == F.col("v"), "left").select("k0", "k1", F.coalesce("label", "doc").alias("label"))
-    known = written(known, "known")
-    linked = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "k0", "k1").join(known, ["k0", "k1"]).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    vertices = written(alike.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    clusters = components(candidates(vertices))
+    held = written(members(docs, vertices, clusters, text), "members")
+    links = written(chunk_links(held), "links")
+    label = components(links)
+    more = written(outside_links(held, label), "links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
+    named = vertices.select("k0", "k1", "doc", "v").join(label, "v", "left")
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc").alias("least"))
+    known = written(named.join(least, "label", "left").select("k0", "k1", F.coalesce("least", "doc").alias("component_id")), "known")
+    linked = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "k0", "k1").join(known, ["k0", "k1"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

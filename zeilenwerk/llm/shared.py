@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -23,10 +27,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Only where that is
-    unset, as in tests on one machine, a temporary folder."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Where that is unset, a temporary
+    folder on a single machine, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="zeilenwerk-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -41,3 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 8192) -> Iterator[pa.Table]:
+    """Sorted batches as tables of `least` rows and more that end where the key changes."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not len(b):
+            continue
+        if rows >= least:
+            k = b.column(key).to_numpy()
+            at = int((k != held[-1].column(key)[-1].as_py()).argmax())
+            if k[at] != held[-1].column(key)[-1].as_py():
+                yield pa.Table.from_batches([*held, b.slice(0, at)])
+                held, rows, b = [], 0, b.slice(at)
+        held.append(b)
+        rows += len(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
