@@ -26,6 +26,8 @@ def test_bpe(docs, rows, none):
         want[i, len(e), np.array(e, "<u4").tobytes(), lib.decode(e, skip_special_tokens=False)] += 1
     done = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
     assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in done.collect()) == want
+    both = bpe.encode(docs, VOCABULARY, decoded="decoded")
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in both.collect()) == want
     assert bpe.decode(bpe.encode(none, VOCABULARY), VOCABULARY).count() == 0
 
 

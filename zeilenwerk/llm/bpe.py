@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, written
 
 #: Symbols in a leaf of the tree; shorter unsplit text goes to the library at once.
 LEAF = 2048
 #: Bytes from which a text is dealt out over tasks.
 SPLIT_BYTES = 1 << 16
-#: Chunks, and words, whose ids a worker remembers: twice as many at most.
-CACHE = 120_000
+#: Bytes, about, of the chunks and words whose ids a task remembers: twice as many for either at most.
+CACHE_BYTES = 8 << 20
+#: Bytes that an entry takes besides its text and ids.
+ENTRY_BYTES = 190
 #: Chunks whose normal form is their lower case, and their words as the vocabulary parts them.
 PLAIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ɏ]+")
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,19 +45,23 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
 class Recent:
-    """What was made lately; it forgets in halves."""
+    """What was made lately; it forgets in halves, and everything when a task ends."""
 
     def __init__(self, make):
-        self.make, self.new, self.old = make, {}, {}
+        self.make, self.new, self.old, self.size = make, {}, {}, 0
+
+    def forget(self) -> None:
+        self.new, self.old, self.size = {}, {}, 0
 
     def one(self, k: str):
         if (x := self.new.get(k)) is None:
             if (x := self.old.get(k)) is None:
                 x = self.make(k)
             if len(k) < 64:
-                if len(self.new) >= CACHE:
-                    self.old, self.new = self.new, {}
+                if self.size >= CACHE_BYTES:
+                    self.old, self.new, self.size = self.new, {}, 0
                 self.new[k] = x
+                self.size += len(k) + len(x) + ENTRY_BYTES
         return x
 
     def __call__(self, keys: list[str]) -> list:
@@ -97,6 +104,10 @@ class Bpe:
         self.plain = parts[0].get("pattern") == {"Regex": PARTED} and lower and all("<" in x for x in self.special)
         self.table = np.array([self.text.get(i, "") for i in range(max(self.text) + 1)], dtype=object)
 
+    def forget(self) -> None:
+        self.chunks.forget()
+        self.plain_words.forget()
+
     def _letters(self) -> dict[int, str]:
         """The byte-level alphabet: bytes that print stand for themselves, the others for code points from 256."""
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -179,8 +190,8 @@ class Bpe:
     def chunk(self, chunk: str) -> bytes:
         if len(chunk) > self.leaf:
             return np.array(self.long(chunk), "<u4").tobytes()
-        known = self.plain_words.new
         if self.plain and PLAIN.fullmatch(chunk):
+            known = self.plain_words.new
             return b"".join([known.get(w) or self.plain_words.one(w) for w in WORDS.findall(chunk.lower())])
         return np.array(self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -221,10 +232,15 @@ class Bpe:
 _made: dict[str, Bpe] = {}
 
 
-def bpe(path: str) -> Bpe:
+@contextmanager
+def bpe(path: str) -> Iterator[Bpe]:
+    """The vocabulary, which a worker keeps; what it remembers of texts goes with the task."""
     if path not in _made:
         _made[path] = Bpe(path)
-    return _made[path]
+    try:
+        yield _made[path]
+    finally:
+        _made[path].forget()
 
 
 def _replaced(df: DataFrame, *names: str) -> DataFrame:
@@ -237,63 +253,70 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """docs with n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, path: str, text: str = "text", split_bytes: int = SPLIT_BYTES, decoded: str | None = None) -> DataFrame:
+    """docs with n_tokens and ids (binary: little-endian unsigned 32-bit integers). With `decoded`, a column of that
+    name holds what the ids decode to, made by the same worker, so that a task needs the vocabulary once."""
     small_batches(docs.sparkSession)
-    docs = _replaced(docs, "ids", "n_tokens")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    docs = _replaced(docs, "ids", "n_tokens", *[x.lower() for x in (decoded,) if x])
+    more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *[T.StructField(x, T.StringType()) for x in (decoded,) if x]]
+    schema = T.StructType([*docs.schema.fields, *more])
+
+    def columns(coder: Bpe, ids: list[bytes]) -> list[pa.Array]:
+        own = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        return [*own, pa.array([coder.decode(x) for x in ids], pa.string())] if decoded else own
 
     def whole(batches):
-        coder = bpe(path)
-        for b in batches:
-            ids = [coder.encode(x or "") for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+        with bpe(path) as coder:
+            for b in batches:
+                ids = [coder.encode(x or "") for x in b.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns(coder, ids)], names=schema.names)
 
     is_long = F.coalesce(F.octet_length(text) > split_bytes, F.lit(False))
     short = docs.where(~is_long).mapInArrow(whole, schema)
 
     row = "__row"
-    rows = docs.where(is_long).withColumn(row, F.monotonically_increasing_id())
+    # the few long texts are written once with their numbers, so that both uses see the same ones
+    rows = written(docs.where(is_long).withColumn(row, F.monotonically_increasing_id()), "long")
     cut = T.StructType([T.StructField(row, T.LongType()), T.StructField("seq", T.LongType()), T.StructField("word", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("last", T.BooleanType())])
     done = T.StructType([*cut.fields[:3], T.StructField("ids", T.BinaryType())])
 
     def cut_up(batches):
-        coder = bpe(path)
-        for b in batches:
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out = [(r, n, *p) for n, p in enumerate(coder.pieces(t))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_arrow(cut))
+        with bpe(path) as coder:
+            for b in batches:
+                for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    out = [(r, n, *p) for n, p in enumerate(coder.pieces(t))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=_arrow(cut))
 
     def encode_pieces(batches):
-        coder = bpe(path)
-        for b in batches:
-            p = b.to_pydict()
-            ids = [coder.encode(s) if w < 0 else np.array(coder.merge(coder.symbols(s, e)), "<u4").tobytes() for w, s, e in zip(p["word"], p["piece"], p["last"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())], names=done.names)
-
-    def together(pdf):
-        coder, out, run, at = bpe(path), [], [], -1
-        pdf = pdf.sort_values("seq")
-
-        def close():
-            if run:
-                out.append(np.array(coder.tree(run[:]), "<u4").tobytes())
-                run.clear()
-
-        for w, ids in zip(pdf["word"], pdf["ids"], strict=True):
-            if w < 0 or w != at:
-                close()
-            at = w
-            if w < 0:
-                out.append(ids)
-            else:
-                run.append(np.frombuffer(ids, "<u4").tolist())
-        close()
-        ids = b"".join(out)
-        return pdf.head(1)[[row]].assign(n_tokens=len(ids) // 4, ids=ids)
+        with bpe(path) as coder:
+            for b in batches:
+                p = b.to_pydict()
+                ids = [coder.encode(s) if w < 0 else np.array(coder.merge(coder.symbols(s, e)), "<u4").tobytes() for w, s, e in zip(p["word"], p["piece"], p["last"], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())], names=done.names)
+
+    def together(table: pa.Table) -> pa.Table:
+        with bpe(path) as coder:
+            out, run, at = [], [], -1
+            table = table.sort_by("seq")
+
+            def close():
+                if run:
+                    out.append(np.array(coder.tree(run[:]), "<u4").tobytes())
+                    run.clear()
+
+            for w, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True):
+                if w < 0 or w != at:
+                    close()
+                at = w
+                if w < 0:
+                    out.append(ids)
+                else:
+                    run.append(np.frombuffer(ids, "<u4").tolist())
+            close()
+            return pa.table([table.column(row).slice(0, 1), *columns(coder, [b"".join(out)])], names=[row, *[f.name for f in more]])
 
     cuts = rows.select(row, text).mapInArrow(cut_up, cut).repartition(F.col(row), F.col("seq")).mapInArrow(encode_pieces, done)
-    whole_ids = cuts.groupBy(row).applyInPandas(together, f"{row} long, n_tokens long, ids binary")
+    whole_ids = cuts.groupBy(row).applyInArrow(together, T.StructType([cut.fields[0], *more]))
     return short.unionByName(rows.join(whole_ids, row).select(*schema.names))
 
 
@@ -304,9 +327,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
-        coder = bpe(path)
-        for b in batches:
-            texts = [coder.decode(x or b"") for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
+        with bpe(path) as coder:
+            for b in batches:
+                texts = [coder.decode(x or b"") for x in b.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

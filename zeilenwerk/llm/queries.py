@@ -41,7 +41,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text"), vocabulary())
+    done = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded="decoded")
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
