@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with n_tokens, ids (little-endian unsigned 32-bit integers) and what they decode to."""
-    return bpe.decode(bpe.encode(docs, queries.vocabulary()), queries.vocabulary())
+    return bpe.encode(docs, queries.vocabulary(), decoded="decoded")
 
 
 STAGES = [
