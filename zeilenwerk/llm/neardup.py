@@ -187,7 +187,8 @@ def candidates(vertices: DataFrame) -> DataFrame:
     rows = forest(vertices)
     # a vertex by itself in its region is compared with nothing
     shared = written(rows.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "regions")
-    rows = rows.join(shared, "region").join(sketches(vertices), "v")
+    # what grows with the documents is never broadcast
+    rows = rows.join(shared.hint("merge"), "region").join(sketches(vertices).hint("merge"), "v")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -257,7 +258,7 @@ def members(docs: DataFrame, vertices: DataFrame, clusters: DataFrame, text: str
             yield got.filter(good)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    return texts.join(wanted, "doc_id").select("v", "cluster", "m", "k0", "k1", "__text").mapInArrow(run, "v long, cluster long, m long, set binary").dropDuplicates(["v"])
+    return texts.join(wanted.hint("merge"), "doc_id").select("v", "cluster", "m", "k0", "k1", "__text").mapInArrow(run, "v long, cluster long, m long, set binary").dropDuplicates(["v"])
 
 
 def _part(n: Column, salt: int) -> Column:
