@@ -138,35 +138,45 @@ def test_components(spark):
 
 
 def covered(texts):
-    """Removed bytes by all windows."""
+    """(bytes, removed bytes, runs, hash of the rest, words, words in passages that stand in two texts) by all windows."""
     seen, data = Counter(), [(t or "").encode() for t in texts]
-    for b in data:
-        seen.update(b[i : i + 400] for i in range(len(b) - 399))
-    for b in data:
-        gone = np.zeros(len(b) + 1, int)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i] += 1
-                gone[i + 400 if i + 400 <= len(b) else len(b)] -= 1
-        off = np.cumsum(gone)[:-1] > 0
-        yield len(b), int(off.sum()), int((np.diff(np.r_[0, off.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~off].tobytes()).hexdigest()
-
-
-def test_repeats(docs, rows, none):
-    few = [r for r in rows if r[1] is None or len(r[1]) < 20_000]
-    part = docs.where("text is null or length(text) < 20000")
+    held, words = defaultdict(set), [b.split() for b in data]
+    for i, b in enumerate(data):
+        seen.update(b[k : k + 400] for k in range(len(b) - 399))
+        for k in range(len(words[i]) - 50):
+            held[tuple(words[i][k : k + 51])].add(i)
+    for b, w in zip(data, words, strict=True):
+        off, again = np.zeros(len(b), bool), np.zeros(len(w), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                off[k : k + 400] = True
+        for k in range(len(w) - 50):
+            if len(held[tuple(w[k : k + 51])]) > 1:
+                again[k : k + 51] = True
+        rest = np.frombuffer(b, np.uint8)[~off].tobytes()
+        yield len(b), int(off.sum()), int((np.diff(np.r_[0, off.astype(int)]) == 1).sum()), hashlib.sha256(rest).hexdigest(), len(w), int(again.sum())
+
+
+@pytest.mark.parametrize("group", [10_000, 2])
+def test_repeats(docs, rows, none, monkeypatch, group):
+    """All anchors in tasks of their own, and all of them halved."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    few = [r for r in rows if r[1] is None or len(r[1]) < 60_000 or group > 2]
+    part = docs if group > 2 else docs.where("text is null or length(text) < 60000")
     want = Counter((r[0], *x) for r, x in zip(few, covered([r[1] for r in few]), strict=True))
     assert Counter(tuple(r) for r in repeats.removed(part).collect()) == want
     assert repeats.removed(none).count() == 0
 
 
-def test_repeats_cut_groups(spark, monkeypatch):
-    """Ranges of a few rows: borders cut most anchors, and extents are still exact."""
-    monkeypatch.setattr(repeats, "RANGE_ROWS", 3)
+@pytest.mark.parametrize("group", [10_000, 3])
+def test_repeats_of_passages(spark, monkeypatch, group):
+    """A passage cut off at many places on both sides, in texts that go on differently; one only its own text repeats."""
+    monkeypatch.setattr(repeats, "GROUP", group)
     r = random.Random(9)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
-    core, other = word(430), word(700)
+    core, other, lone = word(430), word(700), " ".join(f"l{i}" for i in range(60))
     texts = [word(r.randint(0, 300)) + core[r.randint(0, 40) :] + word(r.randint(0, 300)) for _ in range(25)] + [word(50) + other[k : k + 500] + word(60) for k in (0, 60, 120, 200)]
+    texts += [f"{lone} {word(30)} {lone}", word(9), " ".join(["long" * 30, *core.split(), "w" * 90]), " ".join(["wrong" * 30, *core.split(), "w" * 90])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(x) for x in repeats.removed(df).collect()) == [(i, *x) for i, x in enumerate(covered(texts))]
 
@@ -175,7 +185,10 @@ def test_interval_tree():
     assert repeats.intervals([2, 3, 1]) == [(3, 1, 2), (2, 0, 2), (1, 0, 3)]
     same = b"x" * 300
     got = repeats.groups([same + b"a", same + b"a", same + b"b"], [b"y" * 200, b"y" * 200, b"y" * 200])
-    assert max(len(g[2]) for g in got) == 3
+    assert got == [(200, 301, [0, 1]), (200, 300, [0, 1, 2])]
+    # what follows to the right is the same for all that share the longer left side: only the longer group is maximal
+    got = repeats.groups([same + b"a", same + b"a", same + b"b"], [b"y" * 200, b"y" * 200, b"z" * 200])
+    assert got == [(200, 301, [0, 1])]
 
 
 def test_neighbours(spark):

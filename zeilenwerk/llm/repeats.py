@@ -1,22 +1,24 @@
 """Repeated passages by a common-prefix interval tree over an enhanced, sparse suffix array.
 
-A passage of MIN_BYTES bytes that starts at two places (in one text or in two) is a repeat; every byte that a repeat
-covers goes. Texts are read whole, as UTF-8 bytes, and nothing matches across texts.
-
-1. Anchors. Each window of MIN_BYTES bytes holds the smallest hash of its GRAM-byte strings; the places of these
-   minima are the text's anchors. Equal windows have equal anchors at equal places, so every repeat contains an
-   anchor that occurs twice. Equal texts are handled as one (a copy is a repeat of its whole).
-2. Suffixes. For each anchor that occurs twice or more, its occurrences' suffixes (MIN_BYTES bytes from the anchor)
+Two kinds of passages are found. BYTES: a string of 400 bytes that starts at two places, in one text or in two; every
+byte that one covers goes. WORDS: a run of more than 50 words that stands in two documents; they are counted. Texts are
+read whole, and nothing matches across texts. Equal texts are handled as one (a copy is a repeat of its whole).
+
+1. Anchors. Each window of `least` symbols (bytes or words) holds the smallest hash of its `gram`-symbol strings; the
+   places of these minima are the text's anchors. Equal windows have equal anchors at equal places, so every repeat
+   contains an anchor that occurs twice.
+2. Suffixes. For each anchor that occurs twice or more, its occurrences' suffixes (`least` symbols from the anchor)
    are sorted together with what stands before them: a suffix array of these places, with the common prefixes of its
-   neighbours.
-3. Interval tree. A stack scan over the common prefixes gives the intervals: all occurrences that share r bytes to
-   the right. In each, the occurrences are put in order of their left sides, and those that share at least
-   MIN_BYTES - r bytes to the left, too, are a maximal repeat group. Of each occurrence the furthest extents to both
-   sides are kept; as all of them contain the anchor, their union is one interval of bytes.
-4. The array is dealt out in ranges of its order, so a frequent anchor is many ranges. Occurrences of anchors that a
-   border cuts are compared with their neighbours across the borders and in the order of their left sides as well.
-   That bounds both extents; where a bound is met by a repeat, nothing longer can exist. Where it isn't, the windows
-   between the bounds are counted by their hashes, which decides them.
+   neighbours. It is dealt out by anchors, so an anchor's occurrences stand together.
+3. Interval tree. A stack scan over the common prefixes gives the intervals: all occurrences that share r symbols to
+   the right. In each, the occurrences' left sides are compared in their order, by range minima over the common
+   prefixes of all left sides; those that share `least` - r symbols to the left, too, are a maximal repeat group
+   (`groups` lists them). Of each occurrence the furthest extents to both sides are kept; as all of them contain the
+   anchor, their union is one interval.
+4. An anchor of more than GROUP occurrences is no task's. Its occurrences are divided by what the windows of a range
+   of offsets have in common (their intersection), and a range is halved where the occurrences of a group differ in
+   what it covers (its union). Occurrences that agree in the whole union repeat it, single ones have no partner there;
+   so only ranges that cross a passage's end are halved, and the depth is the logarithm of a window's length.
 
 Null and empty texts have no bytes and nothing removed. Null ids and repeated rows keep their own rows; rows that
 repeat are copies of each other. An empty table gives no rows.
@@ -24,33 +26,61 @@ repeat are copies of each other. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .shared import small_batches, written
-from .sorted_scan import sorted_scan
+from .shared import small_batches, starts, whole_runs, written
 
-MIN_BYTES, GRAM = 400, 128
-BEFORE = MIN_BYTES - GRAM
-#: Bytes of a text that are hashed at a time.
+#: Symbols that are hashed at a time.
 CHUNK = 1 << 19
-#: Neighbours that are compared in cut groups.
-REACH = 4
-#: Rows of a sorted partition, about.
-RANGE_ROWS = 15_000
+#: Occurrences of an anchor that stand in one task.
+GROUP = 10_000
+#: Words longer than this stand as their hash in suffixes.
+LONG_WORD = 32
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW: list[np.ndarray] = []
 
 
+@dataclass(frozen=True)
+class Kind:
+    """least: symbols of a repeat; gram: of an anchor; across: whether a repeat needs two texts."""
+
+    name: str
+    least: int
+    gram: int
+    across: bool
+
+    @property
+    def before(self) -> int:
+        """Symbols that a window may hold before its anchor."""
+        return self.least - self.gram
+
+    def size(self, side: bytes, n: int) -> int:
+        """Whole symbols in the first n bytes of a side."""
+        return side.count(b" ", 0, n) if self.across else n
+
+    def head(self, side: Column, n: Column) -> Column:
+        """A side's first n symbols."""
+        return F.call_function("substring_index", side.cast("string"), F.lit(" "), n) if self.across else F.substring(side, F.lit(1), n)
+
+
+BYTES, WORDS = Kind("bytes", 400, 128, False), Kind("words", 51, 16, True)
+KINDS = (BYTES, WORDS)
+
+
 def _powers() -> list[np.ndarray]:
     if not _POW:
-        n = CHUNK + 2 * MIN_BYTES
         inverse = np.uint64(pow(int(_M), -1, 1 << 64))
         for base in (_M, inverse):
-            p = np.full(n, base, np.uint64)
+            p = np.full(CHUNK + 2 * BYTES.least, base, np.uint64)
             p[0] = 1
             _POW.append(np.cumprod(p, dtype=np.uint64))
     return _POW
@@ -68,20 +98,19 @@ def _slide(x: np.ndarray, w: int, best: np.ufunc, pad: int) -> np.ndarray:
     return best(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of a text's anchors."""
+def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a text's anchors; symbols are its bytes or its words' hashes."""
     found: list[np.ndarray] = []
     at: list[np.ndarray] = []
     power, inverse = _powers()
-    w = MIN_BYTES - GRAM + 1
-    top = 0xFFFFFFFFFFFFFFFF
-    for start in range(0, len(data) - MIN_BYTES + 1, CHUNK):
-        x = np.frombuffer(data, np.uint8, min(CHUNK + MIN_BYTES - 1, len(data) - start), start).astype(np.uint64) + np.uint64(1)
+    gram, w = kind.gram, kind.before + 1
+    for start in range(0, len(symbols) - kind.least + 1, CHUNK):
+        x = symbols[start : start + CHUNK + kind.least - 1].astype(np.uint64) + np.uint64(1)
         c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)])
-        h = (c[GRAM:] - c[:-GRAM]) * inverse[: len(x) - GRAM + 1]
+        h = (c[gram:] - c[:-gram]) * inverse[: len(x) - gram + 1]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-        least = _slide(h, w, np.minimum, top)
+        least = _slide(h, w, np.minimum, 0xFFFFFFFFFFFFFFFF)
         pad = np.zeros(w - 1, np.uint64)
         most = _slide(np.concatenate([pad, least, pad]), w, np.maximum, 0)
         k = np.flatnonzero(h == most)
@@ -117,143 +146,145 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def extents(rights: list[bytes], lefts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-    """For sorted suffixes of one anchor: bytes to the left and right of the anchor that repeats cover (-1: none),
-    and the longest common prefix with a neighbour."""
-    m = len(rights)
-    lcp = [common(a, b) for a, b in zip(rights, rights[1:], strict=False)]
-    left, right = [-1] * m, [-1] * m
-    near = [max(a, b) for a, b in zip([0, *lcp], [*lcp, 0], strict=True)]
-    for r, first, last in intervals(lcp):
-        need = max(0, MIN_BYTES - r)
-        if need > BEFORE:
+def _least(x: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of a < b that gives the smallest of x[a:b]."""
+    rows = [x]
+    while len(rows[-1]) > 1 << (len(rows) - 1):
+        step = 1 << (len(rows) - 1)
+        rows.append(np.minimum(rows[-1][:-step], rows[-1][step:]))
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level = np.log2(b - a).astype(np.int64)
+        out = np.empty(len(a), x.dtype)
+        for k in np.unique(level):
+            i = level == k
+            out[i] = np.minimum(rows[k][a[i]], rows[k][b[i] - (1 << k)])
+        return out
+
+    return of
+
+
+def extents(right: list[bytes], left: list[bytes], rid: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted suffixes of one anchor: symbols to its left and to its right that repeats cover (-1: none)."""
+    m = len(right)
+    l, r = np.full(m, -1), np.full(m, -1)  # noqa: E741
+    if m == 2:
+        a, b = kind.size(left[0], common(*left)), kind.size(right[0], common(*right))
+        if a + b >= kind.least and not (kind.across and rid[0] == rid[1]):
+            l[:], r[:] = a, b
+        return l, r
+    lcp = [kind.size(a, common(a, b)) for a, b in pairwise(right)]
+    by_left = np.array(sorted(range(m), key=left.__getitem__))
+    near = np.array([kind.size(left[i], common(left[i], left[j])) for i, j in pairwise(by_left.tolist())])
+    if max(lcp) + near.max() < kind.least:
+        return l, r
+    rank, least = np.argsort(by_left), _least(near)
+    for share, first, last in intervals(lcp):
+        need = kind.least - share
+        if need > near.max():
             continue
-        order = sorted(range(first, last + 1), key=lefts.__getitem__)
-        for i, j in zip(order, order[1:], strict=False):
-            if (n := common(lefts[i], lefts[j])) >= need:
-                for x in (i, j):
-                    left[x], right[x] = max(left[x], n), max(right[x], r)
-    return left, right, near
-
-
-def groups(rights: list[bytes], lefts: list[bytes]) -> list[tuple[int, int, list[int]]]:
-    """The maximal repeat groups of one anchor: (bytes left, bytes right, all occurrences)."""
+        x = np.sort(rank[first : last + 1])
+        who = by_left[x]
+        # the next row on either side that counts as a partner
+        run = starts(rid[who]) if kind.across else np.arange(len(x) + 1)
+        own = np.repeat(np.arange(len(run) - 1), np.diff(run))
+        best = np.full(len(x), -1)
+        k = np.flatnonzero(own > 0)
+        best[k] = least(x[run[own[k]] - 1], x[k])
+        k = np.flatnonzero(own < len(run) - 2)
+        best[k] = np.maximum(best[k], least(x[k], x[run[own[k] + 1]]))
+        k = best >= need
+        l[who[k]] = np.maximum(l[who[k]], best[k])
+        r[who[k]] = np.maximum(r[who[k]], share)
+    return l, r
+
+
+def groups(right: list[bytes], left: list[bytes], kind: Kind = BYTES) -> list[tuple[int, int, list[int]]]:
+    """The maximal repeat groups of one anchor's sorted suffixes: (symbols left, symbols right, all occurrences). A group
+    is maximal to the right if its occurrences don't all lie in one child of the interval, and to the left by the same
+    test on the left sides."""
     out = []
-    lcp = [common(a, b) for a, b in zip(rights, rights[1:], strict=False)]
+    lcp = [kind.size(a, common(a, b)) for a, b in pairwise(right)]
     for r, first, last in intervals(lcp):
-        order = sorted(range(first, last + 1), key=lefts.__getitem__)
-        for n, lo, hi in intervals([common(lefts[i], lefts[j]) for i, j in zip(order, order[1:], strict=False)] or []):
-            own = order[lo : hi + 1]
-            # an interval of the tree whose occurrences all lie in one child of this one isn't maximal to the right
-            if n + r >= MIN_BYTES and (min(own) == first or any(lcp[i - 1] <= r for i in range(min(own) + 1, max(own) + 1)) or len(own) == last - first + 1):
-                out.append((n, r, sorted(own)))
+        order = sorted(range(first, last + 1), key=left.__getitem__)
+        for n, lo, hi in intervals([kind.size(left[i], common(left[i], left[j])) for i, j in pairwise(order)]):
+            own = sorted(order[lo : hi + 1])
+            if n + r >= kind.least and min(lcp[own[0] : own[-1]]) == r:
+                out.append((n, r, own))
     return out
 
 
-def _bytes(x) -> bytes:
-    return bytes(x) if x is not None else b""
-
-
-ROW = "h long, rid long, pos long, right binary, left binary, more binary"
-
-
-def _tree(batches):
-    """Extents of the occurrences of a range of the suffix array. Those of cut anchors come with their contexts."""
-    rows = pd.concat(list(batches) or [pd.DataFrame()], ignore_index=True)
-    if not len(rows):
-        return
-    h = rows["h"].to_numpy()
-    cut = np.flatnonzero(h[1:] != h[:-1]) + 1
-    out = {k: [] for k in ("rid", "pos", "lo", "hi", "cut", "h", "right", "left")}
-
-    def put(*x):
-        for k, v in zip(out, x, strict=True):
-            out[k].append(v)
-
-    def whole(x):
-        # integers beside nulls stay integers: hashes don't fit into floats
-        return pd.DataFrame({k: pd.array(v, dtype="Int64") if k in ("lo", "hi", "h") else pd.Series(v, dtype=object if k in ("right", "left") else None) for k, v in x.items()})
-
-    right_all, left_all = rows["right"].to_numpy(), rows["left"].to_numpy()
-    rid, pos, more = rows["rid"].to_numpy(), rows["pos"].to_numpy(), rows["more"].to_numpy()
-    bounds = [0, *cut.tolist(), len(h)]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        rights, lefts = [_bytes(x) for x in right_all[a:b]], [_bytes(x) for x in left_all[a:b]]
-        left, right, _ = extents(rights, lefts)
-        border = a == 0 or b == len(h)
-        for i in range(b - a):
-            x = a + i
-            if len(own := _bytes(more[x])):
-                for p in [pos[x], *np.frombuffer(own, "<i8").tolist()]:
-                    put(rid[x], p, p - len(lefts[i]), p + len(rights[i]), False, None, None, None)
-            elif left[i] >= 0 and not border:
-                put(rid[x], pos[x], pos[x] - left[i], pos[x] + right[i], False, None, None, None)
-            if border:
-                some = left[i] >= 0
-                put(rid[x], pos[x], pos[x] - left[i] if some else None, pos[x] + right[i] if some else None, True, h[x], rights[i], lefts[i])
-        if len(out["rid"]) > 5000:
-            yield whole(out)
-            out.update({k: [] for k in out})
-    yield whole(out)
-
-
-def _near(p: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame:
-    """Common bytes with neighbours: the longest to each side, and the longest that are part of a repeat."""
-    h, rid, pos = (p[c].to_numpy() for c in ("h", "rid", "pos"))
-    right, left = [_bytes(x) for x in p["right"]], [_bytes(x) for x in p["left"]]
-    out = {k: [] for k in ("rid", "pos", "l", "r", "ql", "qr")}
-    for i in range(len(p)):
-        for j in range(i + 1, min(len(p), i + 1 + REACH)):
-            if h[i] != h[j]:
-                break
-            if side is not None and side[i] == side[j]:
-                continue
-            n, r = common(left[i], left[j]), common(right[i], right[j])
-            ok = n + r >= MIN_BYTES
-            for x in (i, j):
-                for k, v in zip(out, (rid[x], pos[x], n, r, n if ok else -1, r if ok else -1), strict=True):
-                    out[k].append(v)
-    f = pd.DataFrame(out).astype("int64")
-    return f.groupby(["rid", "pos"], as_index=False).max() if len(f) else f
-
-
-def _windows(batches):
-    """The hash of each window between an occurrence's bounds."""
+ROW = "kind int, h long, rid long, pos long, right binary, left binary, n_left int, n_right int, more array<bigint>"
+
+
+def suffixes(data: bytes, places: list, rid: int) -> Iterator[tuple]:
+    """ROW of a text's places (kind, pos, h). Of places that are alike in all but their position the first is a row, and
+    more holds the others."""
+    words: list[bytes] = []
+    made: dict[tuple, list[int]] = {}
+    for x in places:
+        kind, p = KINDS[x["kind"]], x["pos"]
+        if kind is WORDS:
+            words = words or [w + b" " for w in _words(data)]
+            key = (1, x["h"], b"".join(words[p : p + kind.least]), b"".join(words[max(0, p - kind.before) : p][::-1]), min(p, kind.before), min(len(words) - p, kind.least))
+        else:
+            right, left = data[p : p + kind.least], data[max(0, p - kind.before) : p][::-1]
+            key = (0, x["h"], right, left, len(left), len(right))
+        made.setdefault(key, []).append(p)
+    for (k, h, right, left, n, m), pos in made.items():
+        yield k, h, rid, pos[0], right, left, n, m, pos[1:] or None
+
+
+def _words(data: bytes) -> list[bytes]:
     import xxhash
 
-    for p in batches:
-        for h, rid, pos, right, left, lo, hi in zip(p["h"], p["rid"], p["pos"], p["right"], p["left"], p["lo"], p["hi"], strict=True):
-            right, left = _bytes(right), _bytes(left)[::-1]
-            a = [a for a in range(lo, hi + 1) if a <= len(left) and MIN_BYTES - a <= len(right)]
-            keys = [xxhash.xxh3_128_digest(left[len(left) - x :] + right[: MIN_BYTES - x]) for x in a]
-            yield pd.DataFrame({"h": h, "rid": rid, "pos": pos, "a": np.array(a, np.int64), "w": keys})
-
-
-def cut_groups(cut: DataFrame, parts: int) -> DataFrame:
-    """rid, lo, hi of the occurrences of anchors that a border cuts."""
-    near = "rid long, pos long, l long, r long, ql long, qr long"
-    rows = cut.select("h", "rid", "pos", "right", "left")
-    one = sorted_scan(rows, ["h", "left", "right", "rid", "pos"], REACH, _near, near, parts, "by_left")
-    two = sorted_scan(rows, ["h", "right", "left", "rid", "pos"], REACH, _near, near, parts, "by_right")
-    # what their own range has shown already
-    own = cut.select("rid", "pos", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"), F.coalesce(F.col("pos") - F.col("lo"), F.lit(-1)).alias("ql"), F.coalesce(F.col("hi") - F.col("pos"), F.lit(-1)).alias("qr"))
-    both = one.unionByName(two).unionByName(own).groupBy("rid", "pos").agg(*[F.max(c).alias(c) for c in ("l", "r", "ql", "qr")])
-    low, high = F.greatest(F.lit(0), MIN_BYTES - F.col("r")), F.least(F.col("l"), F.lit(BEFORE))
-    both = both.withColumn("low", low).withColumn("high", high).where("low <= high")
-    done = (F.col("ql") >= 0) & (F.least("ql", F.lit(BEFORE)) == F.col("high")) & (F.greatest(F.lit(0), MIN_BYTES - F.col("qr")) == F.col("low"))
-    both = written(both.withColumn("done", done), "bounds")
-    found = both.where("ql >= 0").select("rid", (F.col("pos") - F.col("ql")).alias("lo"), (F.col("pos") + F.col("qr")).alias("hi"))
-    if both.where("not done").isEmpty():
-        return found
-    # every occurrence of an anchor with an open case gives its windows between its bounds
-    every = rows.join(both.select("rid", "pos", "low", "high", "done"), ["rid", "pos"])
-    every = written(every.select("h", "rid", "pos", "right", "left", F.col("low").alias("lo"), F.col("high").alias("hi"), "done"), "cut_open")
-    open_h = every.where("not done").select("h").distinct()
-    w = every.join(open_h, "h", "left_semi").drop("done").repartition(F.col("rid"), F.col("pos")).mapInPandas(_windows, "h long, rid long, pos long, a long, w binary")
-    w = written(w, "windows")
-    twice = w.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wide = w.join(written(twice, "twice").select("h", "w"), ["h", "w"], "left_semi").groupBy("rid", "pos").agg(F.max("a").alias("most"), F.min("a").alias("least"))
-    return found.unionByName(wide.select("rid", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") - F.col("least") + MIN_BYTES).alias("hi")))
+    return [w if len(w) <= LONG_WORD else xxhash.xxh3_128_hexdigest(w).encode() for w in data.split()]
+
+
+def found_in(table: pa.Table) -> Iterator[tuple[int, int, int, int]]:
+    """(rid, kind, lo, hi): what repeats cover around the anchors of whole groups."""
+    kinds, h, rid, pos = (table.column(c).to_numpy() for c in ("kind", "h", "rid", "pos"))
+    right, left, more = (table.column(c).to_pylist() for c in ("right", "left", "more"))
+    size = [table.column(c).to_numpy() for c in ("n_left", "n_right")]
+    for a, b in pairwise(sorted({*starts(h).tolist(), *starts(kinds).tolist()})):
+        kind = KINDS[kinds[a]]
+        if b - a > 1:
+            n, m = extents(right[a:b], left[a:b], rid[a:b], kind)
+        else:
+            n = m = np.array([-1])
+        for i in range(a, b):
+            x, y = n[i - a], m[i - a]
+            if more[i] and not kind.across and size[0][i] + size[1][i] >= kind.least:
+                x, y = size[0][i], size[1][i]  # it stands in its own text a second time
+            if x >= 0:
+                for p in (pos[i], *(more[i] or ())):
+                    yield rid[i], kinds[i], p - x, p + y
+
+
+def halved(rows: DataFrame, kind: Kind) -> DataFrame:
+    """rid, kind, lo, hi of frequent anchors' occurrences (h, rid, places, left, right, n_left, n_right)."""
+    least = kind.least
+    todo = rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(kind.before))
+    found = None
+    while True:
+        # what all windows of the range share, and what they cover
+        inner = (kind.head(F.col("left"), F.col("lo")), kind.head(F.col("right"), least - F.col("hi")))
+        outer = (kind.head(F.col("left"), F.col("hi")), kind.head(F.col("right"), least - F.col("lo")))
+        keyed = todo.where((F.col("n_left") >= F.col("lo")) & (F.col("n_right") >= least - F.col("hi")))
+        keyed = written(keyed.withColumns({"k0": F.xxhash64("h", "lo", "hi", *inner), "k1": F.xxhash64(F.lit(1), *inner, "h"), "all": F.xxhash64(*outer)}), "halved")
+        some = F.min("rid") != F.max("rid") if kind.across else F.sum(F.size("places")) > 1
+        shared = keyed.groupBy("k0", "k1").agg(some.alias("some"), (F.min("all") != F.max("all")).alias("mixed")).where("some").drop("some")
+        both = written(keyed.join(shared, ["k0", "k1"]).drop("k0", "k1", "all"), "shared")
+        n, m = F.least("n_left", "hi"), F.least(F.col("n_right"), least - F.col("lo"))
+        done = both.where(~F.col("mixed") & (n + m >= least)).select("rid", F.lit(KINDS.index(kind)).alias("kind"), F.explode("places").alias("pos"), n.alias("n"), m.alias("m"))
+        done = done.select("rid", "kind", (F.col("pos") - F.col("n")).alias("lo"), (F.col("pos") + F.col("m")).alias("hi"))
+        found = done if found is None else found.unionByName(done)
+        todo = both.where("mixed").drop("mixed")
+        if todo.isEmpty():
+            return found
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        parts = F.explode(F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi"))))
+        todo = todo.withColumn("x", parts).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")}).drop("x")
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -265,75 +296,110 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([s[first, 0], top[np.r_[first[1:] - 1, len(s) - 1]]])
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """k0, k1 (a hash of the text) and text, once a text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.xxhash64(body).alias("k0"), F.xxhash64(F.lit(1), body).alias("k1"), body.alias("__text")).groupBy("k0", "k1").agg(F.first("__text").alias("__text"))
+
+
+def passages(docs: DataFrame, seen: DataFrame, text: str) -> DataFrame:
+    """k0, k1, spans: an array of (kind, lo, hi) of each distinct text that repeats cover in parts. seen: rid, k0, k1 and
+    the anchors of each row."""
+    one = written(seen.groupBy("k0", "k1").agg(F.min("rid").alias("rid")), "texts")
+    first = seen.join(one.select("rid"), "rid", "left_semi")
+    each = [first.select("rid", F.lit(i).alias("kind"), F.explode(F.arrays_zip(F.col(f"{k.name}_h").alias("h"), F.col(f"{k.name}_at").alias("pos"))).alias("x")).select("rid", "kind", "x.h", "x.pos") for i, k in enumerate(KINDS)]
+    occ = written(each[0].unionByName(each[1]), "occurrences")
+    twice = F.when(F.col("kind") == KINDS.index(WORDS), F.min("rid") != F.max("rid")).otherwise(F.count(F.lit(1)) > 1)
+    often = occ.groupBy("kind", "h").agg(F.count(F.lit(1)).alias("n"), twice.alias("twice")).where("twice")
+    often = written(often.select("kind", "h", (F.col("n") > GROUP).alias("hot")), "often")
+    hot = not often.where("hot").isEmpty()
+
+    schema = to_arrow_schema(StructType.fromDDL(ROW))
+
+    def context(batches):
+        for b in batches:
+            for rid, t, at in zip(*(b.column(c).to_pylist() for c in ("rid", "__text", "at")), strict=True):
+                out = list(suffixes(t.encode("utf-8", "surrogatepass"), at, rid))
+                for i in range(0, len(out), 2000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 2000], strict=True), schema, strict=True)], schema=schema)
+
+    def array(is_hot: bool) -> DataFrame:
+        own = occ.join(often.where("hot" if is_hot else "not hot"), ["kind", "h"])
+        at = written(own.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "h"))).alias("at")).join(one, "rid"), "places")
+        return _texts(docs, text).join(at, ["k0", "k1"]).select("rid", "__text", "at").mapInArrow(context, ROW)
+
+    def scan(batches):
+        for table in whole_runs(batches, "h"):
+            rid, kind, lo, hi = np.array(list(found_in(table)), np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(kind.astype(np.int32)), pa.array(lo), pa.array(hi)], names=["rid", "kind", "lo", "hi"])
+
+    order = ["kind", "h", "right", "left", "rid", "pos"]
+    spans = array(False).repartition(F.col("kind"), F.col("h")).sortWithinPartitions(*order).mapInArrow(scan, "rid long, kind int, lo long, hi long")
+    if hot:
+        rows = written(array(True), "frequent")
+        rows = rows.select("kind", "h", "rid", F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<bigint>"))).alias("places"), "left", "right", "n_left", "n_right")
+        for i, kind in enumerate(KINDS):
+            spans = spans.unionByName(halved(rows.where(F.col("kind") == i).drop("kind"), kind))
+    return spans.groupBy("rid").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("spans")).join(one, "rid")
+
+
 def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_bytes, n_removed, n_spans, kept (the remaining bytes' hash)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    # the keys are long, and a sample of them goes to the driver
-    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "20")
+    """keep, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), n_words, n_repeated_words (those in
+    passages of more than 50 words that another row holds too)."""
+    import hashlib
+
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, body.alias("__text")).withColumn("rid", F.monotonically_increasing_id())
+    own = {f"__keep{i}": F.col(c) for i, c in enumerate(keep)}
+    rows = docs.select(*[c.alias(n) for n, c in own.items()], F.xxhash64(body).alias("k0"), F.xxhash64(F.lit(1), body).alias("k1"), body.alias("__text"))
+    made = [("n_bytes", "long"), ("n_words", "long"), ("whole", "string"), *[(f"{k.name}_{c}", "array<bigint>") for k in KINDS for c in ("h", "at")]]
+    schema = ", ".join(f"{n} {t}" for n, t in [*((n, t) for n, t in rows.dtypes if n != "__text"), *made])
 
     def find(batches):
+        import xxhash
+
         for b in batches:
-            found = [anchors(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array([h.astype("<u8").view(np.int64).tolist() for h, _ in found], pa.list_(pa.int64())), pa.array([p.tolist() for _, p in found], pa.list_(pa.int64()))], names=["rid", "k0", "k1", "n", "h", "pos"])
-
-    light = rows.select("rid", "__text", F.xxhash64("__text").alias("k0"), F.xxhash64(F.lit(1), "__text").alias("k1"), F.octet_length("__text").cast("long").alias("n"))
-    seen = written(light.mapInArrow(find, "rid long, k0 long, k1 long, n long, h array<long>, pos array<long>"), "anchors")
-    texts = written(seen.groupBy("k0", "k1", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid")), "texts")
-    one = texts.select("rid", "copies")
-    occ = written(seen.select("rid", "h", "pos").join(one.select("rid"), "rid", "left_semi").select("rid", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("rid", "x.h", "x.pos"), "occurrences")
-    often = written(occ.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
-    places = occ.join(often, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("at"))
-
-    def contexts(batches):
-        for b in batches:
-            for rid, t, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, made = t.encode("utf-8", "surrogatepass"), {}
-                for x in at:
-                    p = x["pos"]
-                    key = (x["h"], data[p : p + MIN_BYTES], data[max(0, p - BEFORE) : p][::-1])
-                    made.setdefault(key, []).append(p)
-                h, right, left = zip(*made, strict=True)
-                pos = list(made.values())
-                for i in range(0, len(pos), 2000):
-                    more = [np.array(x[1:], "<i8").tobytes() if len(x) > 1 and len(r) + len(le) >= MIN_BYTES else None for x, r, le in zip(pos[i : i + 2000], right[i:], left[i:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 2000], pa.int64()), pa.array([rid] * len(more), pa.int64()), pa.array([x[0] for x in pos[i : i + 2000]], pa.int64()), pa.array(right[i : i + 2000], pa.binary()), pa.array(left[i : i + 2000], pa.binary()), pa.array(more, pa.binary())], names=["h", "rid", "pos", "right", "left", "more"])
-
-    n_occ = occ.join(often, "h", "left_semi").count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_occ // RANGE_ROWS + 1)
-    array = rows.select("rid", "__text").join(written(places, "places"), "rid").select("rid", "__text", "at").mapInArrow(contexts, ROW)
-    order = ["h", "right", "left", "rid", "pos"]
-    ranged = array.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    tree = written(ranged.mapInPandas(_tree, "rid long, pos long, lo long, hi long, cut boolean, h long, right binary, left binary"), "tree")
-    spans = tree.where("not cut").select("rid", "lo", "hi").unionByName(cut_groups(tree.where("cut").select("h", "rid", "pos", "right", "left", "lo", "hi"), parts))
-    spans = written(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+            out: list[list] = [[] for _ in made]
+            for t in b.column("__text").to_pylist():
+                data = t.encode("utf-8", "surrogatepass")
+                words = data.split()
+                symbols = (np.frombuffer(data, np.uint8), np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+                places = [x for s, k in zip(symbols, KINDS, strict=True) for x in anchors(s, k)]
+                for column, x in zip(out, (len(data), len(words), hashlib.sha256(data).hexdigest(), *(p.astype("<u8").view(np.int64) for p in places)), strict=True):
+                    column.append(x)
+            arrow = {"long": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+            plain = [n for n in b.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in plain), *(pa.array(x, arrow[t]) for x, (_, t) in zip(out, made, strict=True))], names=[*plain, *(n for n, _ in made)])
+
+    seen = written(rows.mapInArrow(find, schema).withColumn("rid", F.monotonically_increasing_id()), "anchors")
+    spans = written(passages(docs, seen, text), "spans")
 
     def cut_out(batches):
-        import hashlib
-
         for b in batches:
             out = []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = t.encode("utf-8", "surrogatepass")
-                s = _merged(np.array([(x["lo"], x["hi"]) for x in spans], np.int64))
-                ends = [0, *s.ravel().tolist(), len(data)]
-                kept = hashlib.sha256()
+            for t, found in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                data, kept, gone, n = t.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0
+                by = [_merged(np.array(x, np.int64).reshape(-1, 2)) if (x := [(s["lo"], s["hi"]) for s in found if s["kind"] == k]) else np.zeros((0, 2), np.int64) for k in range(2)]
+                ends = [0, *by[0].ravel().tolist(), len(data)]
                 for a, e in zip(ends[::2], ends[1::2], strict=True):
                     kept.update(data[a:e])
-                out.append((int((s[:, 1] - s[:, 0]).sum()), len(s), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in zip(*out, strict=True))] if out else [b.column(0), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names=["rid", "__removed", "__spans", "__kept"])
-
-    cut = rows.select("rid", "__text").join(spans, "rid").select("rid", "__text", "spans").mapInArrow(cut_out, "rid long, __removed long, __spans long, __kept string")
-    base = rows.select("rid", *keep, F.sha2(F.encode("__text", "utf-8"), 256).alias("__whole"))
-    copied = seen.select("rid", "k0", "k1", "n").join(texts.where((F.col("copies") > 1) & (F.col("n") >= MIN_BYTES)).select("k0", "k1", "n"), ["k0", "k1", "n"], "left_semi").select("rid", F.lit(True).alias("__copy"))
-    out = base.join(seen.select("rid", "n"), "rid").join(copied, "rid", "left").join(cut, "rid", "left")
-    gone, whole = F.coalesce("__copy", F.lit(False)), F.col("n")
+                gone, n = (int((x[:, 1] - x[:, 0]).sum()) for x in by)
+                out.append((gone, len(by[0]), kept.hexdigest(), n))
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("k0"), b.column("k1"), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True))], names=["k0", "k1", "gone", "runs", "kept", "repeated"])
+
+    cut = _texts(docs, text).join(spans.select("k0", "k1", "spans"), ["k0", "k1"]).mapInArrow(cut_out, "k0 long, k1 long, gone long, runs long, kept string, repeated long")
+    copies = seen.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("copies")).join(cut, ["k0", "k1"], "left")
+    out = seen.drop("rid", *[f"{k.name}_{c}" for k in KINDS for c in ("h", "at")]).join(copies, ["k0", "k1"])
+    copy = F.col("copies") > 1
+    all_bytes, all_words = copy & (F.col("n_bytes") >= BYTES.least), copy & (F.col("n_words") >= WORDS.least)
+    of = lambda whole, total, part: F.when(whole, total).otherwise(F.coalesce(part, F.lit(0))).cast("long")
     return out.select(
-        *keep,
-        whole.alias("n_bytes"),
-        F.when(gone, whole).otherwise(F.coalesce("__removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("__spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("__kept", "__whole")).alias("kept_sha256"),
+        *[F.col(n).alias(c) for n, c in zip(own, keep, strict=True)],
+        "n_bytes",
+        of(all_bytes, F.col("n_bytes"), "gone").alias("n_removed"),
+        of(all_bytes, F.lit(1), "runs").alias("n_spans"),
+        F.when(all_bytes, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
+        "n_words",
+        of(all_words, F.col("n_words"), "repeated").alias("n_repeated_words"),
     )
