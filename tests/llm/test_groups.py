@@ -241,20 +241,89 @@ def test_toxicity(spark, none):
     right = sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held)
     assert right / len(held) > 0.95
     assert next(r for r in got if r["doc_id"] == 602)["score"] > 0.5
+    assert all(r["score"] == min(x["score"] for x in got) for r in got if r["doc_id"] in (600, 601))
     assert toxicity.scored(none, labels).count() == 0
     alone = toxicity.scored(docs, labels.limit(0)).select("score").distinct().collect()
     assert [r[0] for r in alone] == [0.0]
 
 
+def plain_scores(docs, labels):
+    """op5 word by word: dictionaries, every segment by its definition, the same curve."""
+    import math
+    import zlib
+
+    cut = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    known = defaultdict(int)
+    for d, y, *_ in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            known[d] = max(known[d], y)
+    n, t, c = Counter(), Counter(), Counter()
+    for d, text in docs:
+        for w in set(cut(text)):
+            n[w] += 1
+            if d in known:
+                (t if known[d] else c)[w] += 1
+    n_all, n_t, n_c = sum(x + 0.5 for x in n.values()), sum(t.values()), sum(c.values())
+
+    def weight(w, dt=0, dc=0, st=0, sc=0):
+        all_ = max(toxicity.LEAST, toxicity.PRIOR * (n_t - st))
+        a = (n[w] + 0.5) / n_all * all_
+        x, y = max(t[w] - dt, 0) + a, max(c[w] - dc, 0) + a
+        odds = math.log(x / (n_t - st + all_ - x)) - math.log(y / (n_c - sc + all_ - y))
+        return math.copysign(max(0.0, abs(odds) - toxicity.SHRINK * math.sqrt(1 / x + 1 / y)), odds)
+
+    held = {w for w in n if t[w] + c[w] and weight(w)}
+
+    def best_parts(s, a, b):
+        best = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), key=lambda x: (x[0], -(x[2] - x[1]), -x[1]), default=(0,))
+        return [] if best[0] <= 0 else [*best_parts(s, a, best[1]), best[0], *best_parts(s, best[2], b)]
+
+    fit = []
+    for d, text in docs:
+        if d in known:
+            y, words = known[d], cut(text)
+            k = len(set(words))
+            fit.append((y, [(weight(w, y, 1 - y, k * y, k * (1 - y)) if w in held else 0.0) - toxicity.DRIFT for w in words]))
+    v = Counter(round(x * 50) for y, s in fit if not y for x in s)
+    scale = toxicity.scale_of(np.array([*v]) / 50, np.array([*v.values()], float))
+    parts = [(y, len(s), np.array(best_parts(s, 0, len(s))) * scale) for y, s in fit]
+    clean = [(p.max() if len(p) else 0.0, m) for y, m, p in parts if not y and m]
+    log_k = toxicity.log_k_of(np.array([x for x, _ in clean]), np.array([m for _, m in clean], float))
+    curve = toxicity.rising(np.array([toxicity.features(p, m, log_k) for _, m, p in parts]), np.array([float(y) for y, *_ in parts]))
+    for d, text in docs:
+        words = cut(text)
+        p = np.array(best_parts([(weight(w) if w in held else 0.0) - toxicity.DRIFT for w in words], 0, len(words))) * scale
+        yield d, 1 / (1 + math.exp(-(curve[0] + float(np.dot(curve[1:], toxicity.features(p, len(words), log_k))))))
+
+
+def test_toxicity_by_hand(spark):
+    """Every score against a plain version: counts, prior, segments, extreme values and curve."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs, labels = [], []
+    for i in range(90):
+        w = [r.choice(words) for _ in range(r.randint(1, 24))]
+        for _ in range(3 * (i % 4 == 0)):
+            w.insert(r.randrange(len(w) + 1), r.choice(["Scum", "moron"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(90, None), (91, ""), (4, docs[4][1])]
+    labels += [(4, 0), (None, 1), (7, None)]
+    got = toxicity.scored(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = sorted((x["doc_id"], x["score"]) for x in got.collect())
+    want = sorted(plain_scores(docs, labels))
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 1e-3
+
+
 def test_toxic_passage_of_known_words():
     """A passage whose words each stood alone before, and its repetition, are both found."""
     bad = [f"bad{i}" for i in range(12)]
     clean = lambda k: [f"c{k}x{i}" for i in range(90)]
     words = [w for k, b in enumerate(bad) for w in (b, *clean(k))]
     words += [*bad, *clean(12), *bad]
-    weight = np.zeros(toxicity.BUCKETS)
-    weight[toxicity.tokens(" ".join(bad))[2]] = 1.0
-    got = toxicity.Model(weight, 1.0, None, 0.0).passages(" ".join(words))
+    known = np.sort(toxicity.tokens(" ".join(bad))[1])
+    got = toxicity.Model(known, np.full(len(known), 1.6)).passages(" ".join(words))
     assert [x[:2] for x in got] == [(1092, 1104), (1194, 1206)]
 
 

@@ -1,27 +1,27 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Tokens are words and their beginnings, hashed into BUCKETS buckets, a fixed size whatever the vocabulary. A token
-counts once a document, but scores wherever it stands. Its count over all documents is the Dirichlet prior, its counts in toxic and clean labelled
-documents the evidence; a bucket's weight is its log-odds
-moved towards 0 by one standard deviation, so that what rests on few words weighs little. A token scores its weight
-less DRIFT, so that ordinary text scores below 0. One linear scan finds every maximal-scoring segment of a text
-(Ruzzo and Tompa's algorithm). A segment is significant if its score, in units of the scale that extreme-value
-statistics give for clean text (the root of E[exp(lambda * s)] = 1), exceeds the logarithm of the text's length. The
-best segment's normalised score, the sum over the significant ones and their number are turned into a probability
-by a logistic curve.
-
-The curve is fitted on at most FIT_ROWS labelled documents (those with the lowest hash of their id), each scored
-without its own counts. Counts cover all documents. Texts are read whole.
+Tokens are words, as 64-bit hashes. A token counts once a document, but scores wherever it stands. Its count over all documents is the Dirichlet prior, its counts in toxic and clean labelled documents the evidence; its weight is
+its log-odds moved towards 0 by SHRINK standard deviations, so that what rests on few documents weighs little. Tokens
+whose weight is 0 are no part of the model. A word scores its weight less DRIFT, so that ordinary text scores below 0. One linear scan finds every maximal-scoring segment of a text (Ruzzo and Tompa's
+algorithm).
+
+Extreme values. Clean text of n words has a segment of a score of s or more with probability
+1 - exp(-K n exp(-lambda s)): lambda is the root of E[exp(lambda * score)] = 1 over clean documents' words, K follows
+from the mean of clean documents' best segments. A segment is significant if it exceeds what n clean words are expected
+to hold once: lambda s > log(K n). A text's evidence is the negative logarithm of its best segment's probability, and
+the sum of its significant segments' excesses and their number (both as log(1 + x)); a logistic curve makes it a
+probability.
+
+The evidence comes from LABELS labelled documents at most and the curve from FIT_ROWS of them (those with the lowest
+hashes of their ids), each scored without its own counts. Counts of the prior cover all documents. Texts are read whole.
 
 Labels: rows with a null id or label teach nothing; if an id has several, it's toxic if one says so. Null and empty
-texts have no token and get the curve's score for no segment. With no toxic or no clean label every score is the
-share of toxic labels (0 without labels). An empty table gives no rows. Columns other than doc_id and text never
-count.
+texts have no token and the least score that there is. With no toxic or no clean label every score is the share of
+toxic labels (0 without labels). An empty table gives no rows. Columns other than doc_id and text never count.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,36 +32,27 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 
-BUCKETS = 1 << 18
-#: Bytes of a word's beginnings that are tokens too.
-STEMS = (5, 7)
-#: Labelled documents that the curve is fitted on, at most.
-FIT_ROWS = 20_000
-#: Labels that are broadcast, at most.
-FEW_LABELS = 500_000
-DRIFT = 0.15
+#: Labelled documents that give evidence, at most, and those that the curve is fitted on.
+LABELS, FIT_ROWS = 200_000, 20_000
+#: Chosen by cross-validation within the labels that may teach; no held-out label was read.
+DRIFT, SHRINK = 0.6, 1.5
 #: Pseudo-tokens of the prior for each token of the toxic class, LEAST at least.
 PRIOR, LEAST = 1.0, 1000.0
 THRESHOLD = 0.7
+#: Documents whose tokens are counted at a time.
+COUNTED = 2000
 #: ASCII marks part tokens; letters become lower case.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def tokens(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of words, the distinct word at each place, the distinct words' buckets: of the word and of its beginnings)."""
+def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct word at each place, the distinct words' tokens)."""
+    from xxhash import xxh3_64_intdigest
+
     words = (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
     known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = [list(map(zlib.crc32, known)), *([zlib.crc32(w[:k], k) for w in known] for k in STEMS)]
     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return len(words), at, (np.array(ids, np.int64).T if known else np.zeros((0, 1 + len(STEMS)), np.int64)) % BUCKETS
-
-
-def scores(n: int, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A score for each word: the heaviest of its weights less DRIFT, at every place."""
-    out = np.full(n, -DRIFT)
-    if n:
-        out += np.take_along_axis(weight, np.abs(weight).argmax(1)[:, None], 1)[at, 0]
-    return out
+    return at, np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known)).view(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,12 +61,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def weights(t: np.ndarray, c: np.ndarray, prior: np.ndarray, n_t: float, n_c: float) -> np.ndarray:
-    """Log-odds with a Dirichlet prior of t among n_t against c among n_c, a standard deviation nearer to 0."""
+    """Log-odds with a Dirichlet prior of t among n_t against c among n_c, SHRINK standard deviations nearer to 0."""
     total = max(LEAST, PRIOR * n_t)
     a = prior * total
     x, y = t + a, c + a
     odds = np.log(x / (n_t + total - x)) - np.log(y / (n_c + total - y))
-    return np.sign(odds) * np.maximum(0.0, np.abs(odds) - np.sqrt(1 / x + 1 / y))
+    return np.sign(odds) * np.maximum(0.0, np.abs(odds) - SHRINK * np.sqrt(1 / x + 1 / y))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -101,15 +92,19 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, float(b - a)) for s, e, a, b in out]
 
 
-def features(scores: np.ndarray, scale: float) -> tuple[float, float, float]:
-    """Best normalised segment, sum and number of the significant ones; (0, 0, 0) without a significant segment."""
-    if not len(scores):
+def features(s: np.ndarray, n: int, log_k: float) -> tuple[float, float, float]:
+    """The evidence of a text of n words with segments that score s, in units of the scale."""
+    if not len(s):
         return 0.0, 0.0, 0.0
-    line = np.log(len(scores) + 1.0)
-    s = np.array([x[2] for x in segments(scores)]) * scale
-    over = s[s > line] - line
-    best = (s.max() if len(s) else 0.0) - line
-    return float(np.clip(best, -10, 40)), float(np.log1p(over.sum())), float(np.log1p(len(over)))
+    over = s - log_k - np.log(n)
+    chance = -np.expm1(-np.exp(-np.clip(over.max(), -30, 300)))
+    good = over[over > 0]
+    return float(min(-np.log(chance), 40.0)), float(np.log1p(good.sum())), float(np.log1p(len(good)))
+
+
+def log_k_of(best: np.ndarray, n: np.ndarray) -> float:
+    """log K, from the best segments of clean texts of n words: their mean is log(K n) + Euler's constant."""
+    return float((best - np.log(n)).mean() - np.euler_gamma) if len(n) else 0.0
 
 
 def scale_of(clean: np.ndarray, n: np.ndarray) -> float:
@@ -151,22 +146,38 @@ def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """token: sorted; weight: of each."""
+
+    token: np.ndarray
     weight: np.ndarray
-    scale: float
-    curve: np.ndarray | None
-    share: float
+    scale: float = 1.0
+    log_k: float = 0.0
+    curve: np.ndarray | None = None
+    share: float = 0.0
+
+    def of(self, ids: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        """The weights of tokens, 0 for those that aren't in the model."""
+        values = self.weight if values is None else values
+        if not len(self.token):
+            return np.zeros(ids.shape)
+        i = np.minimum(np.searchsorted(self.token, ids), len(self.token) - 1)
+        return np.where(self.token[i] == ids, values[i], 0.0)
+
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        at, ids = tokens(text)
+        return len(at), segments(self.of(ids)[at] - DRIFT)
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
             return self.share
-        n, at, ids = tokens(text)
-        x = np.array([1.0, *features(scores(n, at, self.weight[ids]), self.scale)])
-        return float(1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))))
+        n, found = self.segments(text)
+        x = features(np.array([x[2] for x in found]) * self.scale, n, self.log_k)
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], x), -30, 30))))
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """The significant segments, as token numbers."""
-        n, at, ids = tokens(text)
-        return [x for x in segments(scores(n, at, self.weight[ids])) if x[2] * self.scale > np.log(n + 1.0)]
+        n, found = self.segments(text)
+        return [x for x in found if x[2] * self.scale > self.log_k + np.log(n)]
 
 
 def _over(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str) -> DataFrame:
@@ -192,44 +203,53 @@ def _known(labels: DataFrame) -> DataFrame:
     return written(known.where(~held_out(F.col("doc_id"))), "labels")
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    small_batches(docs.sparkSession)
-    known, texts = _known(labels), docs.select("doc_id", F.col(text).alias("__text"))
-    # few labels go to every task, and no text is shuffled; many meet the texts in one shuffle
-    few = known.count() <= FEW_LABELS
-    rows = texts.join(F.broadcast(known) if few else known.hint("shuffle_hash"), "doc_id", "left")
+def evidence(docs: DataFrame, sample: DataFrame, text: str) -> DataFrame:
+    """token, n, t, c: documents, toxic and clean labelled ones that hold the token. sample: doc_id, __y."""
+    rows = docs.select("doc_id", F.col(text).alias("__text")).join(F.broadcast(sample), "doc_id", "left")
 
     def count():
-        held = np.zeros((3, BUCKETS), np.int64)
+        held: list[tuple[np.ndarray, int, int]] = []
+
+        def close():
+            if held:
+                ids = np.concatenate([x[0] for x in held])
+                t, c = (np.repeat([x[i] for x in held], [len(x[0]) for x in held]) for i in (1, 2))
+                token, back = np.unique(ids, return_inverse=True)
+                sums = [np.bincount(back, w, len(token)).astype(np.int64) for w in (None, t, c)]
+                held.clear()
+                for i in range(0, len(token), 1 << 14):
+                    yield dict(zip(("token", "n", "t", "c"), (x[i : i + (1 << 14)] for x in (token, *sums)), strict=True))
 
         def step(b):
-            if b:
-                for x, y in zip(b["__text"], b["__y"], strict=True):
-                    n = np.unique(tokens(x)[2])
-                    np.add.at(held[0], n, 1)
-                    if y is not None:
-                        np.add.at(held[2 - y], n, 1)
-                return
-            for at in range(0, BUCKETS, 1 << 14):
-                some = np.flatnonzero(held[0, at : at + (1 << 14)]) + at
-                yield {"bucket": some, "n": held[0, some], "t": held[1, some], "c": held[2, some]}
+            for x, y in zip(b.get("__text", ()), b.get("__y", ()), strict=True):
+                held.append((tokens(x)[1], int(y == 1), int(y == 0)))
+            if not b or len(held) >= COUNTED:
+                yield from close()
 
         return step
 
-    got = _over(rows.select("__text", "__y"), count, "bucket int, n bigint, t bigint, c bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("c").alias("c"))
-    sums = np.array(got.collect(), np.int64).reshape(-1, 4).T  # BUCKETS rows at most
-    at = sums[0]
-    n, t, c = np.zeros((3, BUCKETS))
-    for a, s in zip((n, t, c), sums[1:], strict=True):
-        a[at] = s
-    prior = (n + 0.5) / (n + 0.5).sum()
-    n_t, n_c = t.sum(), c.sum()
+    return _over(rows.select("__text", "__y"), count, "token bigint, n bigint, t bigint, c bigint").groupBy("token").agg(*[F.sum(x).alias(x) for x in ("n", "t", "c")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
+    small_batches(docs.sparkSession)
+    none = np.zeros(0)
+    known = _known(labels)
+    sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS), "sample")  # its bound lets it be broadcast
+    table = written(evidence(docs, sample, text), "tokens")
+    n_all, n_t, n_c = (float(x or 0) for x in table.agg(F.sum(F.col("n") + 0.5), F.sum("t"), F.sum("c")).first())
     if not n_t or not n_c:
-        return Model(np.zeros(BUCKETS), 1.0, None, float(known.agg(F.avg("__y")).first()[0] or 0.0))
-    w = weights(t, c, prior, n_t, n_c)
+        return Model(none.astype(np.int64), none, share=float(known.agg(F.avg("__y")).first()[0] or 0.0))
+    # of the tokens of labelled documents those that weigh something: the sample bounds them
+    total = max(LEAST, PRIOR * n_t)
+    x, y = (F.col(k) + (F.col("n") + 0.5) / n_all * total for k in ("t", "c"))
+    odds = F.log(x / (n_t + total - x)) - F.log(y / (n_c + total - y))
+    held = table.where(F.col("t") + F.col("c") > 0).where(F.abs(odds) > SHRINK * F.sqrt(1 / x + 1 / y)).orderBy("token").toPandas()
+    t, c, prior = (held[k].to_numpy(float) for k in ("t", "c", "n"))
+    prior = (prior + 0.5) / n_all
+    model = Model(held["token"].to_numpy(np.int64), weights(t, c, prior, n_t, n_c).astype(np.float32))
+    some = docs.select("doc_id", F.col(text).alias("__text")).join(F.broadcast(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)), "doc_id")
     t, c, prior = t.astype(np.float32), c.astype(np.float32), prior.astype(np.float32)
-    # FIT_ROWS rows at most
-    some = texts.join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)), "doc_id")
 
     def alone():
         def step(b):
@@ -237,17 +257,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 return
             out = {"y": [], "scores": []}
             for x, y in zip(b["__text"], b["__y"], strict=True):
-                n, at, ids = tokens(x)
-                own, back = np.unique(ids, return_inverse=True)
-                mine = (np.maximum(t[own] - y, 0.0).astype(float), np.maximum(c[own] - 1 + y, 0.0).astype(float))
-                less = weights(*mine, prior[own].astype(float), n_t - len(own) * y, n_c - len(own) * (1 - y))
+                at, ids = tokens(x)
+                mine = [model.of(ids, v) for v in (t, c, prior)]
+                w = weights(np.maximum(mine[0] - y, 0.0), np.maximum(mine[1] - 1 + y, 0.0), np.maximum(mine[2], 1e-12), n_t - len(ids) * y, n_c - len(ids) * (1 - y))
                 out["y"].append(float(y))
-                out["scores"].append(scores(n, at, less[back].reshape(ids.shape)).astype("<f4").tobytes())
+                out["scores"].append((np.where(mine[2] > 0, w, 0.0)[at] - DRIFT).astype("<f4").tobytes())
             yield out
 
         return step
 
-    each = written(_over(some.select("__text", "__y"), alone, "y double, scores binary"), "alone")
+    each = written(_over(some.select("__text", "__y"), alone, "y double, scores binary"), "alone")  # FIT_ROWS rows at most
 
     def spread():
         def step(b):
@@ -259,20 +278,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         return step
 
     seen = np.array(_over(each, spread, "v bigint, n bigint").groupBy("v").agg(F.sum("n")).collect(), float).reshape(-1, 2)
-    scale = scale_of(seen[:, 0] / 50, seen[:, 1])
+    model.scale = scale_of(seen[:, 0] / 50, seen[:, 1])
+    scale = model.scale
+
+    def found():
+        def step(b):
+            for y, s in zip(b.get("y", ()), b.get("scores", ()), strict=True):
+                own = np.array([x[2] for x in segments(np.frombuffer(s, "<f4").astype(float))]) * scale
+                yield {"y": [y], "n": [len(s) // 4], "best": [float(own.max()) if len(own) else 0.0], "s": [own]}
+
+        return step
+
+    held = written(_over(each, found, "y double, n bigint, best double, s array<double>"), "segments")
+    best = np.array([tuple(r) for r in held.where("y = 0 and n > 0").select("best", "n").collect()], float).reshape(-1, 2)
+    model.log_k = log_k = log_k_of(best[:, 0], best[:, 1])
 
     def summed():
         def step(b):
             if b:
-                x = [(y, *features(np.frombuffer(s, "<f4").astype(float), scale)) for y, s in zip(b["y"], b["scores"], strict=True)]
+                x = [(y, *features(np.array(s), n, log_k)) for y, n, s in zip(b["y"], b["n"], b["s"], strict=True)]
                 yield dict(zip("yabc", zip(*x, strict=True), strict=True))
 
         return step
 
-    fitted = np.array(_over(each, summed, "y double, a double, b double, c double").collect(), float).reshape(-1, 4)  # FIT_ROWS rows at most
+    fitted = np.array(_over(held.select("y", "n", "s"), summed, "y double, a double, b double, c double").collect(), float).reshape(-1, 4)
     if not len(fitted):
-        return Model(np.zeros(BUCKETS), 1.0, None, float(n_t > 0))
-    return Model(w, scale, rising(fitted[:, 1:], fitted[:, 0]), float(fitted[:, 0].mean()))
+        return Model(none.astype(np.int64), none, share=float(n_t > 0))
+    model.curve, model.share = rising(fitted[:, 1:], fitted[:, 0]), float(fitted[:, 0].mean())
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -282,7 +315,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower()])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    model = Model(model.weight.astype(np.float32), model.scale, model.curve, model.share)
 
     def run(batches):
         for b in batches:
