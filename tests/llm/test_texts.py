@@ -122,10 +122,40 @@ def test_resampled_words(spark):
         assert abs(got[s] / t - 1) < 0.15
 
 
-def test_shards(docs):
-    slots = mixing.mix(docs, block=16, shards=4)[1]
-    assert slots.groupBy("source", "slot").count().where("count > 1").count() == 0
-    assert mixing.shard_counts(slots).select("shard").distinct().count() == 4
+def test_shards(docs, rows, monkeypatch):
+    """Shards are full, their counts are a draw, and every slot is a different block of its pass."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    slots = mixing.mix(docs, block=16)[1].toPandas()
+    assert not slots.duplicated(["source", "slot"]).any() and not slots.duplicated(["source", "pass", "block"]).any()
+    for _, own in slots.groupby("source", dropna=False):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    size = slots.groupby("shard").size()
+    full = size[: len(slots) // 64]
+    assert (full <= 64).all() and full.sum() > 0.8 * len(slots)
+    first = slots[slots["shard"] == 0]["source"].fillna("-").value_counts()
+    share = slots["source"].fillna("-").value_counts(normalize=True)
+    assert len(first) > 1 and all(abs(first.get(k, 0) - 64 * v) < 5 * (64 * v) ** 0.5 + 1 for k, v in share.items())
+    given = defaultdict(list)
+    for r in mixing.shards(docs, block=16).collect():
+        given[r["source"]] += r["words"]
+    own = defaultdict(Counter)
+    for _, t, _, s, *_ in rows:
+        own[s].update(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for s, t in shares({k: sum(v.values()) for k, v in own.items()}).items():
+        assert abs(len(given[s]) - t) <= 1
+        assert all(n <= 3 * own[s][w] for w, n in Counter(given[s]).items())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000, 4099])
+def test_permutation(spark, n):
+    from pyspark.sql import functions as F
+
+    at = lambda key: [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.struct(F.lit(key).alias("k"))), "id").orderBy("id").collect()]
+    one, two = at("a"), at("b")
+    assert sorted(one) == sorted(two) == list(range(n))
+    if n > 90:
+        moved = sum(x == y for x, y in zip(one, two, strict=True))
+        assert moved < n / 10 and len({(b - a) % n for a, b in zip(one, one[1:], strict=False)}) > n / 5
 
 
 def spans(t: str) -> list[tuple[int, int, str, int]]:
