@@ -16,9 +16,10 @@ read whole, and nothing matches across texts. Equal texts are handled as one (a
    (`groups` lists them). Of each occurrence the furthest extents to both sides are kept; as all of them contain the
    anchor, their union is one interval.
 4. An anchor of more than GROUP occurrences is no task's. Its occurrences are divided by what the windows of a range
-   of offsets have in common (their intersection), and a range is halved where the occurrences of a group differ in
-   what it covers (its union). Occurrences that agree in the whole union repeat it, single ones have no partner there;
-   so only ranges that cross a passage's end are halved, and the depth is the logarithm of a window's length.
+   of offsets have in common (their intersection). Those that agree in all that the range covers (its union), too, are
+   decided: they repeat it, and one of them stays as a partner for the others. Single ones have no partner. Where
+   others are left, the range is halved; so an occurrence goes on only where the range crosses its passage's end, and
+   the depth is the logarithm of a window's length.
 
 Null and empty texts have no bytes and nothing removed. Null ids and repeated rows keep their own rows; rows that
 repeat are copies of each other. An empty table gives no rows.
@@ -42,7 +43,7 @@ from .shared import small_batches, starts, whole_runs, written
 #: Symbols that are hashed at a time.
 CHUNK = 1 << 19
 #: Occurrences of an anchor that stand in one task.
-GROUP = 10_000
+GROUP = 20_000
 #: Words longer than this stand as their hash in suffixes.
 LONG_WORD = 32
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -263,7 +264,8 @@ def found_in(table: pa.Table) -> Iterator[tuple[int, int, int, int]]:
 
 def halved(rows: DataFrame, kind: Kind) -> DataFrame:
     """rid, kind, lo, hi of frequent anchors' occurrences (h, rid, places, left, right, n_left, n_right)."""
-    least = kind.least
+    least, key, ctx = kind.least, ["k0", "k1"], ["k0", "k1", "c0", "c1"]
+    row = ["h", "rid", "places", "left", "right", "n_left", "n_right", "lo", "hi"]
     todo = rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(kind.before))
     found = None
     while True:
@@ -271,20 +273,23 @@ def halved(rows: DataFrame, kind: Kind) -> DataFrame:
         inner = (kind.head(F.col("left"), F.col("lo")), kind.head(F.col("right"), least - F.col("hi")))
         outer = (kind.head(F.col("left"), F.col("hi")), kind.head(F.col("right"), least - F.col("lo")))
         keyed = todo.where((F.col("n_left") >= F.col("lo")) & (F.col("n_right") >= least - F.col("hi")))
-        keyed = written(keyed.withColumns({"k0": F.xxhash64("h", "lo", "hi", *inner), "k1": F.xxhash64(F.lit(1), *inner, "h"), "all": F.xxhash64(*outer)}), "halved")
-        some = F.min("rid") != F.max("rid") if kind.across else F.sum(F.size("places")) > 1
-        shared = keyed.groupBy("k0", "k1").agg(some.alias("some"), (F.min("all") != F.max("all")).alias("mixed")).where("some").drop("some")
-        both = written(keyed.join(shared, ["k0", "k1"]).drop("k0", "k1", "all"), "shared")
+        keyed = written(keyed.withColumns({"k0": F.xxhash64("h", "lo", "hi", *inner), "k1": F.xxhash64(F.lit(1), *inner, "h"), "c0": F.xxhash64(*outer), "c1": F.xxhash64(F.lit(1), *outer)}), "halved")
+        alike = keyed.groupBy(*ctx).agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.sum(F.size("places")).alias("n"))
+        alike = written(alike.withColumn("done", F.col("a") != F.col("b") if kind.across else F.col("n") > 1), "alike")
+        open_ = alike.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("done").alias("all")).where("kinds > 1 and not all").select(*key)
+        both = written(keyed.join(alike.drop("n"), ctx), "both")
         n, m = F.least("n_left", "hi"), F.least(F.col("n_right"), least - F.col("lo"))
-        done = both.where(~F.col("mixed") & (n + m >= least)).select("rid", F.lit(KINDS.index(kind)).alias("kind"), F.explode("places").alias("pos"), n.alias("n"), m.alias("m"))
+        done = both.where(F.col("done") & (n + m >= least)).select("rid", F.lit(KINDS.index(kind)).alias("kind"), F.explode("places").alias("pos"), n.alias("n"), m.alias("m"))
         done = done.select("rid", "kind", (F.col("pos") - F.col("n")).alias("lo"), (F.col("pos") + F.col("m")).alias("hi"))
         found = done if found is None else found.unionByName(done)
-        todo = both.where("mixed").drop("mixed")
-        if todo.isEmpty():
-            return found
+        # of those that are decided the first and the last text stay, once each
+        stay = both.where("not done").select(*key, *row).unionByName(both.where("done and (rid = a or rid = b)").dropDuplicates([*ctx, "rid"]).select(*key, *row))
+        todo = stay.where("lo < hi").join(open_, key).select(*row)
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         parts = F.explode(F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi"))))
-        todo = todo.withColumn("x", parts).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")}).drop("x")
+        todo = written(todo.withColumn("x", parts).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")}).drop("x"), "halves")
+        if todo.isEmpty():
+            return found
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
