@@ -207,6 +207,19 @@ def test_pii_unseen_shapes(spark):
     assert got[0] == "context:13:29"
 
 
+def test_pii_keys_and_lengths(spark):
+    """Keys make patterns that find others, long tokens and long words of a context are whole."""
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    word = "w" * 90
+    texts = [f'{w} token = "{key[i:] + key[:i]}" {w}' for i, w in enumerate(("one", "two", "three", "four", "five", "six"))]
+    texts += ['a token = "short-77" b', f"lone {key} here", f'x token = "{key * 20}" y']
+    texts += [f"{word} {word}x 10.0.0.{i} {word}" for i in range(6)] + [f"{word} {word}x id-77-{'9' * 70} {word}", f"{word} {word}y id-77 {word}"]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "context:13:53" and got[6]["spans"] == "context:11:19" and got[6]["n_spans"] == 1
+    assert got[7]["spans"] == "" and got[8]["spans"] == "context:11:811"
+    assert got[9]["spans"] == "ip:183:191" and got[15]["spans"] == "context:183:259" and got[16]["spans"] == ""
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     import duckdb

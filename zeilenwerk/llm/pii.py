@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Four base kinds are found by their patterns: email, ip, card (Luhn) and phone, leftmost and without overlap within a
-kind. They are the seeds. A pattern is the context of an identifier-like token: the word before and the word after
-it, or the two words before it, in lower case, whatever the token's shape. Patterns and instances (the
+kind. They and keys (runs of KEY_CHARS and more letters and digits, mixed) are the seeds. A pattern is the context of an
+identifier-like token: the word before and the word after it, or the two words before it, in lower case, whatever the
+token's shape and length; a mark beside the token, as a quote, is no word. Patterns and instances (the
 tokens' values) form a graph. It is scored in rounds: a pattern's score is the mean score of its occurrences'
 instances (with one fictitious miss), an instance's the score of its best pattern; seeds keep 1. Patterns that reach
-ACCEPT with at least SUPPORT seeds or instances of that score extract the unseen tokens in their context as spans of the kind `context`.
+ACCEPT with at least SUPPORT seeds or instances of that score extract the tokens in their context that no base pattern
+knows, as spans of the kind `context`; a key alone, in no such context, is none.
 
 Texts of any length are read by possessive patterns, which match as the greedy ones do but neither back up nor
 recurse. Null and empty texts have no spans. Null ids and repeated rows keep their own rows. Offsets are code points,
@@ -28,8 +30,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that can be an identifier: white-space runs that hold a digit or @ inside, without the marks at their ends.
-TOKEN = r"[A-Za-z0-9+][A-Za-z0-9@._:/+-]{4,62}[A-Za-z0-9]"
+#: Tokens that can be an identifier: runs of six characters and more that hold a digit or @, without the marks at their
+#: ends.
+TOKEN = r"(?<![A-Za-z0-9@._:/+-])(?=[A-Za-z0-9._:/+-]*[0-9@])[A-Za-z0-9+][A-Za-z0-9@._:/+-]{4,}[A-Za-z0-9]"
+#: A key has so many characters, and so many digits and letters among them.
+KEY_CHARS, KEY_EACH = 24, 6
 ACCEPT, SUPPORT, ROUNDS = 0.6, 3, 2
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 #: Matches of a text that are gathered at a time.
@@ -64,9 +69,6 @@ def _passes(kind: str, m: Column) -> Column:
     return F.length(d).between(9, 15)
 
 
-SPAN = "struct<kind:int,start:int,end:int,value:string>"
-
-
 def running(pairs: Column, made: str, step) -> Column:
     """What step(at, x) -> (next at, array of `made`) gives over an array, in order. Results are gathered in runs of
     RUN, so that a long text isn't copied once for each of its matches."""
@@ -106,27 +108,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def candidates(rows: DataFrame, text: str) -> DataFrame:
-    """__row, value, start, end, pattern, seed: every identifier-like token by context pattern; of `base` spans too.
+def tokens(text: Column) -> Column:
+    """An array of (value, gap before it, the words before it, the word after it), one for each identifier-like token.
 
-    A line is cut at its tokens; the words at the ends of the parts between them are the contexts."""
-    token = rf"(?<![A-Za-z0-9@._:/+-])(?=[A-Za-z0-9._:/+-]*[0-9@]){TOKEN}(?![A-Za-z0-9@._:/+-])"
-    found, between = F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)), F.split(F.col(text), token, -1)
-    tail = lambda x: F.lower(F.regexp_extract(F.right(x, F.lit(60)), r"((?:[^ \t\r\n]+[ \t]+)?[^ \t\r\n]+)[ \t]*[^ \t\r\n]?$", 1))
-    head = lambda x: F.lower(F.regexp_extract(F.substring(x, 1, 40), r"^[^ \t\r\n]?[ \t]+([^ \t\r\n]+)", 1))
+    A text is cut at its tokens; the words at the ends of the parts between them are the contexts."""
+    found, between = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+    # the last words are the first ones from behind, which no long part has to be searched for
+    tail = lambda x: F.lower(F.reverse(F.regexp_extract(F.reverse(x), r"^[^ \t\r\n]?[ \t]*([^ \t\r\n]++(?:[ \t]++[^ \t\r\n]++)?)", 1)))
+    head = lambda x: F.lower(F.regexp_extract(x, r"^[^ \t\r\n]?[ \t]+([^ \t\r\n]++)", 1))
     near = F.transform(between, lambda x: F.struct(F.length(x).alias("gap"), tail(x).alias("tail"), head(x).alias("head")))
-    cut = rows.where(F.col(text).rlike("[0-9@]")).select("__row", "__base", found.alias("m"), near.alias("near")).where(F.size("m") > 0)
-    pairs = F.arrays_zip(F.col("m"), F.slice(F.col("near"), F.lit(1), F.size("m")).alias("before"), F.slice(F.col("near"), F.lit(2), F.size("m")).alias("after"))
+    zipped = F.transform(
+        F.arrays_zip(found.alias("m"), F.slice(near, F.lit(1), F.size(found)).alias("before"), F.slice(near, F.lit(2), F.size(found)).alias("after")),
+        lambda x: F.struct(x["m"].alias("value"), x["before"]["gap"].alias("gap"), x["before"]["tail"].alias("tail"), x["after"]["head"].alias("head")),
+    )
+    return F.when(text.rlike("[0-9@]"), zipped).otherwise(F.array().cast("array<struct<value:string,gap:int,tail:string,head:string>>"))
 
-    def step(at, x):
-        lo = at + x["before"]["gap"]
-        hi = lo + F.length(x["m"])
-        return hi, F.array(F.struct(x["m"].alias("value"), lo.alias("start"), hi.alias("end"), x["before"]["tail"].alias("tail"), x["after"]["head"].alias("head")))
 
-    steps = running(pairs, "struct<value:string,start:int,end:int,tail:string,head:string>", step)
-    each = cut.select("__row", "__base", F.inline(steps))
-    inside = F.exists("__base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    each = each.select("__row", "value", "start", "end", inside.alias("seed"), "tail", "head")
+def candidates(found: DataFrame) -> DataFrame:
+    """found (__row, __base, __tokens) -> __row, value, start, end, pattern, known (in a base span), seed."""
+
+    def step(at, x):
+        lo = at + x["gap"]
+        hi = lo + F.length(x["value"])
+        return hi, F.array(F.struct(x["value"].alias("value"), lo.alias("start"), hi.alias("end"), x["tail"].alias("tail"), x["head"].alias("head")))
+
+    steps = running(F.col("__tokens"), "struct<value:string,start:int,end:int,tail:string,head:string>", step)
+    each = found.where(F.size("__tokens") > 0).select("__row", "__base", F.inline(steps))
+    known = F.exists("__base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    count = lambda of: F.length(F.regexp_replace("value", of, ""))
+    key = F.col("value").rlike(f"^[A-Za-z0-9+/_-]{{{KEY_CHARS},}}$") & (count("[^0-9]") >= KEY_EACH) & (count("[^A-Za-z]") >= KEY_EACH)
+    each = each.select("__row", "value", "start", "end", known.alias("known"), (known | key).alias("seed"), "tail", "head")
     last = F.element_at(F.split("tail", r"[ \t]+"), -1)
     patterns = F.filter(
         F.array(
@@ -135,7 +146,7 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    return each.select("__row", "value", "start", "end", "seed", F.explode(patterns).alias("pattern"))
+    return each.select("__row", "value", "start", "end", "known", "seed", F.explode(patterns).alias("pattern"))
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -153,31 +164,33 @@ def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, base and spans (arrays of kind, start, end, value; kinds by their place in KINDS, then `context`)."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.withColumn("__base", F.concat(*[base(F.col("__text"), k) for k in KINDS]))
-    found = written(rows.select("__row", *keep, "__base"), "base")
-    # contexts are read from the text again, beside the spans
-    uses = written(candidates(rows, "__text"), "contexts")
+    own = {f"__keep{i}": F.col(c) for i, c in enumerate(keep)}
+    rows = docs.select(*[c.alias(n) for n, c in own.items()], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    base_spans = F.concat(*[base(F.col("__text"), k) for k in KINDS])
+    # one pass over the texts: rows get their numbers where they are written
+    found = written(rows.select(*own, base_spans.alias("__base"), tokens(F.col("__text")).alias("__tokens"), F.monotonically_increasing_id().alias("__row")), "base")
+    uses = written(candidates(found), "contexts")
     edges = uses.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
     good = scored(written(edges, "edges")).where((F.col("score") >= ACCEPT) & (F.col("support") >= SUPPORT))
-    new = uses.where(~F.col("seed")).join(good.select("pattern"), "pattern", "left_semi")
+    new = uses.where(~F.col("known")).join(good.select("pattern"), "pattern", "left_semi")
     new = new.groupBy("__row").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", "value")).alias("__new"))
     out = found.join(new, "__row", "left")
-    return out.select(*keep, F.col("__base").alias("base"), F.concat("__base", F.coalesce("__new", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(own, keep, strict=True)], F.col("__base").alias("base"), F.concat("__base", F.coalesce("__new", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find(docs, text)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in capitals and brackets; of overlapping spans the first, then the
-    longest. Spans and text come from one row, so nothing is matched by id."""
-    rows = docs.withColumn("__id", F.monotonically_increasing_id())
-    found = find(docs.withColumn("__id", F.monotonically_increasing_id()), text, ("__id",))
-    found = written(found.where(F.size("spans") > 0).select("__id", F.col("spans").alias("__spans")), "spans")
+    longest. Equal texts have equal spans, so these are joined to the texts by their hash, and no row needs a number."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumns({"__k0": F.xxhash64(body), "__k1": F.xxhash64(F.lit(1), body)})
+    found = find(keyed, text, ("__k0", "__k1")).where(F.size("spans") > 0)
+    found = written(found.groupBy("__k0", "__k1").agg(F.first("spans").alias("__spans")), "spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "context")])
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     # a span with the place where what is kept before it begins; overlapped ones give nothing
@@ -189,5 +202,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = running(ordered, "string", step)
     tail = F.aggregate(ordered, F.lit(0), lambda at, x: F.greatest(at, -x["end"]))
     clean = F.concat(F.array_join(parts, ""), F.substring(F.col(text), tail + 1, F.length(text)))
-    out = rows.join(found, "__id", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
+    out = keyed.join(found, ["__k0", "__k1"], "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
     return out.select(*docs.columns)
