@@ -44,6 +44,22 @@ def test_assembly_hops(spark):
     assert [x["record_id"] for x in got["r"]["requests"]] == ["q"]
     assert [x["record_id"] for x in got["r2"]["requests"]] == ["q2"] and [x["record_id"] for x in got["r2"]["metadata"]] == ["m"]
     assert got["gone"]["main"] is None and len(got["gone"]["metadata"]) == 1
+    # a chain of names of any length, and a circle
+    rec = [("end", "response", []), *((f"n{i}", "metadata", [f"n{i + 1}" if i < 20 else "end"]) for i in range(21)), ("a", "metadata", ["b"]), ("b", "metadata", ["a"])]
+    got = {r["transaction"]: r for r in warc.assemble(spark.createDataFrame(rec, "record_id string, type string, concurrent_to array<string>")).collect()}
+    assert len(got["end"]["metadata"]) == 21 and all(got[x]["main"] is None for x in got if x != "end")
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 17)
+    pages = [(i, "http://x", f"{i}" + "y" * n) for i, n in enumerate([10] * 60 + [30_000] * 9 + [200_000] * 3)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    held = warc.read(spark, str(tmp_path / "w"))
+    assert held.count() == 3 * len(pages) and held.where("type = 'response' and payload_bytes > 0").count() == len(pages)
+    import gzip
+
+    size = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert len(size) > 5 and max(size) < 230_000
 
 
 def words_of(text):
@@ -213,6 +229,8 @@ def test_neighbours(spark):
         assert len(near) == 5 and all(abs(v - s[i]) < 1e-12 for i, v in near)
     assert hit / total >= 0.9
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    twice = neighbours.search(df.union(df.where("vec_id in (0, 50, 51)")), F.col("vec_id") % 50 == 0).groupBy("query_id").count().where("count <> 5")
+    assert twice.count() == 0
     few = neighbours.search(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 

@@ -57,6 +57,18 @@ def test_license_notice(spark):
     assert {r["doc_id"]: r["labels"] for r in licenses.report(df).collect()} == {1: "mit", 2: ""}
 
 
+def test_license_votes(spark):
+    """A part of a notice repeated, or its parts scattered over a text, is no notice; added labels by brute force are those
+    of texts that hold most of a notice's words in order."""
+    bsd = licenses.NOTICES[5][1].split()
+    scattered = " ".join(" ".join(bsd[i : i + 4]) + " x" * (4 + i) for i in range(0, len(bsd) - 3))
+    texts = ["redistribution and use in " * 15, "licensed under the apache " * 6, scattered, "a b " + " ".join(bsd[:12] + ["well"] + bsd[12:]) + " c", " ".join(bsd[:11])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(df).collect()}
+    assert {i: x[0] for i, x in got.items()} == {0: "", 1: "", 2: "", 3: "bsd", 4: ""}
+    assert 0.8 < got[3][1] < 1 and got[0][1] == 0
+
+
 def test_merkle(spark, docs, rows, none):
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     got = defaultdict(list)

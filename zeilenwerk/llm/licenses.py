@@ -3,8 +3,10 @@
 A text's words are hashed in rolling k-grams (PHRASE_K words for the short phrases, NOTICE_K for the notices) and
 joined with the k-grams of all templates. A hit at word p of a text and word q of a template votes for the diagonal
 p - q; hits are checked word by word, so that no hash stands in for words. A phrase is there where its diagonal has
-all its votes. For notices, diagonals that differ by no more than GAP are merged (words may be left out or put in),
-and the span counts if at least COVER of the template's k-grams voted.
+all its votes. For notices, neighbouring diagonals that differ by no more than GAP are merged (words may be left out or
+put in), within a band as wide as the template has words; bands overlap by half, so that none of them parts a span that
+drifts by less. A span counts if at least COVER of the template's k-grams voted, each place in the template once however
+often a text repeats it.
 
 The templates are a fixed list, so they are broadcast; nothing is shuffled but one row a document and the votes.
 
@@ -76,13 +78,21 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     hits = hits.where(F.when(last, F.col("__p") == 2 * F.col("n_words")).otherwise((pos >= 0) & (F.slice("__w", F.greatest(pos, F.lit(0)) + 1, F.size("tokens")) == F.col("tokens"))))
     hits = hits.select("row", *keep, "n_words", "template", "phrase", "label", "n_grams", "tpos", F.when(~last, pos).alias("pos"))
     key = ["row", *keep, "n_words", "template", "phrase", "label", "n_grams"]
-    votes = hits.repartition(F.col("row")).groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("pos").alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("last"))
+    # a template's places bound the sets
+    votes = hits.repartition(F.col("row")).groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places"), F.min("pos").alias("start"), F.max("pos").alias("last"))
     order = W.partitionBy("row", "template").orderBy("diagonal")
     apart = (F.col("phrase") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP)).cast("int")
     run = F.sum("__apart").over(order.rowsBetween(W.unboundedPreceding, 0))
-    merged = votes.withColumn("__apart", apart).withColumn("__run", run).groupBy(*key, "__run").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("last").alias("last"))
+    votes = votes.withColumn("__apart", apart).withColumn("__run", run)
+    drift = F.col("diagonal") - F.min("diagonal").over(W.partitionBy("row", "template", "__run"))
+    wide = F.col("n_grams") + NOTICE_K - 1
+    bands = F.array_distinct(F.array(F.struct(F.lit(0).alias("half"), F.floor(drift / wide).alias("n")), F.struct(F.lit(1).alias("half"), F.floor((drift + wide / 2) / wide).alias("n"))))
+    # a run that fits the first band is that alone
+    narrow = F.max("__drift").over(W.partitionBy("row", "template", "__run")) < wide
+    votes = votes.withColumn("__drift", drift).withColumn("__band", F.explode(F.when(F.col("phrase") | F.col("template").isNull() | narrow, F.slice(bands, 1, 1)).otherwise(bands)))
+    merged = votes.groupBy(*key, "__run", "__band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("start").alias("start"), F.max("last").alias("last"))
     k = F.when(F.col("phrase"), PHRASE_K).otherwise(NOTICE_K)
-    merged = merged.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
+    merged = merged.withColumn("cover", F.col("votes") / F.col("n_grams"))
     good = F.col("template").isNotNull() & F.when(F.col("phrase"), F.col("votes") == F.col("n_grams")).otherwise(F.col("cover") >= COVER)
     only = lambda c: F.when(good, F.col(c)).alias(c)
     return merged.select("row", *keep, "n_words", only("template"), only("phrase"), only("label"), only("start"), F.when(good, F.col("last") + k).alias("stop"), only("cover"))

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of a leaf's hash.
 LEAF_HEX = 8
-#: Documents of a range in `with_next`, and ranges at most.
-RANGE_ROWS, RANGES = 200, 4096
+#: Documents of a range in `with_next`, and ranges at most: up to 13 million documents a range stays as small, beyond
+#: that ranges grow.
+RANGE_ROWS, RANGES = 200, 1 << 16
 
 
 def _sha(x: Column) -> Column:
@@ -84,7 +85,16 @@ def with_next(plain: DataFrame) -> DataFrame:
     n = plain.count()
     k = min(RANGES, n // RANGE_ROWS)
     cuts = sorted({int(x) for x in plain.stat.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k)}) if k > 1 else []
-    part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    # which range an id is in takes two short searches: among every step-th cut, then among those between
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda x: F.size(F.filter(x, lambda c: c <= F.col("doc_id")))
+    if cuts:
+        longs = lambda x: F.lit(x).cast("array<bigint>")
+        coarse = below(longs(cuts[::step]))
+        fine = F.try_element_at(F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)]), coarse)
+        part = len(cuts) - (F.greatest(coarse - 1, F.lit(0)) * step + F.coalesce(below(fine), F.lit(0)))
+    else:
+        part = F.lit(0)
     dealt = plain.withColumn("__part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(part))
     order = W.partitionBy("__part").orderBy(F.col("doc_id").desc_nulls_last(), "__text")
     own = F.struct(F.col("__text").alias("text"), F.col("__fp").alias("fp"))

@@ -6,11 +6,12 @@ payloads of at least REVISIT_BYTES bytes, the one with the smallest page_id hold
 Spark's text writer ends each line with the two line ends that end a WARC record, so its files are archives
 (compressed by gzip as wholes) and a task that is run again leaves no halves behind.
 
-Reading. Archives are read as binary files (at most FILE_RECORDS records each, so that one fits a task) and parsed by
-Content-Length, so payloads may hold anything.
+Reading. Archives are read as binary files and parsed by Content-Length, so payloads may hold anything. Pages are
+written by size classes, each with as many records a file as fit FILE_BYTES, so that an archive fits a task.
 
 Assembling. Records are joined through their concurrent-to identifiers: a request or metadata record names the
-response, a response may name its request, and a record may name one that names another (up to HOPS names away).
+response, a response may name its request, and a record may name one that names another, however far away: names are
+followed until nothing changes, twice as far in each round. Records that only name each other in a circle have none.
 There is one nested row a capture: the main record (response, revisit or resource) and arrays of the others. Records
 whose names lead to no main record are kept as captures without one. A payload isn't shuffled with the names.
 
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, small_batches
+from .shared import scratch, small_batches, written
 
 REVISIT_BYTES = 100
-FILE_RECORDS = 6000
-HOPS = 3
+#: Bytes of an archive, about, and the largest page of each size class but the last.
+FILE_BYTES, CLASSES = 64 << 20, (1 << 13, 1 << 16, 1 << 20, 1 << 24)
 END = "\r\n"
 #: Parts that a frequent payload's pages are joined in.
 SALT = 64
@@ -84,8 +85,16 @@ def write(pages: DataFrame, path: str, payload: str = "html", url: str = "url",
     request = _record("request", _urn(F.lit("request"), F.col("row"), F.col("digest")), F.col("url"), "application/http; msgtype=request", request, page, ("WARC-Concurrent-To", rid))
     meta = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit(END))
     meta = _record("metadata", _urn(F.lit("metadata"), F.col("row"), F.col("digest")), F.col("url"), "application/warc-fields", meta, page, ("WARC-Concurrent-To", rid))
-    lines = df.select(F.explode(F.array(request, main, meta)).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.greatest(F.col("n"), F.octet_length("url"))
+    grade = sum(((size > x).cast("int") for x in CLASSES), F.lit(0))
+    lines = df.select(grade.alias("grade"), F.explode(F.array(request, main, meta)).alias("value"))
+    # as many as there are classes, at most
+    known = [r[0] for r in pages.select(sum(((F.greatest(F.coalesce(F.octet_length(payload), F.lit(0)), F.coalesce(F.octet_length(url), F.lit(0))) > x).cast("int") for x in CLASSES), F.lit(0)).alias("grade")).distinct().collect()]
+    for g in sorted({0, *known}):
+        # a page is three records, one of which holds the payload; the last class has no largest page
+        records = max(3 * FILE_BYTES // CLASSES[g], 3) if g < len(CLASSES) else 3
+        own = lines.where(F.col("grade") == g).select("value").write.option("lineSep", END + END).option("compression", "gzip")
+        own.option("maxRecordsPerFile", records).mode("append").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -164,7 +173,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def assemble(records: DataFrame, hops: int = HOPS) -> DataFrame:
+def assemble(records: DataFrame) -> DataFrame:
     """One row a capture: transaction (id of its main record), main, requests, metadata, others.
 
     Every record looks for its main record: itself, or the first one that its concurrent-to names lead to. A main
@@ -174,12 +183,20 @@ def assemble(records: DataFrame, hops: int = HOPS) -> DataFrame:
     links = light.select("record_id", F.col("is_main").alias("from_main"), F.explode("concurrent_to").alias("to"))
     # a record is named by a main one
     named = links.where("from_main").groupBy("to").agg(F.min("record_id").alias("namer"))
-    step = records.join(named, records["record_id"] == named["to"], "left").drop("to")
     first = F.try_element_at(F.array_sort("concurrent_to"), F.lit(1))
+    step = records.join(named, records["record_id"] == named["to"], "left").drop("to")
     step = step.withColumn("__at", F.when(is_main, F.col("record_id")).otherwise(F.coalesce("namer", first, "record_id"))).drop("namer")
     # names that lead to a record which isn't a main one lead on from there
-    onward = light.where(~F.col("is_main") & (F.size("concurrent_to") > 0)).select(F.col("record_id").alias("__from"), F.try_element_at(F.array_sort("concurrent_to"), F.lit(1)).alias("__to"))
-    for _ in range(hops - 1):
+    leads = light.where(~F.col("is_main") & (F.size("concurrent_to") > 0)).join(named, F.col("record_id") == F.col("to"), "left")
+    onward = leads.select(F.col("record_id").alias("__from"), F.coalesce("namer", first).alias("__to")).dropDuplicates(["__from"])
+    far = lambda df: df.join(onward.select(F.col("__from").alias("__to"), F.col("__to").alias("__next")), "__to")
+    if not far(onward).isEmpty():
+        onward = written(onward, "names")
+        for _ in range(onward.count().bit_length()):
+            moved = far(onward).select("__from", F.col("__next").alias("__to"))
+            if moved.isEmpty():
+                break
+            onward = written(onward.join(moved, "__from", "left_anti").unionByName(moved), "names")
         step = step.join(onward, step["__at"] == onward["__from"], "left").withColumn("__at", F.when(is_main, F.col("__at")).otherwise(F.coalesce("__to", "__at"))).drop("__from", "__to")
     own = F.struct(*[F.col(c) for c in records.columns])
     of = lambda cond: F.collect_list(F.when(cond, own))
