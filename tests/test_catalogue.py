@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(p: pd.DataFrame) -> pd.DataFrame:
     p = p[sorted(p.columns)].astype(object)
-    value = lambda x: "" if x is None or x is pd.NA or x != x else f"{float(x):.6f}" if not isinstance(x, str) else x
+    value = lambda x: "" if x is None or x is pd.NA or x != x else f"{float(x):.6f}" if isinstance(x, (int, float, bool)) or hasattr(x, "dtype") else str(x)
     p = p.apply(lambda c: c.map(value))
     return p.sort_values(list(p.columns)).reset_index(drop=True)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import binding, facts, focus, geometry, reconcile, store
+from .operators import binding, facts, focus, geometry, reconcile, reports, store
 from .operators import rows as rules
 from .sources import files
 from .sources import testdata as td
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
-    return facts.raw(td.documents(s, d), td.rows(s, d), td.cells(s, d), td.columns(s))
+    return facts.raw_of_rows(td.documents(s, d), td.rows_with_cells(s, d), td.columns(s))
 
 
 def values(s: SparkSession, d: str) -> DataFrame:
@@ -39,26 +39,29 @@ def values(s: SparkSession, d: str) -> DataFrame:
 
 # The same model in SQL. DuckDB sums decimals exactly, too.
 MODEL = """WITH num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_seq FROM lineitem),
-r AS (SELECT l_orderkey AS doc_id, row_seq, ascii(l_returnflag) - 65 AS page_index, CASE l_linenumber WHEN 7 THEN 'summe' WHEN 6 THEN 'uebertrag' ELSE 'daten' END AS kind,
-  CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE (CASE WHEN l_suppkey % 2 = 0 THEN 'ASP' ELSE 'ISP' END) || lpad(CAST(l_suppkey % 7 AS VARCHAR), 2, '0') END AS focus, 'Teil ' || l_partkey AS datenpunkt FROM num),
-c AS (SELECT l_orderkey AS doc_id, row_seq, u.i AS column_index, u.v AS cnt, u.k AS spalte_key, u.a AS adresse, u.g AS gruppe FROM num,
-  LATERAL (VALUES (0, l_quantity, 'A_1_1', '1.1', 'Mengen'), (1, l_extendedprice, 'A_1_2', '1.2', 'Geld'), (2, l_discount, 'A_2_1', '2.1', 'Sätze'), (3, l_tax, 'A_2_2', '2.2', 'Sätze')) u(i, v, k, a, g)),
-d AS (SELECT o_orderkey AS doc_id, coalesce(nullif(c_mktsegment, ''), c_name) AS projekt, n_name AS anlage, o_orderpriority AS gewerk, o_orderstatus AS fassung, o_orderstatus AS profil
-  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
-f AS (SELECT r.doc_id, r.row_seq, d.projekt, d.anlage, d.gewerk, d.fassung, d.profil, coalesce(nullif(r.focus, ''), 'ohne Zuordnung') AS schwerpunkt, r.page_index + 1 AS seite, r.datenpunkt,
-  c.spalte_key, c.adresse, c.gruppe, coalesce(c.cnt, 0) AS wert FROM c JOIN r USING (doc_id, row_seq) JOIN d USING (doc_id) WHERE r.kind = 'daten'),
-v AS (SELECT doc_id, row_seq, CAST(sum(CAST(cnt AS DECIMAL(18,2))) AS DOUBLE) AS value FROM c GROUP BY ALL)
+r0 AS (SELECT l_orderkey AS doc_id, row_seq, ascii(l_returnflag) - 65 AS page_index, CASE l_linenumber WHEN 7 THEN 'summe' WHEN 6 THEN 'uebertrag' ELSE 'daten' END AS kind,
+  CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE (CASE WHEN l_suppkey % 2 = 0 THEN 'ASP' ELSE 'ISP' END) || lpad(CAST(l_suppkey % 7 AS VARCHAR), 2, '0') END AS focus, 'Teil ' || l_partkey AS datenpunkt,
+  CAST(row_seq AS VARCHAR) AS row_no, 'B' || (l_partkey % 10) AS bas, l_linestatus AS qualifier, CASE WHEN l_linenumber = 3 THEN 'geprüft' ELSE '' END AS remark, '0,' || row_seq || ',9,9' AS bbox FROM num),
+r AS (SELECT *, CASE WHEN focus = '' THEN '' ELSE 'Anlage ' || focus[4:5] END AS focus_label, CASE WHEN kind = 'daten' THEN '' ELSE 'Zeile der Art ' || kind END AS reason FROM r0),
+c AS (SELECT l_orderkey AS doc_id, row_seq, u.i AS column_index, u.v AS cnt, u.k AS spalte_key, u.a AS adresse, u.g AS gruppe, u.s AS untergruppe, u.l AS label, 'w' || u.i AS raw_value, CASE WHEN l_linenumber = 4 AND u.i = 2 THEN 'siehe Blatt' ELSE '' END AS note FROM num,
+  LATERAL (VALUES (0, l_quantity, 'A_1_1', '1.1', 'Mengen', 'Stück', 'Menge'), (1, l_extendedprice, 'A_1_2', '1.2', 'Geld', 'netto', 'Preis'), (2, l_discount, 'A_2_1', '2.1', 'Sätze', 'Abzug', 'Rabatt'), (3, l_tax, 'A_2_2', '2.2', 'Sätze', 'Zuschlag', 'Steuer')) u(i, v, k, a, g, s, l)),
+d AS (SELECT o_orderkey AS doc_id, 'Liste ' || o_orderkey AS datei, coalesce(nullif(c_mktsegment, ''), c_name) AS projekt, c_name AS auftraggeber, n_name AS anlage, o_orderpriority AS gewerk, o_orderstatus AS fassung, o_orderstatus AS profil,
+  'Plan ' || (o_custkey % 7) AS planersteller, CAST(o_orderkey % 10 AS VARCHAR) AS blatt_nr, o_orderdate AS importiert_am, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT r.doc_id, d.datei, d.fassung, d.profil, d.projekt, d.auftraggeber, d.anlage, coalesce(nullif(r.focus, ''), 'ohne Zuordnung') AS schwerpunkt, r.focus_label AS schwerpunkt_bezeichnung, d.gewerk, d.planersteller, d.blatt_nr, r.page_index + 1 AS seite, r.row_seq, r.row_no, r.datenpunkt, r.bas, r.qualifier, r.remark,
+  c.adresse, c.spalte_key, c.gruppe, c.untergruppe, c.label, coalesce(c.cnt, 0) AS wert, c.raw_value, c.note, d.importiert_am FROM c JOIN r USING (doc_id, row_seq) JOIN d USING (doc_id) WHERE r.kind = 'daten'),
+v AS (SELECT doc_id, row_seq, CAST(sum(CAST(cnt AS DECIMAL(28,6))) AS DOUBLE) AS value FROM c GROUP BY ALL),
+pg AS (SELECT doc_id, page_index, coalesce(min(nullif(focus, '')), '') AS focus, CASE WHEN (doc_id + page_index) % 11 = 0 THEN 'regelschema' WHEN (doc_id + page_index) % 13 = 0 THEN 'sonstiges' ELSE 'funktionsliste' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 0.85 ELSE 0.5 END AS confidence FROM r GROUP BY doc_id, page_index)
 """
-TOTAL = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+TOTAL = "CAST(sum(CAST({} AS DECIMAL(28,6))) AS DOUBLE)"
 MENGE = TOTAL.format("wert")
 
 
-@query(MODEL + "SELECT * FROM f")
+@query(MODEL + "SELECT * EXCLUDE (importiert_am) FROM f")
 def raw_cells(s, d):
-    return raw(s, d)
+    return raw(s, d).drop("importiert_am")
 
 
-SUMMARY = f"SELECT profil, adresse, spalte_key, gruppe, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, count(datenpunkt) AS n_cells FROM f GROUP BY ALL"
+SUMMARY = f"SELECT profil, adresse, spalte_key, gruppe, untergruppe, label, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, count(datenpunkt) AS n_cells FROM f GROUP BY ALL"
 
 
 @query(MODEL + SUMMARY + " ORDER BY profil, adresse")
@@ -90,9 +93,9 @@ def by_dimension(s, d):
     return facts.by_dimension(raw(s, d), "anlage").orderBy(F.desc("menge"), "anlage")
 
 
-@query(MODEL + f"SELECT schwerpunkt, count(DISTINCT (doc_id, row_seq)) AS n_rows, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, string_agg(DISTINCT anlage, ', ' ORDER BY anlage) AS anlagen, CASE WHEN schwerpunkt[1:3] IN ('ASP', 'ISP') THEN schwerpunkt[1:3] ELSE '' END AS art FROM f GROUP BY schwerpunkt")
+@query(MODEL + f"SELECT schwerpunkt, schwerpunkt_bezeichnung AS bezeichnung, count(DISTINCT (doc_id, row_seq)) AS n_rows, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, string_agg(DISTINCT datei, ', ' ORDER BY datei) AS dateien, CASE WHEN schwerpunkt[1:3] IN ('ASP', 'ISP') THEN schwerpunkt[1:3] ELSE '' END AS art FROM f GROUP BY schwerpunkt, schwerpunkt_bezeichnung")
 def focus_summary(s, d):
-    return facts.focus_summary(raw(s, d))
+    return reports.ordered_foci(facts.focus_summary(raw(s, d)))
 
 
 def _each(values_: list[str], col: str) -> str:
@@ -114,16 +117,17 @@ def focus_matrix(s, d):
     return facts.matrix(raw(s, d), ["doc_id", "schwerpunkt"], td.KEYS)
 
 
-@query(MODEL + "SELECT r.doc_id, r.row_seq, r.page_index, r.kind, r.focus, r.datenpunkt, " + ", ".join(f"max(CASE WHEN spalte_key = '{k}' THEN cnt END) AS \"{k}\"" for k in td.KEYS) + " FROM r JOIN c USING (doc_id, row_seq) WHERE r.kind = 'daten' GROUP BY ALL")
+@query(MODEL + "SELECT r.doc_id, r.row_seq, r.page_index, r.kind, r.focus, r.datenpunkt, r.row_no, " + ", ".join(f"max(CASE WHEN spalte_key = '{k}' THEN cnt END) AS \"{k}\"" for k in td.KEYS) + " FROM r JOIN c USING (doc_id, row_seq) WHERE r.kind = 'daten' GROUP BY ALL")
 def layout_wide(s, d):
-    return facts.layout(td.rows(s, d), td.cells(s, d), td.columns(s), td.KEYS)
+    rows = td.rows(s, d).select("doc_id", "row_seq", "page_index", "kind", "focus", "datenpunkt", "row_no")
+    return facts.layout(rows, td.cells(s, d), td.columns(s), td.KEYS)
 
 
 @query(MODEL + f"""SELECT d.doc_id, o.c_mktsegment AS projekt, d.anlage, coalesce(seiten, 0) AS seiten, coalesce(n_countable, 0) AS n_countable, coalesce(menge, 0) AS menge, coalesce(ausgeschlossen, '') AS ausgeschlossen, coalesce(schwerpunkte, '') AS schwerpunkte
 FROM d JOIN (SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey) o ON o.o_orderkey = d.doc_id
 LEFT JOIN (SELECT doc_id, count(DISTINCT page_index) AS seiten, count(*) FILTER (kind = 'daten' AND value IS NOT NULL) AS n_countable, coalesce({TOTAL.format("CASE WHEN kind = 'daten' THEN value END")}, 0) AS menge FROM r LEFT JOIN v USING (doc_id, row_seq) GROUP BY doc_id) a USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(kind || ': ' || n, ', ' ORDER BY kind || ': ' || n) AS ausgeschlossen FROM (SELECT doc_id, kind, count(*) AS n FROM r WHERE kind <> 'daten' GROUP BY ALL) GROUP BY doc_id) b USING (doc_id)
-LEFT JOIN (SELECT doc_id, string_agg(focus, ', ' ORDER BY s) AS schwerpunkte FROM (SELECT doc_id, focus, min(row_seq) AS s FROM r WHERE focus <> '' GROUP BY ALL) GROUP BY doc_id) e USING (doc_id)""")
+LEFT JOIN (SELECT doc_id, string_agg(focus, ', ' ORDER BY s) AS schwerpunkte FROM (SELECT doc_id, focus, min(row_seq) AS s FROM r WHERE focus <> '' AND kind = 'daten' GROUP BY ALL) GROUP BY doc_id) e USING (doc_id)""")
 def document_overview(s, d):
     return facts.overview(td.documents(s, d), td.rows(s, d), values(s, d))
 
@@ -163,19 +167,26 @@ def audit_report(s, d):
     return reconcile.audit(td.rows(s, d), td.cells(s, d))
 
 
-@query("""SELECT doc_id, n, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(n, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'ae'), 'Ö', 'oe'), 'Ü', 'ue'))), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM (SELECT doc_id, text[1:80] AS n FROM documents)""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'ae'), 'Ö', 'oe'), 'Ü', 'ue'))), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM documents""")
 def normalize_text(s, d):
-    return td.table(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("n")).withColumn("norm", tx.normalize(F.col("n")))
+    return td.table(s, d, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
 
-# Labels of rows with the kinds that the rules give them.
-LABELS = [("Summe Funktionen", False), ("Übertrag von Blatt 1", True), ("Zwischensumme", True), ("Planersteller", True), ("12345 Musterstadt", False), ("Benennung", False), ("Pumpe", True), ("", True), ("", False), ("Vorlauftemperatur", True)]
+# A line of a document, a name and what stands before and after it.
+LABELS = """lab AS (SELECT p_partkey AS n, CASE p_partkey % 12 WHEN 0 THEN 'Summe ' WHEN 1 THEN 'Übertrag von ' WHEN 2 THEN 'Zwischensumme ' WHEN 3 THEN 'Planersteller ' WHEN 4 THEN '12345 ' WHEN 5 THEN 'Stand: Übertrag ' ELSE '' END || CASE WHEN p_partkey % 12 = 6 THEN 'Benennung' WHEN p_partkey % 12 = 7 THEN '--' ELSE p_name END AS label, p_size % 3 > 0 AS has_values, p_size FROM part)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'Summe Funktionen', 'summe'), (2, 'Übertrag von Blatt 1', 'uebertrag'), (3, 'Zwischensumme', 'summe'), (4, 'Planersteller', 'fussbereich'), (5, '12345 Musterstadt', 'fussbereich'), (6, 'Benennung', 'kopf'), (7, 'Pumpe', 'daten'), (8, '', 'daten'), (9, '', 'leer'), (10, 'Vorlauftemperatur', 'daten')) t(n, label, kind)")
+def _labels(s, d):
+    k = F.col("p_partkey") % 12
+    before = F.when(k == 0, "Summe ").when(k == 1, "Übertrag von ").when(k == 2, "Zwischensumme ").when(k == 3, "Planersteller ").when(k == 4, "12345 ").when(k == 5, "Stand: Übertrag ").otherwise("")
+    name = F.when(k == 6, "Benennung").when(k == 7, "--").otherwise(F.col("p_name"))
+    return td.table(s, d, "part").select(F.col("p_partkey").alias("n"), F.concat(before, name).alias("label"), (F.col("p_size") % 3 > 0).alias("has_values"), "p_size")
+
+
+@query(f"WITH {LABELS} SELECT n, kind, CASE kind WHEN 'summe' THEN 'Summenzeile - Werte sind bereits in den Einzelzeilen enthalten' WHEN 'uebertrag' THEN 'Uebertragszeile - Werte stammen von einem anderen Blatt' WHEN 'fussbereich' THEN 'Zeile des Kopf-/Fussbereichs, kein Datenpunkt' WHEN 'kopf' THEN 'Wiederholte Kopfzeile' WHEN 'leer' THEN 'Leere Zeile' ELSE '' END AS reason, kind = 'fussbereich' AS footer FROM (SELECT n, CASE n % 12 WHEN 0 THEN 'summe' WHEN 1 THEN 'uebertrag' WHEN 2 THEN 'summe' WHEN 3 THEN 'fussbereich' WHEN 4 THEN 'fussbereich' WHEN 5 THEN 'uebertrag' WHEN 6 THEN 'kopf' WHEN 7 THEN CASE WHEN has_values THEN 'daten' ELSE 'leer' END ELSE 'daten' END AS kind FROM lab)")
 def row_kind_labels(s, d):
-    df = s.createDataFrame([(i, *x) for i, x in enumerate(LABELS, 1)], "n int, label string, full boolean")
-    return df.select("n", "label", rules.row_kind(F.col("label"), F.col("full")).alias("kind"))
+    kind = rules.row_kind(F.col("label"), F.col("has_values"))
+    return _labels(s, d).select("n", kind.alias("kind"), rules.reason(kind).alias("reason"), F.when(F.col("n") % 12 == 7, False).otherwise(rules.is_footer(F.col("label"))).alias("footer"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(trim(text, ' ')) < 30 THEN 'unbekannt' WHEN regexp_matches(x, 'regelschema|prinzipschaltbild|anlagenschema|strangschema|funktionsschema|schaltplan|r i|rls schema') THEN 'regelschema' WHEN regexp_matches(x, 'summe funktionen|funktionsliste|datenpunktliste|verarbeitungsfunktionen|anwendungsfunktionen') THEN 'funktionsliste' ELSE 'sonstiges' END AS kind
@@ -184,29 +195,38 @@ def page_classification(s, d):
     return td.table(s, d, "documents").select("doc_id", rules.page_kind(F.col("text"), F.lit(0), F.lit(0))["kind"].alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('16', 16.0), ('x', 1.0), ('2,5', 2.5), ('', NULL), ('Darstellungsvariante 1 = Anzahl', NULL), (' 3 ', 3.0)) t(cell, value)")
+CELL = "CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN ' ' || p_size || ',5 ' WHEN 2 THEN 'x' WHEN 3 THEN '' WHEN 4 THEN 'Variante ' || p_size ELSE '-' || p_size END"
+
+
+@query(f"SELECT p_partkey, {CELL} AS cell, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN 1.0 END::DOUBLE AS value, p_partkey % 6 IN (4, 5) AS freetext FROM part")
 def parse_count(s, d):
-    df = s.createDataFrame([("16",), ("x",), ("2,5",), ("",), ("Darstellungsvariante 1 = Anzahl",), (" 3 ",)], "cell string")
-    return df.withColumn("value", tx.parse_count(F.col("cell")))
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    cell = F.when(k == 0, n).when(k == 1, F.concat(F.lit(" "), n, F.lit(",5 "))).when(k == 2, "x").when(k == 3, "").when(k == 4, F.concat(F.lit("Variante "), n)).otherwise(F.concat(F.lit("-"), n))
+    df = td.table(s, d, "part").select("p_partkey", cell.alias("cell"))
+    return df.withColumn("value", tx.parse_count(F.col("cell"))).withColumn("freetext", tx.is_freetext(F.col("cell")))
 
 
-@query("SELECT * FROM (VALUES ('2.2.', '2.2', '2.2.3'), ('1.0', '1.0', '1.0.3'), ('abc', '', '3'), ('1.1.', '1.1', '1.1.3'), ('0.', '0', '0.3'), ('02,5', '2.5', '2.5.3')) t(section, address, joined)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE CAST(p_size AS VARCHAR) || '.' || (p_partkey % 9) END AS address, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE CAST(p_size AS VARCHAR) || '.' || (p_partkey % 9) || '.' END || '3' AS joined, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE CAST(p_size AS VARCHAR) END AS section FROM part")
 def address_normalize(s, d):
-    df = s.createDataFrame([("2.2.",), ("1.0",), ("abc",), ("1.1.",), ("0.",), ("02,5",)], "section string")
-    return df.select("section", tx.normalize_address(F.col("section")).alias("address"), tx.join_address(F.col("section"), F.lit("3")).alias("joined"))
+    raw_ = F.when(F.col("p_partkey") % 5 == 4, F.concat(F.lit("abc."), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit(" 0"), F.col("p_size").cast("string"), F.lit(","), (F.col("p_partkey") % 9).cast("string"), F.lit(". ")))
+    p = td.table(s, d, "part").select("p_partkey", raw_.alias("a"))
+    return p.select("p_partkey", tx.normalize_address(F.col("a")).alias("address"), tx.join_address(F.col("a"), F.lit("03")).alias("joined"), tx.section_of(tx.normalize_address(F.col("a"))).alias("section"))
 
 
-@query("SELECT * FROM (VALUES ('Stellausgabe 2-Punkt 6)', '6'), ('Komplexer Objekttyp 8) 9)', '8,9'), ('Motorsteuerung', ''), ('Zähler ²', '2')) t(label, markers)")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '8,' || p_size WHEN 2 THEN '2' ELSE '' END AS markers FROM part WHERE p_size <> 8")
 def footnote_markers(s, d):
-    df = s.createDataFrame([("Stellausgabe 2-Punkt 6)",), ("Komplexer Objekttyp 8) 9)",), ("Motorsteuerung",), ("Zähler ²",)], "label string")
-    return df.withColumn("markers", F.array_join(tx.footnote_markers(F.col("label")), ","))
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    tail = F.when(k == 0, F.concat(F.lit(" "), n, F.lit(")"))).when(k == 1, F.concat(F.lit(" 8) "), n, F.lit(" )"))).when(k == 2, " ²").otherwise(" 2,5)")
+    p = td.table(s, d, "part").where("p_size <> 8").select("p_partkey", F.concat("p_name", tail).alias("label"))
+    return p.select("p_partkey", F.array_join(tx.footnote_markers(F.col("label")), ",").alias("markers"))
 
 
-@query("SELECT * FROM (VALUES ('ASP01 Heizungstechnik 2.UG', 'ASP01', 'Heizungstechnik 2.UG'), ('Informationsschwerpunkt: ISP04', 'ISP04', ''), ('Anlage: Lüftung ASP3', 'ASP03', 'Lüftung'), ('*ASP05*H01*PU', 'ASP05', 'H01*PU'), ('Rasp01 Pumpe', NULL, NULL), ('asp Nr. 7 - Kälte', 'ASP07', 'Kälte'), ('Pumpe', NULL, NULL)) t(label, code, name)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN (CASE WHEN c_custkey % 6 IN (1, 3) THEN 'ISP' ELSE 'ASP' END) || lpad(CAST(c_custkey % 40 AS VARCHAR), 2, '0') END AS code, CASE WHEN c_custkey % 6 IN (0, 2, 3) THEN c_mktsegment WHEN c_custkey % 6 = 1 THEN '' END AS name FROM customer")
 def focus_parse(s, d):
-    df = s.createDataFrame([("ASP01 Heizungstechnik 2.UG",), ("Informationsschwerpunkt: ISP04",), ("Anlage: Lüftung ASP3",), ("*ASP05*H01*PU",), ("Rasp01 Pumpe",), ("asp Nr. 7 - Kälte",), ("Pumpe",)], "label string")
-    p = tx.parse_focus(F.col("label"))
-    return df.select("label", p["code"].alias("code"), p["label"].alias("name"))
+    n, k, seg = (F.col("c_custkey") % 40).cast("string"), F.col("c_custkey") % 6, F.col("c_mktsegment")
+    label = F.when(k == 0, F.concat(F.lit("ASP"), n, F.lit(" "), seg)).when(k == 1, F.concat(F.lit("Informationsschwerpunkt: ISP"), n)).when(k == 2, F.concat(F.lit("Anlage: "), seg, F.lit(" ASP"), n)).when(k == 3, F.concat(F.lit("isp Nr. "), n, F.lit(" - "), seg)).when(k == 4, F.concat(F.lit("Rasp"), n, F.lit(" "), seg)).otherwise(seg)
+    p = tx.parse_focus(label)
+    return td.table(s, d, "customer").select("c_custkey", p["code"].alias("code"), p["label"].alias("name"))
 
 
 @query(
@@ -321,11 +341,11 @@ def json_answers(s, d):
     return td.table(s, d, "events").select("event_id", files.tolerant_json(fenced, "k bigint")["k"].alias("k"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 1.0 WHEN p_name LIKE '%ring%' THEN 0.85 + 0.1 * (4.0 / length(p_name)) END AS score FROM part WHERE p_name LIKE '%ring%'")
+@query("SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 1.0 WHEN p_name LIKE '%ring%' THEN 0.85 + 0.1 * (4.0 / length(p_name)) ELSE -1.0 END AS score FROM part")
 def similarity_tiers(s, d):
-    p = td.table(s, d, "part").where(F.col("p_name").contains("ring"))
-    score = F.when(F.col("p_name") == "small ring", binding.tiered(F.col("p_name"), F.lit("Small  Ring"))).otherwise(binding.tiered(F.col("p_name"), F.lit("Ring")))
-    return p.select("p_partkey", score.alias("score"))
+    """Every part name against Ring; what no tier tells (the likeness of letters) is -1 here."""
+    other = F.when(F.col("p_name") == "small ring", "Small  Ring").otherwise("Ring")
+    return td.table(s, d, "part").select("p_partkey", F.coalesce(binding.tiered(F.col("p_name"), other), F.lit(-1.0)).alias("score"))
 
 
 @query()
@@ -348,9 +368,9 @@ def unlabelled_sum_rows(s, d):
 
 @query()
 def focus_assignment(s, d):
-    """Conversations as documents of pages of ten turns, whose first words name foci."""
+    """Conversations as documents of pages of ten turns, whose texts name foci."""
     c = td.table(s, d, "conversations")
-    label = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ASP0"), (F.col("conv_id") % 5).cast("string"))).otherwise(F.substring("text", 1, 20))
+    label = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("ASP0"), (F.col("conv_id") % 5).cast("string"))).otherwise(F.col("text"))
     rows = c.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 10).alias("page_index"), F.col("turn").alias("row_seq"), F.lit("daten").alias("kind"), label.alias("label"), (F.col("turn") % 4 == 3).alias("has_values"))
     return focus.assign(rows.withColumn("own", focus.own_focus(F.col("label")))).select("doc_id", "row_seq", "focus", "focus_label")
 

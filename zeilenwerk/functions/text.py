@@ -7,8 +7,25 @@ from pyspark.sql import functions as F
 
 # How letters are written without marks, and what counts as one.
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "ae"), ("Ö", "oe"), ("Ü", "ue"))
-ACCENTED = "àáâãåçèéêëìíîïñòóôõùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÙÚÛÝ¹²³⁴⁵⁶⁷⁸⁹⁰"
-PLAIN = "aaaaaceeeeiiiinoooouuuyyaaaaaceeeeiiiinoooouuuy1234567890"
+RAISED, DIGITS = "¹²³⁴⁵⁶⁷⁸⁹⁰", "1234567890"
+
+
+def _decomposed() -> tuple[str, str]:
+    """The characters whose compatibility form begins with a plain letter or digit and goes on with combining marks
+    only, and those letters: a table that follows from the Unicode data, for translate()."""
+    import unicodedata
+
+    found = []
+    for c in map(chr, range(0xA0, 0x2E80)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and len(plain) == 1 and plain.isascii() and plain.isalnum():
+            found.append((c, plain))
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+ACCENTED, PLAIN = _decomposed()
+#: Compatibility forms of several letters.
+LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("№", "no"), ("½", "1 2"), ("¼", "1 4"), ("¾", "3 4"))
 MARKS = ("x", "X", "✓", "✔", "*", "•")
 EDGES = " \t:;,.-–—/|*()[]"
 FOCUS = r"(?i)(?<![A-Za-zÄÖÜäöüß0-9])(asp|isp|automationsschwerpunkt|informationsschwerpunkt)[\s.:;,_\-–/#]*(?:nr\.?|no\.?)?[\s.:;,_\-–/#]*(\d{1,3})?(?![A-Za-z0-9])"
@@ -23,9 +40,10 @@ def present(x: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Lower case, umlauts written out, accents and other signs gone, single spaces. Null becomes ''."""
     x = F.coalesce(text, F.lit(""))
-    for a, b in UMLAUTS:
+    for a, b in (*UMLAUTS, *LIGATURES):
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.lower(F.translate(x, ACCENTED, PLAIN))
+    # marks that stand by themselves go with their letter
+    x = F.lower(F.translate(F.regexp_replace(x, r"\p{M}+", ""), RAISED + ACCENTED, DIGITS + PLAIN))
     return F.btrim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
@@ -40,7 +58,7 @@ def is_freetext(text: Column) -> Column:
 
 
 def footnote_markers(text: Column) -> Column:
-    raised = F.transform(F.regexp_extract_all(text, F.lit("([¹²³⁴⁵⁶⁷⁸⁹⁰])"), F.lit(1)), lambda x: F.translate(x, "¹²³⁴⁵⁶⁷⁸⁹⁰", "1234567890"))
+    raised = F.transform(F.regexp_extract_all(text, F.lit("([¹²³⁴⁵⁶⁷⁸⁹⁰])"), F.lit(1)), lambda x: F.translate(x, RAISED, DIGITS))
     plain = F.regexp_extract_all(text, F.lit(r"(?<![\d,.])(\d{1,2})\s*\)"), F.lit(1))
     return F.array_distinct(F.concat(raised, plain))
 
@@ -91,7 +109,48 @@ def bbox(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"(?U)[^\w\-]+", "-"), F.lit("-"))
+    """A name for a folder: words, spaces, dots and dashes; spaces become one _; 80 characters; `Projekt` if nothing is left."""
+    x = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\w\s.-]", ""), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(present(F.substring(F.regexp_replace(x, r"(?U)\s+", "_"), 1, 80)), F.lit("Projekt"))
+
+
+def contains_keyword(text: Column, word: Column) -> Column:
+    return F.contains(normalize(text), normalize(word))
+
+
+def bbox_text(box: Column) -> Column:
+    """The text of struct(x0, y0, x1, y1) with two places; null for none."""
+    return F.when(box.isNotNull(), F.concat_ws(",", *[F.format_string("%.2f", box[n].cast("double")) for n in ("x0", "y0", "x1", "y1")]))
+
+
+def general_number(x: Column) -> Column:
+    """A number without needless places."""
+    return F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", "")
+
+
+def clean_ocr_label(text: Column) -> Column:
+    """A label without remains of lines: their signs, and a single small letter before the label (after its number)."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), r"[|\\\[\]{}_~^`]+", " ")
+    x = F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" .,:;-"))
+    x = F.regexp_replace(x, "^(\\d{1,3}\\s+)?[a-zäöü](?=[A-ZÄÖÜ])", "$1")
+    return F.btrim(F.regexp_replace(x, "^(\\d{1,3}\\s+)?[a-zäöü]\\s+(?=\\S)", "$1"))
+
+
+def section_of(address: Column) -> Column:
+    """An address without its last part; itself if it has one part only."""
+    return F.coalesce(present(F.regexp_extract(address, r"^(.*)\.[^.]*$", 1)), address)
+
+
+def column_letters(index: Column) -> Column:
+    """A, B, .. Z, AA, .. of a column's number from 0 (below 18,278)."""
+    n = index.cast("int")
+    letter = lambda k: F.chr((65 + k).cast("long"))
+    two, three = n - 26, n - 702
+    return (
+        F.when(n < 26, letter(n))
+        .when(n < 702, F.concat(letter(F.floor(two / 26).cast("int")), letter(two % 26)))
+        .otherwise(F.concat(letter(F.floor(three / 676).cast("int")), letter(F.floor(three % 676 / 26).cast("int")), letter(three % 26)))
+    )
 
 
 def leading_number(label: Column) -> Column:

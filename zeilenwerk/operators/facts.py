@@ -12,30 +12,44 @@ DIMENSIONS = ("projekt", "anlage", "gewerk", "fassung", "schwerpunkt", "gruppe",
 
 
 def exact(x: Column) -> Column:
-    """Sums of money and counts are taken as decimals, so that they don't depend on the order of rows."""
-    return F.sum(x.cast("decimal(18,2)")).cast("double")
+    """Sums of money and counts are taken as decimals of six places, so that they don't depend on the order of rows."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 
-def raw(documents: DataFrame, rows: DataFrame, cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """A record for each cell of a data row outside note columns. columns is a catalogue (column_index, ...)."""
+def _relation(facts: DataFrame, documents: DataFrame, columns: DataFrame) -> DataFrame:
     kept = columns.where(~F.col("is_note"))
-    facts = cells.join(rows.where("kind = 'daten'"), ["doc_id", "row_seq"]).join(documents, "doc_id").join(kept, "column_index")
+    facts = facts.join(documents, "doc_id").join(F.broadcast(kept), "column_index")  # a catalogue's columns, some fifty rows
     return facts.select(
-        "doc_id", "row_seq", F.coalesce(present(F.col("projekt")), F.col("auftraggeber")).alias("projekt"), "anlage", "gewerk", "fassung", "profil",
-        F.coalesce(present(F.col("focus")), F.lit(UNASSIGNED)).alias("schwerpunkt"), (F.col("page_index") + 1).alias("seite"), "datenpunkt",
-        "spalte_key", "adresse", "gruppe", F.coalesce("count", F.lit(0.0)).alias("wert"),
+        "doc_id", "datei", "fassung", "profil", F.coalesce(present(F.col("projekt")), F.col("auftraggeber")).alias("projekt"), "auftraggeber", "anlage",
+        F.coalesce(present(F.col("focus")), F.lit(UNASSIGNED)).alias("schwerpunkt"), F.coalesce("focus_label", F.lit("")).alias("schwerpunkt_bezeichnung"),
+        "gewerk", "planersteller", "blatt_nr", (F.col("page_index") + 1).alias("seite"), "row_seq", "row_no", "datenpunkt", "bas", "qualifier", "remark",
+        "adresse", "spalte_key", "gruppe", "untergruppe", "label", F.coalesce("count", F.lit(0.0)).alias("wert"), "raw_value", "note", "importiert_am",
     )
 
 
+def raw(documents: DataFrame, rows: DataFrame, cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """A record for each cell of a data row outside note columns. columns is a catalogue (column_index, ...)."""
+    return _relation(cells.join(rows.where("kind = 'daten'"), ["doc_id", "row_seq"]), documents, columns)
+
+
+def raw_of_rows(documents: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same of rows that hold their cells (an array), as a stored list does: nothing has to be joined to them."""
+    data = rows.where("kind = 'daten'")
+    return _relation(data.select(*[c for c in data.columns if c != "cells"], F.inline("cells")), documents, columns)
+
+
 def column_summary(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("profil", "adresse", "spalte_key", "gruppe").agg(exact(F.col("wert")).alias("menge"), F.count_distinct("doc_id").alias("dokumente"), F.count("datenpunkt").alias("n_cells"))
+    """Columns of equal key and unlike names are kept apart: lists that differ shall be seen."""
+    return facts.groupBy("profil", "adresse", "spalte_key", "gruppe", "untergruppe", "label").agg(exact(F.col("wert")).alias("menge"), F.count_distinct("doc_id").alias("dokumente"), F.count("datenpunkt").alias("n_cells"))
 
 
 def by_dimension(facts: DataFrame, dimension: str) -> DataFrame:
-    """Quantity, rows and documents by a dimension; no rows for one that doesn't exist."""
+    """Quantity, rows and documents by a dimension; no rows for one that doesn't exist. Rows are summed up first."""
     if dimension not in facts.columns:
         return facts.sparkSession.createDataFrame([], f"{dimension} string, menge double, n_rows bigint, dokumente bigint")
-    return facts.groupBy(dimension).agg(exact(F.col("wert")).alias("menge"), F.count_distinct("doc_id", "row_seq").alias("n_rows"), F.count_distinct("doc_id").alias("dokumente"))
+    one = facts.groupBy(dimension, "doc_id", "row_seq").agg(F.sum(F.col("wert").cast("decimal(28,6)")).alias("wert"))
+    by_doc = one.groupBy(dimension, "doc_id").agg(F.sum("wert").alias("wert"), F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy(dimension).agg(F.sum("wert").cast("double").alias("menge"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("dokumente"))
 
 
 def group_summary(facts: DataFrame) -> DataFrame:
@@ -43,7 +57,11 @@ def group_summary(facts: DataFrame) -> DataFrame:
 
 
 def focus_summary(facts: DataFrame) -> DataFrame:
-    out = facts.groupBy("schwerpunkt").agg(F.count_distinct("doc_id", "row_seq").alias("n_rows"), exact(F.col("wert")).alias("menge"), F.count_distinct("doc_id").alias("dokumente"), F.array_join(F.sort_array(F.collect_set("anlage")), ", ").alias("anlagen"))
+    """By focus and its name; lists that name a focus differently are kept apart. Rows are summed up before the foci, so
+    that no distinct count expands the cells."""
+    one = facts.groupBy("schwerpunkt", "schwerpunkt_bezeichnung", "doc_id", "row_seq").agg(F.first("datei").alias("datei"), F.sum(F.col("wert").cast("decimal(28,6)")).alias("wert"))
+    by_doc = one.groupBy("schwerpunkt", "schwerpunkt_bezeichnung", "doc_id").agg(F.first("datei").alias("datei"), F.count(F.lit(1)).alias("n"), F.sum("wert").alias("wert"))
+    out = by_doc.groupBy("schwerpunkt", F.col("schwerpunkt_bezeichnung").alias("bezeichnung")).agg(F.sum("n").alias("n_rows"), F.sum("wert").cast("double").alias("menge"), F.count(F.lit(1)).alias("dokumente"), F.array_join(F.sort_array(F.collect_set("datei")), ", ").alias("dateien"))
     return out.withColumn("art", F.when(F.col("schwerpunkt").startswith("ASP"), "ASP").when(F.col("schwerpunkt").startswith("ISP"), "ISP").otherwise(""))
 
 
@@ -61,7 +79,7 @@ def matrix(facts: DataFrame, keys: list[str], values: list[str], every: DataFram
 
 
 def layout(rows: DataFrame, cells: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each countable row, one column for each key (the last cell wins), notes joined."""
+    """One row for each countable row, one column for each key (the last cell wins). Notes: see lists.remarks."""
     c = cells.join(columns, "column_index")
     wide = [F.max_by(F.when(F.col("spalte_key") == k, F.col("count")), F.when(F.col("spalte_key") == k, F.col("column_index"))).alias(k) for k in keys]
     out = c.groupBy("doc_id", "row_seq").agg(*wide, F.bool_or(F.col("count").isNotNull()).alias("__full"))
@@ -95,7 +113,7 @@ def overview(documents: DataFrame, rows: DataFrame, sums: DataFrame) -> DataFram
     data = F.col("kind") == "daten"
     main = r.groupBy("doc_id").agg(F.count_distinct("page_index").alias("seiten"), F.count_if(data & F.col("value").isNotNull()).alias("n_countable"), F.coalesce(exact(F.when(data, F.col("value"))), F.lit(0.0)).alias("menge"))
     kinds = rows.where(~data).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "kind", "n"))), ", ").alias("ausgeschlossen"))
-    foci = rows.where(present(F.col("focus")).isNotNull()).groupBy("doc_id", "focus").agg(F.min("row_seq").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "focus"))).alias("f")).select("doc_id", F.array_join("f.focus", ", ").alias("schwerpunkte"))
+    foci = rows.where(data & present(F.col("focus")).isNotNull()).groupBy("doc_id", "focus").agg(F.min("row_seq").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "focus"))).alias("f")).select("doc_id", F.array_join("f.focus", ", ").alias("schwerpunkte"))
     out = documents.select("doc_id", "projekt", "anlage").join(main, "doc_id", "left").join(kinds, "doc_id", "left").join(foci, "doc_id", "left")
     return out.fillna(0, ["seiten", "n_countable"]).fillna(0.0, ["menge"]).fillna("", ["ausgeschlossen", "schwerpunkte"])
 

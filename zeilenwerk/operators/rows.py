@@ -20,7 +20,16 @@ HEADER = (
     "benennung", "datenpunkt", "benutzeradresse", "zeile nr", "abschnitt", "spalte", "bemerkung", "gewerk", "anlage", "funktionsliste",
     "ein ausgabefunktionen", "verarbeitungsfunktionen", "anwendungsfunktionen", "managementfunktionen", "bedienfunktionen", "b a funktionen",
 )
-REASONS = {"summe": "Summenzeile", "uebertrag": "Übertrag", "fussbereich": "Fußbereich", "kopf": "Tabellenkopf", "leer": "leere Zeile"}
+# Why a row doesn't count.
+REASONS = {
+    "summe": "Summenzeile - Werte sind bereits in den Einzelzeilen enthalten",
+    "uebertrag": "Uebertragszeile - Werte stammen von einem anderen Blatt",
+    "fussbereich": "Zeile des Kopf-/Fussbereichs, kein Datenpunkt",
+    "kopf": "Wiederholte Kopfzeile",
+    "leer": "Leere Zeile",
+}
+FITS = "Summenzeile ohne Beschriftung erkannt: die Werte entsprechen spaltenweise der Summe der Zeilen darueber"
+LAST = "Unbeschriftete Schlusszeile - als Summenzeile gewertet, die Werte gehen jedoch nicht auf (siehe Summenpruefung)"
 TOLERANCE = 1e-6
 
 
@@ -50,37 +59,45 @@ def cut_after_footer(rows: DataFrame, keys: list[str], seq: str, kind: str = "ki
     return rest.withColumn("__full", F.max((F.col(kind) != "leer").cast("int")).over(back)).where("__full = 1").drop("__stop", "__full")
 
 
-def mark_unlabelled_sums(rows: DataFrame, keys: list[str], seq: str = "row_seq") -> DataFrame:
-    """rows (keys, seq, kind, label, values: map<int,double>) with a kind of `summe` and a reason where a row without
-    a label holds the sums of the rows since the last sum: it must have values in two columns, or repeat those of two
-    rows; a page's last row without a label that has all of the block's columns is one even if its sums are off.
+def is_footer(label: Column) -> Column:
+    return row_kind(label, F.lit(False)) == "fussbereich"
+
+
+def mark_unlabelled_sums(rows: DataFrame, keys: list[str], seq: str = "row_seq", bas: str | None = None) -> DataFrame:
+    """rows (keys, seq, kind, label, values: map<int,double>) with a kind of `summe` and a reason where a data row
+    without a label (and without an address, column `bas`) is a sum. It is one if it has, in two columns or more, the
+    sums of the data rows since the last sum in all columns where these aren't 0; and if it's the page's last row with
+    values and two data rows or more stand above it, whatever its values are. Null values count as none.
 
     One state machine over each page's rows; a page is bounded, a document isn't."""
-    page = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "kind", "label", "values")), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0))
-    empty = F.struct(F.create_map().cast("map<int,double>").alias("run"), F.lit(0).alias("n"), F.array().cast("array<struct<seq:int,kind:string,reason:string>>").alias("out"))
+    kind_of, none = "struct<seq:int,kind:string,reason:string>", F.create_map().cast("map<int,double>")
+    bare = normalize(F.col("label")) == ""
+    bare = bare & (normalize(F.col(bas)) == "") if bas else bare
+    held = F.map_filter(F.coalesce("values", none), lambda k, v: v.isNotNull())
+    own = F.struct(F.col(seq).cast("int").alias("seq"), "kind", bare.alias("bare"), held.alias("values"))
+    last = F.max(F.when(F.size(held) > 0, F.col(seq).cast("int")))
+    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(own), lambda a, b: a["seq"] - b["seq"]).alias("__page"), last.alias("__last"))
+    start = F.struct(none.alias("run"), F.lit(0).alias("n"), F.array().cast(f"array<{kind_of}>").alias("out"))
 
     def step(acc, x):
-        v = F.coalesce(x["values"], F.create_map().cast("map<int,double>"))
-        full = F.size(v) > 0
-        data = (x["kind"] == "daten") & full
-        bare = data & (F.coalesce(F.btrim(x["label"]), F.lit("")) == "") & (acc["n"] >= 2)
-        same = F.array_sort(F.map_keys(v)) == F.array_sort(F.map_keys(acc["run"]))
-        fits = F.forall(F.map_keys(v), lambda k: F.abs(F.try_element_at(v, k) - F.try_element_at(acc["run"], k)) < TOLERANCE)
-        last = x["seq"] == x["last"]
-        is_sum = bare & same & (fits | last)
+        v, run = x["values"], F.map_filter(acc["run"], lambda k, s: s != 0)
+        data = (x["kind"] == "daten") & (F.size(v) > 0)
+        same = F.array_sort(F.map_keys(v)) == F.array_sort(F.map_keys(run))
+        near = F.forall(F.map_keys(v), lambda k: F.abs(F.try_element_at(v, k) - F.try_element_at(run, k)) < TOLERANCE)
+        fits = (F.size(v) >= 2) & same & near
+        is_sum = data & x["bare"] & (acc["n"] >= 1) & (fits | ((x["seq"] == F.col("__last")) & (acc["n"] >= 2)))
         explicit = x["kind"].isin("summe", "uebertrag")
         merged = F.map_zip_with(acc["run"], v, lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-        why = F.when(is_sum & ~fits, "Summenzeile ohne Beschriftung, die Summen gehen jedoch nicht auf").when(is_sum, "Summenzeile ohne Beschriftung").otherwise("")
+        why = F.when(is_sum, F.when(fits, FITS).otherwise(LAST)).otherwise("")
+        mark = F.struct(x["seq"].alias("seq"), F.when(is_sum, "summe").otherwise(x["kind"]).alias("kind"), why.alias("reason"))
         return F.struct(
-            F.when(is_sum | explicit, empty["run"]).when(data, merged).otherwise(acc["run"]).alias("run"),
+            F.when(is_sum | explicit, none).when(data, merged).otherwise(acc["run"]).alias("run"),
             F.when(is_sum | explicit, 0).when(data, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["seq"].cast("int").alias("seq"), F.when(is_sum, "summe").otherwise(x["kind"]).alias("kind"), why.alias("reason")))).alias("out"),
+            F.concat(acc["out"], F.array(mark)).alias("out"),
         )
 
-    prepared = F.transform("__page", lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), x["label"].alias("label"), x["values"].alias("values"), F.col("__last").alias("last")))
-    pages = rows.groupBy(*keys).agg(page.alias("__page")).withColumn("__last", F.when(F.exists("__page", lambda x: F.size(x["values"]) > 0), F.element_at(F.filter("__page", lambda x: F.size(x["values"]) > 0), -1)["seq"]))
-    marks = pages.select(*keys, F.explode(F.aggregate(prepared, empty, step)["out"]).alias("m")).select(*keys, F.col("m.seq").alias(seq), F.col("m.kind").alias("kind"), F.col("m.reason").alias("reason"))
-    return rows.drop("kind").join(marks, [*keys, seq])
+    marks = pages.select(*keys, F.inline(F.aggregate("__page", start, step)["out"]))
+    return rows.drop("kind").join(marks.withColumnRenamed("seq", seq), [*keys, seq])
 
 
 def remove_positions(rows: DataFrame, positions: list[int], keys: list[str], seq: str, kind: str = "kind") -> DataFrame:
@@ -91,11 +108,11 @@ def remove_positions(rows: DataFrame, positions: list[int], keys: list[str], seq
 
 
 def page_kind(text: Column, drawings: Column, n_words: Column) -> Column:
-    """struct(kind, confidence) of a page by its text."""
+    """struct(kind, confidence) of a page by its text; white space of any kind at its ends doesn't count."""
     n = normalize(text)
     has = lambda words: n.rlike("(" + "|".join(words) + ")")
     # Words that tell a diagram and a table, normalised.
     schema = ("regelschema", "prinzipschaltbild", "anlagenschema", "strangschema", "funktionsschema", "schaltplan", "r i", "rls schema")
     table = ("summe funktionen", "funktionsliste", "datenpunktliste", "verarbeitungsfunktionen", "anwendungsfunktionen")
     of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
-    return F.when(F.length(F.btrim(text)) < 30, of("unbekannt", 0.0)).when(has(schema), of("regelschema", 0.85)).when(has(table), of("funktionsliste", 0.7)).when((drawings > 150) & (n_words < 400), of("regelschema", 0.7)).otherwise(of("sonstiges", 0.5))
+    return F.when(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < 30, of("unbekannt", 0.0)).when(has(schema), of("regelschema", 0.85)).when(has(table), of("funktionsliste", 0.7)).when((drawings > 150) & (n_words < 400), of("regelschema", 0.7)).otherwise(of("sonstiges", 0.5))
