@@ -199,5 +199,6 @@ def resampled(docs: DataFrame, text: str = "text") -> DataFrame:
     drawn = F.pmod(F.xxhash64(F.lit(SEED), "source", "at"), F.lit(1 << 30)) / F.lit(1 << 30)
     copies = F.floor(F.col("taken") / F.col("size") + drawn).cast("int")
     times = times.where("taken > 0").select(F.col("row").alias("__row"), copies.alias("__times")).where("__times > 0")
-    out = rows.join(written(times, "times"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    # what grows with the documents is never broadcast
+    out = rows.join(written(times, "times").hint("merge"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*docs.columns)

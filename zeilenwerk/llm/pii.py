@@ -202,5 +202,6 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = running(ordered, "string", step)
     tail = F.aggregate(ordered, F.lit(0), lambda at, x: F.greatest(at, -x["end"]))
     clean = F.concat(F.array_join(parts, ""), F.substring(F.col(text), tail + 1, F.length(text)))
-    out = keyed.join(found, ["__k0", "__k1"], "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
+    # what grows with the documents is never broadcast
+    out = keyed.join(found.hint("merge"), ["__k0", "__k1"], "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean))
     return out.select(*docs.columns)
