@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from zeilenwerk import catalogue
+from zeilenwerk import catalogue, catalogue_lists  # noqa: F401
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()

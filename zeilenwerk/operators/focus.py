@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_focus, present
+from ..functions.text import clean_label, parse_focus, present
 
 
 def own_focus(label: Column, *others: Column) -> Column:
@@ -15,6 +15,15 @@ def own_focus(label: Column, *others: Column) -> Column:
     return F.coalesce(parse_focus(label), *map(bare, others))
 
 
+def of_metadata(asp: Column, isp: Column, system: Column, trade: Column) -> Column:
+    """The focus that a sheet's fields name: the fields of their kind (a number is enough there), then the system, then
+    the trade. A focus without a name takes the system's."""
+    kind = lambda c, k: F.coalesce(parse_focus(c), parse_focus(F.concat(F.lit(k + " "), c)))
+    found = F.coalesce(kind(present(asp), "ASP"), kind(present(isp), "ISP"), parse_focus(present(system)), parse_focus(present(trade)))
+    name = F.coalesce(present(found["label"]), clean_label(system), F.lit(""))
+    return F.when(found.isNotNull(), F.struct(found["code"].alias("code"), name.alias("label")))
+
+
 def assign(rows: DataFrame, header: Column | None = None, default: Column | None = None) -> DataFrame:
     """rows (doc_id, page_index, row_seq, kind, label, own: struct, has_values) with focus and focus_label.
 

@@ -46,3 +46,33 @@ def migrated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     for name, default in columns.items():
         df = df.withColumn(name, F.coalesce(name, default) if name in df.columns else default)
     return df
+
+
+def without(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """A table without the rows of documents that go; every table of a document is treated so."""
+    return stored.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def upsert_prices(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Unit prices (spalte_key, profil, label, preis, at): the latest price of a key; where it comes without a name or a
+    profile, the old ones stay. By key."""
+    at = F.struct("at", "preis")
+    kept = lambda c: F.coalesce(F.max_by(c, F.when(present(F.col(c)).isNotNull(), at)), F.lit("")).alias(c)
+    both = old.unionByName(new)
+    return both.groupBy("spalte_key").agg(kept("profil"), kept("label"), F.max_by("preis", at).alias("preis"), F.max("at").alias("at")).orderBy("spalte_key")
+
+
+def price_literals(texts: DataFrame) -> DataFrame:
+    """texts (text: KEY=WERT, decimal comma or point) -> spalte_key, preis; others go."""
+    key, value = F.btrim(F.substring_index("text", "=", 1)), F.btrim(F.regexp_extract("text", "=(.*)$", 1))
+    return texts.where(F.col("text").contains("=")).select(key.alias("spalte_key"), F.replace(value, F.lit(","), F.lit(".")).try_cast("double").alias("preis")).where("preis is not null")
+
+
+def write_prices(prices: DataFrame, path: str) -> None:
+    """A price list as text with semicolons and a head, one file a task."""
+    prices.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+
+
+def projects(stored: DataFrame) -> DataFrame:
+    """The projects of a store by name, with their documents and latest import."""
+    return stored.groupBy("project").agg(F.count_distinct("file_hash").alias("dokumente"), F.max("importiert_am").alias("stand")).orderBy("project")

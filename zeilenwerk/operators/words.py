@@ -15,10 +15,17 @@ from .binding import greedy
 PAGE = ["doc_id", "page_index"]
 #: Lines of a table's head lie so close together, and rows when nothing tells their distance.
 LABEL_ROW, ROW = 3.5, 3.0
-CX, CY = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
 INTEGER, ADDRESS = r"^\d{1,3}$", r"^\d{1,2}(\.\d{1,2})*\.?$"
 
 
+def cx() -> Column:
+    return (F.col("x0") + F.col("x1")) / 2
+
+
+def cy() -> Column:
+    return (F.col("y0") + F.col("y1")) / 2
+
+
 def is_rotated() -> Column:
     """Text set upright: much higher than wide."""
     h = F.col("y1") - F.col("y0")
@@ -26,7 +33,7 @@ def is_rotated() -> Column:
 
 
 def lines(words: DataFrame, tolerance: float, out: str = "line") -> DataFrame:
-    return geometry.gap_clusters(words.withColumn("__cy", CY), PAGE, "__cy", tolerance, "word_id", out).drop("__cy")
+    return geometry.gap_clusters(words.withColumn("__cy", cy()), PAGE, "__cy", tolerance, "word_id", out).drop("__cy")
 
 
 def boxes(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,7 +43,7 @@ def boxes(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def row_pitch(words: DataFrame, tolerance: float = ROW) -> DataFrame:
     """doc_id, page_index, pitch: the upper median of the distances between lines, those from 1 to 200."""
-    first = lines(words, tolerance).groupBy(*PAGE, "line").agg(F.min_by(CY, F.struct("x0", "word_id")).alias("cy"))
+    first = lines(words, tolerance).groupBy(*PAGE, "line").agg(F.min_by(cy(), F.struct("x0", "word_id")).alias("cy"))
     gap = F.col("cy") - F.lag("cy").over(W.partitionBy(*PAGE).orderBy("cy"))
     gaps = first.withColumn("gap", gap).where("gap > 1 and gap < 200")
     return gaps.groupBy(*PAGE).agg(geometry.upper_median(F.collect_list("gap")).alias("pitch"))
@@ -45,8 +52,8 @@ def row_pitch(words: DataFrame, tolerance: float = ROW) -> DataFrame:
 def number_anchor(words: DataFrame, anchors: DataFrame, pattern: str = INTEGER, least: int = 4, tolerance: float = LABEL_ROW) -> DataFrame:
     """Of a page's anchor words the one with the most matching words on its line to the right (at least so many); the
     first of equals."""
-    a = anchors.select(*PAGE, F.col("word_id").alias("anchor"), CY.alias("__ay"), CX.alias("__ax"))
-    w = words.where(F.btrim("text").rlike(pattern)).select(*PAGE, "word_id", CY.alias("__y"), CX.alias("__x"))
+    a = anchors.select(*PAGE, F.col("word_id").alias("anchor"), cy().alias("__ay"), cx().alias("__ax"))
+    w = words.where(F.btrim("text").rlike(pattern)).select(*PAGE, "word_id", cy().alias("__y"), cx().alias("__x"))
     hits = geometry.band_join(a, w, PAGE, "__ay", "__y", tolerance).where("__x > __ax")
     counts = hits.groupBy(*PAGE, "anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return counts.groupBy(*PAGE).agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("anchor"), F.max("n").alias("n"))
@@ -55,7 +62,7 @@ def number_anchor(words: DataFrame, anchors: DataFrame, pattern: str = INTEGER,
 def number_row(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """The line of column numbers on each page: eight integers and more, most of the line, none above 30, mostly counting
     up or starting at 1 again; the best one by numbers, restarts and steps. Gives line and score."""
-    w = lines(words, tolerance).withColumn("__n", F.when(F.btrim("text").rlike(INTEGER), F.btrim("text").cast("int"))).withColumn("__cx", CX)
+    w = lines(words, tolerance).withColumn("__n", F.when(F.btrim("text").rlike(INTEGER), F.btrim("text").cast("int"))).withColumn("__cx", cx())
     size = w.groupBy(*PAGE, "line").agg(F.count(F.lit(1)).alias("k"))
     after = F.lead("__n").over(W.partitionBy(*PAGE, "line").orderBy("__cx", "word_id"))
     step = w.where("__n is not null").withColumn("__after", after)
@@ -66,7 +73,7 @@ def number_row(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
 
 def section_row(words: DataFrame, tops: DataFrame) -> DataFrame:
     """The lowest line of addresses within four heights above the number row. tops: doc_id, page_index, top, height."""
-    near = words.join(tops, PAGE).withColumn("__cy", CY).where((F.col("__cy") >= F.col("top") - 4 * F.col("height")) & (F.col("__cy") < F.col("top")) & F.btrim("text").rlike(ADDRESS))
+    near = words.join(tops, PAGE).withColumn("__cy", cy()).where((F.col("__cy") >= F.col("top") - 4 * F.col("height")) & (F.col("__cy") < F.col("top")) & F.btrim("text").rlike(ADDRESS))
     low = F.max("__cy").over(W.partitionBy(*PAGE))
     return near.withColumn("__low", low).where(F.abs(F.col("__cy") - F.col("__low")) <= F.col("height")).drop("__low", "__cy", "top", "height")
 
@@ -109,7 +116,7 @@ def label_stacks(words: DataFrame, columns: DataFrame, gap: float = 8.0) -> Data
     """A column's upright label: the words over the head's lower edge within its width, from below up to the first gap.
     columns: doc_id, page_index, column_index, x_center, bottom, pitch."""
     reach = F.greatest(F.lit(3.0), 0.45 * F.col("pitch"))
-    w = words.withColumn("__cx", CX).join(columns, PAGE).where((F.col("y1") <= F.col("bottom")) & (F.abs(F.col("__cx") - F.col("x_center")) <= reach) & (F.col("x1") - F.col("x0") <= 1.15 * F.col("pitch")))
+    w = words.withColumn("__cx", cx()).join(columns, PAGE).where((F.col("y1") <= F.col("bottom")) & (F.abs(F.col("__cx") - F.col("x_center")) <= reach) & (F.col("x1") - F.col("x0") <= 1.15 * F.col("pitch")))
     order = W.partitionBy(*PAGE, "column_index").orderBy(F.col("y0").desc(), "word_id")
     apart = F.coalesce((F.lag("y0").over(order) - F.col("y1") > gap).cast("int"), F.lit(0))
     w = w.withColumn("__apart", apart).withColumn("__island", F.sum("__apart").over(order.rowsBetween(W.unboundedPreceding, 0))).where("__island = 0")
@@ -120,7 +127,7 @@ def label_stacks(words: DataFrame, columns: DataFrame, gap: float = 8.0) -> Data
 def cells(words: DataFrame, columns: DataFrame, tolerance: Column) -> DataFrame:
     """What stands in each line and column: words (with line) whose middle is within the tolerance of the column's,
     joined by x, with their rectangle and count. columns: doc_id, page_index, column_index, x_center, pitch."""
-    w = words.withColumn("__cx", CX).join(columns, PAGE).where(F.abs(F.col("__cx") - F.col("x_center")) <= tolerance)
+    w = words.withColumn("__cx", cx()).join(columns, PAGE).where(F.abs(F.col("__cx") - F.col("x_center")) <= tolerance)
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))), lambda x: x["text"]), " ")
     out = w.groupBy(*PAGE, "line", "column_index").agg(parts.alias("raw_value"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     count = parse_count(F.col("raw_value"))
@@ -129,7 +136,7 @@ def cells(words: DataFrame, columns: DataFrame, tolerance: Column) -> DataFrame:
 
 def row_labels(words: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, page_index, line, row_no, label of the words left of the first column. edges: doc_id, page_index, label_left."""
-    w = words.join(edges, PAGE).where(CX < F.col("label_left"))
+    w = words.join(edges, PAGE).where(cx() < F.col("label_left"))
     text = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))), lambda x: x["text"]), " "))
     out = w.groupBy(*PAGE, "line").agg(text.alias("label"))
     number = F.regexp_extract("label", r"^(\d{1,3})( .*)?$", 1)
@@ -158,7 +165,7 @@ def cleaned_ocr(words: DataFrame, edges: DataFrame) -> DataFrame:
     text = F.btrim(F.translate("text", "|_", "  "), F.lit(" .:;"))
     w = words.join(edges, PAGE).withColumn("text", text).where("text <> ''")
     cell = F.col("text").rlike(r"^(\d{1,3}|[xX✓])$")
-    return w.where(F.when(CX > F.col("label_left"), cell).otherwise((F.length("text") > 1) | F.col("text").rlike(r"(?U)^\w$") & (F.col("text") != "_"))).drop("label_left")
+    return w.where(F.when(cx() > F.col("label_left"), cell).otherwise((F.length("text") > 1) | F.col("text").rlike(r"(?U)^\w$") & (F.col("text") != "_"))).drop("label_left")
 
 
 def vertical(segments: DataFrame) -> DataFrame:

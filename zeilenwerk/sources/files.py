@@ -79,6 +79,6 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tolerant_json(answer: Column, schema: str) -> Column:
-    """The first object in a model's answer, fenced or surrounded by text."""
-    plain = F.regexp_replace(answer, "```(json)?", "")
-    return F.coalesce(F.from_json(plain, schema), F.from_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0), schema))
+    """The first object in a model's answer, fenced or surrounded by text; no fields if there is none."""
+    plain = F.regexp_replace(F.coalesce(answer, F.lit("")), "```(json)?", "")
+    return F.from_json(F.coalesce(F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit("")), F.lit("{}")), schema)
