@@ -173,7 +173,7 @@ def covered(texts):
         yield len(b), int(off.sum()), int((np.diff(np.r_[0, off.astype(int)]) == 1).sum()), hashlib.sha256(rest).hexdigest(), len(w), int(again.sum())
 
 
-@pytest.mark.parametrize("group", [100_000, 2])
+@pytest.mark.parametrize("group", [1_000_000, 2])
 def test_repeats(docs, rows, none, monkeypatch, group):
     """All anchors in tasks of their own, and all of them halved."""
     monkeypatch.setattr(repeats, "GROUP", group)
@@ -184,7 +184,7 @@ def test_repeats(docs, rows, none, monkeypatch, group):
     assert repeats.removed(none).count() == 0
 
 
-@pytest.mark.parametrize("group", [100_000, 3])
+@pytest.mark.parametrize("group", [1_000_000, 3])
 def test_repeats_of_passages(spark, monkeypatch, group):
     """A passage cut off at many places on both sides, in texts that go on differently; one only its own text repeats."""
     monkeypatch.setattr(repeats, "GROUP", group)

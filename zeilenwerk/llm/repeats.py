@@ -42,8 +42,8 @@ from .shared import small_batches, starts, whole_runs, written
 
 #: Symbols that are hashed at a time.
 CHUNK = 1 << 19
-#: Occurrences of an anchor that stand in one task.
-GROUP = 20_000
+#: Occurrences of an anchor that stand in one task: some 70 MB.
+GROUP = 100_000
 #: Words longer than this stand as their hash in suffixes.
 LONG_WORD = 32
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -42,10 +42,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors lose nothing."""
+    """df as a table in the shared folder: its lineage ends there, and lost executors lose nothing. What was shuffled
+    for it isn't needed any more, so its files go at once."""
     spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
