@@ -114,3 +114,19 @@ def test_ingest(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), "p", lambda df: df.select("path", "file_hash"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_sheet(spark):
+    """A sheet of cells becomes columns, rows and cells."""
+    from zeilenwerk.operators import sheets
+
+    head = [(0, 0, "Gewerk:"), (0, 2, "Heizung"), (3, 3, "Mengen"), (3, 5, "Sätze"), (4, 3, "Menge 1)"), (4, 4, "Preis je Teil"), (4, 5, "Rabatt"), (4, 6, "Bemerkung"), (5, 2, "Abschnitt"), (5, 3, "1."), (5, 5, "4"), (6, 2, "Spalte"), (6, 3, "1"), (6, 4, "2"), (6, 5, "1"), (6, 6, "2")]
+    body = [(7, 0, "1"), (7, 1, "Pumpe"), (7, 2, "BE"), (7, 3, "2"), (7, 4, "x"), (8, 0, "2"), (8, 1, "Ventil"), (8, 3, "3"), (8, 4, "4"), (8, 5, "siehe Plan"), (9, 3, "5"), (9, 4, "5"), (10, 1, "Übertrag von 2"), (10, 3, "9"), (12, 1, "Planersteller"), (13, 1, "danach"), (13, 3, "7")]
+    grid = spark.createDataFrame([("d", 0, *x) for x in head + body], "doc_id string, sheet int, r int, c int, value string").persist()
+    cols = sheets.head(grid).persist()
+    assert [(x["address"], x["group_name"], x["is_note"]) for x in cols.orderBy("column_index").collect()] == [("1.1", "Mengen", False), ("1.2", "Mengen", False), ("4.1", "Sätze", True), ("4.2", "Sätze", True)]
+    rows, cells = sheets.body(grid, cols)
+    got = {x["row_seq"]: (x["row_no"], x["label"], x["qualifier"], x["remark"], x["kind"]) for x in rows.collect()}
+    assert got == {7: ("1", "Pumpe", "BE", "", "daten"), 8: ("2", "Ventil", "", "siehe Plan", "daten"), 9: ("", "", "", "", "summe"), 10: ("", "Übertrag von 2", "", "", "uebertrag")}
+    assert sorted((x["row_seq"], x["column_index"], x["count"], x["note"]) for x in cells.where("row_seq < 9").collect()) == [(7, 0, 2.0, ""), (7, 1, 1.0, ""), (8, 0, 3.0, ""), (8, 1, 4.0, ""), (8, 2, None, "siehe Plan")]
+    assert {x["field"]: x["value"] for x in sheets.metadata(grid).collect()} == {"gewerk": "Heizung"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import BOXES, MENGE, MODEL, PAGE, PRICES, SUMMARY, TOTAL, query, raw
 from .functions import text as tx
-from .operators import editing, facts, focus, merging, reconcile, reports, store, words
+from .operators import editing, facts, focus, merging, reconcile, reports, sheets, store, words
 from .operators import rows as rules
 from .sources import answers
 from .sources import testdata as td
@@ -537,3 +537,40 @@ def unlabelled_sums_of_blocks(s, d):
     one, two = F.when(F.col("last"), total).otherwise(F.col("v") + 1), F.when(F.col("last"), 7.0).otherwise(1.0)
     rows = e.select("user_id", "page_index", F.col("row_seq").cast("int").alias("row_seq"), F.lit("daten").alias("kind"), F.when(F.col("last"), "--").otherwise("Pumpe").alias("label"), F.map_from_arrays(F.array(F.lit(0), F.lit(1)), F.array(one, two)).alias("values"))
     return rules.mark_unlabelled_sums(rows, ["user_id", "page_index"]).select("user_id", "page_index", "row_seq", "kind")
+
+
+# Orders as sheets: a head of seven rows, then the line items with three of their numbers as columns 1.1, 1.2 and 2.1.
+_HEAD = [(0, 0, "Gewerk:"), (0, 2, "Heizung"), (0, 4, "1)"), (0, 5, "gilt je Stück"), (1, 5, "und für jede weitere Anlage"), (3, 3, "Mengen"), (3, 5, "Sätze"), (4, 3, "Menge 1)"), (4, 4, "Preis je Teil"), (4, 5, "Rabatt"), (4, 6, "Bemerkung"), (5, 2, "Abschnitt"), (5, 3, "1."), (5, 5, "02"), (6, 2, "Spalte"), (6, 3, "1"), (6, 4, "2"), (6, 5, "1"), (6, 6, "2")]
+
+
+def _grid_of_orders(s, d):
+    r = td.rows_with_cells(s, d)
+    count = lambda i: F.format_string("%d", F.rint(F.element_at("cells", i + 1)["count"]).cast("long"))
+    k = F.col("row_seq")
+    label = F.when(F.col("kind") == "summe", F.concat(F.lit("Summe "), "bas")).otherwise(F.col("datenpunkt"))
+    body = [(0, F.col("row_no")), (1, label), (2, F.col("qualifier")), (3, count(0)), (4, F.when(k % 2 == 0, "x")), (5, F.when(k % 3 == 0, "frei")), (6, F.when(k % 4 == 0, count(0)))]
+    each = r.select("doc_id", F.inline(F.array(*[F.struct((k + 6).alias("r"), F.lit(c).alias("c"), v.alias("value")) for c, v in body]))).where("value is not null")
+    head = F.inline(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c"), F.lit(v).alias("value")) for a, b, v in _HEAD]))
+    foot = r.groupBy("doc_id").agg(F.max("row_seq").alias("n")).select("doc_id", F.inline(F.array(*[F.struct((F.col("n") + k).alias("r"), F.lit(1).alias("c"), F.lit(v).alias("value")) for k, v in ((7, "Planersteller"), (8, "Büro"))])))
+    return r.select("doc_id").distinct().select("doc_id", head).unionByName(each).unionByName(foot).withColumn("sheet", F.lit(0)).persist()  # as a stored table of cells would be
+
+
+def _sheets_of_orders(s, d):
+    grid = _grid_of_orders(s, d)
+    return grid, sheets.head(grid).persist()
+
+
+@query("SELECT o.l_orderkey AS doc_id, c.* FROM (SELECT DISTINCT l_orderkey FROM lineitem) o, (VALUES (0, '1.1', 'Menge 1)', 'Mengen', '1'), (1, '1.2', 'Preis je Teil', 'Mengen', ''), (2, '2.1', 'Rabatt', 'Sätze', ''), (3, '2.2', 'Bemerkung', 'Sätze', '')) c(column_index, address, label, group_name, marks)")
+def sheet_columns(s, d):
+    h = sheets.head(_grid_of_orders(s, d))
+    return h.select("doc_id", "column_index", "address", "label", "group_name", F.concat_ws(",", "footnote_markers").alias("marks"))
+
+
+@query("SELECT DISTINCT l_orderkey AS doc_id, 'gewerk' AS field, 'Heizung' AS value FROM lineitem")
+def sheet_metadata(s, d):
+    return sheets.metadata(_grid_of_orders(s, d)).drop("sheet")
+
+
+@query("SELECT DISTINCT l_orderkey AS doc_id, '1' AS marker, 'gilt je Stück und für jede weitere Anlage' AS text FROM lineitem")
+def sheet_footnotes(s, d):
+    return sheets.footnotes(*_sheets_of_orders(s, d)).drop("sheet")

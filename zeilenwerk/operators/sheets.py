@@ -107,19 +107,19 @@ def body(grid: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = own.where("c < __first").groupBy(*SHEET, F.col("r").alias("row_seq")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]).alias("__t"), F.max(F.when(F.col("c") == F.col("__q"), F.col("value"))).alias("qualifier")
     )
+    # named before the join, so that each expression stands once in the plan
+    number = F.when(F.element_at("__t", 1).rlike(r"^\d+$"), F.element_at("__t", 1)).otherwise("")
+    left = left.withColumn("row_no", number).withColumn("__at", F.array_position("__t", F.coalesce("qualifier", F.lit(""))))
+    texts = F.filter("__t", lambda x, i: ~((i == 0) & (F.col("row_no") != "")) & (i + 1 != F.col("__at")))
+    left = left.select(*SHEET, "row_seq", "row_no", "qualifier", F.btrim(F.array_join(texts, " ")).alias("label"))
     sums = cells.groupBy(*SHEET, "row_seq").agg(
         F.bool_or(F.col("count").isNotNull()).alias("__full"),
         F.map_from_entries(F.collect_list(F.struct(F.col("column_index").cast("int"), "count"))).alias("values"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_note"), F.struct("column_index", "raw_value")))), lambda x: x["raw_value"]), " ").alias("remark"),
     )
     rows = left.join(sums, [*SHEET, "row_seq"], "full_outer")
-    texts = F.coalesce("__t", F.array().cast("array<string>"))
-    number = F.when(F.try_element_at(texts, F.lit(1)).rlike(r"^\d+$"), F.try_element_at(texts, F.lit(1))).otherwise("")
-    rest = F.when(number != "", F.slice(texts, 2, 1000)).otherwise(texts)
-    q = F.array_position(rest, F.coalesce("qualifier", F.lit(""))).cast("int")
-    rest = F.when(q > 0, F.concat(F.slice(rest, F.lit(1), q - 1), F.slice(rest, q + 1, F.size(rest)))).otherwise(rest)
-    full = F.coalesce("__full", F.lit(False))
-    rows = rows.select(*SHEET, "row_seq", number.alias("row_no"), F.btrim(F.array_join(rest, " ")).alias("label"), F.coalesce("qualifier", F.lit("")).alias("qualifier"), F.coalesce("remark", F.lit("")).alias("remark"), F.coalesce("values", F.create_map().cast("map<int,double>")).alias("values"), full.alias("has_values"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = rows.select(*SHEET, "row_seq", text("row_no"), text("label"), text("qualifier"), text("remark"), F.coalesce("values", F.create_map().cast("map<int,double>")).alias("values"), F.coalesce("__full", F.lit(False)).alias("has_values"))
     rows = rows.withColumn("kind", rules.row_kind(F.col("label"), F.col("has_values")))
     rows = rules.cut_after_footer(rows, SHEET, "row_seq").withColumn("first_reason", rules.reason(F.col("kind")))
     rows = rules.mark_unlabelled_sums(rows, SHEET)
