@@ -360,17 +360,49 @@ def test_segments(seed):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage on its predecessor's rows against a plain version of it."""
+    from tokenizers import Tokenizer
+
+    from zeilenwerk.llm import queries
+
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs, labels = toxic_table(spark, 300)
-    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.concat(F.lit("s"), F.coalesce(F.col("doc_id"), F.lit(0)) % 2).alias("source"), F.length("text").cast("long").alias("n_chars"))
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    at, df = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
-    stages = dict(pipeline.STAGES)
-    kept = stages["toxicity"](spark, df, at)
-    score = {r["doc_id"]: r["score"] for r in toxicity.scored(df, spark.read.parquet(f"{at}/labels.parquet")).collect()}
-    assert {r["doc_id"] for r in kept.collect()} == {k for k, v in score.items() if v < 0.7}
-    one = stages["near-duplicates"](spark, df, at)
-    assert one.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0 and one.columns == df.columns
-    out = pipeline.run(spark, at)
-    assert set(out.columns) >= {*df.columns, "n_tokens", "ids", "decoded"} and out.count() > 0
+    r = random.Random(11)
+    words, docs, labels = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)], [], []
+    for i in range(150):
+        w = [r.choice(words) for _ in range(r.randint(8, 24))]
+        for _ in range(3 * (i % 5 == 0)):
+            w.insert(r.randrange(len(w) + 1), r.choice(["scum", "moron"]))
+        docs.append((i, " ".join(w) + (f" mail a{i}@b.example.com" if i % 7 == 3 else "")))
+        labels.append((i, int(i % 5 == 0)))
+    docs += [(150, docs[1][1]), (151, docs[2][1].upper()), (152, docs[3][1] + " more"), (153, None), (154, ""), (1, docs[1][1])]
+    full = [(d, t, "en", "abc"[(d or 0) % 3], len(t or "")) for d, t in docs]
+    at = str(tmp_path)
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    held, seen = spark.read.parquet(f"{at}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, held, at)
+        out.write.parquet(f"{at}/{name}")
+        seen[name] = ([tuple(x) for x in held.collect()], spark.read.parquet(f"{at}/{name}"))
+        held = seen[name][1]
+    rows = lambda name: Counter(tuple(x) for x in seen[name][1].collect())
+    own = seen["toxicity"][0]
+    low = [x for x, (_, p) in zip(own, plain_scores([x[:2] for x in own], labels), strict=True) if p < 0.7]
+    assert rows("toxicity") == Counter(low) and 0 < len(low) < len(own)
+    own = seen["near-duplicates"][0]
+    kept = {(x[0], x[1]): x for x, (d, _, c) in zip(own, linked(own), strict=True) if d == c}
+    assert rows("near-duplicates") == Counter(kept.values()) and len(kept) < len(own)
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert rows("personal data") == Counter((x[0], x[1] and mail.sub("[EMAIL]", x[1]), *x[2:]) for x in seen["personal data"][0])
+    own, got = seen["mixing"][0], rows("mixing")
+    size = lambda x: len((x[1] or "").split())
+    assert set(got) <= set(own) and all(n <= 3 for n in got.values()) and set(got) != set()
+    for s, (w, total) in {"a": (1, 6), "b": (2, 6), "c": (3, 6)}.items():
+        target = sum(map(size, own)) * w / total
+        assert abs(sum(size(x) * n for x, n in got.items() if x[3] == s) / target - 1) < 0.3
+    lib = Tokenizer.from_file(queries.vocabulary())
+    for x in seen["encoding"][1].collect():
+        ids = lib.encode(x["text"] or "", add_special_tokens=False).ids
+        assert x["n_tokens"] == len(ids) and bytes(x["ids"]) == np.array(ids, "<u4").tobytes() and x["decoded"] == lib.decode(ids, skip_special_tokens=False)
+    assert Counter(tuple(x)[:5] for x in seen["encoding"][1].collect()) == rows("mixing")
+    assert pipeline.run(spark, at).count() == seen["encoding"][1].count()
