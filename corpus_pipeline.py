@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; null rows, extra columns and repeated rows are treated
-as the operators say. ORACLE_SQL is None: SQL expresses none of the learned or hashed stages; tests/llm compares
-run() with a brute-force version on a small fixture.
+as the operators say. ORACLE_SQL is None: SQL expresses none of the learned or hashed stages; tests/llm compares each
+stage with a plain version of it, on its predecessor's rows.
 """
 
 from __future__ import annotations
