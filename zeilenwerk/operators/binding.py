@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize
 
-THRESHOLD, ADDRESS_SCORE = 0.78, 1.5
+THRESHOLD = 0.78
 
 
 def tiered(a: Column, b: Column) -> Column:
@@ -50,12 +51,15 @@ def greedy(pairs: DataFrame, keys: list[str], left: str, right: str, score: str,
 
 
 def detect_profile(texts: DataFrame, keywords: DataFrame, least: DataFrame) -> DataFrame:
-    """texts (doc_id, text), keywords (profile_id, text, weight; negative ones too), least (profile_id, min_score) ->
-    doc_id, profile_id (null below its least score), score. Keywords are a small catalogue."""
+    """texts (doc_id, text), keywords (profile_id, text, weight; negative ones too), least (profile_id, min_score, and
+    priority if there is one) -> doc_id, profile_id (null below its least score), score; the higher priority, then the
+    first name, of equal scores. Keywords are a small catalogue."""
+    least = least if "priority" in least.columns else least.withColumn("priority", F.lit(0))
     k = keywords.select("profile_id", normalize(F.col("text")).alias("word"), "weight")
     hits = texts.select("doc_id", normalize(F.col("text")).alias("__n")).join(F.broadcast(k), F.col("__n").contains(F.col("word")), "left")
     scores = hits.groupBy("doc_id", "profile_id").agg(F.sum("weight").alias("score")).join(F.broadcast(least), "profile_id", "left")
-    best = scores.groupBy("doc_id").agg(F.max(F.struct("score", "profile_id", "min_score")).alias("b"))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("priority"), "profile_id"))
+    best = scores.withColumn("__rank", rank).where("__rank = 1").select("doc_id", F.struct("score", "profile_id", "min_score").alias("b"))
     return best.select("doc_id", F.when(F.col("b.score") >= F.col("b.min_score"), F.col("b.profile_id")).alias("profile_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 

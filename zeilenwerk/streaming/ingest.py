@@ -19,8 +19,8 @@ def watch(spark: SparkSession, path: str, out: str, checkpoint: str, project: st
     def store(batch: DataFrame, _: int) -> None:
         suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
         new = batch.withColumn("suffix", suffix).where(suffix.isin(*SUPPORTED)).withColumn("file_hash", F.sha2("content", 256)).dropDuplicates(["file_hash"])
-        if not new.isEmpty():
-            write_documents(extract(new).withColumn("project", F.lit(project)), out)
+        # no file, no row, and dynamic overwriting leaves all partitions as they are
+        write_documents(extract(new).withColumn("project", F.lit(project)), out)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
