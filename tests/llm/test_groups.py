@@ -175,7 +175,7 @@ def covered(texts):
 
 @pytest.mark.parametrize("group", [1_000_000, 2])
 def test_repeats(docs, rows, none, monkeypatch, group):
-    """All anchors in tasks of their own, and all of them halved."""
+    """All anchors in tasks of their own, and all of them cut into ranges of offsets."""
     monkeypatch.setattr(repeats, "GROUP", group)
     few = [r for r in rows if r[1] is None or len(r[1]) < 60_000 or group > 2]
     part = docs if group > 2 else docs.where("text is null or length(text) < 60000")

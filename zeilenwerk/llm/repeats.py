@@ -18,8 +18,8 @@ read whole, and nothing matches across texts. Equal texts are handled as one (a
 4. An anchor of more than GROUP occurrences is no task's. Its occurrences are divided by what the windows of a range
    of offsets have in common (their intersection). Those that agree in all that the range covers (its union), too, are
    decided: they repeat it, and one of them stays as a partner for the others. Single ones have no partner. Where
-   others are left, the range is halved; so an occurrence goes on only where the range crosses its passage's end, and
-   the depth is the logarithm of a window's length.
+   others are left, the range is cut into SPLIT parts; so an occurrence goes on only where the range crosses its
+   passage's end, and the number of rounds is the logarithm of a window's length.
 
 Null and empty texts have no bytes and nothing removed. Null ids and repeated rows keep their own rows; rows that
 repeat are copies of each other. An empty table gives no rows.
@@ -44,6 +44,8 @@ from .shared import small_batches, starts, whole_runs, written
 CHUNK = 1 << 19
 #: Occurrences of an anchor that stand in one task: some 70 MB.
 GROUP = 100_000
+#: Parts that a range of offsets is cut into in each round.
+SPLIT = 8
 #: Words longer than this stand as their hash in suffixes.
 LONG_WORD = 32
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -262,7 +264,7 @@ def found_in(table: pa.Table) -> Iterator[tuple[int, int, int, int]]:
                     yield rid[i], kinds[i], p - x, p + y
 
 
-def halved(rows: DataFrame, kind: Kind) -> DataFrame:
+def narrowed(rows: DataFrame, kind: Kind) -> DataFrame:
     """rid, kind, lo, hi of frequent anchors' occurrences (h, rid, places, left, right, n_left, n_right)."""
     least, key, ctx = kind.least, ["k0", "k1"], ["k0", "k1", "c0", "c1"]
     row = ["h", "rid", "places", "left", "right", "n_left", "n_right", "lo", "hi"]
@@ -273,7 +275,7 @@ def halved(rows: DataFrame, kind: Kind) -> DataFrame:
         inner = (kind.head(F.col("left"), F.col("lo")), kind.head(F.col("right"), least - F.col("hi")))
         outer = (kind.head(F.col("left"), F.col("hi")), kind.head(F.col("right"), least - F.col("lo")))
         keyed = todo.where((F.col("n_left") >= F.col("lo")) & (F.col("n_right") >= least - F.col("hi")))
-        keyed = written(keyed.withColumns({"k0": F.xxhash64("h", "lo", "hi", *inner), "k1": F.xxhash64(F.lit(1), *inner, "h"), "c0": F.xxhash64(*outer), "c1": F.xxhash64(F.lit(1), *outer)}), "halved")
+        keyed = written(keyed.withColumns({"k0": F.xxhash64("h", "lo", "hi", *inner), "k1": F.xxhash64(F.lit(1), *inner, "h"), "c0": F.xxhash64(*outer), "c1": F.xxhash64(F.lit(1), *outer)}), "ranges")
         alike = keyed.groupBy(*ctx).agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.sum(F.size("places")).alias("n"))
         alike = written(alike.withColumn("done", F.col("a") != F.col("b") if kind.across else F.col("n") > 1), "alike")
         open_ = alike.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("done").alias("all")).where("kinds > 1 and not all").select(*key)
@@ -285,9 +287,9 @@ def halved(rows: DataFrame, kind: Kind) -> DataFrame:
         # of those that are decided the first and the last text stay, once each
         stay = both.where("not done").select(*key, *row).unionByName(both.where("done and (rid = a or rid = b)").dropDuplicates([*ctx, "rid"]).select(*key, *row))
         todo = stay.where("lo < hi").join(open_, key).select(*row)
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        parts = F.explode(F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi"))))
-        todo = written(todo.withColumn("x", parts).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")}).drop("x"), "halves")
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / SPLIT).cast("int")
+        parts = F.transform(F.sequence(F.col("lo"), F.col("hi"), step), lambda at: F.struct(at.alias("lo"), F.least(at + step - 1, F.col("hi")).alias("hi")))
+        todo = written(todo.withColumn("x", F.explode(parts)).withColumns({"lo": F.col("x.lo"), "hi": F.col("x.hi")}).drop("x"), "parts")
         if todo.isEmpty():
             return found
 
@@ -344,7 +346,7 @@ def passages(docs: DataFrame, seen: DataFrame, text: str) -> DataFrame:
         rows = written(array(True), "frequent")
         rows = rows.select("kind", "h", "rid", F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<bigint>"))).alias("places"), "left", "right", "n_left", "n_right")
         for i, kind in enumerate(KINDS):
-            spans = spans.unionByName(halved(rows.where(F.col("kind") == i).drop("kind"), kind))
+            spans = spans.unionByName(narrowed(rows.where(F.col("kind") == i).drop("kind"), kind))
     return spans.groupBy("rid").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("spans")).join(one, "rid")
 
 
