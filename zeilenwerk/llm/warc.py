@@ -32,7 +32,7 @@ from .shared import scratch, small_batches, written
 
 REVISIT_BYTES = 100
 #: Bytes of an archive, about, and the largest page of each size class but the last.
-FILE_BYTES, CLASSES = 64 << 20, (1 << 13, 1 << 16, 1 << 20, 1 << 24)
+FILE_BYTES, CLASSES = 64 << 20, (1 << 16, 1 << 20, 1 << 24)
 END = "\r\n"
 #: Parts that a frequent payload's pages are joined in.
 SALT = 64
