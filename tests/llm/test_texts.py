@@ -69,7 +69,9 @@ def test_license_votes(spark):
     assert 0.8 < got[3][1] < 1 and got[0][1] == 0
 
 
-def test_merkle(spark, docs, rows, none):
+@pytest.mark.parametrize("range_rows", [200, 3])
+def test_merkle(spark, docs, rows, none, range_rows, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", range_rows)
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     got = defaultdict(list)
     for r in merkle.compared(docs).collect():

@@ -84,12 +84,14 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     apart = (F.col("phrase") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP)).cast("int")
     run = F.sum("__apart").over(order.rowsBetween(W.unboundedPreceding, 0))
     votes = votes.withColumn("__apart", apart).withColumn("__run", run)
-    drift = F.col("diagonal") - F.min("diagonal").over(W.partitionBy("row", "template", "__run"))
-    wide = F.col("n_grams") + NOTICE_K - 1
+    one = W.partitionBy("row", "template", "__run")
+    votes = votes.withColumn("__drift", F.col("diagonal") - F.min("diagonal").over(one))
+    votes = votes.withColumn("__most", F.max("__drift").over(one))
+    wide, drift = F.col("n_grams") + NOTICE_K - 1, F.col("__drift")
     bands = F.array_distinct(F.array(F.struct(F.lit(0).alias("half"), F.floor(drift / wide).alias("n")), F.struct(F.lit(1).alias("half"), F.floor((drift + wide / 2) / wide).alias("n"))))
     # a run that fits the first band is that alone
-    narrow = F.max("__drift").over(W.partitionBy("row", "template", "__run")) < wide
-    votes = votes.withColumn("__drift", drift).withColumn("__band", F.explode(F.when(F.col("phrase") | F.col("template").isNull() | narrow, F.slice(bands, 1, 1)).otherwise(bands)))
+    alone = F.col("phrase") | F.col("template").isNull() | (F.col("__most") < wide)
+    votes = votes.withColumn("__band", F.explode(F.when(alone, F.slice(bands, 1, 1)).otherwise(bands)))
     merged = votes.groupBy(*key, "__run", "__band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("start").alias("start"), F.max("last").alias("last"))
     k = F.when(F.col("phrase"), PHRASE_K).otherwise(NOTICE_K)
     merged = merged.withColumn("cover", F.col("votes") / F.col("n_grams"))

@@ -91,7 +91,7 @@ def with_next(plain: DataFrame) -> DataFrame:
     if cuts:
         longs = lambda x: F.lit(x).cast("array<bigint>")
         coarse = below(longs(cuts[::step]))
-        fine = F.try_element_at(F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)]), coarse)
+        fine = F.try_element_at(F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)]), F.greatest(coarse, F.lit(1)))
         part = len(cuts) - (F.greatest(coarse - 1, F.lit(0)) * step + F.coalesce(below(fine), F.lit(0)))
     else:
         part = F.lit(0)
@@ -101,9 +101,11 @@ def with_next(plain: DataFrame) -> DataFrame:
     rows = with_fingerprint(dealt, "__text", "__fp").withColumn("__next", F.lead(own).over(order))
     heads = dealt.groupBy("__part").agg(F.min(F.struct((-F.col("doc_id")).alias("id"), "__text"))["__text"].alias("__text"))
     heads = with_fingerprint(heads, "__text", "__fp").select("__part", own.alias("head"))
-    by_part = W.orderBy("__part")
+    # only numbers of ranges are ordered in one task, then the texts are joined to them
+    numbers, by_part = dealt.select("__part").distinct(), W.orderBy("__part")
     every = by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.select("__part", F.coalesce(F.lead("head").over(by_part), F.first("head").over(every)).alias("__after"))
+    follows = numbers.select("__part", F.coalesce(F.lead("__part").over(by_part), F.first("__part").over(every)).alias("__follows"))
+    heads = follows.join(heads.withColumnRenamed("__part", "__follows"), "__follows").select("__part", F.col("head").alias("__after"))
     return rows.join(heads, "__part").withColumn("__next", F.coalesce("__next", "__after")).drop("__after", "__part")
 
 
