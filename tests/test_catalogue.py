@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from zeilenwerk import catalogue, catalogue_lists  # noqa: F401
+from zeilenwerk import catalogue, catalogue_lists, catalogue_tables  # noqa: F401
 
 AT = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations benchmark".split()
 
 
 def plain(p: pd.DataFrame) -> pd.DataFrame:

@@ -79,7 +79,7 @@ def test_similarity(spark):
     same, other = (r[0] for r in df.select(binding.similarity(F.col("a"), F.col("b"))).collect())
     assert same == 1.0 and other < 0.5
     pairs = spark.createDataFrame([("d", i, "k", 1.0) for i in range(3)], "doc string, l int, r string, score double")
-    assert binding.greedy(pairs, ["doc"], "l", "r", "score", pairs.schema.simpleString()[7:-1].replace(":", " ")).count() == 1
+    assert binding.greedy(pairs, ["doc"], "l", "r", "score").count() == 1
 
 
 def test_workbook(spark, tmp_path):
@@ -130,3 +130,62 @@ def test_sheet(spark):
     assert got == {7: ("1", "Pumpe", "BE", "", "daten"), 8: ("2", "Ventil", "", "siehe Plan", "daten"), 9: ("", "", "", "", "summe"), 10: ("", "Übertrag von 2", "", "", "uebertrag")}
     assert sorted((x["row_seq"], x["column_index"], x["count"], x["note"]) for x in cells.where("row_seq < 9").collect()) == [(7, 0, 2.0, ""), (7, 1, 1.0, ""), (8, 0, 3.0, ""), (8, 1, 4.0, ""), (8, 2, None, "siehe Plan")]
     assert {x["field"]: x["value"] for x in sheets.metadata(grid).collect()} == {"gewerk": "Heizung"}
+
+
+def test_best_pairs(spark):
+    """Rounds take what one pair after another takes, in chains of any length."""
+    import random
+
+    from zeilenwerk.operators.matching import best_pairs
+
+    r = random.Random(4)
+    pairs = [(g, i, j, float(r.randint(0, 6))) for g in range(6) for i in range(g + 3) for j in range(9) if r.random() < 0.7]
+    pairs += [(9, i, j, -float(2 * i + (j - i))) for i in range(30) for j in (i, i + 1)]  # each waits for the one before
+    got = {(x["g"], x["l"], x["r"]) for x in best_pairs(spark.createDataFrame(pairs, "g int, l int, r int, score double"), ["g"], "l", "r", [F.col("score").desc()]).collect()}
+    want, left, right = set(), set(), set()
+    for g, i, j, _ in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if (g, i) not in left and (g, j) not in right:
+            want.add((g, i, j))
+            left.add((g, i))
+            right.add((g, j))
+    assert got == want
+
+
+def test_match_columns(spark):
+    """Addresses go before likeness, groups tell equal names apart, each column once."""
+    known = [("p", 0, "K1", "1.1", "Ein", "", "Schalten", "BA", ["Stellen"], False), ("p", 1, "K2", "1.2", "Aus", "", "Schalten", "", [], False), ("p", 2, "K3", "", "", "", "Bemerkungen", "", [], True)]
+    known = spark.createDataFrame(known, "profile_id string, place int, column_key string, address string, group_name string, subgroup string, label string, abbrev string, aliases array<string>, is_note boolean")
+    heads = [("d", 0, "p", "", "Aus", "", "Schalten", ""), ("d", 1, "p", "01,1", "", "", "Bemerkungen", ""), ("d", 2, "p", "", "", "", "Bemerkung", None), ("d", 3, "p", "", "", "", "etwas anderes", "")]
+    heads = spark.createDataFrame(heads, "doc string, column_index int, profile_id string, address string, group_name string, subgroup string, label string, abbrev string")
+    got = {x["column_index"]: (x["column_key"], x["match_score"], x["is_note"]) for x in binding.match_columns(heads, known, ["doc"]).collect()}
+    assert got == {0: ("K2", 1.0, False), 1: ("K1", 1.0, False), 2: ("K3", 0.932, True), 3: (None, 0.0, False)}
+
+
+def test_profiles(spark, tmp_path):
+    """Profile files as tables; a document's profile by keywords, with those that count against it."""
+    import json
+
+    from zeilenwerk.sources import profiles
+
+    a = {"id": "alt", "priority": 10, "detection": {"min_score": 2, "keywords": [{"text": "Ein-/Ausgabe", "weight": 2.5}, "Benennung"], "negative_keywords": [{"text": "Sonnenschutz", "weight": 3}]}, "columns": [{"key": "A_1_1", "address": "1.1", "group": "Ein", "label": "Schalten", "aliases": ["BA"], "footnotes": ["1"]}], "note_columns": [{"key": "N"}], "footnotes": [{"marker": "1", "text": "je Stück"}], "row_fields": [{"key": "row_no", "label": "Nr."}]}
+    (tmp_path / "alt.json").write_text(json.dumps(a))
+    (tmp_path / "neu.json").write_text(json.dumps({"id": "neu", "priority": 20, "detection": {"keywords": ["Sonnenschutz"]}}))
+    c = profiles.load(spark, str(tmp_path))
+    assert [(r["column_key"], r["label"], r["is_note"], r["aliases"]) for r in c.columns.orderBy("place").collect()] == [("A_1_1", "Schalten", False, ["BA"]), ("N", "N", True, [])]
+    assert [tuple(r) for r in c.profiles.orderBy("profile_id").select("profile_id", "fassung", "min_score").collect()] == [("alt", "unbekannt", 2.0), ("neu", "unbekannt", 3.0)]
+    texts = [(1, "die Ein- / Ausgabe und Benennung"), (2, "Ein/Ausgabe, Benennung; Sonnenschutz"), (3, ""), (4, None), (5, "x Benennungen y" * 3)]
+    got = {r["doc_id"]: (r["profile_id"], r["score"], r["scores"]["neu"]) for r in binding.detect_profile(spark.createDataFrame(texts, "doc_id int, text string"), c.keywords, c.profiles).collect()}
+    assert got == {1: ("alt", 3.5, 0.0), 2: (None, 1.0, 1.0), 3: (None, 0.0, 0.0), 4: (None, 0.0, 0.0), 5: (None, 1.0, 0.0)}
+    assert c.row_fields.first()["field"] == "row_no" and c.footnotes.first()["text"] == "je Stück"
+
+
+def test_band_search(spark):
+    """A header with a cell too many at both ends and unread numbers is found by its blocks."""
+    from zeilenwerk.operators import bands
+
+    known = [("p", 1, i, f"{s}.{n}") for i, (s, n) in enumerate((s, n) for s, k in ((1, 3), (2, 4), (3, 2)) for n in range(1, k + 1))]
+    known = spark.createDataFrame(known, "profile_id string, priority int, place int, address string")
+    read = {"a": [7, 1, 2, 3, None, 2, 3, None, 1, 2, None], "b": [None, None, None, 4, 4, 4, 9, 9, 9, 9], "c": [1, 2, 3, 4, 5, 6, 7, 8, 9]}
+    rows = [(k, i, x) for k, v in read.items() for i, x in enumerate(v)]
+    got = bands.search(spark.createDataFrame(rows, "band string, place int, number int"), known, ["band"]).collect()
+    assert [tuple(r) for r in got] == [("a", 1, 10, "p", 1.0, 7)]

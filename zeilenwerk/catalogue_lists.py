@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalogue import BOXES, MENGE, MODEL, PAGE, PRICES, SUMMARY, TOTAL, query, raw
+from .catalogue import BOXES, MENGE, MODEL, PAGE, PRICES, SUMMARY, TOTAL, greedy_sql, query, raw
 from .functions import text as tx
 from .operators import editing, facts, focus, merging, reconcile, reports, sheets, store, words
 from .operators import rows as rules
@@ -341,12 +341,12 @@ def below_table(s, d):
     return words.below_table(rows).select("doc_id", "row_seq")
 
 
-BLOCKS = "n AS (SELECT l_suppkey AS doc_id, 0 AS page_index, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place, l_linenumber AS k FROM lineitem WHERE l_orderkey % 50 = 0) "
+BLOCKS = "n AS (SELECT l_suppkey AS doc_id, 0 AS page_index, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place, l_linenumber AS k FROM lineitem) "
 
 
 def _numbers(s, d):
     order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return td.table(s, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("doc_id"), F.lit(0).alias("page_index"), F.row_number().over(order).alias("place"), F.col("l_linenumber").alias("k"))
+    return td.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.lit(0).alias("page_index"), F.row_number().over(order).alias("place"), F.col("l_linenumber").alias("k"))
 
 
 @query("WITH " + BLOCKS + ", m AS (SELECT doc_id, place, CASE WHEN k = 3 THEN NULL ELSE k END AS number FROM n), s AS (SELECT *, CASE WHEN number = 1 OR place = 1 OR (number IS NULL AND lead(number) OVER (PARTITION BY doc_id ORDER BY place) = 2) THEN 1 ELSE 0 END AS st FROM m), b AS (SELECT doc_id, sum(st) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS b FROM s) SELECT doc_id, string_agg(CAST(c AS VARCHAR), '-' ORDER BY b) AS sizes FROM (SELECT doc_id, b, count(*) AS c FROM b GROUP BY ALL) GROUP BY doc_id")
@@ -362,7 +362,16 @@ def sections_in_order(s, d):
     return words.sections_in_order(numbers, sections).select("doc_id", "place", "section")
 
 
-@query()
+_PLACES = (
+    "WITH RECURSIVE "
+    + BLOCKS
+    + ", b AS (SELECT doc_id, place, k, sum(CASE WHEN k = 1 OR place = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) - 1 AS block FROM n), m AS (SELECT doc_id, CAST(block AS BIGINT) AS l, avg(place * 10.0::DOUBLE) AS middle, min(place) * 10.0::DOUBLE AS lft FROM b GROUP BY ALL), p AS (SELECT doc_id, l, r, least(abs(r * 37.0::DOUBLE + 3 - middle), abs(r * 37.0::DOUBLE + 3 - lft)) AS score FROM m, (SELECT unnest(range(0, 6)) AS r)), "
+    + greedy_sql("p", ["doc_id"], "score")
+    + " SELECT b.doc_id, b.place, CASE WHEN t.r IS NULL THEN '' ELSE t.r || '.7' END AS section FROM b LEFT JOIN t ON t.doc_id = b.doc_id AND t.l = b.block"
+)
+
+
+@query(_PLACES)
 def sections_by_place(s, d):
     """Blocks of numbers and sections at many places, matched nearest first."""
     n = _numbers(s, d)

@@ -106,9 +106,7 @@ def sections_by_place(numbers: DataFrame, sections: DataFrame) -> DataFrame:
     s = sections.select(*PAGE, F.col("place").alias("s"), "section", F.col("x").alias("__x"))
     near = F.least(F.abs(F.col("__x") - F.col("middle")), F.abs(F.col("__x") - F.col("left")))
     pairs = middle.join(s, PAGE).withColumn("score", -near).select(*PAGE, F.col("block").cast("long").alias("block"), F.col("s").cast("long").alias("s"), "section", "score")
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "block", "s", "section", "score"))
-    taken = greedy(pairs, PAGE, "block", "s", "score", schema, -math.inf).select(*PAGE, "block", "section")
+    taken = greedy(pairs, PAGE, "block", "s", "score", -math.inf).select(*PAGE, "block", "section")
     return b.join(taken, [*PAGE, "block"], "left").select(*PAGE, "place", "number", "block", F.coalesce("section", F.lit("")).alias("section"))
 
 
