@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..tables import CLEANUP, scratch, shared_dir, written  # noqa: F401  the operators' own
 
 #: Rows in an Arrow batch. Texts may be long, so a batch stays small.
 BATCH_ROWS = 256
@@ -28,39 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Where that is unset, a temporary
-    folder on a single machine, and an error on a cluster."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="zeilenwerk-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Lets Spark drop a query's shuffle files when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors lose nothing. What was shuffled
-    for it isn't needed any more, so its files go at once."""
-    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
-
-
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 8192) -> Iterator[pa.Table]:
     """Sorted batches as tables of `least` rows and more that end where the key changes."""
     held: list[pa.RecordBatch] = []
