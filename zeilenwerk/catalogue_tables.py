@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalogue import greedy_sql, query
-from .operators import bands, binding
+from .catalogue import MODEL, TOTAL, greedy_sql, query
+from .operators import bands, binding, maintenance
 from .sources import testdata as td
+from .streaming.focus import carried_at_once
+from .tables import scratch
 
 # Bands of eight orders: their line items are numbered from 1 in each order, one in six is unread. Every 20th band is a
 # profile, too, without its first two cells and its last one.
@@ -122,3 +124,32 @@ def detected_profiles(s, d):
     words = b.select(F.concat(F.lit("p"), (i % 5).cast("string")).alias("profile_id"), F.substring("text", 4, 24).alias("text"), F.when(i % 7 == 0, -1.5).otherwise(1.0 + i % 3).alias("weight"))
     known = s.range(5).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("profile_id"), (F.col("id") % 3).alias("priority"), F.lit(1.5).alias("min_score"))
     return binding.detect_profile(td.table(s, d, "documents").select("doc_id", "text"), words, known).drop("scores")
+
+
+_EDITS = f"""{MODEL}, e AS (SELECT doc_id, row_seq, column_index, page_index, kind0 AS kind, CASE WHEN (doc_id + row_seq) % 40 = 0 AND column_index = 0 THEN cnt + 1 WHEN (doc_id + row_seq) % 40 = 0 AND column_index = 1 THEN NULL ELSE cnt END AS cnt
+FROM (SELECT c.*, r.page_index, CASE WHEN doc_id % 25 = 3 AND kind = 'uebertrag' THEN 'summe' ELSE kind END AS kind0 FROM c JOIN r USING (doc_id, row_seq))),
+x AS (SELECT doc_id, page_index, column_index, {TOTAL.format("CASE WHEN kind = 'daten' THEN cnt END")} AS own, {TOTAL.format("CASE WHEN kind = 'uebertrag' THEN cnt END")} AS carry, {TOTAL.format("CASE WHEN kind = 'summe' THEN cnt END")} AS reported FROM e WHERE cnt IS NOT NULL GROUP BY ALL),
+y AS (SELECT *, bool_or(own IS NOT NULL) OVER w AND bool_or(reported IS NOT NULL) OVER w AS ok, round(coalesce(own, 0) + coalesce(carry, 0), 2) AS computed FROM x WINDOW w AS (PARTITION BY doc_id, page_index))
+SELECT doc_id, page_index, column_index, reported, computed, reported IS NULL OR abs(reported - computed) < 1e-6 AS matches FROM y WHERE ok"""
+
+
+@query(_EDITS)
+def rechecked_pages(s, d):
+    """A store of sum checks after edits of cells and of kinds, corrected page by page."""
+    at = scratch(s, "checked")
+    facts = td.rows_with_cells(s, d)
+    maintenance.create(facts, at)
+    changed = facts.where((F.col("doc_id") + F.col("row_seq")) % 40 == 0).select("doc_id", "row_seq", F.inline("cells")).where("column_index < 2")
+    changed = changed.select("doc_id", "row_seq", "column_index", F.when(F.col("column_index") == 0, F.col("count") + 1).alias("count"))
+    kinds = facts.where("doc_id % 25 = 3 and kind = 'uebertrag'").select("doc_id", "row_seq", F.lit("summe").alias("kind"))
+    maintenance.edit(s, at, changed, kinds)
+    return maintenance.checks(s, at)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, page_index, row_seq, coalesce(nullif(last_value(c IGNORE NULLS) OVER (PARTITION BY conv_id, page_index ORDER BY row_seq), '-'), '') AS focus FROM (SELECT conv_id, CAST(turn // 5 AS INT) AS page_index, CAST(turn AS INT) AS row_seq, CASE WHEN turn % 7 = 6 THEN '-' WHEN (conv_id + turn) % 3 = 0 THEN 'ASP0' || turn % 4 END AS c FROM conversations)")
+def focus_carried(s, d):
+    """The focus that holds at each turn; streaming.focus gives the same from micro-batches."""
+    c = td.table(s, d, "conversations")
+    t = F.col("turn")
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.floor(t / 5).alias("page_index"), t.alias("row_seq"), F.when(t % 7 == 6, "summe").otherwise("daten").alias("kind"), F.when((F.col("conv_id") + t) % 3 == 0, F.concat(F.lit("ASP0"), (t % 4).cast("string"))).alias("code"), F.lit("").alias("code_label"))
+    return carried_at_once(rows).drop("focus_label")
