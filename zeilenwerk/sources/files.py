@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -30,6 +31,36 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _sheets(z: zipfile.ZipFile, names: set[str]) -> list[str]:
+    """The sheets' files in the order of the workbook; by their numbers where it names none."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        ids = [e.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
+        found = [links.get(i, "") for i in ids]
+        found = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in found]
+        if found := [t for t in found if t in names and "worksheets/" in t]:
+            return found
+    return sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """The cell styles that show dates or times: built-in formats 14 to 22 and 45 to 47, and own ones with their letters."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code)
+    own = {int(e.get("numFmtId")) for e in root.iter(f"{{{_NS['m']}}}numFmt") if re.search("[dmyhs]", plain(e.get("formatCode", "")), re.I)}
+    known = own | {*range(14, 23), 45, 46, 47}
+    xfs = root.find(f"{{{_NS['m']}}}cellXfs")
+    return {i for i, e in enumerate(xfs if xfs is not None else []) if int(e.get("numFmtId", 0)) in known}
+
+
+def _date(serial: float) -> str:
+    """A date's serial number (days from 1899-12-30) as text; below one day a time."""
+    at = datetime(1899, 12, 30) + timedelta(seconds=round(serial * 86400))
+    return str(at.time()) if serial < 1 else str(at)
+
+
 def workbook_cells(data: bytes) -> list[tuple[int, int, int, str]]:
     """(sheet, row, column, text) of a workbook: stored values only, merged areas filled."""
     out: list[tuple[int, int, int, str]] = []
@@ -38,7 +69,7 @@ def workbook_cells(data: bytes) -> list[tuple[int, int, int, str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        sheets, dates = _sheets(z, names), _date_styles(z, names)
         for s, name in enumerate(sheets):
             root = ElementTree.fromstring(z.read(name))
             cells: dict[tuple[int, int], str] = {}
@@ -47,6 +78,10 @@ def workbook_cells(data: bytes) -> list[tuple[int, int, int, str]]:
                 text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else (v.text or "" if v is not None else "")
                 if kind == "s" and text:
                     text = shared[int(text)]
+                elif kind == "b" and text:
+                    text = "True" if text == "1" else "False"
+                elif kind in (None, "n") and text and int(c.get("s", 0)) in dates:
+                    text = _date(float(text))
                 elif kind in (None, "n") and re.fullmatch(r"-?\d+\.0+", text):
                     text = text.split(".")[0]
                 cells[int(re.search(r"\d+", ref)[0]) - 1, _column(ref)] = text.strip()
