@@ -120,7 +120,7 @@ def warnings_listing(s, d):
 
 
 FINDINGS = PAGE + f""", {HINTS}, z AS (SELECT doc_id, page_index, column_index, arg_min(bbox, row_seq) AS bbox, min(row_seq) AS row_seq FROM c JOIN r USING (doc_id, row_seq) WHERE kind = 'summe' GROUP BY ALL),
-gen AS (SELECT doc_id, page_index, column_index, reported, own, regexp_replace(printf('%.6f', reported), '\\.?0+$', '') AS a, regexp_replace(printf('%.6f', own), '\\.?0+$', '') AS b FROM bad),
+gen AS (SELECT doc_id, page_index, column_index, reported, own, printf('%g', reported::DOUBLE) AS a, printf('%g', own::DOUBLE) AS b FROM bad),
 x AS (SELECT doc_id, 'abweichung' AS art, page_index, row_seq, column_index, 'Seite ' || (page_index + 1) || ', Spalte ' || column_index || ': Liste ' || a || ', eigene Zaehlung ' || b AS titel, pg.focus AS schwerpunkt, reported AS wert, z.bbox FROM gen JOIN z USING (doc_id, page_index, column_index) JOIN pg USING (doc_id, page_index)
 UNION ALL SELECT r.doc_id, 'ausgeschlossen', r.page_index, r.row_seq, NULL, 'Zeile ' || row_no || ': ' || datenpunkt || ' (' || r.kind || ')', coalesce(nullif(r.focus, ''), pg.focus), value, bbox FROM r JOIN v USING (doc_id, row_seq) JOIN pg ON pg.doc_id = r.doc_id AND pg.page_index = r.page_index WHERE r.kind NOT IN ('daten', 'leer') AND NOT (r.kind = 'summe' AND (r.doc_id, r.page_index) IN (SELECT (doc_id, page_index) FROM g WHERE has_own AND has_reported) AND (r.doc_id, r.page_index) NOT IN (SELECT (doc_id, page_index) FROM bad))
 UNION ALL SELECT doc_id, 'hinweis', NULL, n, NULL, hinweis, '', NULL, NULL FROM h) """
@@ -265,11 +265,11 @@ def profile_by_blocks(s, d):
 
 
 # Line items as words: a page a supplier and return flag, x by quantity, y by line number.
-WORDS = "w AS (SELECT l_suppkey AS doc_id, ascii(l_returnflag) - 65 AS page_index, l_orderkey * 10 + l_linenumber AS word_id, l_quantity * 4.0 AS x0, l_linenumber * 12.0 + l_partkey % 3 AS y0, l_quantity * 4.0 + l_partkey % 5 + 2 AS x1, l_linenumber * 12.0 + l_partkey % 3 + 8 AS y1, CASE WHEN l_partkey % 4 = 0 THEN 'Spalte' ELSE CAST(l_partkey % 60 AS VARCHAR) END AS text FROM lineitem WHERE l_orderkey % 3 = 0), u AS (SELECT DISTINCT ON (word_id) * FROM w ORDER BY word_id, x0, y0, x1, y1, text, doc_id, page_index) "
+WORDS = "w AS (SELECT l_suppkey AS doc_id, ascii(l_returnflag) - 65 AS page_index, l_orderkey * 10 + l_linenumber AS word_id, l_quantity * 4.0 AS x0, l_linenumber * 12.0 + l_partkey % 3 AS y0, l_quantity * 4.0 + l_partkey % 5 + 2 AS x1, l_linenumber * 12.0 + l_partkey % 3 + 8 AS y1, CASE WHEN l_partkey % 4 = 0 THEN 'Spalte' ELSE CAST(l_partkey % 60 AS VARCHAR) END AS text FROM lineitem), u AS (SELECT DISTINCT ON (word_id) * FROM w ORDER BY word_id, x0, y0, x1, y1, text, doc_id, page_index) "
 
 
 def _words(s, d):
-    li, q, y = td.table(s, d, "lineitem").where("l_orderkey % 3 = 0"), F.col("l_quantity") * 4.0, F.col("l_linenumber") * 12.0 + F.col("l_partkey") % 3
+    li, q, y = td.table(s, d, "lineitem"), F.col("l_quantity") * 4.0, F.col("l_linenumber") * 12.0 + F.col("l_partkey") % 3
     w = li.select(F.col("l_suppkey").alias("doc_id"), (F.ascii("l_returnflag") - 65).alias("page_index"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("word_id"), q.alias("x0"), y.alias("y0"), (q + F.col("l_partkey") % 5 + 2).alias("x1"), (y + 8).alias("y1"), F.when(F.col("l_partkey") % 4 == 0, "Spalte").otherwise((F.col("l_partkey") % 60).cast("string")).alias("text"))
     order = W.partitionBy("word_id").orderBy("x0", "y0", "x1", "y1", "text", "doc_id", "page_index")
     return w.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
@@ -306,7 +306,7 @@ def _grid(s, d):
 @query(LINES + GRID + ", h AS (SELECT doc_id, page_index, CAST(line AS BIGINT) AS line, column_index, string_agg(text, ' ' ORDER BY x0, word_id) AS raw_value, min(x0) AS x0, max(y1) AS y1 FROM l JOIN g USING (doc_id, page_index) WHERE abs(cx - x_center) <= 13.5 GROUP BY ALL) SELECT *, CASE WHEN regexp_full_match(raw_value, '\\d+') THEN CAST(raw_value AS DOUBLE) END AS count FROM h")
 def word_cells(s, d):
     lined = words.lines(_words(s, d), 3.0).withColumn("line", F.col("line").cast("long"))
-    return words.cells(lined, _grid(s, d), 0.45 * F.col("pitch")).drop("y0", "x1", "note")
+    return words.cells(lined, _grid(s, d), 0.45).drop("y0", "x1", "note")
 
 
 @query(f"WITH {WORDS}" + GRID + ", c AS (SELECT u.*, column_index, lag(y0) OVER o - y1 > 8 AS apart FROM u JOIN g USING (doc_id, page_index) WHERE y1 <= 70 AND abs((x0 + x1) / 2 - x_center) <= 13.5 AND x1 - x0 <= 34.5 WINDOW o AS (PARTITION BY doc_id, page_index, column_index ORDER BY y0 DESC, word_id)), s AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index, column_index ORDER BY y0 DESC, word_id ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, page_index, column_index, string_agg(text, ' ' ORDER BY y0 DESC, word_id) AS label, min(y0) AS top FROM s WHERE island = 0 GROUP BY ALL")

@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
-from .operators import bands, binding, maintenance
+from .operators import bands, binding, maintenance, pages
 from .sources import testdata as td
 from .streaming.focus import carried_at_once
 from .tables import scratch
 
+NUM_SQL = "WITH num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_seq FROM lineitem)"
+
 # Bands of eight orders: their line items are numbered from 1 in each order, one in six is unread. Every 20th band is a
 # profile, too, without its first two cells and its last one.
 _BANDS = """num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem),
@@ -153,3 +155,48 @@ def focus_carried(s, d):
     t = F.col("turn")
     rows = c.select(F.col("conv_id").alias("doc_id"), F.floor(t / 5).alias("page_index"), t.alias("row_seq"), F.when(t % 7 == 6, "summe").otherwise("daten").alias("kind"), F.when((F.col("conv_id") + t) % 3 == 0, F.concat(F.lit("ASP0"), (t % 4).cast("string"))).alias("code"), F.lit("").alias("code_label"))
     return carried_at_once(rows).drop("focus_label")
+
+
+# Orders as pages of words: a title, a head of two sections with upright labels, and a line for each line item.
+_FIXED_WORDS = [(40.0 * i, 10.0, 30.0, 8.0, t) for i, t in enumerate("Liste der Funktionen eines Auftrags mit allen Teilen".split())]
+_FIXED_WORDS += [(100.0, 120.0, 45.0, 8.0, "Abschnitt"), (216.0, 120.0, 8.0, 8.0, "1."), (296.0, 120.0, 8.0, 8.0, "02"), (100.0, 140.0, 30.0, 8.0, "Spalte"), (400.0, 60.0, 50.0, 8.0, "Bemerkung")]
+_FIXED_WORDS += [(197.0 + 40 * i, 140.0, 6.0, 8.0, n) for i, n in enumerate("1212")]
+_FIXED_WORDS += [(196.0 + 40 * i, 60.0, 8.0, 50.0, t) for i, t in enumerate(("Menge", "Preis", "Rabatt", "Steuer"))] + [(236.0, 45.0, 8.0, 12.0, "1)")]
+
+
+def _page_words(s, d):
+    r = td.rows_with_cells(s, d)
+    k = F.col("row_seq")
+    y = 160.0 + 20.0 * k
+    number = F.format_string("%d", F.rint(F.element_at("cells", 1)["count"]).cast("long"))
+    first = F.when(F.col("kind") == "summe", "Summe").otherwise("Teil")
+    at = [(20.0, F.col("row_no")), (50.0, first), (80.0, F.substring_index("datenpunkt", " ", -1)), (196.0, number), (236.0, F.when(k % 2 == 0, "x")), (276.0, F.when(k % 3 == 0, "frei")), (316.0, F.when(k % 4 == 0, number)), (405.0, F.when(k % 5 == 0, "Plan"))]
+    word = lambda n, x, v: F.struct((k * 10 + n + 100).alias("word_id"), F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 8.0).alias("x1"), (y + 8.0).alias("y1"), v.alias("text"))
+    lines = r.select("doc_id", F.inline(F.filter(F.array(*[word(n, x, v) for n, (x, v) in enumerate(at)]), lambda w: w["text"].isNotNull())))
+    fixed = F.array(*[F.struct(F.lit(n).alias("word_id"), F.lit(x).alias("x0"), F.lit(y0).alias("y0"), F.lit(x + w).alias("x1"), F.lit(y0 + h).alias("y1"), F.lit(t).alias("text")) for n, (x, y0, w, h, t) in enumerate(_FIXED_WORDS)])
+    return r.select("doc_id").distinct().select("doc_id", F.inline(fixed)).unionByName(lines).withColumn("page_index", F.lit(0))
+
+
+def _page_tables(s, d):
+    w = _page_words(s, d)
+    return pages.extract(w, w.select("doc_id", "page_index").distinct().withColumn("width", F.lit(600.0)))
+
+
+@query(MODEL + "SELECT doc_id, CAST(row_seq AS INT) AS row_seq, row_no, CASE WHEN kind = 'summe' THEN replace(datenpunkt, 'Teil', 'Summe') ELSE datenpunkt END AS label, CASE WHEN row_seq % 5 = 0 THEN 'Plan' ELSE '' END AS remark, CASE WHEN kind = 'summe' THEN kind ELSE 'daten' END AS kind FROM r")
+def words_to_rows(s, d):
+    """Pages of words become the rows that they were made of."""
+    rows = _page_tables(s, d).rows
+    return rows.select("doc_id", (F.col("row_seq") + 1).alias("row_seq"), "row_no", "label", "remark", "kind")
+
+
+@query(
+    NUM_SQL
+    + """, v AS (SELECT l_orderkey AS doc_id, row_seq, round_even(l_quantity, 0) AS q FROM num)
+SELECT doc_id, CAST(row_seq AS INT) AS row_seq, '1.1' AS address, 'Menge' AS label, q AS count, '' AS note FROM v UNION ALL SELECT doc_id, row_seq, '1.2', 'Preis 1)', 1, '' FROM v WHERE row_seq % 2 = 0 UNION ALL SELECT doc_id, row_seq, '2.1', 'Rabatt', NULL, 'frei' FROM v WHERE row_seq % 3 = 0 UNION ALL SELECT doc_id, row_seq, '2.2', 'Steuer', q, '' FROM v WHERE row_seq % 4 = 0"""
+)
+def words_to_cells(s, d):
+    """What stands in the columns of such pages, with the columns' addresses and upright labels."""
+    t = _page_tables(s, d)
+    named = t.columns.select("doc_id", "page_index", "column_index", "address", "label")
+    cells = t.cells.join(named, ["doc_id", "page_index", "column_index"])
+    return cells.select("doc_id", (F.col("line") + 1).cast("int").alias("row_seq"), "address", "label", "count", "note")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,9 +124,11 @@ def bbox_text(box: Column) -> Column:
     return F.when(box.isNotNull(), F.concat_ws(",", *[F.format_string("%.2f", box[n].cast("double")) for n in ("x0", "y0", "x1", "y1")]))
 
 
-def general_number(x: Column) -> Column:
-    """A number without needless places."""
-    return F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", "")
+@F.pandas_udf("string")
+def general_number(x: pd.Series) -> pd.Series:
+    """A number in six significant digits without needless places, as C prints it with %g: rounded by its exact binary
+    value, which no built-in function does. For the few numbers in a report's lines."""
+    return x.map("{:g}".format, na_action="ignore")
 
 
 def clean_ocr_label(text: Column) -> Column:

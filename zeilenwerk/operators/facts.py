@@ -79,7 +79,7 @@ def matrix(facts: DataFrame, keys: list[str], values: list[str], every: DataFram
 
 
 def layout(rows: DataFrame, cells: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each countable row, one column for each key (the last cell wins). Notes: see lists.remarks."""
+    """One row for each countable row, one column for each key (the last cell wins). Notes: see reports.remarks."""
     c = cells.join(columns, "column_index")
     wide = [F.max_by(F.when(F.col("spalte_key") == k, F.col("count")), F.when(F.col("spalte_key") == k, F.col("column_index"))).alias(k) for k in keys]
     out = c.groupBy("doc_id", "row_seq").agg(*wide, F.bool_or(F.col("count").isNotNull()).alias("__full"))

@@ -32,7 +32,7 @@ def is_rotated() -> Column:
     return (h > 1.6 * (F.col("x1") - F.col("x0"))) & (h > 12.0)
 
 
-def lines(words: DataFrame, tolerance: float, out: str = "line") -> DataFrame:
+def lines(words: DataFrame, tolerance: float | Column, out: str = "line") -> DataFrame:
     return geometry.gap_clusters(words.withColumn("__cy", cy()), PAGE, "__cy", tolerance, "word_id", out).drop("__cy")
 
 
@@ -62,7 +62,12 @@ def number_anchor(words: DataFrame, anchors: DataFrame, pattern: str = INTEGER,
 def number_row(words: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """The line of column numbers on each page: eight integers and more, most of the line, none above 30, mostly counting
     up or starting at 1 again; the best one by numbers, restarts and steps. Gives line and score."""
-    w = lines(words, tolerance).withColumn("__n", F.when(F.btrim("text").rlike(INTEGER), F.btrim("text").cast("int"))).withColumn("__cx", cx())
+    return number_row_of_lines(lines(words, tolerance))
+
+
+def number_row_of_lines(words: DataFrame) -> DataFrame:
+    """The same of words with their line."""
+    w = words.withColumn("__n", F.when(F.btrim("text").rlike(INTEGER), F.btrim("text").cast("int"))).withColumn("__cx", cx())
     size = w.groupBy(*PAGE, "line").agg(F.count(F.lit(1)).alias("k"))
     after = F.lead("__n").over(W.partitionBy(*PAGE, "line").orderBy("__cx", "word_id"))
     step = w.where("__n is not null").withColumn("__after", after)
@@ -114,7 +119,11 @@ def label_stacks(words: DataFrame, columns: DataFrame, gap: float = 8.0) -> Data
     """A column's upright label: the words over the head's lower edge within its width, from below up to the first gap.
     columns: doc_id, page_index, column_index, x_center, bottom, pitch."""
     reach = F.greatest(F.lit(3.0), 0.45 * F.col("pitch"))
-    w = words.withColumn("__cx", cx()).join(columns, PAGE).where((F.col("y1") <= F.col("bottom")) & (F.abs(F.col("__cx") - F.col("x_center")) <= reach) & (F.col("x1") - F.col("x0") <= 1.15 * F.col("pitch")))
+    pages = columns.groupBy(*PAGE).agg(F.first("pitch").alias("pitch"), F.first("bottom").alias("bottom")).withColumn("__reach", reach)
+    over = words.withColumn("__cx", cx()).join(pages, PAGE).where((F.col("y1") <= F.col("bottom")) & (F.col("x1") - F.col("x0") <= 1.15 * F.col("pitch")))
+    own = columns.select(*PAGE, "column_index", "x_center").join(pages.select(*PAGE, F.col("__reach").alias("__r")), PAGE)
+    w = geometry.band_join(over.withColumn("__at", F.col("__cx") / F.col("__reach")), own.withColumn("__of", F.col("x_center") / F.col("__r")).drop("__r"), PAGE, "__at", "__of", 1.01)
+    w = w.where(F.abs(F.col("__cx") - F.col("x_center")) <= F.col("__reach"))
     order = W.partitionBy(*PAGE, "column_index").orderBy(F.col("y0").desc(), "word_id")
     apart = F.coalesce((F.lag("y0").over(order) - F.col("y1") > gap).cast("int"), F.lit(0))
     w = w.withColumn("__apart", apart).withColumn("__island", F.sum("__apart").over(order.rowsBetween(W.unboundedPreceding, 0))).where("__island = 0")
@@ -122,10 +131,14 @@ def label_stacks(words: DataFrame, columns: DataFrame, gap: float = 8.0) -> Data
     return w.groupBy(*PAGE, "column_index").agg(text.alias("label"), F.min("y0").alias("top"))
 
 
-def cells(words: DataFrame, columns: DataFrame, tolerance: Column) -> DataFrame:
-    """What stands in each line and column: words (with line) whose middle is within the tolerance of the column's,
-    joined by x, with their rectangle and count. columns: doc_id, page_index, column_index, x_center, pitch."""
-    w = words.withColumn("__cx", cx()).join(columns, PAGE).where(F.abs(F.col("__cx") - F.col("x_center")) <= tolerance)
+def cells(words: DataFrame, columns: DataFrame, share: float) -> DataFrame:
+    """What stands in each line and column: words (with line) whose middle is within this share of the columns' pitch,
+    joined by x, with their rectangle and count. columns: doc_id, page_index, column_index, x_center, pitch (a page's)."""
+    pitch = columns.groupBy(*PAGE).agg(F.first("pitch").alias("__pitch"))
+    at = words.join(pitch, PAGE).withColumn("__at", cx() / F.col("__pitch")).drop("__pitch")
+    own = columns.select(*PAGE, "column_index", "x_center", "pitch", (F.col("x_center") / F.col("pitch")).alias("__of"))
+    w = geometry.band_join(at, own, PAGE, "__at", "__of", 1.01 * share)
+    w = w.where(F.abs(cx() - F.col("x_center")) <= share * F.col("pitch"))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))), lambda x: x["text"]), " ")
     out = w.groupBy(*PAGE, "line", "column_index").agg(parts.alias("raw_value"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     count = parse_count(F.col("raw_value"))
