@@ -189,3 +189,39 @@ def test_band_search(spark):
     rows = [(k, i, x) for k, v in read.items() for i, x in enumerate(v)]
     got = bands.search(spark.createDataFrame(rows, "band string, place int, number int"), known, ["band"]).collect()
     assert [tuple(r) for r in got] == [("a", 1, 10, "p", 1.0, 7)]
+
+
+def test_pages(spark):
+    """A page without the labels of its head is read by its row of numbers: two ways, one answer."""
+    from zeilenwerk.operators import pages
+
+    numbers = [1, 2, 3, 4, 5, 1, 2, 3, 1]
+    xs = [200.0 + 30 * i for i in range(9)]
+    base = [(x, 140.0, 6.0, str(n)) for x, n in zip(xs, numbers, strict=True)] + [(xs[2], 120.0, 8.0, "1."), (xs[6], 120.0, 8.0, "2."), (xs[8], 120.0, 8.0, "3.")]
+    for r in range(5):
+        y = 165.0 + 18 * r
+        base += [(20.0, y, 6.0, str(r + 1)), (40.0, y, 30.0, f"Pumpe{r}"), (xs[r], y, 6.0, "2"), (xs[r + 2], y, 6.0, "x")]
+    base += [(40.0, 260.0, 30.0, "Summe"), (xs[0], 260.0, 6.0, "2"), (40.0, 280.0, 60.0, "Planersteller"), (40.0, 300.0, 30.0, "danach"), (xs[0], 300.0, 6.0, "9")]
+    labels = [(100.0, 120.0, 40.0, "Abschnitt"), (100.0, 140.0, 30.0, "Spalte")]
+    rows = [(d, 0, i, x, y, x + w, y + 8, t) for d, ws in (("both", base + labels), ("numbers", base), ("few", base[:12])) for i, (x, y, w, t) in enumerate(ws)]
+    df = spark.createDataFrame(rows, "doc_id string, page_index int, word_id int, x0 double, y0 double, x1 double, y1 double, text string")
+    t = pages.extract(df, df.select("doc_id", "page_index").distinct().withColumn("width", F.lit(600.0)))
+    cols = [(r["doc_id"], r["address"]) for r in t.columns.orderBy("doc_id", "column_index").collect()]
+    want = ["1.1", "1.2", "1.3", "1.4", "1.5", "2.1", "2.2", "2.3", "3.1"]
+    assert cols == [(d, a) for d in ("both", "numbers") for a in want]
+    for d in ("both", "numbers"):
+        got = [(r["row_no"], r["label"], r["kind"]) for r in t.rows.where(F.col("doc_id") == d).orderBy("line").collect()]
+        assert got == [(str(i + 1), f"Pumpe{i}", "daten") for i in range(5)] + [("", "Summe", "summe")]
+        assert t.cells.where(F.col("doc_id") == d).agg(F.sum("count")).first()[0] == 5 * 3.0 + 2
+    # a known lower edge leaves rows over it and sums under it
+    edge = df.select("doc_id", "page_index").distinct().withColumn("bottom", F.lit(200.0))
+    t = pages.extract(df.where("doc_id = 'both'"), edge.withColumn("width", F.lit(600.0)), edge)
+    assert [r["kind"] for r in t.rows.orderBy("line").collect()] == ["daten"] * 3 + ["summe"]
+
+
+def test_number_text(spark):
+    from zeilenwerk.functions.text import general_number
+
+    values = [45983.16, 1234567.0, 12345.65, 3.0, 0.5, 1e-7, -2.25, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(general_number(F.col("v"))).collect()]
+    assert got == [None if v is None else f"{v:g}" for v in values]

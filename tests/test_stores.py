@@ -182,3 +182,24 @@ def test_workbook_fails_whole(spark, tmp_path):
     with pytest.raises(Exception, match="Parquet"):
         wb.save([wb.Sheet("a", big)], str(tmp_path / "c.xlsx"))
     assert not list(tmp_path.iterdir())
+
+
+def test_store_is_pruned(spark, tmp_path):
+    """Reading a store by project and number touches one partition, pushes the filter and reads the fields asked for."""
+    from zeilenwerk.sources import documents as store
+
+    docs = spark.createDataFrame([(i, f"p{i % 3}", f"Liste {i}", None if i == 4 else f"2024-01-0{i % 7 + 1}") for i in range(12)], "doc_id long, project string, datei string, importiert_am string")
+    rows = spark.createDataFrame([(i, n, "daten", f"Teil {n}", [(0, 1.0)]) for i in range(11) for n in (2, 0, 1)], "doc_id long, row_seq int, kind string, datenpunkt string, cells array<struct<c: int, v: double>>")
+    at = str(tmp_path / "s")
+    store.write(store.nested(docs, {"rows": ["row_seq"]}, rows=rows), at)
+    found = store.read(spark, at, "p1").where("doc_id > 5").select("doc_id", "rows.kind")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan and "(project" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "rows:array<struct<kind:string>>" in plan and "cells" not in plan.split("ReadSchema")[1]
+    assert [r["doc_id"] for r in found.orderBy("doc_id").collect()] == [7, 10]
+    every = store.read(spark, at)
+    assert [r["row_seq"] for r in store.children(every.where("doc_id = 3"), "rows").orderBy("n").collect()] == [0, 1, 2]
+    assert every.where("doc_id = 11").first()["rows"] == [] and store.newest_first(every).collect()[-1]["doc_id"] == 4
+    before = _files(tmp_path / "s" / "project=p0")
+    store.write(store.nested(docs.where("project = 'p1'").limit(1), {}, rows=rows), at)
+    assert _files(tmp_path / "s" / "project=p0") == before and store.read(spark, at, "p1").count() == 1

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
-from .operators import bands, binding, maintenance, pages
+from .operators import bands, binding, fields, maintenance, pages
+from .sources import documents as store
 from .sources import testdata as td
 from .streaming.focus import carried_at_once
 from .tables import scratch
@@ -200,3 +201,32 @@ def words_to_cells(s, d):
     named = t.columns.select("doc_id", "page_index", "column_index", "address", "label")
     cells = t.cells.join(named, ["doc_id", "page_index", "column_index"])
     return cells.select("doc_id", (F.col("line") + 1).cast("int").alias("row_seq"), "address", "label", "count", "note")
+
+
+@query(
+    """WITH c AS (SELECT *, c_custkey AS k FROM customer)
+SELECT k AS doc_id, f AS field, v AS value FROM c, LATERAL (VALUES ('gewerk', c_mktsegment), ('anlage', CASE WHEN k % 3 > 0 THEN 'A' || k % 7 ELSE 'Büro Nord' END), ('datum', '01.02.2024'), ('planersteller', 'Büro Nord'), ('blatt_nr', CAST(k % 10 AS VARCHAR)), ('blatt_von', CASE WHEN k % 5 > 0 THEN '12' END), ('projekt', 'Haus ' || k)) t(f, v) WHERE v IS NOT NULL"""
+)
+def word_fields(s, d):
+    """Fields of a page for each customer: beside labels, below them, cut off by gaps, labels, stop words and the table."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    at = [
+        (10.0, 10, F.lit("Gewerk:")), (55.0, 10, F.col("c_mktsegment")), (107.0, 10, F.lit("Anlage:")), (F.when(k % 3 > 0, 145.0).otherwise(190.0), 10, F.concat(F.lit("A"), text(k % 7))), (240.0, 10, F.lit("Name")), (290.0, 10, F.lit("niemand")),
+        (10.0, 30, F.lit("Ausgabedatum")), (100.0, 30, F.lit("Planersteller")), (12.0, 50, F.lit("01.02.2024")), (102.0, 50, F.when(k % 2 == 0, "7").otherwise("Büro")), (140.0, 50, F.when(k % 2 == 1, "Nord")), (102.0, 70, F.when(k % 2 == 0, "Büro")), (140.0, 70, F.when(k % 2 == 0, "Nord")),
+        (200.0, 90, F.when(k % 5 == 0, "von")), (240.0, 90, F.when(k % 5 == 0, "3")), (10.0, 110, F.lit("Blatt")), (50.0, 110, F.lit("Nr.")), (90.0, 110, text(k % 10)), (130.0, 110, F.when(k % 5 > 0, "von")), (165.0, 110, F.when(k % 5 > 0, "12")),
+        (10.0, 130, F.lit("Projekt:")), (45.0, 130, F.lit("Haus")), (80.0, 130, text(k)), (110.0, 130, F.lit("Tabelle")), (10.0, 150, F.lit("Gewerk")), (50.0, 150, F.lit("später")),
+    ]
+    word = lambda n, x, y, v: F.struct(F.lit(n).alias("word_id"), (F.lit(x) if isinstance(x, float) else x).alias("x0"), F.lit(float(y)).alias("y0"), ((F.lit(x) if isinstance(x, float) else x) + 30.0).alias("x1"), F.lit(y + 8.0).alias("y1"), v.alias("text"))
+    w = td.table(s, d, "customer").select(k.alias("doc_id"), F.lit(0).alias("page_index"), F.inline(F.filter(F.array(*[word(n, *x) for n, x in enumerate(at)]), lambda x: x["text"].isNotNull())))
+    return fields.fields(w, w.select("doc_id", "page_index").distinct().withColumn("label_left", F.lit(105.0))).drop("page_index")
+
+
+@query(MODEL + "SELECT d.doc_id, d.datei, count(r.row_seq) AS n_rows, count(r.row_seq) FILTER (r.kind = 'daten') AS n_data, max(r.datenpunkt) AS last_label FROM d LEFT JOIN r USING (doc_id) WHERE d.projekt = 'MACHINERY' AND d.doc_id > 100 GROUP BY d.doc_id, d.datei")
+def stored_documents(s, d):
+    """Documents with their children, written to a store and read by project and number."""
+    docs = td.documents(s, d).withColumn("project", F.col("projekt"))
+    at = scratch(s, "documents")
+    store.write(store.nested(docs, {"rows": ["row_seq"]}, rows=td.rows_with_cells(s, d)), at)
+    found = store.read(s, at, "MACHINERY").where("doc_id > 100")
+    return found.select("doc_id", "datei", F.size("rows").cast("long").alias("n_rows"), F.size(F.filter("rows.kind", lambda x: x == "daten")).cast("long").alias("n_data"), F.array_max("rows.datenpunkt").alias("last_label"))

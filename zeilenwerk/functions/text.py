@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # How letters are written without marks, and what counts as one.
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "ae"), ("Ö", "oe"), ("Ü", "ue"))
@@ -124,7 +125,7 @@ def bbox_text(box: Column) -> Column:
     return F.when(box.isNotNull(), F.concat_ws(",", *[F.format_string("%.2f", box[n].cast("double")) for n in ("x0", "y0", "x1", "y1")]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def general_number(x: pd.Series) -> pd.Series:
     """A number in six significant digits without needless places, as C prints it with %g: rounded by its exact binary
     value, which no built-in function does. For the few numbers in a report's lines."""
