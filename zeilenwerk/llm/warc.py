@@ -53,19 +53,39 @@ def _record(kind: Column | str, rid: Column, uri: Column, content: str, block: C
     return F.concat(F.lit("WARC/1.1" + END), *[F.coalesce(line(*x), F.lit("")) for x in head], F.lit(f"Content-Type: {content}{END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END + END), block)
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, payload) with row, digest, n (bytes), record_type, owner (row) and owner_page."""
+def _grade(size: Column) -> Column:
+    """The class of a page's size."""
+    return sum(((size > x).cast("int") for x in CLASSES), F.lit(0))
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, payload) with row, digest, n (bytes) and grade: a table written once, in a folder for each
+    grade, so that rows keep their numbers whatever is read from it."""
     rows = pages.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.encode("payload", "utf-8"), 256)).withColumn("n", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("grade", _grade(F.greatest(F.col("n"), F.octet_length("url").cast("long"))))
+    path = scratch(pages.sparkSession, "numbered")
+    rows.write.partitionBy("grade").parquet(path)
+    return pages.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def owners(rows: DataFrame) -> DataFrame:
+    """digest, salt, owner (row), owner_page of payloads with copies; a written table."""
     first = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first"))
     # only payloads with copies are joined, in parts
-    first = first.where("copies > 1").select("digest", F.col("first.row").alias("owner"), F.col("first.page_id").alias("owner_page"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    first = first.where("copies > 1").select("digest", F.col("first.row").alias("owner"), F.col("first.page_id").alias("owner_page"))
+    return written(first, "owners").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def roles(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows of `numbered` with record_type, owner (row) and owner_page."""
     out = rows.withColumn("salt", (F.pmod(F.xxhash64("row"), F.lit(SALT))).cast("int")).join(first, ["digest", "salt"], "left").drop("salt")
     other = (F.col("n") >= REVISIT_BYTES) & (F.col("owner") != F.col("row"))
     return out.withColumn("record_type", F.when(other, "revisit").otherwise("response"))
 
 
 def write(pages: DataFrame, path: str, payload: str = "html", url: str = "url", page_id: str = "page_id") -> None:
-    df = roles(pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")))
+    table = numbered(pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")))
+    first = owners(table)
     rid, page = _urn(F.lit("main"), F.col("row"), F.col("digest")), ("WARC-Page-ID", F.col("page_id"))
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
@@ -85,16 +105,13 @@ def write(pages: DataFrame, path: str, payload: str = "html", url: str = "url",
     request = _record("request", _urn(F.lit("request"), F.col("row"), F.col("digest")), F.col("url"), "application/http; msgtype=request", request, page, ("WARC-Concurrent-To", rid))
     meta = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit(END))
     meta = _record("metadata", _urn(F.lit("metadata"), F.col("row"), F.col("digest")), F.col("url"), "application/warc-fields", meta, page, ("WARC-Concurrent-To", rid))
-    size = F.greatest(F.col("n"), F.octet_length("url"))
-    grade = sum(((size > x).cast("int") for x in CLASSES), F.lit(0))
-    lines = df.select(grade.alias("grade"), F.explode(F.array(request, main, meta)).alias("value"))
+    records = F.explode(F.array(request, main, meta)).alias("value")
     # as many as there are classes, at most
-    known = [r[0] for r in pages.select(sum(((F.greatest(F.coalesce(F.octet_length(payload), F.lit(0)), F.coalesce(F.octet_length(url), F.lit(0))) > x).cast("int") for x in CLASSES), F.lit(0)).alias("grade")).distinct().collect()]
-    for g in sorted({0, *known}):
+    for g in sorted({0, *(r[0] for r in table.select("grade").distinct().collect())}):
         # a page is three records, one of which holds the payload; the last class has no largest page
-        records = max(3 * FILE_BYTES // CLASSES[g], 3) if g < len(CLASSES) else 3
-        own = lines.where(F.col("grade") == g).select("value").write.option("lineSep", END + END).option("compression", "gzip")
-        own.option("maxRecordsPerFile", records).mode("append").text(path)
+        most = max(3 * FILE_BYTES // CLASSES[g], 3) if g < len(CLASSES) else 3
+        own = roles(table.where(F.col("grade") == g), first).select(records).write.option("lineSep", END + END).option("compression", "gzip")
+        own.option("maxRecordsPerFile", most).mode("append").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
