@@ -100,7 +100,7 @@ def group_summary(s, d):
 
 @query(MODEL + f"SELECT anlage, {MENGE} AS menge, count(DISTINCT (doc_id, row_seq)) AS n_rows, count(DISTINCT doc_id) AS dokumente FROM f GROUP BY ALL ORDER BY menge DESC, anlage")
 def by_dimension(s, d):
-    return facts.by_dimension(raw(s, d), "anlage").orderBy(F.desc("menge"), "anlage")
+    return facts.by_dimension(raw(s, d), "anlage")
 
 
 @query(MODEL + f"SELECT schwerpunkt, schwerpunkt_bezeichnung AS bezeichnung, count(DISTINCT (doc_id, row_seq)) AS n_rows, {MENGE} AS menge, count(DISTINCT doc_id) AS dokumente, string_agg(DISTINCT datei, ', ' ORDER BY datei) AS dateien, CASE WHEN schwerpunkt[1:3] IN ('ASP', 'ISP') THEN schwerpunkt[1:3] ELSE '' END AS art FROM f GROUP BY schwerpunkt, schwerpunkt_bezeichnung")

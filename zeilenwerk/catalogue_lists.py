@@ -11,6 +11,7 @@ from .operators import editing, facts, focus, merging, reconcile, reports, sheet
 from .operators import rows as rules
 from .sources import answers
 from .sources import testdata as td
+from .tables import written
 
 
 @query(MODEL + "SELECT DISTINCT profil FROM d WHERE profil <> '' ORDER BY profil")
@@ -561,25 +562,36 @@ def _grid_of_orders(s, d):
     each = r.select("doc_id", F.inline(F.array(*[F.struct((k + 6).alias("r"), F.lit(c).alias("c"), v.alias("value")) for c, v in body]))).where("value is not null")
     head = F.inline(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c"), F.lit(v).alias("value")) for a, b, v in _HEAD]))
     foot = r.groupBy("doc_id").agg(F.max("row_seq").alias("n")).select("doc_id", F.inline(F.array(*[F.struct((F.col("n") + k).alias("r"), F.lit(1).alias("c"), F.lit(v).alias("value")) for k, v in ((7, "Planersteller"), (8, "Büro"))])))
-    return r.select("doc_id").distinct().select("doc_id", head).unionByName(each).unionByName(foot).withColumn("sheet", F.lit(0)).persist()  # as a stored table of cells would be
+    return r.select("doc_id").distinct().select("doc_id", head).unionByName(each).unionByName(foot).withColumn("sheet", F.lit(0))
 
 
 def _sheets_of_orders(s, d):
-    grid = _grid_of_orders(s, d)
-    return grid, sheets.head(grid).persist()
+    grid = written(_grid_of_orders(s, d), "grid")
+    return grid, written(sheets.head(grid), "head")
 
 
 @query("SELECT o.l_orderkey AS doc_id, c.* FROM (SELECT DISTINCT l_orderkey FROM lineitem) o, (VALUES (0, '1.1', 'Menge 1)', 'Mengen', '1'), (1, '1.2', 'Preis je Teil', 'Mengen', ''), (2, '2.1', 'Rabatt', 'Sätze', ''), (3, '2.2', 'Bemerkung', 'Sätze', '')) c(column_index, address, label, group_name, marks)")
 def sheet_columns(s, d):
-    h = sheets.head(_grid_of_orders(s, d))
+    h = sheets.head(written(_grid_of_orders(s, d), "grid"))
     return h.select("doc_id", "column_index", "address", "label", "group_name", F.concat_ws(",", "footnote_markers").alias("marks"))
 
 
 @query("SELECT DISTINCT l_orderkey AS doc_id, 'gewerk' AS field, 'Heizung' AS value FROM lineitem")
 def sheet_metadata(s, d):
-    return sheets.metadata(_grid_of_orders(s, d)).drop("sheet")
+    return sheets.metadata(written(_grid_of_orders(s, d), "grid")).drop("sheet")
 
 
 @query("SELECT DISTINCT l_orderkey AS doc_id, '1' AS marker, 'gilt je Stück und für jede weitere Anlage' AS text FROM lineitem")
 def sheet_footnotes(s, d):
     return sheets.footnotes(*_sheets_of_orders(s, d)).drop("sheet")
+
+
+@query(NUM + "SELECT l_orderkey AS doc_id, CAST(row_seq AS INT) + 7 AS row_seq, CAST(row_seq + 1 AS VARCHAR) AS row_no, CASE WHEN l_linenumber = 7 THEN 'Summe B' || (l_partkey % 10) ELSE 'Teil ' || l_partkey END AS label, l_linestatus AS qualifier, '' AS remark, CASE WHEN l_linenumber = 7 THEN 'summe' ELSE 'daten' END AS kind FROM num")
+def sheet_rows(s, d):
+    """The rows under the heads of such sheets, without their feet."""
+    return sheets.body(*_sheets_of_orders(s, d))[0].select("doc_id", F.col("row_seq").cast("int").alias("row_seq"), "row_no", "label", "qualifier", "remark", "kind")
+
+
+@query(NUM + ", v AS (SELECT l_orderkey AS doc_id, CAST(row_seq AS INT) + 7 AS row_seq, row_seq + 1 AS k, round_even(l_quantity, 0) AS q FROM num) SELECT doc_id, row_seq, 0 AS column_index, q AS count, '' AS note FROM v UNION ALL SELECT doc_id, row_seq, 1, 1, '' FROM v WHERE k % 2 = 0 UNION ALL SELECT doc_id, row_seq, 2, NULL, 'frei' FROM v WHERE k % 3 = 0 UNION ALL SELECT doc_id, row_seq, 3, q, '' FROM v WHERE k % 4 = 0")
+def sheet_cells(s, d):
+    return sheets.body(*_sheets_of_orders(s, d))[1].select("doc_id", F.col("row_seq").cast("int").alias("row_seq"), "column_index", "count", "note")

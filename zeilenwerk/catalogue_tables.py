@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
-from .operators import bands, binding, fields, maintenance, pages
+from .functions import text as tx
+from .operators import bands, binding, editing, fields, maintenance, merging, pages, reports, words
+from .operators import rows as rules
+from .operators import store as kept
+from .sources import answers
 from .sources import documents as store
 from .sources import testdata as td
 from .streaming.focus import carried_at_once
@@ -230,3 +234,108 @@ def stored_documents(s, d):
     store.write(store.nested(docs, {"rows": ["row_seq"]}, rows=td.rows_with_cells(s, d)), at)
     found = store.read(s, at, "MACHINERY").where("doc_id > 100")
     return found.select("doc_id", "datei", F.size("rows").cast("long").alias("n_rows"), F.size(F.filter("rows.kind", lambda x: x == "daten")).cast("long").alias("n_data"), F.array_max("rows.datenpunkt").alias("last_label"))
+
+
+_LINES_OF_NUMBERS = "WITH w AS (SELECT user_id, event_id % 4 AS line, event_id, CASE WHEN event_id % 4 = 0 THEN CAST(floor(value) AS BIGINT) % 100 ELSE (row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) - 1) % (4 + event_id % 4 * 2) + 1 END AS n FROM events), x AS (SELECT *, lead(n) OVER (PARTITION BY user_id, line ORDER BY event_id) AS after FROM w), y AS (SELECT user_id, line, count(*) AS k, max(n) AS most, count(*) FILTER (n = 1) AS ones, count(*) FILTER (after = n + 1 OR after = 1) AS up FROM x GROUP BY ALL) "
+
+
+@query(_LINES_OF_NUMBERS + "SELECT user_id AS doc_id, arg_max(line, (k + 2 * ones + up, -line)) AS line, max(k + 2 * ones + up) AS score FROM y WHERE k >= 8 AND most <= 30 AND up >= 0.7 * k GROUP BY user_id")
+def number_rows(s, d):
+    """Four lines of numbers a user, three of which count up and start again."""
+    e, i = td.table(s, d, "events"), F.col("event_id")
+    at = F.row_number().over(W.partitionBy("user_id", i % 4).orderBy("event_id")) - 1
+    n = F.when(i % 4 == 0, F.floor("value").cast("long") % 100).otherwise(at % (4 + i % 4 * 2) + 1)
+    y = (i % 4 * 20).cast("double")
+    w = e.select(F.col("user_id").alias("doc_id"), F.lit(0).alias("page_index"), i.alias("word_id"), (i * 10.0).alias("x0"), y.alias("y0"), (i * 10.0 + 6).alias("x1"), (y + 8).alias("y1"), n.cast("string").alias("text"))
+    return words.number_row(w).select("doc_id", F.col("line").cast("long").alias("line"), F.col("score").cast("long").alias("score"))
+
+
+@query("WITH c AS (SELECT DISTINCT p_brand, p_name, CAST(p_size % 7 AS VARCHAR) AS m FROM part), f AS (SELECT DISTINCT p_brand, CAST(i AS VARCHAR) AS m FROM part, (SELECT unnest(range(0, 9)) AS i)) SELECT f.p_brand AS doc_id, f.m AS marker, coalesce(string_agg(p_name, ',' ORDER BY p_name), '') AS columns_ FROM f LEFT JOIN c USING (p_brand, m) GROUP BY ALL")
+def footnote_columns(s, d):
+    """Each footnote with the columns that carry its marker."""
+    p = td.table(s, d, "part")
+    columns = p.groupBy(F.col("p_brand").alias("doc_id"), F.col("p_name").alias("column_key")).agg(F.collect_set((F.col("p_size") % 7).cast("string")).alias("footnote_markers"))
+    notes = p.select(F.col("p_brand").alias("doc_id")).distinct().withColumn("marker", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i.cast("string"))))
+    return binding.assign_footnotes(notes, columns).select("doc_id", "marker", F.array_join("referenced_columns", ",").alias("columns_"))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN 'ablage/' || o_orderkey WHEN o_custkey % 3 = 0 THEN 'herkunft/' || o_custkey END AS quelle FROM orders")
+def source_files(s, d):
+    """The stored copy of a document's file, else where it came from, if there."""
+    o = td.table(s, d, "orders")
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("ablage/"), F.col("o_orderkey").cast("string")).alias("stored_path"), F.concat(F.lit("herkunft/"), F.col("o_custkey").cast("string")).alias("source_path"), "o_custkey")
+    there = docs.where("o_custkey % 2 = 0").select(F.col("stored_path").alias("path")).unionByName(docs.where("o_custkey % 3 = 0").select(F.col("source_path").alias("path")).distinct())
+    return reports.source_file(docs, there)
+
+
+@query("WITH a AS (SELECT event_id, event_type, event_id % 5 AS n FROM events) SELECT event_id, CASE WHEN n < 2 THEN event_type || n WHEN event_type IN ('click', 'error') THEN event_type ELSE '{}' END AS answer FROM a")
+def replayed_answers(s, d):
+    """Recorded answers by purpose and number, else by purpose, else an empty one."""
+    e = td.table(s, d, "events").select("event_id", F.col("event_type").alias("purpose"), (F.col("event_id") % 5).alias("n"))
+    kinds = e.select("purpose").distinct()
+    known = kinds.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.concat_ws("#", "purpose", F.col("n").cast("string")).alias("name"), F.concat("purpose", F.col("n").cast("string")).alias("answer"))
+    known = known.unionByName(kinds.where(F.col("purpose").isin("click", "error")).select(F.col("purpose").alias("name"), F.col("purpose").alias("answer")))
+    asked = answers.replayed(e.select("purpose", "n").distinct(), known)
+    return e.join(asked, ["purpose", "n"]).select("event_id", "answer")
+
+
+@query(MODEL + "SELECT d.doc_id, d.datei, count(r.row_seq) AS n_rows, min(r.kind) FILTER (r.row_seq = 1) AS first_kind FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, d.datei")
+def documents_as_json(s, d):
+    """Documents with their rows as JSON texts, read again."""
+    j = answers.as_json(td.documents(s, d).select("doc_id", "datei"), td.rows(s, d).select("doc_id", "row_seq", "kind"))
+    x = F.from_json("json", "datei string, rows array<struct<row_seq: int, kind: string>>")
+    return j.select("doc_id", x["datei"].alias("datei"), F.coalesce(F.size(F.coalesce(x["rows"], F.array().cast("array<struct<row_seq:int,kind:string>>"))), F.lit(0)).cast("long").alias("n_rows"), F.get(x["rows"], 0)["kind"].alias("first_kind"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS spalte_key, coalesce(b.v, a.v) AS preis FROM (SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_partkey % 4 > 0) a FULL JOIN (SELECT p_partkey AS k, p_retailprice + 1 AS v FROM part WHERE p_partkey % 3 = 0) b ON a.k = b.k")
+def edited_prices(s, d):
+    """Stored prices under edited ones; edits may name new columns."""
+    p = td.table(s, d, "part").select(F.col("p_partkey").alias("spalte_key"), F.col("p_retailprice").alias("preis"))
+    return kept.overlay(p.where("spalte_key % 4 > 0"), p.where("spalte_key % 3 = 0").withColumn("preis", F.col("preis") + 1), "spalte_key", "preis")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'ohne') AS segment, 0 AS stand FROM customer")
+def migrated_customers(s, d):
+    """A table without a column, and with one that has nulls, at their defaults."""
+    old = td.table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    return kept.migrated(old, {"segment": F.lit("ohne"), "stand": F.lit(0)})
+
+
+@query("SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS zeit, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS genau, event_type || ', ' || props AS liste, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS text FROM events")
+def cleaned_events(s, d):
+    """Times, lists and nulls as a sheet shows them."""
+    e = td.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.array("event_type", "props").alias("liste"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("text"))
+    c = editing.cleaned(e)
+    return c.select("event_id", editing.german_time(F.col("ts")).alias("zeit"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("genau"), "liste", "text")
+
+
+@query("WITH e AS (SELECT p_brand, list_sort(list(DISTINCT p_size::DOUBLE)) AS x FROM part GROUP BY p_brand) SELECT p_brand, unnest(list_transform(range(1, len(x)), lambda i: (x[i] + x[i + 1]) / 2)) AS middle FROM e")
+def column_middles(s, d):
+    """Centres between the edges of each brand's columns."""
+    e = td.table(s, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.col("p_size").cast("double"))).alias("x"))
+    return e.select("p_brand", F.explode(editing.midpoints(F.col("x"))).alias("middle"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size || ' ' || upper(p_name[1]) || p_name[2:] ELSE upper(p_name[1]) || p_name[2:] END AS label, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS row_no, upper(p_name[1]) || p_name[2:] AS rest, p_partkey % 5 = 0 AS footer FROM part")
+def read_labels(s, d):
+    """Labels with remains of lines, a stray letter and a number before them; foot lines."""
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 99))
+    k = F.col("p_partkey")
+    noisy = F.concat(F.when(k % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" "))).otherwise(""), F.when(k % 2 == 0, "i").otherwise(""), F.replace(name, F.lit(" "), F.lit(" | _ ")), F.when(k % 4 == 0, " ]").otherwise(""))
+    label = tx.clean_ocr_label(noisy)
+    n = tx.leading_number(label)
+    foot = rules.is_footer(F.when(k % 5 == 0, F.concat(F.lit("Planersteller "), "p_name")).otherwise(F.col("p_name")))
+    return td.table(s, d, "part").select("p_partkey", label.alias("label"), n["number"].alias("row_no"), n["rest"].alias("rest"), foot.alias("footer"))
+
+
+@query("WITH x AS (SELECT l_orderkey, ascii(l_returnflag) - 65 AS page, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity FROM lineitem), y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n FROM x), c AS (SELECT l_orderkey, 'K' || l_linenumber % 3 AS k, min((page, l_linenumber % 3)) AS place FROM x GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) - 1 AS i FROM c) SELECT y.l_orderkey AS doc_id, y.n AS row_seq, d.i AS column_index, l_quantity AS count FROM y JOIN d ON d.l_orderkey = y.l_orderkey AND d.k = 'K' || y.l_linenumber % 3")
+def merged_pages(s, d):
+    """Pages of a document as one table: rows numbered through, columns of equal keys put together."""
+    li = td.table(s, d, "lineitem")
+    page = (F.ascii("l_returnflag") - 65).alias("page_index")
+    at = F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), page, at.alias("row_seq"), (F.col("l_linenumber") % 3).alias("column_index"), F.col("l_quantity").alias("count"))
+    none = F.lit("")
+    columns = rows.select("doc_id", "page_index", "column_index").distinct().select("*", F.concat(F.lit("K"), F.col("column_index").cast("string")).alias("column_key"), none.alias("address"), none.alias("group_name"), none.alias("subgroup"), none.alias("label"))
+    _, _, cells = merging.merged(columns, rows.select("doc_id", "page_index", "row_seq"), rows)
+    return cells.select("doc_id", "row_seq", "column_index", "count")

@@ -44,12 +44,14 @@ def column_summary(facts: DataFrame) -> DataFrame:
 
 
 def by_dimension(facts: DataFrame, dimension: str) -> DataFrame:
-    """Quantity, rows and documents by a dimension; no rows for one that doesn't exist. Rows are summed up first."""
+    """Quantity, rows and documents by a dimension, the largest quantity first, then by name; no rows for one that doesn't
+    exist. Rows are summed up first."""
     if dimension not in facts.columns:
         return facts.sparkSession.createDataFrame([], f"{dimension} string, menge double, n_rows bigint, dokumente bigint")
     one = facts.groupBy(dimension, "doc_id", "row_seq").agg(F.sum(F.col("wert").cast("decimal(28,6)")).alias("wert"))
     by_doc = one.groupBy(dimension, "doc_id").agg(F.sum("wert").alias("wert"), F.count(F.lit(1)).alias("n"))
-    return by_doc.groupBy(dimension).agg(F.sum("wert").cast("double").alias("menge"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("dokumente"))
+    out = by_doc.groupBy(dimension).agg(F.sum("wert").cast("double").alias("menge"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("dokumente"))
+    return out.orderBy(F.desc("menge"), dimension)
 
 
 def group_summary(facts: DataFrame) -> DataFrame:

@@ -34,6 +34,18 @@ def merged_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return cells.join(mapping, ["doc_id", "page_index", "column_index"]).withColumn("column_index", F.col("new_index")).drop("new_index")
 
 
+def merged(columns: DataFrame, rows: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(columns, rows, cells) of pages (doc_id, page_index, ...) as one table a document: columns as `merged_columns`, rows
+    numbered through the pages. A document's rows are in one order; documents are many."""
+    own, mapping = merged_columns(columns)
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("page_index", "row_seq")) - 1
+    placed = rows.withColumn("new_seq", at)
+    key = ["doc_id", "page_index", "row_seq"]
+    moved = merged_cells(cells, mapping).join(placed.select(*key, "new_seq"), key)
+    again = lambda df: df.withColumn("row_seq", F.col("new_seq")).drop("new_seq")
+    return own, again(placed), again(moved)
+
+
 def merged_footnotes(footnotes: DataFrame, known: DataFrame) -> DataFrame:
     """footnotes (doc_id, page_index, marker, text): the first of each marker, replaced by the catalogue's text where it
     has one (known: marker, text), which every document gets; by length of the marker, then marker."""
