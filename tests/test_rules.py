@@ -225,3 +225,42 @@ def test_number_text(spark):
     values = [45983.16, 1234567.0, 12345.65, 3.0, 0.5, 1e-7, -2.25, None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(general_number(F.col("v"))).collect()]
     assert got == [None if v is None else f"{v:g}" for v in values]
+
+
+def test_raster(spark):
+    """Lines of random pictures as plain loops find them."""
+    import random
+
+    from zeilenwerk.operators import raster
+
+    r = random.Random(6)
+    pages = [[[r.choice((0, 0, 0, 200)) if r.random() < 0.8 else 250 for _ in range(40)] for _ in range(60)] for _ in range(2)]
+    for y in range(3, 50):
+        pages[0][y][7] = 0
+    df = spark.createDataFrame([(d, 0, y, row) for d, p in enumerate(pages) for y, row in enumerate(p)], "doc_id int, page_index int, y int, pixels array<int>")
+
+    def spans(line):
+        out, start = [], None
+        for i, v in enumerate([*line, False]):
+            if v and start is None:
+                start = i
+            elif not v and start is not None:
+                out.append((start, i))
+                start = None
+        return out
+
+    level, upright, ys = set(), set(), set()
+    for d, p in enumerate(pages):
+        limit = max(60, int(sum(map(sum, p)) / 2400 * 0.6))
+        dark = [[v < limit for v in row] for row in p]
+        own = sorted({y for y, row in enumerate(dark) for a, b in spans(row) if b - a >= 9})
+        level |= {(d, y, a, b) for y, row in enumerate(dark) for a, b in spans(row) if b - a >= 9}
+        upright |= {(d, x, a, b) for x in range(40) for a, b in spans([row[x] for row in dark]) if b - a >= 20}
+        last = None
+        for y in own:
+            if last is None or y - last > 3:
+                ys.add((d, y))
+                last = y
+    assert {(x["doc_id"], x["y"], x["start"], x["stop"]) for x in raster.level_runs(df, 9).collect()} == level and level
+    assert {(x["doc_id"], x["x"], x["start"], x["stop"]) for x in raster.upright_runs(df).collect()} == upright and upright
+    assert {(x["doc_id"], x["y"]) for x in raster.level_lines(df, 9).collect()} == ys

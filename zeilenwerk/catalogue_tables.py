@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
 from .functions import text as tx
-from .operators import bands, binding, editing, fields, maintenance, merging, pages, reports, words
+from .operators import bands, binding, editing, fields, maintenance, merging, pages, raster, reports, words
 from .operators import rows as rules
 from .operators import store as kept
 from .sources import answers
@@ -339,3 +339,43 @@ def merged_pages(s, d):
     columns = rows.select("doc_id", "page_index", "column_index").distinct().select("*", F.concat(F.lit("K"), F.col("column_index").cast("string")).alias("column_key"), none.alias("address"), none.alias("group_name"), none.alias("subgroup"), none.alias("label"))
     _, _, cells = merging.merged(columns, rows.select("doc_id", "page_index", "row_seq"), rows)
     return cells.select("doc_id", "row_seq", "column_index", "count")
+
+
+# A picture of 70 columns for each brand, a row for each size: parts are dark dots, five columns and two rows are lines.
+_PIXELS = """y AS (SELECT DISTINCT p_brand AS doc_id, y FROM part, (SELECT unnest(range(0, 50)) AS y)), dots AS (SELECT DISTINCT p_brand AS doc_id, p_size % 50 AS y, p_partkey % 70 AS x FROM part),
+px AS (SELECT y.doc_id, y.y, u.x, CASE WHEN u.x IN (10, 11, 30, 50, 69) AND y.y BETWEEN 5 AND 35 + u.x % 3 AND y.y <> u.x - 30 THEN 20 WHEN y.y IN (5, 7, 40) AND u.x BETWEEN 8 AND 60 AND u.x <> 25 + y.y THEN 30 WHEN d.x IS NOT NULL THEN 10 ELSE 240 END AS p FROM y CROSS JOIN (SELECT unnest(range(0, 70)) AS x) u LEFT JOIN dots d ON d.doc_id = y.doc_id AND d.y = y.y AND d.x = u.x),
+th AS (SELECT doc_id, greatest(60, floor(avg(p) * 0.6)) AS t FROM px GROUP BY doc_id), ink AS (SELECT px.doc_id, y, x FROM px JOIN th USING (doc_id) WHERE p < t)"""
+
+
+def _pixels(s, d):
+    p = td.table(s, d, "part")
+    dots = p.groupBy(F.col("p_brand").alias("doc_id"), (F.col("p_size") % 50).alias("y")).agg(F.collect_set(F.col("p_partkey") % 70).alias("dots"))
+    rows = p.select(F.col("p_brand").alias("doc_id")).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(49)))).join(dots.withColumn("y", F.col("y").cast("int")), ["doc_id", "y"], "left")
+    y = F.col("y")
+
+    def grey(x):
+        upright = x.isin(10, 11, 30, 50, 69) & (y >= 5) & (y <= 35 + x % 3) & (y != x - 30)
+        level = y.isin(5, 7, 40) & (x >= 8) & (x <= 60) & (x != 25 + y)
+        return F.when(upright, 20).when(level, 30).when(F.array_contains("dots", x.cast("bigint")), 10).otherwise(240)
+
+    return rows.select("doc_id", F.lit(0).alias("page_index"), "y", F.transform(F.sequence(F.lit(0), F.lit(69)), grey).alias("pixels"))
+
+
+@query("WITH " + _PIXELS + ", i AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS g FROM ink), r AS (SELECT doc_id, y, min(x) AS start, max(x) + 1 AS stop FROM i GROUP BY doc_id, y, g) SELECT doc_id, y, start, stop FROM r WHERE stop - start >= 12")
+def level_runs(s, d):
+    """Dark runs along the rows of a picture."""
+    return raster.level_runs(_pixels(s, d), 12).drop("page_index")
+
+
+@query("WITH " + _PIXELS + ", i AS (SELECT *, y - row_number() OVER (PARTITION BY doc_id, x ORDER BY y) AS g FROM ink), r AS (SELECT doc_id, x, min(y) AS a, max(y) + 1 AS b FROM i GROUP BY doc_id, x, g HAVING count(*) >= 20), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY x, a) AS k FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, a) > 3 THEN 1 ELSE 0 END AS n FROM r)) SELECT doc_id, avg(x) AS x, min(a) AS top, max(b) AS bottom FROM c GROUP BY doc_id, k")
+def upright_lines(s, d):
+    """Upright lines of a picture: islands of dark rows in each column, neighbours together."""
+    return raster.separators(_pixels(s, d)).drop("page_index")
+
+
+@query("WITH " + _PIXELS + ", i AS (SELECT *, y - row_number() OVER (PARTITION BY doc_id, x ORDER BY y) AS g FROM ink), r AS (SELECT doc_id, x, min(y) AS a, max(y) + 1 AS b FROM i GROUP BY doc_id, x, g HAVING count(*) >= 20) SELECT doc_id, CAST(list_sort(list(b))[len(list(b)) // 2 + 1] AS DOUBLE) AS bottom FROM r WHERE x BETWEEN 0 AND 60 AND abs(a - 4) <= 8 AND b > 12 GROUP BY doc_id")
+def scanned_bottoms(s, d):
+    """The lower edge of a table by its upright lines."""
+    p = _pixels(s, d)
+    frames = p.select("doc_id", "page_index").distinct().select("*", F.lit(4.0).alias("body_top"), F.lit(10.0).alias("left"), F.lit(50.0).alias("right"), F.lit(10.0).alias("pitch"), F.lit(3.0).alias("row_pitch"))
+    return raster.table_bottom(p, frames).drop("page_index")
