@@ -264,3 +264,17 @@ def test_raster(spark):
     assert {(x["doc_id"], x["y"], x["start"], x["stop"]) for x in raster.level_runs(df, 9).collect()} == level and level
     assert {(x["doc_id"], x["x"], x["start"], x["stop"]) for x in raster.upright_runs(df).collect()} == upright and upright
     assert {(x["doc_id"], x["y"]) for x in raster.level_lines(df, 9).collect()} == ys
+
+
+@pytest.mark.parametrize("angle", [-3.25, -0.5, 0.0, 1.75])
+def test_skew(spark, angle):
+    """A picture of text lines that was turned is found to a quarter of a degree."""
+    import math
+
+    from zeilenwerk.operators import raster
+
+    a = math.radians(angle)
+    level = lambda x, y: int(math.floor((y - 149.5) * math.cos(a) - (x - 199.5) * math.sin(a))) % 12 < 4
+    rows = [(1, 0, y, [0 if level(x, y) and 20 < x < 380 else 255 for x in range(400)]) for y in range(300)]
+    got = raster.skew(spark.createDataFrame(rows, "doc_id int, page_index int, y int, pixels array<int>")).first()["angle"]
+    assert abs(got - angle) <= 0.25

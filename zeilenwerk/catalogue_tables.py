@@ -379,3 +379,16 @@ def scanned_bottoms(s, d):
     p = _pixels(s, d)
     frames = p.select("doc_id", "page_index").distinct().select("*", F.lit(4.0).alias("body_top"), F.lit(10.0).alias("left"), F.lit(50.0).alias("right"), F.lit(10.0).alias("pitch"), F.lit(3.0).alias("row_pitch"))
     return raster.table_bottom(p, frames).drop("page_index")
+
+
+@query(
+    "WITH "
+    + _PIXELS
+    + """, a AS (SELECT k * 0.25::DOUBLE - 4 AS angle, radians(k * 0.25::DOUBLE - 4) AS r FROM (SELECT unnest(range(0, 33)) AS k)),
+v AS (SELECT doc_id, angle, CAST(floor((y - 24.5::DOUBLE) * cos(r) - (x - 34.5::DOUBLE) * sin(r) + 25) AS INT) AS at_, sum(255 - p) AS w FROM px CROSS JOIN a GROUP BY ALL),
+n AS (SELECT doc_id, angle, sum(w) / 50.0::DOUBLE AS m, sum(w * w) / 50.0::DOUBLE AS q FROM v WHERE at_ BETWEEN 0 AND 49 GROUP BY ALL)
+SELECT doc_id, arg_max(angle, (round(q - m * m, 3), -angle)) AS angle FROM n GROUP BY doc_id"""
+)
+def page_skew(s, d):
+    """The angle of each brand's picture."""
+    return raster.skew(_pixels(s, d)).drop("page_index")

@@ -7,6 +7,10 @@ and only dark pixels become rows.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,3 +80,42 @@ def table_bottom(pixel_rows: DataFrame, frames: DataFrame) -> DataFrame:
     lines = upright_runs(pixel_rows).join(frames, PAGE).withColumn("__near", near)
     good = lines.where((F.col("x") >= F.col("left") - F.col("pitch")) & (F.col("x") <= F.col("right") + F.col("pitch")) & (F.abs(F.col("start") - F.col("body_top")) <= F.col("__near")) & (F.col("stop") > F.col("body_top") + F.col("__near")))
     return good.groupBy(*PAGE).agg(geometry.upper_median(F.collect_list("stop")).cast("double").alias("bottom"))
+
+
+#: Angles that are tried, in degrees, and the edge that a picture is reduced to before.
+MOST_DEGREES, STEP_DEGREES, EDGE = 4.0, 0.25, 1000
+
+
+def _profile(page: pd.DataFrame) -> float:
+    """The angle whose rows of ink differ most."""
+    page = page.sort_values("y")
+    step = max(1, -(-max(len(page), max(map(len, page["pixels"]), default=0)) // EDGE))
+    rows = [np.asarray(p, float)[::step] for p in page["pixels"].iloc[::step]]
+    ink = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, r in enumerate(rows):
+        ink[i, : len(r)] = 255 - r
+    y, x = np.nonzero(ink)
+    weight = ink[y, x]
+    y, x = y - (len(ink) - 1) / 2, x - (ink.shape[1] - 1) / 2
+    best, most = 0.0, -1.0
+    for k in range(round(2 * MOST_DEGREES / STEP_DEGREES) + 1):
+        a = math.radians(k * STEP_DEGREES - MOST_DEGREES)
+        at = np.floor(y * math.cos(a) - x * math.sin(a) + len(ink) / 2).astype(int)
+        inside = (at >= 0) & (at < len(ink))
+        score = float(np.bincount(at[inside], weight[inside], len(ink)).var()) if len(ink) else 0.0
+        if score > most:
+            best, most = k * STEP_DEGREES - MOST_DEGREES, score
+    return best
+
+
+def skew(pixel_rows: DataFrame) -> DataFrame:
+    """doc_id, page_index, angle: by how many degrees a page has to be turned (against the clock) so that its lines lie
+    level. All angles are tried on a page's ink in one pass over arrays; a page is one picture, reduced
+    to EDGE pixels, so a group is bounded. The least angle of equals wins, and a blank page has the first one."""
+    kinds = dict(pixel_rows.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in PAGE], "angle double"])
+
+    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, _profile(page))], columns=[*PAGE, "angle"])
+
+    return pixel_rows.select(*PAGE, "y", "pixels").groupBy(*PAGE).applyInPandas(run, schema)
