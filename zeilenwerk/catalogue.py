@@ -367,7 +367,12 @@ def similarity_match(s, d):
     return binding.greedy(pairs, ["p_brand"], "p_name", "alias", "score", 0.5)
 
 
-@query()
+@query("""WITH RECURSIVE e0 AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_seq, event_type, round_even(value, 0) AS v FROM events),
+e AS (SELECT user_id, row_seq // 40 AS page_index, row_seq, v, row_seq % 9 = 0 AS bare, row_number() OVER p AS k, max(row_seq) OVER (PARTITION BY user_id, row_seq // 40) AS last_ FROM e0 WINDOW p AS (PARTITION BY user_id, row_seq // 40 ORDER BY row_seq)),
+x AS (SELECT user_id, page_index, 0::BIGINT AS k, 0::DOUBLE AS s0, 0::DOUBLE AS s1, 0 AS n, NULL::BIGINT AS row_seq, false AS fits, false AS total FROM e WHERE k = 1
+UNION ALL SELECT user_id, page_index, k, CASE WHEN total THEN 0 ELSE s0 + coalesce(v, 0) END, CASE WHEN total THEN 0 ELSE s1 + 1 END, CASE WHEN total THEN 0 ELSE n + 1 END, row_seq, fits, total
+FROM (SELECT *, bare AND n >= 1 AND (fits OR (row_seq = last_ AND n >= 2)) AS total FROM (SELECT e.*, s0, s1, n, v IS NOT NULL AND s0 <> 0 AND s1 <> 0 AND abs(v - s0) < 1e-6 AND abs(1 - s1) < 1e-6 AS fits FROM x JOIN e ON e.user_id = x.user_id AND e.page_index = x.page_index AND e.k = x.k + 1)))
+SELECT user_id, page_index, row_seq, CASE WHEN total THEN 'summe' ELSE 'daten' END AS kind, CASE WHEN NOT total THEN '' WHEN fits THEN '""" + rules.FITS + """' ELSE '""" + rules.LAST + """' END AS reason FROM x WHERE k > 0""")
 def unlabelled_sum_rows(s, d):
     """Rows without a label on pages of 40 events a user; every row has values in one column or two."""
     e = td.table(s, d, "events").withColumn("row_seq", F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))).withColumn("page_index", F.floor(F.col("row_seq") / 40))
@@ -376,7 +381,19 @@ def unlabelled_sum_rows(s, d):
     return rules.mark_unlabelled_sums(rows, ["user_id", "page_index"]).select("user_id", "page_index", "row_seq", "kind", "reason")
 
 
-@query()
+def focus_sql(rows: str) -> str:
+    """Foci of rows (doc_id, page_index, row_seq, kind, label, code, own, has_values): a row's focus is looked up by the
+    number of the last row before it that names one or ends one."""
+    return f"""r AS ({rows}), n AS (SELECT *, lead(label) OVER o AS l1, lead(code) OVER o IS NULL AND NOT lead(has_values) OVER o AS o1, lead(label, 2) OVER o AS l2, lead(code, 2) OVER o IS NULL AND NOT lead(has_values, 2) OVER o AS o2 FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY page_index, row_seq)),
+w AS (SELECT doc_id, page_index, row_seq, kind, code, CASE WHEN own <> '' THEN own WHEN o1 AND trim(l1) <> '' THEN trim(l1) WHEN o1 AND o2 THEN trim(l2) ELSE '' END AS name FROM n),
+one AS (SELECT doc_id, page_index, min(code) AS code, arg_min(name, row_seq) AS name FROM w WHERE code IS NOT NULL GROUP BY ALL HAVING count(DISTINCT code) = 1),
+last_ AS (SELECT w.doc_id, w.page_index, w.row_seq, max(v.row_seq) AS since FROM w LEFT JOIN w v ON v.doc_id = w.doc_id AND v.page_index = w.page_index AND v.row_seq <= w.row_seq AND (v.code IS NOT NULL OR v.kind IN ('summe', 'uebertrag')) GROUP BY ALL),
+h AS (SELECT last_.doc_id, last_.page_index, last_.row_seq, CASE WHEN e.code IS NOT NULL AND e.kind = 'daten' THEN e.code ELSE one.code END AS code, CASE WHEN e.code IS NOT NULL AND e.kind = 'daten' THEN e.name ELSE one.name END AS name
+  FROM last_ LEFT JOIN w e ON e.doc_id = last_.doc_id AND e.page_index = last_.page_index AND e.row_seq = last_.since LEFT JOIN one ON one.doc_id = last_.doc_id AND one.page_index = last_.page_index),
+fill AS (SELECT doc_id, code, arg_min(name, (page_index, row_seq)) AS name FROM h WHERE name <> '' GROUP BY ALL)"""
+
+
+@query("WITH " + focus_sql("SELECT conv_id AS doc_id, turn // 10 AS page_index, turn AS row_seq, 'daten' AS kind, CASE WHEN turn % 4 = 1 THEN 'ASP0' || (conv_id % 5) ELSE text END AS label, CASE WHEN turn % 4 = 1 THEN 'ASP0' || (conv_id % 5) END AS code, CASE WHEN turn % 4 = 1 THEN '' END AS own, turn % 4 = 3 AS has_values FROM conversations") + " SELECT doc_id, row_seq, coalesce(h.code, '') AS focus, coalesce(nullif(h.name, ''), fill.name, '') AS focus_label FROM h LEFT JOIN fill USING (doc_id, code)")
 def focus_assignment(s, d):
     """Conversations as documents of pages of ten turns, whose texts name foci."""
     c = td.table(s, d, "conversations")
@@ -391,3 +408,15 @@ def session_windows(s, d):
 
     e = td.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return sessions(e, "30 minutes").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"))
+
+
+@query("WITH num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem), " + focus_sql("""SELECT l_orderkey // 8 AS doc_id, l_orderkey % 8 AS page_index, k AS row_seq, CASE l_linenumber WHEN 7 THEN 'summe' WHEN 6 THEN 'uebertrag' ELSE 'daten' END AS kind,
+CASE l_partkey % 7 WHEN 0 THEN 'ASP0' || (l_suppkey % 3 + 1) WHEN 1 THEN 'ISP 2: Kessel' WHEN 2 THEN ' ' ELSE ' Pumpe ' || (l_suppkey % 4) END AS label, CASE l_partkey % 7 WHEN 0 THEN 'ASP0' || (l_suppkey % 3 + 1) WHEN 1 THEN 'ISP02' END AS code, CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Kessel' END AS own, l_quantity > 40 AS has_values FROM num""") + " SELECT doc_id, page_index, row_seq, coalesce(h.code, '') AS focus, coalesce(nullif(h.name, ''), fill.name, '') AS focus_label FROM h LEFT JOIN fill USING (doc_id, code)")
+def foci_of_pages(s, d):
+    """Eight orders a document, each order a page: foci end at sums, take the names of later rows and hold as a page's default."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k = F.col("l_partkey") % 7
+    label = F.when(k == 0, F.concat(F.lit("ASP0"), (F.col("l_suppkey") % 3 + 1).cast("string"))).when(k == 1, "ISP 2: Kessel").when(k == 2, " ").otherwise(F.concat(F.lit(" Pumpe "), (F.col("l_suppkey") % 4).cast("string")))
+    kind = F.when(F.col("l_linenumber") == 7, "summe").when(F.col("l_linenumber") == 6, "uebertrag").otherwise("daten")
+    rows = td.table(s, d, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8).alias("page_index"), F.row_number().over(order).alias("row_seq"), kind.alias("kind"), label.alias("label"), (F.col("l_quantity") > 40).alias("has_values"))
+    return focus.assign(rows.withColumn("own", focus.own_focus(F.col("label")))).select("doc_id", "page_index", "row_seq", "focus", "focus_label")
