@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
 from .functions import text as tx
-from .operators import bands, binding, editing, fields, maintenance, merging, pages, raster, reports, words
+from .operators import bands, binding, editing, fields, maintenance, merging, pages, projects, raster, reports, scans, textlayer, words
 from .operators import rows as rules
 from .operators import store as kept
 from .sources import answers
@@ -392,3 +392,63 @@ SELECT doc_id, arg_max(angle, (round(q - m * m, 3), -angle)) AS angle FROM n GRO
 def page_skew(s, d):
     """The angle of each brand's picture."""
     return raster.skew(_pixels(s, d)).drop("page_index")
+
+
+# Texts of documents as pages of lines, one character every five points. Even documents have a defective font: digits up
+# to 7 stand 29 code points too low.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_INK = _WHITE.replace("[", "[^", 1)
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS span, regexp_matches(text, '[\x01-\x09\x0b-\x1f]') OR (doc_id % 2 = 0 AND regexp_matches(text, '[0-7]')) AS bad FROM documents),
+w AS (SELECT *, regexp_extract_all(line, '{_INK}+') AS w FROM l)
+SELECT doc_id, span, len(w) AS n_words, array_to_string(w, ' ') AS words, CASE WHEN bad THEN 5.0 * (length(line) - length(regexp_replace(line, '^{_WHITE}+', ''))) END AS x0, CASE WHEN bad THEN 5.0 * length(regexp_replace(line, '{_WHITE}+$', '')) END AS x1, CASE WHEN bad THEN 10.0 * span + CASE WHEN regexp_matches(line, '[gjpqy]') THEN 10 ELSE 8 END END AS y1 FROM w WHERE len(w) > 0"""
+)
+def rebuilt_words(s, d):
+    """Lines' words as read where the font is sound, out of characters where it isn't (only these have boxes)."""
+    lines = td.table(s, d, "documents").select("doc_id", F.lit(0).alias("page_index"), F.posexplode(F.split("text", "\n")).alias("span", "line"))
+    harmed = F.when(F.col("doc_id") % 2 == 0, F.translate("line", "01234567", "".join(chr(c - 29) for c in range(48, 56)))).otherwise(F.col("line"))
+    box = lambda c, i: F.struct(c.alias("c"), (i * 5.0).alias("x0"), (F.col("span") * 10.0).alias("y0"), (i * 5.0 + 5).alias("x1"), (F.col("span") * 10.0 + F.when(c.isin(*"gjpqy"), 10).otherwise(8)).alias("y1"))
+    spans = lines.where("line <> ''").select("doc_id", "page_index", "span", F.transform(F.split(harmed, ""), box).alias("chars"))
+    none = F.lit(None).cast("double")
+    plain = F.regexp_extract_all("line", F.lit("[^" + textlayer.CLASS[1:] + "+"), F.lit(0))
+    read = lines.select("doc_id", "page_index", "span", F.posexplode(plain).alias("n", "text")).select("*", *[none.alias(c) for c in ("x0", "y0", "x1", "y1")])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ")
+    return textlayer.words(spans, read).groupBy("doc_id", "span").agg(F.count(F.lit(1)).alias("n_words"), joined.alias("words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+@query(f"SELECT doc_id, bool_or(length(regexp_replace(p, '^{_WHITE}+|{_WHITE}+$', '', 'g')) >= 200) AS has_text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents) GROUP BY doc_id")
+def text_layers(s, d):
+    """Documents with a paragraph that is long enough for a text layer."""
+    pages = td.table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page_index", "text"))
+    return textlayer.has_text(pages)
+
+
+# Centres of columns out of line items; a profile for each region, its columns are the nations, one in three without a section.
+@query(
+    """WITH p AS (SELECT n_regionkey AS profile_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_nationkey, n_name, n_nationkey % 3 AS third FROM nation),
+c AS (SELECT l_orderkey, l_quantity + 100 * l_linenumber AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity + 100 * l_linenumber) AS k FROM lineitem),
+e AS (SELECT l_orderkey, max(x) + (max(x) - min(x)) / greatest(1, count(*) - 1) AS note_left FROM c GROUP BY l_orderkey)
+SELECT l_orderkey AS doc_id, c.k - 1 AS column_index, x AS x_center, CASE third WHEN 0 THEN CAST(n_nationkey AS VARCHAR) WHEN 1 THEN CAST(profile_id AS VARCHAR) ELSE profile_id || '.2' END AS section, CAST(n_nationkey AS VARCHAR) AS column_no, n_name AS label, note_left
+FROM c JOIN e USING (l_orderkey) JOIN p ON p.k = c.k AND p.profile_id = l_orderkey % 5"""
+)
+def scanned_heads(s, d):
+    none, third = F.lit(""), F.col("n_nationkey") % 3
+    own, key = F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")
+    address = F.when(third == 0, key).when(third == 1, F.concat_ws(".", own, key)).otherwise(F.concat_ws(".", own, F.lit("2"), key))
+    place = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    profile = td.table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("profile_id"), place.alias("ordinal"), address.alias("address"), F.col("n_name").alias("label"), *[none.alias(c) for c in ("group_name", "subgroup", "abbrev")])
+    at = td.table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_index"), (F.col("l_orderkey") % 5).alias("profile_id"), (F.col("l_quantity") + 100 * F.col("l_linenumber")).alias("x"))
+    return scans.header_grid(at, profile).join(scans.edges(at), ["doc_id", "page_index"]).select("doc_id", "column_index", "x_center", "section", "column_no", "label", "note_left")
+
+
+@query("SELECT o_orderkey AS doc_id, o_totalprice AS preis, 'kopf' AS tabelle FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT l_orderkey, l_extendedprice, 'zeile' FROM lineitem WHERE l_orderkey % 7 <> 0")
+def deleted_everywhere(s, d):
+    """Every seventh order goes out of both tables of a project."""
+    root = scratch(s, "projekte")
+    at = projects.create(s, root, "Liste: Nord/Süd")
+    projects.write(td.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("preis")), at, "kopf", 8)
+    projects.write(td.table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").alias("preis")), at, "zeile", 8)
+    projects.delete_documents(s, at, td.table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("doc_id")), 8)
+    return projects.read(s, at, "kopf").withColumn("tabelle", F.lit("kopf")).unionByName(projects.read(s, at, "zeile").withColumn("tabelle", F.lit("zeile")))

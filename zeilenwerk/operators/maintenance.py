@@ -30,7 +30,7 @@ def _checked(facts: DataFrame, buckets: int) -> DataFrame:
     return page_checks(*_unfolded(facts)).withColumn("bucket", bucket(buckets))
 
 
-def _replace(df: DataFrame, path: str) -> None:
+def replace(df: DataFrame, path: str) -> None:
     """Only the partitions at hand are replaced, when the job commits; each bucket is one task's."""
     df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
@@ -38,8 +38,8 @@ def _replace(df: DataFrame, path: str) -> None:
 def create(facts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """facts: doc_id, page_index, row_seq, kind, cells (array of column_index, count)."""
     kept = facts.select("doc_id", "page_index", "row_seq", "kind", F.transform("cells", lambda c: F.struct(c["column_index"].cast("int").alias("column_index"), c["count"].cast("double").alias("count"))).alias("cells"), bucket(buckets).alias("bucket"))
-    _replace(kept, f"{path}/facts")
-    _replace(_checked(kept, buckets), f"{path}/checks")
+    replace(kept, f"{path}/facts")
+    replace(_checked(kept, buckets), f"{path}/checks")
 
 
 def checks(spark: SparkSession, path: str) -> DataFrame:
@@ -78,16 +78,16 @@ def edit(spark: SparkSession, path: str, cells: DataFrame | None = None, kinds:
     old_checks = spark.read.parquet(f"{path}/checks").where(F.col("bucket").isin(hit)).join(pages, PAGE, "left_anti")
     again = _checked(new.join(pages, PAGE, "left_semi"), buckets)
     again = written(old_checks.unionByName(again.select(old_checks.columns)), "checks")
-    _replace(new, f"{path}/facts")
-    _replace(again, f"{path}/checks")
+    replace(new, f"{path}/facts")
+    replace(again, f"{path}/checks")
     # a bucket whose last check goes has no rows that would replace it
     left = {r[0] for r in again.select("bucket").distinct().collect()}
     for b in set(hit) - left:
-        _drop(spark, f"{path}/checks/bucket={b}")
+        drop(spark, f"{path}/checks/bucket={b}")
     return pages
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
