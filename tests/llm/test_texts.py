@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -69,6 +70,31 @@ def test_license_votes(spark):
     assert 0.8 < got[3][1] < 1 and got[0][1] == 0
 
 
+def test_license_texts(spark):
+    """Whole texts are found with their places and with the share of their grams that are left; shuffled ones are not."""
+    rng, rows, want = random.Random(7), [], {}
+    for label, text in licenses.TEXTS:
+        w, k = text.split(), licenses.NOTICE_K
+        cut = [x if (i + 1) % 12 or len(w) < 30 else "xx" for i, x in enumerate(w)]
+        left = sum(cut[i : i + k] == w[i : i + k] for i in range(len(w) - k + 1)) / (len(w) - k + 1)
+        mixed = rng.sample(w, len(w))
+        for words, cover in ((w, 1.0), (cut, left), (mixed, None)):
+            n = len(rows)
+            rows.append((n, "Zz, " * 50 + ", ".join(words).upper() + " yy" * 30))
+            want[n] = label, len(w), cover
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.spans(df).where("not phrase").collect():
+        got[r["doc_id"]].append((r["label"], r["start"], r["stop"], round(r["cover"], 9)))
+    for n, (label, words, cover) in want.items():
+        if cover is None:
+            assert n not in got
+        else:
+            own = [x for x in got[n] if x[0] == label and x[2] - x[1] > 0.8 * words]
+            assert own and own[0][1] == 50 and abs(own[0][3] - cover) < 1e-6, (label, got[n])
+            assert own[0][2] <= 50 + words
+
+
 @pytest.mark.parametrize("range_rows", [200, 3])
 def test_merkle(spark, docs, rows, none, range_rows, monkeypatch):
     monkeypatch.setattr(merkle, "RANGE_ROWS", range_rows)
@@ -221,6 +247,64 @@ def test_pii_unseen_shapes(spark):
     assert got[0] == "context:13:29"
 
 
+def _plain_contexts(texts):
+    """The spans that contexts add, by dictionaries and loops."""
+    uses = []
+    for d, t in enumerate(texts):
+        known = [(lo, hi) for lo, _, _, hi in spans(t)]
+        found = list(re.finditer(pii.TOKEN, t))
+        edge = [0, *[x for m in found for x in m.span()], len(t)]
+        parts = [t[edge[2 * i] : edge[2 * i + 1]] for i in range(len(found) + 1)]
+        for i, m in enumerate(found):
+            v = m.group()
+            tail = re.match(r"[^ \t\r\n]?[ \t]*([^ \t\r\n]+(?:[ \t]+[^ \t\r\n]+)?)", parts[i][::-1])
+            head = re.match(r"[^ \t\r\n]?[ \t]+([^ \t\r\n]+)", parts[i + 1])
+            tail, head = tail.group(1)[::-1].lower() if tail else "", head.group(1).lower() if head else ""
+            sure = any(lo < m.end() and m.start() < hi for lo, hi in known)
+            key = bool(re.fullmatch(r"[A-Za-z0-9+/_-]{24,}", v)) and len(re.sub("[^0-9]", "", v)) >= 6 and len(re.sub("[^A-Za-z]", "", v)) >= 6
+            last = re.split(r"[ \t]+", tail)[-1]
+            for p in ([f"{last} <> {head}"] if tail and head else []) + ([f"{tail} <>"] if " " in tail else []):
+                uses.append((d, m.start(), m.end(), v, sure, sure or key, p))
+    seeds = {v for _, _, _, v, _, s, _ in uses if s}
+    n = Counter((p, v) for *_, v, _, _, p in uses)
+    score = Counter()
+    while True:
+        inst = Counter()
+        for p, v in n:
+            inst[v] = 100 if v in seeds else max(inst[v], score[p])
+        total, sums, support = Counter(), Counter(), Counter()
+        for (p, v), k in n.items():
+            total[p] += k
+            sums[p] += k * inst[v] ** 2
+            support[p] += k * (inst[v] >= 60)
+        new = Counter({p: sums[p] // ((total[p] + 1) * 100) for p in total})
+        if new == score:
+            break
+        score = new
+    out = defaultdict(set)
+    for d, lo, hi, _, sure, _, p in uses:
+        if not sure and score[p] >= 60 and support[p] >= 3:
+            out[d].add((lo, hi))
+    return out
+
+
+def test_pii_plain(spark):
+    """Added spans of whole texts, and of chains of contexts that each need the one before, as the plain version has them."""
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()]
+    texts += [f"please reach person{i}@mail.example.com today again" for i in range(30)]
+    place = ["please reach {} today again", "callb number {} nowb again", "callc digits {} nowc again", "calld letters {} nowd again"]
+    for step in range(3):  # a step's values stand in its context once, in the next one five times
+        texts += [place[step + k].format(f"u{step}v{i}-77") for i in range(6) for k in (0, 1, 1, 1, 1, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, got = _plain_contexts(texts), defaultdict(set)
+    for r in pii.find(df).collect():
+        got[r["doc_id"]] |= {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4}
+    assert {d: x for d, x in got.items() if x} == want
+    assert all(want[len(texts) - 6 - 36 * k] for k in range(3)) and not want[len(texts) - 1]
+
+
 def test_pii_keys_and_lengths(spark):
     """Keys make patterns that find others, long tokens and long words of a context are whole."""
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"

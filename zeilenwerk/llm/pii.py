@@ -4,10 +4,12 @@ Four base kinds are found by their patterns: email, ip, card (Luhn) and phone, l
 kind. They and keys (runs of KEY_CHARS and more letters and digits, mixed) are the seeds. A pattern is the context of an
 identifier-like token: the word before and the word after it, or the two words before it, in lower case, whatever the
 token's shape and length; a mark beside the token, as a quote, is no word. Patterns and instances (the
-tokens' values) form a graph. It is scored in rounds: a pattern's score is the mean score of its occurrences'
-instances (with one fictitious miss), an instance's the score of its best pattern; seeds keep 1. Patterns that reach
-ACCEPT with at least SUPPORT seeds or instances of that score extract the tokens in their context that no base pattern
-knows, as spans of the kind `context`; a key alone, in no such context, is none.
+tokens' values) form a graph. It is scored in rounds until no pattern changes: a pattern's score is the mean squared
+score of its occurrences' instances (with one fictitious miss), an instance's the score of its best pattern; a value
+that is a seed anywhere keeps 1. Scores are whole hundredths, rounded down, and only grow, so the rounds end, always
+with the same scores. Patterns that reach
+ACCEPT with at least SUPPORT occurrences of seeds or of instances of that score extract the tokens in their context that
+no base pattern knows, as spans of the kind `context`; a key alone, in no such context, is none.
 
 Texts of any length are read by possessive patterns, which match as the greedy ones do but neither back up nor
 recurse. Null and empty texts have no spans. Null ids and repeated rows keep their own rows. Offsets are code points,
@@ -35,7 +37,8 @@ PATTERNS = {
 TOKEN = r"(?<![A-Za-z0-9@._:/+-])(?=[A-Za-z0-9._:/+-]*[0-9@])[A-Za-z0-9+][A-Za-z0-9@._:/+-]{4,}[A-Za-z0-9]"
 #: A key has so many characters, and so many digits and letters among them.
 KEY_CHARS, KEY_EACH = 24, 6
-ACCEPT, SUPPORT, ROUNDS = 0.6, 3, 2
+#: Hundredths that a pattern's score has to reach, and occurrences that have to back it.
+ACCEPT, SUPPORT = 60, 3
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 #: Matches of a text that are gathered at a time.
 RUN = 256
@@ -149,17 +152,28 @@ def candidates(found: DataFrame) -> DataFrame:
     return each.select("__row", "value", "start", "end", "known", "seed", F.explode(patterns).alias("pattern"))
 
 
-def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges (pattern, value, n, seeds) -> pattern, score, support. Groups are summed before they are shuffled."""
-    patterns = edges.groupBy("pattern").agg(F.sum("n").alias("all"), (F.sum("seeds") / (F.sum("n") + 1)).alias("score"), F.sum("seeds").alias("support"))
-    patterns = totals = written(patterns, "patterns")
-    for _ in range(rounds):
-        held = edges.join(patterns.where("score > 0").select("pattern", "score"), "pattern")
-        instances = held.groupBy("value").agg(F.greatest(F.max("score"), F.max((F.col("seeds") > 0).cast("double"))).alias("instance"))
-        held, new = edges.join(instances, "value"), F.col("n") - F.col("seeds")
-        sums = held.groupBy("pattern").agg(F.sum(F.col("seeds") + new * F.col("instance") ** 2).alias("sum"), F.sum(F.col("seeds") + F.when(F.col("instance") >= ACCEPT, new).otherwise(0)).alias("support"))
-        patterns = written(sums.join(totals.select("pattern", "all"), "pattern").select("pattern", (F.col("sum") / (F.col("all") + 1)).alias("score"), "support"), "patterns")
-    return patterns
+def scored(edges: DataFrame) -> DataFrame:
+    """edges (pattern, value, n, seeds) -> pattern, score (hundredths), support. Values that are seeds somewhere count the
+    same in every round, so the rounds read the other values' edges only. Groups are summed before they are shuffled, and
+    all sums are whole numbers."""
+    known = edges.groupBy("value").agg((F.max("seeds") > 0).alias("sure"))
+    weighed = written(edges.join(known, "value").select("pattern", "value", "n", "sure"), "weighed")
+    score = lambda more: F.expr(f"cast((held * 10000 + {more}) div ((uses + 1) * 100) as int)")
+    totals = weighed.groupBy("pattern").agg(F.sum("n").alias("uses"), F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("held"))
+    patterns = written(totals.select("*", score("0").alias("score"), F.col("held").alias("support")), "patterns")
+    unsure = weighed.where(~F.col("sure"))
+    while True:
+        best = unsure.join(patterns.where("score > 0").select("pattern", "score"), "pattern").groupBy("value").agg(F.max("score").cast("long").alias("instance"))
+        sums = unsure.join(best, "value").groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("instance") * F.col("instance")).alias("more"),
+            F.sum(F.when(F.col("instance") >= ACCEPT, F.col("n")).otherwise(0)).alias("backed"),
+        )
+        after = patterns.withColumnsRenamed({"score": "__score", "support": "__support"}).join(sums, "pattern", "left")
+        after = after.select("pattern", "uses", "held", score("coalesce(more, 0)").alias("score"), (F.col("held") + F.coalesce("backed", F.lit(0))).alias("support"), "__score", "__support")
+        after = written(after, "patterns")
+        if after.where("score != __score or support != __support").isEmpty():
+            return after.select("pattern", "score", "support")
+        patterns = after.drop("__score", "__support")
 
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
