@@ -266,6 +266,70 @@ def test_raster(spark):
     assert {(x["doc_id"], x["y"]) for x in raster.level_lines(df, 9).collect()} == ys
 
 
+def test_cells(spark):
+    """Cells with digits, bars, remnants of frames and specks, as array arithmetic on a whole picture has them; a picture
+    without edges has no cell."""
+    import numpy as np
+
+    from zeilenwerk.operators import cells
+
+    r = np.random.default_rng(3)
+    ys, xs = [2, 30, 37, 60, 95], [4, 40, 44, 70, 71, 110]
+    page = np.full((90, 100), 230)  # the last row and column are cut off by the picture's edge
+    for n, (y, x) in enumerate([(a, b) for a in ys for b in xs]):
+        part = page[y + 3 : y + 22, x + 3 : x + 23]
+        if not part.size:
+            continue
+        if n % 6 == 0:
+            part[4:12, 9:11] = 0  # a 1
+        elif n % 6 == 1:
+            part[:] = np.where(r.random(part.shape) < 0.4, 20, 230)
+        elif n % 6 == 2:
+            part[:, :2] = 0  # a frame
+        elif n % 6 == 3:
+            part[5:, 3:9], part[0, :] = 0, 0
+        elif n % 6 == 4:
+            part[:] = 10
+    rows = [(1, 0, y, line.tolist()) for y, line in enumerate(page)] + [(2, 0, 0, [0, 0]), (3, 0, 0, [])]
+    df = spark.createDataFrame(rows, "doc_id int, page_index int, y int, pixels array<int>")
+    frames = spark.createDataFrame([(1, 0, ys, xs), (2, 0, [], [5]), (3, 0, [0, 30], [0, 30])], "doc_id int, page_index int, ys array<int>, xs array<int>")
+    want, boxes = {}, {}
+    for i in range(len(ys) - 1):
+        for k in range(len(xs) - 1):
+            a = page[ys[i] + 3 : ys[i + 1] - 2, xs[k] + 3 : xs[k + 1] - 2] < 128
+            if ys[i + 1] - ys[i] < 9 or xs[k + 1] - xs[k] < 9 or not a.mean() > 0.012:
+                continue
+            side = max(1, a.shape[1] // 5)
+            inner = a.mean(axis=0)[side:-side] if a.shape[1] > 2 * side else a.mean(axis=0)
+            want[i, k] = bool(inner.max() < 0.15 or a.mean() > 0.75)
+            pure = a & (a.mean(axis=1) <= 0.8)[:, None] & (a.mean(axis=0) <= 0.8)[None, :]
+            at = np.argwhere(pure)
+            if not want[i, k] and len(at) and np.ptp(at[:, 0]) >= 3:
+                (y0, x0), (y1, x1) = at.min(axis=0), at.max(axis=0) + 1
+                boxes[i, k] = (xs[k] + 3 + x0, ys[i] + 3 + y0, xs[k] + 3 + x1, ys[i] + 3 + y1, (x1 - x0) / (y1 - y0) < 0.45)
+    got = cells.filled(df, frames).collect()
+    assert {(x["row"], x["column"]): x["remnant"] for x in got} == want and set(want.values()) == {True, False} and {x["doc_id"] for x in got} == {1}
+    got = {(x["row"], x["column"]): (x["x0"], x["y0"], x["x1"], x["y1"], x["one"]) for x in cells.marks(df, frames).collect()}
+    assert got == boxes and {b[4] for b in boxes.values()} == {True, False}
+
+
+def test_strips(spark):
+    """Strips cover a page below its head, overlap, and carry the head's rows first; one strip is the whole page."""
+    from zeilenwerk.operators import cells
+
+    df = spark.createDataFrame([(1, 0, y, [y]) for y in range(100)], "doc_id int, page_index int, y int, pixels array<int>")
+    for count, top, head in ((1, 0.0, 0.0), (3, 0.2, 0.1), (7, 0.0, 0.25)):
+        got = {}
+        for x in cells.stripped(df, count, top, head).orderBy("strip", "y").collect():
+            got.setdefault(x["strip"], []).append((x["y"], x["pixels"][0]))
+        rows, skipped = int(100 * head), 100 * top
+        tall = (100 - skipped) / count
+        assert len(got) == count
+        for i, strip in got.items():
+            lo, hi = int(max(skipped, skipped + i * tall - tall * 0.08)), int(min(100, skipped + (i + 1) * tall + tall * 0.08))
+            assert strip == list(enumerate([*range(rows), *range(lo, hi)]))
+
+
 @pytest.mark.parametrize("angle", [-3.25, -0.5, 0.0, 1.75])
 def test_skew(spark, angle):
     """A picture of text lines that was turned is found to a quarter of a degree."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import MODEL, TOTAL, greedy_sql, query
 from .functions import text as tx
-from .operators import bands, binding, editing, fields, maintenance, merging, pages, projects, raster, reports, scans, textlayer, words
+from .operators import bands, binding, cells, editing, fields, maintenance, merging, pages, projects, raster, reports, scans, textlayer, words
 from .operators import rows as rules
 from .operators import store as kept
 from .sources import answers
@@ -394,6 +394,54 @@ def page_skew(s, d):
     return raster.skew(_pixels(s, d)).drop("page_index")
 
 
+# Cells between the lines of these pictures: edges at 7, 18, 29, 40 and at 11, 30, 50, 69.
+_CELLS = (
+    _PIXELS
+    + """, cols AS (SELECT * FROM (VALUES (0, 14, 28), (1, 33, 48), (2, 53, 67)) t(c, lo, hi)),
+k AS (SELECT doc_id, (y - 10) // 11 AS r, c, y, x, lo, hi, CASE WHEN p < 128 THEN 1 ELSE 0 END AS i FROM px JOIN cols ON x >= lo AND x < hi WHERE y BETWEEN 10 AND 37 AND (y - 10) % 11 < 6),
+byx AS (SELECT doc_id, r, c, x, sum(i) AS v, count(*) AS h, any_value(lo) AS lo, any_value(hi) AS hi FROM k GROUP BY doc_id, r, c, x), byy AS (SELECT doc_id, r, c, y, sum(i) AS v, count(*) AS w FROM k GROUP BY doc_id, r, c, y),
+f AS (SELECT doc_id, r, c, sum(v) / sum(h)::DOUBLE AS share, coalesce(max(CASE WHEN x >= lo + greatest(1, (hi - lo) // 5) AND x < hi - greatest(1, (hi - lo) // 5) THEN v END) < 0.15::DOUBLE * max(h), true) OR sum(v) / sum(h)::DOUBLE > 0.75::DOUBLE AS remnant FROM byx GROUP BY doc_id, r, c HAVING sum(v) > 0.012::DOUBLE * sum(h))"""
+)
+
+
+def _frames(pixels):
+    ys, xs = (F.array(*[F.lit(v) for v in at]) for at in ((7, 18, 29, 40), (11, 30, 50, 69)))
+    return pixels.select("doc_id", "page_index").distinct().select("*", ys.alias("ys"), xs.alias("xs"))
+
+
+@query("WITH " + _CELLS + " SELECT doc_id, r AS row_no, c AS column_no, share, remnant FROM f")
+def filled_cells(s, d):
+    """Cells of a scanned table that hold ink, and those whose ink is the frame's."""
+    p = _pixels(s, d)
+    return cells.filled(p, _frames(p)).select("doc_id", F.col("row").alias("row_no"), F.col("column").alias("column_no"), "share", "remnant")
+
+
+@query(
+    "WITH "
+    + _CELLS
+    + """, m AS (SELECT k.doc_id, k.r, k.c, min(k.x) AS x0, min(k.y) AS y0, max(k.x) + 1 AS x1, max(k.y) + 1 AS y1 FROM k JOIN f ON f.doc_id = k.doc_id AND f.r = k.r AND f.c = k.c AND NOT remnant
+JOIN byx ON byx.doc_id = k.doc_id AND byx.r = k.r AND byx.c = k.c AND byx.x = k.x AND byx.v <= 0.8::DOUBLE * byx.h JOIN byy ON byy.doc_id = k.doc_id AND byy.r = k.r AND byy.c = k.c AND byy.y = k.y AND byy.v <= 0.8::DOUBLE * byy.w
+WHERE i = 1 GROUP BY k.doc_id, k.r, k.c) SELECT doc_id, r AS row_no, c AS column_no, x0, y0, x1, y1, (x1 - x0) / (y1 - y0)::DOUBLE < 0.45::DOUBLE AS one FROM m WHERE y1 - y0 >= 4"""
+)
+def cell_marks(s, d):
+    """Where the ink of a cell is, without what is left of its frame."""
+    p = _pixels(s, d)
+    return cells.marks(p, _frames(p)).select("doc_id", F.col("row").alias("row_no"), F.col("column").alias("column_no"), "x0", "y0", "x1", "y1", "one")
+
+
+@query(
+    "WITH "
+    + _PIXELS
+    + """, st AS (SELECT i AS strip, CAST(floor(greatest(5.0::DOUBLE, 5 + i * 11.25::DOUBLE - 0.9::DOUBLE)) AS INT) AS a, CAST(floor(least(50.0::DOUBLE, 5 + (i + 1) * 11.25::DOUBLE + 0.9::DOUBLE)) AS INT) AS b FROM (SELECT unnest(range(0, 4)) AS i)),
+l AS (SELECT doc_id, y, sum(p) AS grey FROM px GROUP BY doc_id, y)
+SELECT doc_id, strip, y, grey FROM l CROSS JOIN st WHERE y < 5 UNION ALL SELECT doc_id, strip, y - a + 5, grey FROM l JOIN st ON y >= a AND y < b"""
+)
+def head_strips(s, d):
+    """Pictures as four strips that overlap, each below the picture's head."""
+    grey = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p)
+    return cells.stripped(_pixels(s, d), 4, 0.1, 0.1).select("doc_id", "strip", "y", grey.alias("grey"))
+
+
 # Texts of documents as pages of lines, one character every five points. Even documents have a defective font: digits up
 # to 7 stand 29 code points too low.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
