@@ -38,7 +38,8 @@ NOTICES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 )
-#: Whole texts and headers (label, words), as their publishers word them, without names and years.
+#: Texts and headers (label, words), as their publishers word them, without names and years; bsl without its disclaimer,
+#: of the unlicense the first paragraph.
 TEXTS = (
     ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the rights
