@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from zeilenwerk.functions import text
 from zeilenwerk.operators import projects, scans, textlayer
 
 CHAR = "c string, x0 double, y0 double, x1 double, y1 double"
@@ -88,3 +91,18 @@ def test_projects(spark, tmp_path):
     assert not projects.clear(spark, root, "fehlt") and not projects.remove(spark, root, "fehlt")
     assert projects.remove(spark, root, "Haus Süd/1 %2B")
     assert [r.project for r in projects.listing(spark, root).collect()] == ["Standard", "alt"]
+
+
+def test_characters_are_made_after_the_join(spark):
+    """Nothing but the text of a line is moved to its page."""
+    df = spark.createDataFrame([(1, 0, 0, "ab \x14"), (1, 1, 0, "ab 1"), (2, 0, 0, "\x11\x12 c")], "doc_id long, page_index int, span int, line string")
+    chars = F.transform(F.split("line", ""), lambda c, i: F.struct(c.alias("c"), i.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i + 1.0).alias("x1"), F.lit(1.0).alias("y1")))
+    read = spark.createDataFrame([(1, 1, 0, 0, 0.0, 0.0, 2.0, 1.0, "read")], "doc_id long, page_index int, span int, n int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = textlayer.words(df, read, chars).collect()
+    assert sorted((r.doc_id, r.page_index, r.n, r.text, r.x1) for r in got) == [(1, 0, 0, "ab", 2.0), (1, 0, 1, "1", 4.0), (1, 1, 0, "read", 2.0), (2, 0, 0, "./", 2.0), (2, 0, 1, "c", 4.0)]
+
+
+def test_letters_beyond_chr(spark):
+    """The first letter's code point may be above 255."""
+    got = spark.createDataFrame([(0,), (701,), (18277,), (702 + 676 * 191,), (1_199_999,)], "n long").select("n", text.column_letters(F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == ["A", "ZZ", "ZZZ", chr(65 + 191) + "AA", chr(65 + 1774) + chr(65 + 1_199_297 % 676 // 26) + chr(65 + 1_199_297 % 26)]

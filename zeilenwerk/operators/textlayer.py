@@ -35,14 +35,18 @@ def from_characters(spans: DataFrame) -> DataFrame:
     """doc_id, page_index, span, n, x0, y0, x1, y1, text: a span's characters between white space, glyphs repaired. A
     word never crosses spans; its box holds its characters' boxes. Null and empty characters end a word, too."""
     ink = F.transform("chars", lambda c: F.coalesce((c["c"] != "") & ~c["c"].isin(*WHITE), F.lit(False)))
-    each = spans.withColumn("__ink", ink).select(*PAGE, "span", "chars", F.posexplode(runs(F.col("__ink"))).alias("n", "__r"))
-    own = each.withColumn("chars", F.slice("chars", F.col("__r.start") + 1, F.col("__r.stop") - F.col("__r.start")))
+    # cut before they become rows: no word carries its whole span
+    pieces = F.transform(runs(F.col("__ink")), lambda r: F.slice("chars", r["start"] + 1, r["stop"] - r["start"]))
+    own = spans.withColumn("__ink", ink).select(*PAGE, "span", F.posexplode(pieces).alias("n", "chars"))
     edge = [f(F.col("chars")[c]).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
     return own.select(*PAGE, "span", "n", *edge, repair_glyphs(F.array_join("chars.c", "")).alias("text"))
 
 
-def words(spans: DataFrame, read: DataFrame) -> DataFrame:
-    """The words as they were read (columns as from_characters has them); those of defective pages out of characters."""
-    bad = defective_pages(spans)
-    made = from_characters(spans.join(bad, PAGE, "left_semi"))
+def words(spans: DataFrame, read: DataFrame, chars: Column | None = None) -> DataFrame:
+    """The words as they were read (columns as from_characters has them); those of defective pages out of characters.
+    Where spans hold what their characters are made of, chars makes them: after the join, as they are many times as
+    large as the text."""
+    chars = F.col("chars") if chars is None else chars
+    bad = defective_pages(spans.withColumn("chars", chars))
+    made = from_characters(spans.join(bad, PAGE, "left_semi").withColumn("chars", chars))
     return read.join(bad, PAGE, "left_anti").select(made.columns).unionByName(made)
