@@ -22,12 +22,8 @@ def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets)).cast("int")
 
 
-def _unfolded(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return facts.select("doc_id", "page_index", "row_seq", "kind"), facts.select("doc_id", "row_seq", F.inline("cells"))
-
-
 def _checked(facts: DataFrame, buckets: int) -> DataFrame:
-    return page_checks(*_unfolded(facts)).withColumn("bucket", bucket(buckets))
+    return page_checks(facts).withColumn("bucket", bucket(buckets))
 
 
 def replace(df: DataFrame, path: str) -> None:
