@@ -62,17 +62,17 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, nam
 
 def without_overlaps(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.5, cell: float = 50.0) -> DataFrame:
     """Rectangles of left that no rectangle of right covers by `least` of the smaller one's area. Both stand in the cells of
-    a grid that they touch, so that only those that share a cell meet."""
+    a grid that they touch, so that only those that share a cell meet; equal rectangles stand there once."""
     marks = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     spread = lambda df: df.withColumn("__cx", F.explode(marks("x0", "x1"))).withColumn("__cy", F.explode(marks("y0", "y1")))
     boxes = ("x0", "y0", "x1", "y1")
-    own = left.select(F.struct(*left.columns).alias("__row"), *keys, *boxes)
-    r = spread(right.select(*keys, *boxes)).select(*keys, "__cx", "__cy", *[F.col(c).alias(f"__{c}") for c in boxes])
+    own = left.select(*keys, *boxes).distinct()
+    r = spread(right.select(*keys, *boxes).distinct()).select(*keys, "__cx", "__cy", *[F.col(c).alias(f"__{c}") for c in boxes])
     w = F.greatest(F.lit(0.0), F.least("x1", "__x1") - F.greatest("x0", "__x0"))
     h = F.greatest(F.lit(0.0), F.least("y1", "__y1") - F.greatest("y0", "__y0"))
     area = F.least((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("__x1") - F.col("__x0")) * (F.col("__y1") - F.col("__y0")))
-    hit = spread(own).join(r, [*keys, "__cx", "__cy"]).where((w * h >= least * area) & (area > 0)).select("__row").distinct()
-    return own.select("__row").join(hit, "__row", "left_anti").select("__row.*")
+    hit = spread(own).join(r, [*keys, "__cx", "__cy"]).where((w * h >= least * area) & (area > 0)).select(*keys, *boxes).distinct()
+    return left.join(hit, [*keys, *boxes], "left_anti").select(*left.columns)
 
 
 def mode_largest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
