@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.store import write_documents
+from ..tables import buckets
 
 
 def nested(documents: DataFrame, order: dict[str, list[str]], **children: DataFrame) -> DataFrame:
@@ -29,7 +30,10 @@ def nested(documents: DataFrame, order: dict[str, list[str]], **children: DataFr
 
 def write(documents: DataFrame, path: str) -> None:
     """Replaces the projects at hand, in files that are sorted by document, so that filters skip row groups."""
-    write_documents(documents.repartition("project").sortWithinPartitions("project", "doc_id"), path, ("project",))
+    n = buckets(documents)
+    # a project may be most of the store: its documents are dealt out, too
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n // 4 + 1))
+    write_documents(documents.repartition(n, "project", part).sortWithinPartitions("project", "doc_id"), path, ("project",))
 
 
 def read(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
