@@ -1,4 +1,7 @@
-"""Function lists out of workbook cells (doc_id, sheet, r, c, value; empty cells have no row)."""
+"""Function lists out of workbook cells (doc_id, sheet, r, c, value; empty cells have no row).
+
+What several steps read is written once, in buckets of the sheets: no step after that moves the cells again.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import footnote_markers, normalize, normalize_address, parse_count
+from ..tables import buckets, written
 from . import rows as rules
 from . import words
 
@@ -34,11 +38,6 @@ FIELDS = {
 NOTE_SECTIONS = ("4", "9")
 
 
-def first_label(grid: DataFrame, label: str, out: str) -> DataFrame:
-    """doc_id, sheet and the (r, c) of the first cell that is the label."""
-    return grid.where(normalize(F.col("value")) == label).groupBy(*SHEET).agg(F.min(F.struct("r", "c")).alias(out))
-
-
 def _field(value: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])[normalize(F.regexp_replace(value, ":+$", ""))]
 
@@ -59,13 +58,20 @@ def head(grid: DataFrame) -> DataFrame:
     """A row for each function column of each sheet that has the labels Abschnitt and Spalte and four numbered columns:
     c, column_index, column_no, section, address, label, group_name, subgroup, is_note, footnote_markers, first_row (of
     the body), section_row, label_col, label_row."""
-    at = first_label(grid, "abschnitt", "a").join(first_label(grid, "spalte", "s"), SHEET)
+    name = normalize(F.col("value"))
+    at = grid.select(*SHEET, "r", "c", name.alias("name")).where(F.col("name").isin("abschnitt", "spalte"))
+    first = lambda label: F.min(F.when(F.col("name") == label, F.struct("r", "c")))
+    at = at.groupBy(*SHEET).agg(first("abschnitt").alias("a"), first("spalte").alias("s")).where("a is not null and s is not null")
     at = at.select(*SHEET, F.col("a.r").alias("section_row"), F.col("a.c").alias("label_col"), F.col("s.r").alias("number_row"))
-    own = grid.join(at, SHEET)
+    n = buckets(grid)
+    # all that follows stands in the rows down to the lower label
+    own = written(grid.join(at, SHEET).where("r <= greatest(section_row, number_row)"), "head_cells", SHEET, n)
+    grid = own.select(*SHEET, "r", "c", "value")
     numbers = own.where((F.col("r") == F.col("number_row")) & (F.col("c") > F.col("label_col")) & F.col("value").rlike(r"^\d+$"))
     numbers = numbers.withColumn("column_index", F.row_number().over(W.partitionBy(*SHEET).orderBy("c")) - 1).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*SHEET))).where("__n >= 4")
-    numbers = numbers.select(*SHEET, "c", "column_index", F.col("value").alias("column_no"), "section_row", "label_col", "number_row")
+    numbers = written(numbers.select(*SHEET, "c", "column_index", F.col("value").alias("column_no"), "section_row", "label_col", "number_row"), "numbers", SHEET, n)
     sections = own.where((F.col("r") == F.col("section_row")) & (F.col("c") > F.col("label_col"))).select(*SHEET, "c", normalize_address(F.col("value")).alias("section")).where("section <> ''")
+    sections = written(sections, "sections", SHEET, n)
     # as many blocks as sections: in order; else the last section to the left
     as_page = lambda df: df.withColumnRenamed("sheet", "page_index")
     zipped = words.sections_in_order(as_page(numbers.select(*SHEET, F.col("c").alias("place"), F.col("column_no").alias("number"))), as_page(sections.select(*SHEET, F.col("c").alias("place"), "section")))
@@ -81,7 +87,7 @@ def head(grid: DataFrame) -> DataFrame:
     best = texts.groupBy(*SHEET).agg(F.max_by("r", F.struct("n", "r")).alias("label_row"), F.max("n").alias("n")).where("n >= 3").drop("n")
     cols = cols.join(best, SHEET, "left").withColumn("__anchor", F.coalesce("label_row", "section_row"))
     label = grid.select(*SHEET, F.col("r").alias("label_row"), "c", F.btrim("value").alias("label"))
-    cols = cols.join(label, [*SHEET, "label_row", "c"], "left").withColumn("label", F.coalesce("label", F.lit("")))
+    cols = written(cols.join(label, [*SHEET, "label_row", "c"], "left").withColumn("label", F.coalesce("label", F.lit(""))), "head_columns", SHEET, n)
     # groups: the last text at or to the left, from the first function column on, in the two rows over the labels
     for k, name in ((2, "__upper"), (1, "__lower")):
         g = above.join(cols.select(*SHEET, F.col("__anchor")).distinct(), SHEET).where(F.col("r") == F.col("__anchor") - k).select(*SHEET, F.col("c").alias("__c"), F.col("value").alias("__v"))
@@ -104,6 +110,8 @@ def body(grid: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = own.join(columns.select(*SHEET, "c", "column_index", "is_note"), [*SHEET, "c"])
     count = F.when(~F.col("is_note"), parse_count(F.col("value")))
     cells = cells.select(*SHEET, F.col("r").alias("row_seq"), "column_index", "is_note", F.col("value").alias("raw_value"), count.alias("count"), F.when(count.isNull(), F.col("value")).otherwise("").alias("note"))
+    n = buckets(grid)
+    cells = written(cells, "body_cells", SHEET, n)
     left = own.where("c < __first").groupBy(*SHEET, F.col("r").alias("row_seq")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]).alias("__t"), F.max(F.when(F.col("c") == F.col("__q"), F.col("value"))).alias("qualifier")
     )
@@ -122,6 +130,7 @@ def body(grid: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select(*SHEET, "row_seq", text("row_no"), text("label"), text("qualifier"), text("remark"), F.coalesce("values", F.create_map().cast("map<int,double>")).alias("values"), F.coalesce("__full", F.lit(False)).alias("has_values"))
     rows = rows.withColumn("kind", rules.row_kind(F.col("label"), F.col("has_values")))
     rows = rules.cut_after_footer(rows, SHEET, "row_seq").withColumn("first_reason", rules.reason(F.col("kind")))
+    rows = written(rows, "body_rows", SHEET, n)
     rows = rules.mark_unlabelled_sums(rows, SHEET)
     rows = rows.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("")), "first_reason")).drop("first_reason")
     return rows, cells.drop("is_note").join(rows.select(*SHEET, "row_seq"), [*SHEET, "row_seq"], "left_semi")
@@ -131,7 +140,7 @@ def footnotes(grid: DataFrame, columns: DataFrame) -> DataFrame:
     """doc_id, sheet, marker, text over the head: `1)` with what stands in the next two cells; longer texts up to five rows
     below and two columns aside go on with the nearest one."""
     top = columns.groupBy(*SHEET).agg(F.min(F.greatest(F.coalesce("label_row", "section_row") - 2, F.lit(0))).alias("__top"))
-    own = grid.join(top, SHEET).where("r < __top").withColumn("value", F.btrim("value"))
+    own = written(grid.join(top, SHEET).where("r < __top").withColumn("value", F.btrim("value")), "notes", SHEET, buckets(grid))
     mark = own.where(F.col("value").rlike(r"^\d{1,2}\)$")).select(*SHEET, F.col("r").alias("ar"), (F.col("c") + 1).alias("ac"), F.regexp_extract("value", r"^(\d+)", 1).alias("marker"))
     near = mark.join(own.select(*SHEET, F.col("r").alias("ar"), "c", "value"), [*SHEET, "ar"]).where("c = ac or c = ac + 1")
     body_ = near.groupBy(*SHEET, "marker", "ar").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]), " ").alias("text"))
