@@ -50,6 +50,16 @@ def test_assembly_hops(spark):
     assert len(got["end"]["metadata"]) == 21 and all(got[x]["main"] is None for x in got if x != "end")
 
 
+def test_archives_are_parsed_once(spark):
+    """Assembling reads what is known about the records, and payloads are what their bytes are, in UTF-8 or not."""
+    df = spark.range(2).selectExpr("id as page_id", "concat('http://x/', id, ' y') as url", "cast(concat(X'ff', repeat('z', 120)) as string) as html")
+    got = warc.captures(spark, df)
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    want = hashlib.sha256(b"\xff" + b"z" * 120).hexdigest()
+    main = [(r["main"]["type"], r["main"]["payload_digest"], r["main"]["digest_ok"], r["main"]["target_uri"][-5:]) for r in got.orderBy("main.page_id").collect()]
+    assert main == [("response", want, True, "0%20y"), ("revisit", want, None, "1%20y")]
+
+
 def test_archives_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1 << 17)
     pages = [(i, "http://x", f"{i}" + "y" * n) for i, n in enumerate([10] * 60 + [30_000] * 9 + [200_000] * 3)]

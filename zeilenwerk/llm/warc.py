@@ -47,10 +47,12 @@ def _urn(*parts: Column) -> Column:
 
 
 def _record(kind: Column | str, rid: Column, uri: Column, content: str, block: Column, *more: tuple[str, Column]) -> Column:
-    """The text of a record without the two line ends after it; a header whose value is null is left out."""
-    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END)))
-    head = [("WARC-Type", F.lit(kind) if isinstance(kind, str) else kind), ("WARC-Record-ID", rid), ("WARC-Date", F.lit("2024-01-01T00:00:00Z")), ("WARC-Target-URI", F.regexp_replace(uri, r"[\x00-\x20\x7f]", "%20")), *more]
-    return F.concat(F.lit("WARC/1.1" + END), *[F.coalesce(line(*x), F.lit("")) for x in head], F.lit(f"Content-Type: {content}{END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END + END), block)
+    """The text of a record without the two line ends after it; a header whose value is null is left out. uri: without
+    blanks."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    top = line(f"WARC/1.1{END}WARC-Type", F.lit(kind) if isinstance(kind, str) else kind), line("WARC-Record-ID", rid), line(f"WARC-Date: 2024-01-01T00:00:00Z{END}WARC-Target-URI", uri)
+    # nulls are no lines
+    return F.concat(F.concat_ws(END, *top, *[line(*x) for x in more], line(f"Content-Type: {content}{END}Content-Length", F.octet_length(block))), F.lit(END + END), block)
 
 
 def _grade(size: Column) -> Column:
@@ -61,7 +63,7 @@ def _grade(size: Column) -> Column:
 def numbered(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, payload) with row, digest, n (bytes) and grade: a table written once, in a folder for each
     grade, so that rows keep their numbers whatever is read from it."""
-    rows = pages.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.encode("payload", "utf-8"), 256)).withColumn("n", F.octet_length("payload").cast("long"))
+    rows = pages.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("n", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("grade", _grade(F.greatest(F.col("n"), F.octet_length("url").cast("long"))))
     path = scratch(pages.sparkSession, "numbered")
     rows.write.partitionBy("grade").parquet(path)
@@ -86,32 +88,35 @@ def roles(rows: DataFrame, first: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, payload: str = "html", url: str = "url", page_id: str = "page_id") -> None:
     table = numbered(pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")))
     first = owners(table)
-    rid, page = _urn(F.lit("main"), F.col("row"), F.col("digest")), ("WARC-Page-ID", F.col("page_id"))
+    rid, uri, page = F.col("__rid"), F.col("__uri"), ("WARC-Page-ID", F.col("page_id"))
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     main = _record(
         F.col("record_type"),
         rid,
-        F.col("url"),
+        uri,
         "application/http; msgtype=response",
-        F.when(revisit, http).otherwise(F.concat(http, "payload")),
+        F.col("__block"),
         page,
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ("WARC-Refers-To", F.when(revisit, _urn(F.lit("main"), F.col("owner"), F.col("digest")))),
         ("WARC-Refers-To-Page-ID", F.when(revisit, F.col("owner_page"))),
     )
-    request = F.concat(F.lit("GET "), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.lit(f" HTTP/1.1{END}{END}"))
-    request = _record("request", _urn(F.lit("request"), F.col("row"), F.col("digest")), F.col("url"), "application/http; msgtype=request", request, page, ("WARC-Concurrent-To", rid))
+    request = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}{END}"))
+    request = _record("request", _urn(F.lit("request"), F.col("row"), F.col("digest")), uri, "application/http; msgtype=request", request, page, ("WARC-Concurrent-To", rid))
     meta = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit(END))
-    meta = _record("metadata", _urn(F.lit("metadata"), F.col("row"), F.col("digest")), F.col("url"), "application/warc-fields", meta, page, ("WARC-Concurrent-To", rid))
+    meta = _record("metadata", _urn(F.lit("metadata"), F.col("row"), F.col("digest")), uri, "application/warc-fields", meta, page, ("WARC-Concurrent-To", rid))
     records = F.explode(F.array(request, main, meta)).alias("value")
+    # what is named several times is made once, before the records: the JVM compiles no method of over 8,000 bytes
+    once = {"__rid": _urn(F.lit("main"), F.col("row"), F.col("digest")), "__uri": F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), "__block": F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))}
     # as many as there are classes, at most
     for g in sorted({0, *(r[0] for r in table.select("grade").distinct().collect())}):
         # a page is three records, one of which holds the payload; the last class has no largest page
         most = max(3 * FILE_BYTES // CLASSES[g], 3) if g < len(CLASSES) else 3
-        own = roles(table.where(F.col("grade") == g), first).select(records).write.option("lineSep", END + END).option("compression", "gzip")
-        own.option("maxRecordsPerFile", most).mode("append").text(path)
+        own = roles(table.where(F.col("grade") == g), first).withColumns(once).select(records).write.option("lineSep", END + END).option("compression", "gzip")
+        # the usual level takes half of the writing's time, for an eighth less of bytes
+        own.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).mode("append").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -226,10 +231,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """pages written as archives in the shared folder and read back, a row a capture."""
+    """pages written as archives in the shared folder and read back, a row a capture. Archives are parsed once: what is
+    known about their records is kept, as assembling looks at it several times."""
     path = scratch(spark, "warc")
     write(pages, path)
-    return assemble(read(spark, path, blocks=False).drop("block"))
+    return assemble(written(read(spark, path, blocks=False).drop("block"), "records"))
 
 
 def report(spark: SparkSession, pages: DataFrame) -> DataFrame:
