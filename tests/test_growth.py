@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zeilenwerk import tables
-from zeilenwerk.operators import facts, geometry, reconcile
+from zeilenwerk.operators import bands, facts, geometry, reconcile
 from zeilenwerk.sources import documents
 
 
@@ -51,3 +51,16 @@ def test_a_project_is_several_tasks(spark, tmp_path):
     documents.write(docs, str(tmp_path / "s"))
     assert len(list((tmp_path / "s" / "project=eins").glob("*.parquet"))) > 1
     assert documents.read(spark, str(tmp_path / "s"), "eins").count() == 300
+
+
+def test_cuts_of_bands_travel_without_cells(spark):
+    """Cuts go to the index by length and fingerprint, lengths of one profile don't meet in one task; a null key is one."""
+    addresses = [f"{s}.{n}" for s, k in ((1, 3), (2, 4), (3, 2)) for n in range(1, k + 1)]
+    known = spark.createDataFrame([("p", 1, i, a) for i, a in enumerate(addresses)], "profile_id string, priority int, place int, address string")
+    read = {k: [7, 1, 2, 3, None, 2, 3, None, 1, 2, None] for k in [None, *range(30)]} | {30: [1, 2, 3, 4, 5, 6, 7], 31: [1, 2, 3, 1, 1, 3, 4, 1, 2]}
+    rows = spark.createDataFrame([(k, i, x) for k, v in read.items() for i, x in enumerate(v)], "band int, place int, number int")
+    got = bands.search(rows, known, ["band"])
+    moved = [x for x in plan(got).splitlines() if "Exchange hashpartitioning(n#" in x and "REPARTITION_BY_NUM" in x]
+    assert moved and all("print#" in x for x in moved) and "hashpartitioning(kind" not in plan(got)
+    want = {(k, 1, 10, "p", 1.0, 7) for k in [None, *range(30)]} | {(31, 0, 9, "p", 8 / 9, 9)}
+    assert {tuple(r) for r in got.collect()} == want

@@ -15,7 +15,7 @@ from .sources import answers
 from .sources import documents as store
 from .sources import testdata as td
 from .streaming.focus import carried_at_once
-from .tables import scratch
+from .tables import buckets, scratch
 
 NUM_SQL = "WITH num AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_seq FROM lineitem)"
 
@@ -27,8 +27,10 @@ c0 AS (SELECT *, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY band
 
 
 def _numbered(s, d):
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    n = td.table(s, d, "lineitem").withColumn("k", F.row_number().over(order)).withColumn("band", F.floor(F.col("l_orderkey") / 8))
+    # dealt out once, by bands, in as many parts as the table's size asks for: an order is in one band
+    items = td.table(s, d, "lineitem")
+    order = W.partitionBy("band", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = items.withColumn("band", F.floor(F.col("l_orderkey") / 8)).repartition(buckets(items), "band").withColumn("k", F.row_number().over(order))
     band = W.partitionBy("band")
     return n.select("band", (F.row_number().over(band.orderBy("l_orderkey", "k")) - 1).alias("place"), F.count(F.lit(1)).over(band).alias("n"), "k", F.when((F.col("l_partkey") + F.col("k")) % 6 > 0, F.col("k")).alias("number"))
 
