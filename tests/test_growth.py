@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zeilenwerk import tables
+from zeilenwerk.functions.text import natural_number
 from zeilenwerk.operators import bands, facts, geometry, reconcile
-from zeilenwerk.sources import documents
+from zeilenwerk.sources import answers, documents
 
 
 def plan(df):
@@ -64,3 +65,23 @@ def test_cuts_of_bands_travel_without_cells(spark):
     assert moved and all("print#" in x for x in moved) and "hashpartitioning(kind" not in plan(got)
     want = {(k, 1, 10, "p", 1.0, 7) for k in [None, *range(30)]} | {(31, 0, 9, "p", 8 / 9, 9)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_answers_are_parsed_once(spark):
+    """Rows count their own cells, so an answer without a key keeps its cells' number; no join, no second parsing."""
+    text = '{"zeilen": [{"klartext": "Teil", "werte": {"0": "2", " 1 ": "frei", "+1": " x ", "-0": "5", "-1": "5", "2": "5", "a": "1", "1.0": "1", "1e0": "1", "0 ": " "}}, {"werte": {"9": "1"}}, {"klartext": "", "bas": " B", "werte": null}, {"werte": {"0": "4"}}]}'
+    asked = spark.createDataFrame([(1, 0, 2, text), (None, 0, 2, text), (2, 0, None, text)], "doc_id long, page_index int, n_columns int, answer string")
+    rows, cells = answers.answered_rows(asked)
+    assert "Join" not in plan(rows) and plan(rows).count("from_json") == plan(cells).count("from_json") == 1
+    want = lambda k, n: [(k, 0, "daten", n, True), (k, 2, "leer", 0, False), (k, 3, "daten", 1, True)]
+    assert sorted((r.doc_id or 0, r.row_seq, r.kind, r.n_cells, r.has_values) for r in rows.collect()) == want(0, 4) + want(1, 4) + want(2, 2)
+    first = [(r.column_index, r.raw_value, r["count"], r.note) for r in cells.where("doc_id = 1 and row_seq = 0").collect()]
+    assert sorted(first, key=str) == [(0, "2", 2.0, ""), (0, "5", 5.0, ""), (1, "frei", None, "frei"), (1, "x", 1.0, "")]
+
+
+def test_numbers_are_cast_only_where_they_look_like_some(spark):
+    odd = ["", " ", "0", " 1 ", "+1", "-1", "-0", "-00", "+", "1.0", "1.", "\t2\n", "\x002", "2\x7f", "2\u2028", "2\u0085", "\u00a01", "٣", "1e0", "99999999999", "2147483647", "2147483648", "007", "1 2", "a1", "1_0", None]
+    got = spark.createDataFrame([(x,) for x in odd], "k string").select("k", natural_number(F.col("k")).alias("n"), F.col("k").try_cast("int").alias("t"))
+    assert got.where("NOT n <=> CASE WHEN t >= 0 THEN t END").count() == 0
+    # a cast that fails is slow, so it stands behind the look at the text
+    assert "CASE WHEN RLIKE(k" in plan(got.select("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import footnote_markers, normalize, parse_count, present
+from ..functions.text import footnote_markers, normalize, parse_count, present, natural_number
 from ..operators import rows as rules
 from .files import tolerant_json
 
@@ -59,21 +59,23 @@ def answered_columns(answers: DataFrame) -> DataFrame:
 
 def answered_rows(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, cells) of answers (doc_id, page_index, n_columns, answer). Values outside the columns and blank ones are no
-    cells; rows without label, address and cells go; a row that the model calls a sum is one."""
+    cells; rows without label, address and cells go; a row that the model calls a sum is one. A row counts its own cells,
+    so each answer is parsed once and nothing is joined."""
     x = tolerant_json(F.col("answer"), ROWS)
     each = answers.select("doc_id", "page_index", "n_columns", F.posexplode(x["zeilen"]).alias("row_seq", "z"))
-    cells = each.select("doc_id", "page_index", "row_seq", "n_columns", F.explode(F.coalesce("z.werte", F.create_map().cast("map<string,string>"))).alias("k", "v"))
-    index = F.btrim("k").try_cast("int")
-    cells = cells.select("doc_id", "page_index", "row_seq", "n_columns", index.alias("column_index"), F.btrim("v").alias("raw_value")).where("column_index >= 0 and column_index < greatest(n_columns, 1) and raw_value <> ''")
-    count = parse_count(F.col("raw_value"))
-    cells = cells.select("doc_id", "page_index", "row_seq", "column_index", "raw_value", count.alias("count"), F.when(count.isNull(), F.col("raw_value")).otherwise("").alias("note"))
-    sums = cells.groupBy("doc_id", "page_index", "row_seq").agg(F.count(F.lit(1)).alias("n_cells"), F.bool_or(F.col("count").isNotNull()).alias("full"))
+    values = F.coalesce("z.werte", F.create_map().cast("map<string,string>"))
+    index = lambda k: natural_number(F.btrim(k))
+    own = F.map_filter(values, lambda k, v: (F.btrim(v) != "") & (index(k) < F.greatest("n_columns", F.lit(1))))
+    cells = each.select("doc_id", "page_index", "row_seq", F.explode(own).alias("k", "v"))
+    cells = cells.select("doc_id", "page_index", "row_seq", index(F.col("k")).alias("column_index"), F.btrim("v").alias("raw_value")).withColumn("count", parse_count(F.col("raw_value")))
+    cells = cells.withColumn("note", F.when(F.col("count").isNull(), F.col("raw_value")).otherwise(""))
     text = lambda c: F.btrim(F.coalesce(F.col(c), F.lit("")))
-    rows = each.join(sums, ["doc_id", "page_index", "row_seq"], "left").select("doc_id", "page_index", "row_seq", text("z.zeile_nr").alias("row_no"), text("z.bas").alias("bas"), text("z.klartext").alias("label"), text("z.qualifikation").alias("qualifier"), text("z.bemerkung").alias("remark"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("full", F.lit(False)).alias("has_values"), F.coalesce("z.summenzeile", F.lit(False)).alias("__sum"))
-    rows = rows.where("label <> '' or n_cells > 0 or bas <> ''").withColumn("__kind", rules.row_kind(F.col("label"), F.col("has_values")))
+    rows = each.select("doc_id", "page_index", "row_seq", text("z.zeile_nr").alias("row_no"), text("z.bas").alias("bas"), text("z.klartext").alias("label"), text("z.qualifikation").alias("qualifier"), text("z.bemerkung").alias("remark"), own.alias("__own"), F.coalesce("z.summenzeile", F.lit(False)).alias("__sum"))
+    full = F.exists(F.map_values("__own"), lambda v: parse_count(F.btrim(v)).isNotNull())
+    rows = rows.select("*", F.size("__own").cast("long").alias("n_cells"), full.alias("has_values"), rules.row_kind(F.col("label"), full).alias("__kind")).where("label <> '' or n_cells > 0 or bas <> ''")
     said = F.col("__sum") & (F.col("__kind") == "daten")
     rows = rows.withColumn("kind", F.when(said, "summe").otherwise(F.col("__kind"))).withColumn("reason", F.when(said, "Vom Modell als Summenzeile gemeldet").otherwise(rules.reason(F.col("__kind"))))
-    return rows.drop("__sum", "__kind"), cells
+    return rows.drop("__sum", "__own", "__kind"), cells
 
 
 def answered_fields(answers: DataFrame) -> DataFrame:
