@@ -85,3 +85,23 @@ def test_numbers_are_cast_only_where_they_look_like_some(spark):
     assert got.where("NOT n <=> CASE WHEN t >= 0 THEN t END").count() == 0
     # a cast that fails is slow, so it stands behind the look at the text
     assert "CASE WHEN RLIKE(k" in plan(got.select("n"))
+
+
+def test_pages_hold_their_words(spark):
+    """A page's words are moved once, when they are put together; nothing after that joins, moves or writes them."""
+    from zeilenwerk.operators import pages
+
+    xs = [200.0 + 40 * i for i in range(4)]
+    words = [(100.0, 120.0, "Abschnitt"), (100.0, 140.0, "Spalte"), (xs[0], 120.0, "1."), (xs[2], 120.0, "02")] + [(x, 140.0, n) for x, n in zip(xs, "1212", strict=True)]
+    # two data rows, a sum of them without a label, a number out of order, a footer and what stands under it
+    lines = [("1", "Pumpe", "2", "x"), ("2", "Ventil", "3", "4"), ("", "", "5", "5"), ("1", "Klappe", "1", "frei"), ("", "Legende", "", ""), ("9", "danach", "7", "")]
+    words += [(x, 160.0 + 20 * r, t) for r, line in enumerate(lines) for x, t in zip((20.0, 50.0, xs[0], xs[1]), line, strict=True) if t]
+    rows = [(d, 0, i, x, y, x + 8, y + 8, t) for d in range(3) for i, (x, y, t) in enumerate(words if d < 2 else words[:19])]
+    df = spark.createDataFrame(rows, "doc_id int, page_index int, word_id int, x0 double, y0 double, x1 double, y1 double, text string")
+    t = pages.extract(df, df.select("doc_id", "page_index").distinct().withColumn("width", F.lit(600.0)))
+    for table in (t.columns, t.rows, t.cells, t.warnings, t.heads):
+        assert plan(table).count("Join") == 1 and plan(table).count("Window") == 0  # the page's width
+    kinds = [("1", "Pumpe", "daten"), ("2", "Ventil", "daten"), ("", "", "summe"), ("1", "Klappe", "daten")]
+    assert [(r.doc_id, r.row_no, r.label, r.kind) for r in t.rows.orderBy("doc_id", "line").collect()] == [(d, *k) for d in (0, 1) for k in kinds]
+    assert [(r.line, r.column_label, r.address, r["count"], r.note) for r in t.cells.where("doc_id = 1 and line in (0, 3)").orderBy("line", "column_index").collect()] == [(0, "", "1.1", 2.0, ""), (0, "", "1.2", 1.0, ""), (3, "", "1.1", 1.0, ""), (3, "", "1.2", None, "frei")]
+    assert [tuple(r) for r in t.warnings.where("doc_id = 0").collect()] == [(0, 0, 3, 2, 1)]
