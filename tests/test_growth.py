@@ -105,3 +105,23 @@ def test_pages_hold_their_words(spark):
     assert [(r.doc_id, r.row_no, r.label, r.kind) for r in t.rows.orderBy("doc_id", "line").collect()] == [(d, *k) for d in (0, 1) for k in kinds]
     assert [(r.line, r.column_label, r.address, r["count"], r.note) for r in t.cells.where("doc_id = 1 and line in (0, 3)").orderBy("line", "column_index").collect()] == [(0, "", "1.1", 2.0, ""), (0, "", "1.2", 1.0, ""), (3, "", "1.1", 1.0, ""), (3, "", "1.2", None, "frei")]
     assert [tuple(r) for r in t.warnings.where("doc_id = 0").collect()] == [(0, 0, 3, 2, 1)]
+
+
+def test_an_audit_in_one_pass(spark):
+    """Sums and uncounted rows come out of one reading of the rows; both forms of cells give the same."""
+    from zeilenwerk.operators import reports
+
+    one = [(1, 1, 0, "daten", [(0, 2.0), (1, None)]), (1, 2, 0, "summe", [(0, 3.0), (0, 0.5), (7, 1.0)]), (1, 3, 1, "uebertrag", [(1, 9.0)]), (1, 4, 1, "leer", []), (1, 5, 1, "leer", None), (2, 1, 0, "summe", [(0, None)]), (3, 1, 0, "daten", [(0, 1.0)])]
+    rows = spark.createDataFrame(one, "doc_id long, row_seq int, page_index int, kind string, cells array<struct<column_index:int,count:double>>")
+    rows = rows.select("*", F.concat(F.lit("Teil "), "row_seq").alias("datenpunkt"), F.col("row_seq").cast("string").alias("row_no"), F.concat(F.lit("Art "), "kind").alias("reason"))
+    documents = spark.createDataFrame([(1, "eins"), (2, "zwei")], "doc_id long, datei string")
+    columns = spark.createDataFrame([(0, "1.1", "Menge"), (1, "1.2", None)], "column_index int, adresse string, label string")
+    held = reports.audit_report(documents, rows, None, columns)
+    apart = reports.audit_report(documents, rows.drop("cells"), rows.select("doc_id", "row_seq", F.inline("cells")), columns)
+    assert plan(held).count("Scan") == 3 and "Union" not in plan(held)
+    sums, left = ("Summenabgleich", None, ""), "nicht gezählte Zeile"
+    want = {(sums[0], "1.1", "Menge", None, "", 3.5, 2.0, "ABWEICHUNG", "", "eins"), (sums[0], "7", "", None, "", 1.0, 0.0, "ABWEICHUNG", "", "eins")}
+    want |= {(left, "", f"Teil {n}", p, str(n), v, 0.0, k, f"Art {k}", d) for d, n, p, v, k in (("eins", 2, 1, 4.5, "summe"), ("eins", 3, 2, 9.0, "uebertrag"), ("eins", 4, 2, 0.0, "leer"), ("eins", 5, 2, 0.0, "leer"), ("zwei", 1, 1, 0.0, "summe"))}
+    for df in (held, apart):
+        got = [tuple(r) for r in df.collect()]
+        assert set(got) == want and len(got) == len(want)
