@@ -125,3 +125,22 @@ def test_an_audit_in_one_pass(spark):
     for df in (held, apart):
         got = [tuple(r) for r in df.collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_sheets_rows_hold_their_cells(spark):
+    """Heads are put together a row a sheet, a body's rows meet them once and nothing else; both kinds of heads do."""
+    from zeilenwerk.operators import sheets
+
+    head = [(5, 2, "Abschnitt"), (5, 3, "1."), (5, 5, "4"), (6, 2, "Spalte"), (6, 3, "1"), (6, 4, "2"), (6, 5, "1"), (6, 6, "2")]
+    body = [(7, 0, "1"), (7, 1, "Pumpe"), (7, 3, "2"), (7, 4, "x"), (8, 1, "Ventil"), (8, 3, "3"), (8, 4, "4"), (8, 6, "siehe"), (9, 3, "5"), (9, 4, "5"), (10, 9, "nichts"), (12, 1, "Legende"), (13, 3, "7")]
+    cells = [(d, s, *x) for d, s in (("a", 0), ("a", 1), ("b", 0)) for x in head + body if (d, x[:2]) != ("b", (9, 3))] + [("c", 0, *x) for x in head[:6] + body]
+    lines = sheets.lines(spark.createDataFrame(cells, "doc_id string, sheet int, r int, c int, value string"))
+    for texts in (True, False):
+        heads = sheets.heads(lines, texts)
+        assert "Join" not in plan(heads) and [(r.doc_id, len(r.columns or [])) for r in heads.orderBy("doc_id", "sheet").collect()] == [("a", 4), ("a", 4), ("b", 4), ("c", 0)]
+        rows, cells = sheets.tables(lines, heads)
+        assert "Join" not in plan(cells)
+        want = lambda d, s, last: [(d, s, 7, "1", "Pumpe", "", "daten"), (d, s, 8, "", "Ventil", "siehe", "daten"), (d, s, 9, "", "", "", last)]
+        got = rows.orderBy("doc_id", "sheet", "row_seq").select("doc_id", "sheet", "row_seq", "row_no", "label", "remark", "kind").collect()
+        assert [tuple(r) for r in got] == want("a", 0, "summe") + want("a", 1, "summe") + want("b", 0, "daten")[:2] + [("b", 0, 9, "", "", "", "summe")]
+        assert [(r.row_seq, r.column_index, r.raw_value, r["count"], r.note) for r in cells.where("doc_id = 'b'").orderBy("row_seq", "column_index").collect()] == [(7, 0, "2", 2.0, ""), (7, 1, "x", 1.0, ""), (8, 0, "3", 3.0, ""), (8, 1, "4", 4.0, ""), (8, 3, "siehe", None, "siehe"), (9, 1, "5", 5.0, "")]

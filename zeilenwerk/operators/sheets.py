@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, places
 from ..functions.text import footnote_markers, normalize, normalize_address, parse_count
-from ..tables import buckets, written
+from ..tables import CO_PARTITION, buckets, written
 from . import rows as rules
-from . import words
 
 SHEET = ["doc_id", "sheet"]
 # Labels of a sheet's head and foot, normalised, with the fields they name.
@@ -54,86 +54,120 @@ def metadata(grid: DataFrame) -> DataFrame:
     return tries.join(good, [*SHEET, "__r", "__c"]).groupBy(*SHEET, "field").agg(F.min_by("__v", F.struct("r", "c", "n")).alias("value"))
 
 
+def lines(grid: DataFrame) -> DataFrame:
+    """doc_id, sheet, r, cells: a row of a sheet holds its cells (c, value) in order."""
+    return grid.groupBy(*SHEET, "r").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("cells"))
+
+
+def _last(found: Column, c: Column, value: str) -> Column:
+    """This field of the last of some cells, in order of c, that isn't right of c."""
+    return F.element_at(F.filter(F.concat(F.array(F.lit(None)), found), lambda x: x.isNull() | (x["c"] <= c)), -1)[value]
+
+
+def _columns(rows: Column, section_row: Column, label_col: Column, number_row: Column, texts: bool) -> Column:
+    """A head's columns out of its rows (r, cells), an array in order, with their texts or without; null without four numbers."""
+    at = lambda r: F.flatten(F.transform(F.filter(rows, lambda x: x["r"] == r), lambda x: x["cells"]))
+    numbers = F.filter(at(number_row), lambda x: (x["c"] > label_col) & x["value"].rlike(r"^\d+$"))
+    sections = F.transform(F.filter(at(section_row), lambda x: x["c"] > label_col), lambda x: F.struct(x["c"].alias("c"), normalize_address(x["value"]).alias("section")))
+    sections = F.filter(sections, lambda s: s["section"] != "")
+
+    def sectioned(n: Column, s: Column) -> Column:
+        # as many blocks as sections: in order, unless these are empty; else the last section to the left
+        starts = places(F.size(n), lambda i: F.get(n, i)["value"].isin("1", "1.0") | (i == 0))
+        block = lambda k, i: F.size(F.filter(k, lambda x: x <= i)) - 1
+        section = lambda k, x, i: F.when(F.size(k) == F.size(s), F.get(s, block(k, i))["section"]).otherwise(F.coalesce(_last(s, x["c"], "section"), F.lit("")))
+        return let(starts, lambda k: F.transform(n, lambda x, i: F.struct(x["c"].alias("c"), i.cast("int").alias("column_index"), x["value"].alias("column_no"), section(k, x, i).alias("section"))))
+
+    def labelled(cols: Column) -> Column:
+        first, last = F.get(cols, F.lit(0))["c"], F.element_at(cols, -1)["c"]
+        # the row of labels: the most different texts within eight rows over the sections, the lower of equals
+        above = F.filter(rows, lambda x: (x["r"] < section_row) & (x["r"] >= section_row - 8))
+        above = F.transform(above, lambda x: F.struct(x["r"].alias("r"), F.filter(x["cells"], lambda y: y["c"].between(first, last)).alias("cells")))
+        different = lambda x: F.size(F.array_distinct(F.transform(F.filter(x["cells"], lambda y: F.length(y["value"]) > 3), lambda y: y["value"])))
+        best = lambda ab: F.array_max(F.filter(F.transform(ab, lambda x: F.struct(different(x).alias("n"), x["r"].alias("r"))), lambda x: x["n"] >= 3))["r"]
+        return let(above, lambda ab: let(best(ab), lambda r: named(cols, ab, r)))
+
+    def named(cols: Column, above: Column, label_row: Column) -> Column:
+        # groups: the last text at or to the left, from the first function column on, in the two rows over the labels
+        over = lambda k: F.flatten(F.transform(F.filter(above, lambda x: x["r"] == F.coalesce(label_row, section_row) - k), lambda x: x["cells"]))
+        label = lambda ls, x: F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(ls, lambda y: y["c"] == x["c"]), lambda y: F.btrim(y["value"]))), -1), F.lit(""))
+        groups = lambda u, w, x, t: F.filter(F.array(_last(u, x["c"], "value"), _last(w, x["c"], "value")), lambda g: g.isNotNull() & (g != t))
+        one = lambda x, t, g: F.struct(
+            *[x[k].alias(k) for k in ("c", "column_index", "column_no", "section")], F.concat_ws(".", F.nullif(x["section"], F.lit("")), normalize_address(x["column_no"])).alias("address"), t.alias("label"),
+            F.coalesce(F.get(g, F.lit(0)), F.lit("")).alias("group_name"), F.coalesce(F.get(g, F.lit(1)), F.lit("")).alias("subgroup"), x["section"].isin(*NOTE_SECTIONS).alias("is_note"), footnote_markers(t).alias("footnote_markers"),
+            (number_row + 1).alias("first_row"), section_row.alias("section_row"), label_col.alias("label_col"), label_row.alias("label_row"),
+        )
+        each = lambda ls, u, w: F.transform(cols, lambda x: let(label(ls, x), lambda t: let(groups(u, w, x, t), lambda g: one(x, t, g))))
+        return let(at(label_row), lambda ls: let(over(2), lambda u: let(over(1), lambda w: each(ls, u, w))))
+
+    bare = lambda cols: F.transform(cols, lambda x: F.struct(x["c"].alias("c"), x["column_index"].alias("column_index"), x["section"].isin(*NOTE_SECTIONS).alias("is_note"), (number_row + 1).alias("first_row"), label_col.alias("label_col")))
+    return let(numbers, lambda n: F.when(F.size(n) >= 4, let(let(sections, lambda s: sectioned(n, s)), labelled if texts else bare)))
+
+
+def heads(lines: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, sheet, columns (an array) of the sheets that have the labels Abschnitt and Spalte; null without four numbers.
+    The rows down to the lower label are put together, one row a sheet; the rows below are not. Without texts a column has
+    only what a body needs."""
+    name = F.transform("cells", lambda x: F.struct(x["c"].alias("c"), normalize(x["value"]).alias("name")))
+    first = lambda label: F.min(F.when(F.exists("names", lambda x: x["name"] == label), F.struct("r", F.element_at(F.filter("names", lambda x: x["name"] == label), 1)["c"].alias("c"))))
+    # a name is no shorter than six letters and holds no digit
+    some = F.exists("cells", lambda x: (F.char_length(x["value"]) >= 6) & ~x["value"].rlike("[0-9]"))
+    named = lines.withColumn("names", F.when(some, name).otherwise(F.array().cast("array<struct<c:int,name:string>>")))
+    sheet = W.partitionBy(*SHEET)
+    at = named.withColumn("a", first("abschnitt").over(sheet)).withColumn("s", first("spalte").over(sheet)).where("r <= greatest(a.r, s.r) and a is not null and s is not null")
+    own = at.groupBy(*SHEET, F.col("a.r").alias("section_row"), F.col("a.c").alias("label_col"), F.col("s.r").alias("number_row")).agg(F.sort_array(F.collect_list(F.struct("r", "cells"))).alias("rows"))
+    columns = let(F.col("rows"), lambda rows: _columns(rows, F.col("section_row"), F.col("label_col"), F.col("number_row"), texts))
+    # out of a generator, as what is asked of its rows is not made again below it
+    return own.select(*SHEET, F.explode(F.array(columns)).alias("columns"))
+
+
 def head(grid: DataFrame) -> DataFrame:
     """A row for each function column of each sheet that has the labels Abschnitt and Spalte and four numbered columns:
     c, column_index, column_no, section, address, label, group_name, subgroup, is_note, footnote_markers, first_row (of
     the body), section_row, label_col, label_row."""
-    name = normalize(F.col("value"))
-    at = grid.select(*SHEET, "r", "c", name.alias("name")).where(F.col("name").isin("abschnitt", "spalte"))
-    first = lambda label: F.min(F.when(F.col("name") == label, F.struct("r", "c")))
-    at = at.groupBy(*SHEET).agg(first("abschnitt").alias("a"), first("spalte").alias("s")).where("a is not null and s is not null")
-    at = at.select(*SHEET, F.col("a.r").alias("section_row"), F.col("a.c").alias("label_col"), F.col("s.r").alias("number_row"))
-    n = buckets(grid)
-    # all that follows stands in the rows down to the lower label
-    own = written(grid.join(at, SHEET).where("r <= greatest(section_row, number_row)"), "head_cells", SHEET, n)
-    grid = own.select(*SHEET, "r", "c", "value")
-    numbers = own.where((F.col("r") == F.col("number_row")) & (F.col("c") > F.col("label_col")) & F.col("value").rlike(r"^\d+$"))
-    numbers = numbers.withColumn("column_index", F.row_number().over(W.partitionBy(*SHEET).orderBy("c")) - 1).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*SHEET))).where("__n >= 4")
-    numbers = written(numbers.select(*SHEET, "c", "column_index", F.col("value").alias("column_no"), "section_row", "label_col", "number_row"), "numbers", SHEET, n)
-    sections = own.where((F.col("r") == F.col("section_row")) & (F.col("c") > F.col("label_col"))).select(*SHEET, "c", normalize_address(F.col("value")).alias("section")).where("section <> ''")
-    sections = written(sections, "sections", SHEET, n)
-    # as many blocks as sections: in order; else the last section to the left
-    as_page = lambda df: df.withColumnRenamed("sheet", "page_index")
-    zipped = words.sections_in_order(as_page(numbers.select(*SHEET, F.col("c").alias("place"), F.col("column_no").alias("number"))), as_page(sections.select(*SHEET, F.col("c").alias("place"), "section")))
-    zipped = zipped.select("doc_id", F.col("page_index").alias("sheet"), F.col("place").alias("c"), F.col("section").alias("__zip"))
-    left = numbers.select(*SHEET, "c").join(sections.withColumnRenamed("c", "__c"), SHEET).where("__c <= c").groupBy(*SHEET, "c").agg(F.max_by("section", "__c").alias("__left"))
-    cols = numbers.join(zipped, [*SHEET, "c"], "left").join(left, [*SHEET, "c"], "left")
-    some = F.max(F.col("__zip") != "").over(W.partitionBy(*SHEET))
-    cols = cols.withColumn("section", F.when(some, F.col("__zip")).otherwise(F.coalesce("__left", F.lit(""))))
-    # the row of labels: the most different texts within eight rows over the sections, the lower of equals
-    span = numbers.groupBy(*SHEET, "section_row").agg(F.min("c").alias("__from"), F.max("c").alias("__to"))
-    above = grid.join(span, SHEET).where("r < section_row and r >= section_row - 8 and c between __from and __to")
-    texts = above.where(F.length("value") > 3).groupBy(*SHEET, "r").agg(F.count_distinct("value").alias("n"))
-    best = texts.groupBy(*SHEET).agg(F.max_by("r", F.struct("n", "r")).alias("label_row"), F.max("n").alias("n")).where("n >= 3").drop("n")
-    cols = cols.join(best, SHEET, "left").withColumn("__anchor", F.coalesce("label_row", "section_row"))
-    label = grid.select(*SHEET, F.col("r").alias("label_row"), "c", F.btrim("value").alias("label"))
-    cols = written(cols.join(label, [*SHEET, "label_row", "c"], "left").withColumn("label", F.coalesce("label", F.lit(""))), "head_columns", SHEET, n)
-    # groups: the last text at or to the left, from the first function column on, in the two rows over the labels
-    for k, name in ((2, "__upper"), (1, "__lower")):
-        g = above.join(cols.select(*SHEET, F.col("__anchor")).distinct(), SHEET).where(F.col("r") == F.col("__anchor") - k).select(*SHEET, F.col("c").alias("__c"), F.col("value").alias("__v"))
-        held = cols.select(*SHEET, "c").join(g, SHEET).where("__c <= c").groupBy(*SHEET, "c").agg(F.max_by("__v", "__c").alias(name))
-        cols = cols.join(held, [*SHEET, "c"], "left")
-    names = F.filter(F.array("__upper", "__lower"), lambda t: t.isNotNull() & (t != F.col("label")))
-    return cols.select(
-        *SHEET, "c", "column_index", "column_no", "section", F.concat_ws(".", F.nullif("section", F.lit("")), normalize_address(F.col("column_no"))).alias("address"), "label",
-        F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("")).alias("group_name"), F.coalesce(F.try_element_at(names, F.lit(2)), F.lit("")).alias("subgroup"),
-        F.col("section").isin(*NOTE_SECTIONS).alias("is_note"), footnote_markers(F.col("label")).alias("footnote_markers"), (F.col("number_row") + 1).alias("first_row"), "section_row", "label_col", "label_row",
-    )
+    return heads(lines(grid)).select(*SHEET, F.inline("columns"))
 
 
 def body(grid: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, cells) under the heads. A row's label is what stands left of the first function column, without its number
     and what stands in the column of the labels Abschnitt and Spalte (the qualifier). Rows from the first footer or
     header row on go, then empty ones at the end; sums without a label are marked."""
-    edge = columns.groupBy(*SHEET).agg(F.min("c").alias("__first"), F.first("first_row").alias("__top"), F.first("label_col").alias("__q"))
-    own = grid.join(edge, SHEET).where("r >= __top")
-    cells = own.join(columns.select(*SHEET, "c", "column_index", "is_note"), [*SHEET, "c"])
-    count = F.when(~F.col("is_note"), parse_count(F.col("value")))
-    cells = cells.select(*SHEET, F.col("r").alias("row_seq"), "column_index", "is_note", F.col("value").alias("raw_value"), count.alias("count"), F.when(count.isNull(), F.col("value")).otherwise("").alias("note"))
-    n = buckets(grid)
-    cells = written(cells, "body_cells", SHEET, n)
-    left = own.where("c < __first").groupBy(*SHEET, F.col("r").alias("row_seq")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]).alias("__t"), F.max(F.when(F.col("c") == F.col("__q"), F.col("value"))).alias("qualifier")
-    )
-    # named before the join, so that each expression stands once in the plan
-    number = F.when(F.element_at("__t", 1).rlike(r"^\d+$"), F.element_at("__t", 1)).otherwise("")
-    left = left.withColumn("row_no", number).withColumn("__at", F.array_position("__t", F.coalesce("qualifier", F.lit(""))))
+    own = columns.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("c", "column_index", "is_note", "first_row", "label_col"))).alias("columns"))
+    return tables(lines(grid), own)
+
+
+def tables(lines: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of rows that hold their cells and heads that hold their columns."""
+    lines.sparkSession.conf.set(CO_PARTITION, "false")  # both are dealt out by documents
+    own = heads.select(*SHEET, F.transform("columns", lambda x: F.struct(*[x[k].alias(k) for k in ("c", "column_index", "is_note")])).alias("columns"), *[F.get("columns", F.lit(0))[k].alias(f"__{n}") for k, n in (("c", "first"), ("first_row", "top"), ("label_col", "q"))])
+    some = F.exists("cells", lambda x: (x["c"] < F.col("__first")) | F.array_contains(F.col("columns")["c"], x["c"]))
+    rows = lines.hint("merge").join(own, SHEET).where("r >= __top").where(some)
+    # a row's cells with their columns
+    hit = lambda x: F.filter("columns", lambda k: k["c"] == x["c"])
+    count = lambda x, k: F.when(~k["is_note"], parse_count(x["value"]))
+    cell = lambda x, k, n: F.struct(k["column_index"].alias("column_index"), k["is_note"].alias("is_note"), x["value"].alias("raw_value"), n.alias("count"), F.when(n.isNull(), x["value"]).otherwise("").alias("note"))
+    right = F.filter("cells", lambda x: x["c"] >= F.col("__first"))
+    right = F.flatten(F.transform(right, lambda x: F.transform(hit(x), lambda k: let(count(x, k), lambda n: cell(x, k, n)))))
+    left = F.filter("cells", lambda x: x["c"] < F.col("__first"))
+    rows = rows.select(*SHEET, F.col("r").alias("row_seq"), right.alias("cells"), F.transform(left, lambda x: x["value"]).alias("__t"), F.array_max(F.transform(F.filter(left, lambda x: x["c"] == F.col("__q")), lambda x: x["value"])).alias("qualifier"))
+    number = F.when(F.get("__t", F.lit(0)).rlike(r"^\d+$"), F.get("__t", F.lit(0))).otherwise("")
+    rows = rows.withColumn("row_no", number).withColumn("__at", F.array_position("__t", F.coalesce("qualifier", F.lit(""))))
     texts = F.filter("__t", lambda x, i: ~((i == 0) & (F.col("row_no") != "")) & (i + 1 != F.col("__at")))
-    left = left.select(*SHEET, "row_seq", "row_no", "qualifier", F.btrim(F.array_join(texts, " ")).alias("label"))
-    sums = cells.groupBy(*SHEET, "row_seq").agg(
-        F.bool_or(F.col("count").isNotNull()).alias("__full"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("column_index").cast("int"), "count"))).alias("values"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_note"), F.struct("column_index", "raw_value")))), lambda x: x["raw_value"]), " ").alias("remark"),
-    )
-    rows = left.join(sums, [*SHEET, "row_seq"], "full_outer")
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    rows = rows.select(*SHEET, "row_seq", text("row_no"), text("label"), text("qualifier"), text("remark"), F.coalesce("values", F.create_map().cast("map<int,double>")).alias("values"), F.coalesce("__full", F.lit(False)).alias("has_values"))
-    rows = rows.withColumn("kind", rules.row_kind(F.col("label"), F.col("has_values")))
+    remark = F.array_join(F.transform(F.filter("cells", lambda x: x["is_note"]), lambda x: x["raw_value"]), " ")
+    rows = rows.select(*SHEET, "row_seq", "row_no", F.btrim(F.array_join(texts, " ")).alias("label"), F.coalesce("qualifier", F.lit("")).alias("qualifier"), remark.alias("remark"), F.exists("cells", lambda x: x["count"].isNotNull()).alias("has_values"), "cells")
+    rows = rows.withColumn("__name", normalize(F.col("label")))
+    rows = rows.withColumn("kind", rules.kind_of_name(F.col("__name"), F.col("label"), F.col("has_values")))
     rows = rules.cut_after_footer(rows, SHEET, "row_seq").withColumn("first_reason", rules.reason(F.col("kind")))
-    rows = written(rows, "body_rows", SHEET, n)
-    rows = rules.mark_unlabelled_sums(rows, SHEET)
-    rows = rows.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("")), "first_reason")).drop("first_reason")
-    return rows, cells.drop("is_note").join(rows.select(*SHEET, "row_seq"), [*SHEET, "row_seq"], "left_semi")
+    # sums without a label are looked for only in sheets that have a row of numbers without a label
+    bare = F.max((F.col("__name") == "") & F.col("has_values")).over(W.partitionBy(*SHEET))
+    rows = written(rows.withColumn("__bare", bare).drop("__name"), "body_rows")
+    values = F.map_from_entries(F.transform("cells", lambda x: F.struct(x["column_index"].cast("int").alias("k"), x["count"].alias("v"))))
+    rows = rows.withColumn("values", values)
+    names = [*SHEET, "row_seq", "row_no", "label", "qualifier", "remark", "values", "has_values", "kind", "first_reason", "reason"]
+    marked = rules.mark_unlabelled_sums(rows.where("__bare").drop("cells", "__bare"), SHEET).select(*names)
+    every = marked.unionByName(rows.where("not __bare").withColumn("reason", F.lit("")).select(*names))
+    every = every.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("")), "first_reason")).drop("first_reason")
+    return every, rows.select(*SHEET, "row_seq", F.inline("cells")).drop("is_note")
 
 
 def footnotes(grid: DataFrame, columns: DataFrame) -> DataFrame:
